@@ -5,30 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestore.llm import secrets, simhash, warc
+from lodestore.llm import media, packing, pii, secrets, simhash, substring, urlfilter, warc
 from lodestore.llm.common import table
 
 
+def op2_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(table(spark, sf_dir, "pages"))
 
 
+def op6_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_blob_ledger_secrets": op3_blob_ledger_secrets,
-        "op5_warc_index_merge": op5_warc_index_merge,
-        "op9_tiled_simhash": op9_tiled_simhash,
-    }
+    found = (
+        op2_conflict_best_fit,
+        op3_blob_ledger_secrets,
+        op4_sentence_spans,
+        op5_warc_index_merge,
+        op6_avi_mjpeg,
+        op8_url_markov_ratio,
+        op9_tiled_simhash,
+        op10_disclosure_pii,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
