@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import media, packing, pii, secrets, simhash, substring, urlfilter, warc
+from lodestore.llm import decontam, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, warc
 from lodestore.llm.common import table
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 def op2_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op6_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -44,11 +53,13 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_latent_decontamination,
         op2_conflict_best_fit,
         op3_blob_ledger_secrets,
         op4_sentence_spans,
         op5_warc_index_merge,
         op6_avi_mjpeg,
+        op7_weak_toxicity,
         op8_url_markov_ratio,
         op9_tiled_simhash,
         op10_disclosure_pii,
