@@ -40,8 +40,9 @@ def _powers(p: int, n: int) -> np.ndarray:
 
 
 def runs(text: str, least: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h1, h2, first piece, pieces) of the shortest run from each piece that has enough pieces and words; none where the text ends before."""
-    own = [text[a:b].strip() for a, b in pieces(text)]
+    """(h1, h2, start, end) of the shortest run from each piece that has enough pieces and words, in characters; none where the text ends before."""
+    at = pieces(text)
+    own = [text[a:b].strip() for a, b in at]
     n = len(own)
     size = np.fromiter((len(x.split()) for x in own), dtype=np.int64, count=n)
     keys = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in own), dtype=np.uint64, count=n)
@@ -56,10 +57,11 @@ def runs(text: str, least: int = RUN, words: int = WORDS) -> tuple[np.ndarray, n
         inverse = _powers(pow(p, -1, 1 << 64), n + 1) if n else up
         prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((keys + np.uint64(1)) * up[:n], dtype=np.uint64)])
         out.append((prefix[end] - prefix[start]) * inverse[start])
-    return out[0], out[1], start, end - start
+    edge = np.array([a for a, _ in at] + [len(text)], dtype=np.int64)
+    return out[0], out[1], edge[start], edge[end]
 
 
-RUNS = "doc long, h1 long, h2 long, first int, n int"
+RUNS = "doc long, h1 long, h2 long, start int, end int"
 
 
 def all_runs(keyed: DataFrame, least: int, words: int) -> DataFrame:
@@ -73,62 +75,52 @@ def all_runs(keyed: DataFrame, least: int, words: int) -> DataFrame:
                     for c, g in zip(cols, got):
                         c.append(g)
             if docs:
-                h1, h2, first, n = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], [x.split()[0] for x in RUNS.split(", ")])
+                h1, h2, start, end = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], [x.split()[0] for x in RUNS.split(", ")])
 
     return keyed.mapInArrow(run, RUNS)
 
 
 def repeated_runs(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
-    """(doc, first, n, kept): each run whose hash has an earlier place; kept is the document that holds the first.
+    """(doc, start, end, kept): each run whose hash has an earlier place; kept is the document that holds the first.
 
-    Rows of docs with one doc_id count as one document each time its text comes; rows without doc_id aren't looked at.
+    Rows of docs with one doc_id count as one document each time its text comes; rows without doc_id aren't
+    looked at. The first places are written before the join, so that the join is a stage of its own and a run
+    that a third of all documents share is split by adaptive execution.
     """
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     every = stored(all_runs(keyed, least, words), "sentence-runs")
-    place = F.struct("doc", "first")
-    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("places")).where("places > 1").select("h1", "h2", F.col("at.doc").alias("kept"), F.col("at.first").alias("kept_first"))
-    return every.join(firsts, ["h1", "h2"]).where("doc <> kept or first <> kept_first").select("doc", "first", "n", "kept").distinct()
-
-
-def covered_pieces(repeated: DataFrame) -> DataFrame:
-    """(doc, spans): each document's covered pieces as merged (first, end, kept), in order. A document's own runs only come together."""
-    return repeated.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("n")).alias("end"), "kept"))).alias("spans"))
+    place = F.struct("doc", "start")
+    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("places")).where("places > 1").select("h1", "h2", F.col("at.doc").alias("kept"), F.col("at.start").alias("kept_start"))
+    return every.join(stored(firsts, "sentence-firsts"), ["h1", "h2"]).where("doc <> kept or start <> kept_start").select("doc", "start", "end", "kept")
 
 
 def merge_spans(spans: list) -> list[list[int]]:
     """Overlapping or touching runs as one; the document of the earliest run is named."""
     out: list[list[int]] = []
-    for first, end, kept in spans:
-        if out and first <= out[-1][1]:
+    for start, end, kept in spans:
+        if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([first, end, kept])
+            out.append([start, end, kept])
     return out
 
 
 def removed_spans(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
-    """One row for each stretch that is removed: doc_id, start, end (characters), n_words, kept_doc_id.
+    """One row for each stretch that is removed: doc_id, start, end (characters), kept_doc_id.
 
     Documents without repeated runs have no row; so have null, empty and short texts. The first place of a
     run is that of the smallest doc_id, then position, so copies inside one document go too. Repeated rows
     of one document (same doc_id) yield the same spans as one.
     """
-    spans = covered_pieces(repeated_runs(docs, least, words))
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text").join(spans, "doc")
+    grouped = repeated_runs(docs, least, words).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kept"))).alias("spans"))  # a document's own runs only
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, text, found in zip(b["doc"], b["text"], b["spans"]):
-                at = pieces(text or "")
-                for first, end, kept in merge_spans([(r["first"], r["end"], r["kept"]) for r in found]):
-                    if end <= len(at):
-                        s, e = at[first][0], at[end - 1][1]
-                        rows.append((doc, s, e, len(text[s:e].split()), kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "n_words", "kept_doc_id"]).astype({"doc_id": "int64", "start": "int32", "end": "int32", "n_words": "int32", "kept_doc_id": "int64"})
-
-    return keyed.mapInPandas(run, "doc_id long, start int, end int, n_words int, kept_doc_id long").distinct()
+            rows = [(doc, *span) for doc, found in zip(b["doc"], b["spans"]) for span in merge_spans([(r["start"], r["end"], r["kept"]) for r in found])]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "kept_doc_id"]).astype({"doc_id": "int64", "start": "int32", "end": "int32", "kept_doc_id": "int64"})
+
+    return grouped.mapInPandas(run, "doc_id long, start int, end int, kept_doc_id long")
 
 
 def dedup_documents(docs: DataFrame, least: int = RUN, words: int = WORDS) -> DataFrame:
