@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +30,8 @@ LEXICON, LEAST_TEXTS, BEGINNINGS = 400, 4, (4, 5, 6)
 LEAST_RATIO = 20.0
 #: Labels with this remainder of crc32(doc_id) by FOLDS are held out.
 FOLDS, HELD = 5, 0
+#: Units that a task counts before it hands its counts on.
+MOST_UNITS = 100_000
 EM_ROUNDS, CORRELATED = 8, 0.3
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Pattern voters, as text patterns over the whole text and the count from which they vote.
@@ -66,12 +67,22 @@ def lexicon(texts: DataFrame, most: int = LEXICON) -> list[str]:
     """The units whose share among toxic texts differs most surely from that among clean ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        toxic, clean = Counter(), Counter()
+        seen: dict[str, list[int]] = {}
+
+        def out() -> pd.DataFrame:
+            rows = pd.DataFrame(list(seen.values()), columns=["c", "t"], dtype="int64")
+            rows.insert(0, "unit", list(seen))
+            seen.clear()
+            return rows[["unit", "t", "c"]]
+
         for b in batches:
             for text, y in zip(b["text"], b["toxic"]):
-                (toxic if y else clean).update(units(text or ""))
-        every = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"unit": every, "t": [toxic[u] for u in every], "c": [clean[u] for u in every]}).astype({"unit": object, "t": "int64", "c": "int64"})
+                for u in units(text or ""):
+                    seen.setdefault(u, [0, 0])[int(y > 0)] += 1
+                if len(seen) > MOST_UNITS:  # bounded memory: hand on and begin anew
+                    yield out()
+        if seen:
+            yield out()
 
     n = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     t, c = n["t"], n["n"] - n["t"]
