@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestore import plans
+from lodestore.plans.base import QUERIES
+
+for _m in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"{plans.__name__}.{_m.name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: BM25 and dense ranks fused for every query."""
+    return QUERIES["sto_07"].run(spark, sf_dir)
