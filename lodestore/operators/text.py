@@ -1,0 +1,238 @@
+"""Chunks, retention, regex facets, entities, spelling."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodestore.functions import dot, first_of, total
+
+#: Facet patterns.
+CAMEL = r"\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b"
+URL = r"https?://[^ \t\n\r]+"
+MENTION = r"@[A-Za-z][A-Za-z0-9_.-]+"
+PATH = r"[a-zA-Z0-9_.-]+/[a-zA-Z0-9_./:-]+"
+ISO_DATE = r"\b(\d{4}-\d{2}(?:-\d{2})?)\b"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+RELATIVE = r"\b(?:last\s+(?:week|month|year|quarter)|yesterday|today|this\s+(?:week|month|year|quarter)|Q[1-4])\b"
+STANCES = {
+    "switched": r"\b(switched|migrated|moved|transitioned)\s+(to|from|away)\b",
+    "stopped": r"\b(stopped\s+using|no\s+longer\s+using|abandoned|dropped)\b",
+    "deprecated": r"\b(deprecated|obsolete|legacy|removed)\b",
+    "failed": r"\b(failed|broke|broken|crashing|crash)\b",
+    "fixed": r"\b(fixed|resolved|patched|repaired)\b",
+    "prefers": r"\b(prefer[s]?|recommend[s]?|suggest[s]?|advocate[s]?)\b",
+}
+ACTOR = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:said|told|mentioned|suggested|noted|added|explained|asked|replied)\b"
+#: Boundaries of sections by kind of text.
+BOUNDARY = {"code": r"\n(?=class |def |async def )", "conversation": r"\n(?=Human:|User:|>)", "prose": r"\n(?=#{1,3} )|\n(?=\n)"}
+RETENTION, DUPLICATE = 0.65, 0.92
+
+
+def sections(docs: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, start, text): segments between boundaries with their offsets, blank ones left out; the boundary belongs to what follows."""
+    cuts = F.split("text", BOUNDARY[kind])
+    s = docs.select("doc_id", F.posexplode(cuts).alias("i", "part"))
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("start", F.coalesce(F.sum(F.length("part") + 1).over(w), F.lit(0)))
+    s = s.select("doc_id", F.when(F.col("i") > 0, F.col("start") - 1).otherwise(0).alias("start"), F.concat(F.when(F.col("i") > 0, "\n").otherwise(""), "part").alias("text"))
+    return s.where(F.regexp_replace("text", r"\s", "") != "")
+
+
+def token_windows(text: str, size: int, overlap: int = 40, compat: bool = False) -> list[tuple[int, str]]:
+    """(start, window) of `size` characters that end at a sentence past their middle. compat: go on one by one after the text's end."""
+    if len(text) <= size:
+        return [(0, text)]
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        if end < len(text) and (at := text.rfind(". ", start, end)) > start + size // 2:
+            end = at + 2
+        if text[start:end].strip():
+            out.append((start, text[start:end]))
+        if end == len(text) and not compat:
+            break
+        start = max(start + 1, end - overlap)
+    return out
+
+
+def hierarchy(docs: DataFrame, mid: int = 450 * 4, fine: int = 180 * 4) -> DataFrame:
+    """(doc_id, chunk, level, parent, start, text): sections, windows of about 450 tokens in them, and of 180 in those; one index a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                n, at = 0, 0
+                for part in (text or "").split("\n\n"):
+                    if part.strip():
+                        section, n = n, n + 1
+                        rows.append((doc, section, "section", None, at, part))
+                        for s, m in token_windows(part, mid):
+                            middle, n = n, n + 1
+                            rows.append((doc, middle, "mid", section, at + s, m))
+                            for f, x in token_windows(m, fine):
+                                rows.append((doc, n, "fine", middle, at + s + f, x))
+                                n += 1
+                    at += len(part) + 2
+            out = pd.DataFrame(rows, columns=["doc_id", "chunk", "level", "parent", "start", "text"])
+            yield out.astype({"parent": "Int64"})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk long, level string, parent long, start long, text string")
+
+
+def chunk_kind(source_type: Column, path: Column) -> Column:
+    return first_of((source_type == "conversation", "conversation"), (path.rlike(r"\.(py|js|ts|tsx|jsx|go|rs|java|rb)$"), "code"), default=F.lit("prose"))
+
+
+def retained(kind: Column, score: Column, title: Column, body: Column) -> Column:
+    """Score at the threshold; beyond procedural, failure and tool_use also text of 30 characters."""
+    return (score >= RETENTION) & (kind.isin("procedural", "failure", "tool_use") | (F.length(F.trim(F.concat(body, F.lit(" "), title))) >= 30))
+
+
+def evidence(memories: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(memory, spans): offsets of the named chunks; the whole source if none is known. memories: memory, ids, n_chars."""
+    named = memories.select("memory", F.posexplode("ids").alias("i", "chunk_id")).join(chunks, "chunk_id")
+    spans = named.groupBy("memory").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "start_offset", "end_offset"))), lambda s: F.struct(s["start_offset"].alias("start_offset"), s["end_offset"].alias("end_offset"))).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("start_offset"), F.col("n_chars").cast("int").alias("end_offset")))
+    return memories.join(spans, "memory", "left").select("memory", F.coalesce("spans", whole).alias("spans"))
+
+
+def near_duplicates(memories: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """(memory, duplicate_of): the smallest earlier memory of the same type and bucket whose cosine reaches `least`.
+
+    memories: memory, kind, bucket, vec (unit vectors). Only pairs of one bucket meet: callers give the label of a
+    cluster or a hash of the vector as the bucket, so that no type is compared with itself whole.
+    """
+    a, b = memories.alias("a"), memories.alias("b")
+    near = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.memory") > F.col("b.memory")) & (dot("a.vec", "b.vec") >= least)
+    return a.join(b, near).groupBy(F.col("a.memory").alias("memory")).agg(F.min("b.memory").alias("duplicate_of"))
+
+
+def facet_entities(text: Column) -> Column:
+    """Sorted distinct CamelCase words, quoted strings, paths, URLs and mentions."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((CAMEL, 0), ('"([^"]+)"', 1), ("'([^']+)'", 1), (PATH, 0), (URL, 0), (MENTION, 0))]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def mentioned_at(text: Column) -> Column:
+    """An ISO date, else a month with a year, else a relative mark."""
+    first = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
+    return F.coalesce(first(ISO_DATE, 1), first(rf"\b(?:{MONTHS})\s+\d{{4}}\b", 0), first("(?i)" + RELATIVE, 0))
+
+
+def speaker_role(text: Column) -> Column:
+    return F.when(text.rlike(r"(^|\n)>\s"), "user").otherwise("assistant")
+
+
+def stance(text: Column) -> Column:
+    return first_of(*[(text.rlike("(?i)" + p), s) for s, p in STANCES.items()])
+
+
+def actors(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ACTOR), F.lit(1)))
+
+
+def candidates(docs: DataFrame, common: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, name, n): capitalised words that aren't common (word) and come `least` times in a document."""
+    named = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{1,19})\b"), F.lit(1))).alias("name"))
+    counted = named.groupBy("doc_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counted.join(common.select(F.col("word").alias("_w")), F.lower("name") == F.col("_w"), "left_anti")
+
+
+#: Signals of a person and of a project; {n} is the name.
+PERSON_VERBS = "said asked told replied laughed smiled cried felt thinks? wants? loves? hates? knows? decided pushed wrote".split()
+DIRECT = r"\b(?:hey|thanks?|hi|dear)\s+{n}\b"
+DIALOGUE = (r"^>\s*{n}[:\s]", r"^{n}:\s", r"^\[{n}\]", r'"{n}\s+said')
+PROJECT = (r"\b(?:building|built|ship(?:ping|ped)?|launch(?:ing|ed)?|deploy(?:ing|ed)?|install(?:ing|ed)?|import)\s+{n}\b", r"\bthe\s+{n}\s+(?:architecture|pipeline|system|repo)\b", r"\b{n}(?:\.py|-core|-local|\s+v\d+)\b")
+PRONOUNS = r"\b(?:she|her|hers|he|him|his|they|them|their)\b"
+
+
+def entity_signals(names: DataFrame) -> DataFrame:
+    """names (doc_id, name, n, text) with dialogue, action, pronoun, direct, project, versioned, code: counts of signals in the document."""
+    pattern = lambda p: F.concat(F.lit("(?im)"), F.replace(F.lit(p), F.lit("{n}"), F.col("name")))
+    count = lambda *ps: total([F.regexp_count("text", pattern(p)) for p in ps])
+    line = F.split(F.lower("text"), "\n")
+    around = lambda i: F.array_join(F.slice(line, F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), " ")
+    at = F.filter(F.sequence(F.lit(1), F.size(line)), lambda i: F.contains(F.get(line, i - 1), F.lower("name")))
+    return names.select(
+        "doc_id", "name", "n",
+        count(*DIALOGUE).alias("dialogue"),
+        count(*[rf"\b{{n}}\s+{v}\b" for v in PERSON_VERBS]).alias("action"),
+        F.size(F.filter(at, lambda i: around(i).rlike(PRONOUNS))).alias("pronoun"),
+        count(DIRECT).alias("direct"),
+        count(*PROJECT).alias("project"),
+        count(r"\b{n}[-v]\w+").alias("versioned"),
+        count(r"\b{n}\.(?:py|js|ts|yaml|yml|json|sh)\b").alias("code"),
+    )
+
+
+def classified(signals: DataFrame) -> DataFrame:
+    """signals with type and confidence."""
+    ps = 3 * F.col("dialogue") + 2 * F.col("action") + 2 * F.col("pronoun") + 4 * F.col("direct")
+    prs = 2 * F.col("project") + 3 * F.col("versioned") + 3 * F.col("code")
+    kinds = total([(F.col(c) > 0).cast("int") for c in ("dialogue", "action", "pronoun", "direct")])
+    none, person = F.col("person_score") + F.col("project_score") == 0, F.col("ratio") >= 0.7
+    sure = person & (F.col("kinds") >= 2) & (F.col("person_score") >= 5)
+    s = signals.withColumns({"person_score": ps, "project_score": prs, "kinds": kinds})
+    s = s.withColumn("ratio", F.when(none, 0.5).otherwise(F.try_divide(F.col("person_score"), F.col("person_score") + F.col("project_score"))))
+    kind = first_of((none, "uncertain"), (sure, "person"), (person, "uncertain"), (F.col("ratio") <= 0.3, "project"), default=F.lit("uncertain"))
+    confidence = F.when(none, F.least(F.lit(0.4), F.col("n") / 50)).when(sure, F.least(F.lit(0.99), 0.5 + F.col("ratio") * 0.5)).when(person, 0.4).when(F.col("ratio") <= 0.3, F.least(F.lit(0.99), 0.5 + (1 - F.col("ratio")) * 0.5)).otherwise(0.5)
+    return s.withColumns({"type": kind, "confidence": F.round(confidence, 2)})
+
+
+def top_entities(entities: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """The surest of each type, up to its cap."""
+    w = Window.partitionBy("type").orderBy(F.desc("confidence"), F.desc("n"), "doc_id", "name")
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
+    return entities.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= cap[F.col("type")])
+
+
+def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """word, type, name, confidence: people (name, alias, confidence) before projects (name) before confirmed words (name, type, confidence)."""
+    key = F.lower("word")
+    p = people.select(F.lower("alias").alias("_k"), F.col("name").alias("p"), F.col("confidence").alias("pc")).dropDuplicates(["_k"])
+    j = projects.select(F.lower("name").alias("_k"), F.col("name").alias("j")).dropDuplicates(["_k"])
+    c = confirmed.select(F.lower("name").alias("_k"), F.col("type").alias("ct"), F.col("confidence").alias("cc")).dropDuplicates(["_k"])
+    w = words.withColumn("_k", key).join(p, "_k", "left").join(j, "_k", "left").join(c, "_k", "left")
+    kind = F.when(F.col("p").isNotNull(), "person").when(F.col("j").isNotNull(), "project").when(F.col("ct").isNotNull(), F.col("ct")).otherwise("unknown")
+    sure = F.when(F.col("p").isNotNull(), F.col("pc")).when(F.col("j").isNotNull(), 1.0).otherwise(F.coalesce("cc", F.lit(0.0)))
+    return w.select(*words.columns, kind.alias("type"), F.coalesce("p", "j", "word").alias("name"), sure.alias("confidence"))
+
+
+#: Contexts of a name used for a person and for a concept.
+PERSON_CONTEXT = tuple(rf"\b{{n}}\s+{v}\b" for v in "said told asked laughed smiled was is called texted".split()) + tuple(rf"\b{v}\s+{{n}}\b" for v in ("with", "saw", "called", "took", r"picked\s+up", "hey", "thanks?")) + (r"\b{n}(?:'s|s')\b", r"^{n}[:\s]")
+CONCEPT_CONTEXT = tuple(rf"\b{v}\s+{{n}}\b" for v in (r"have\s+you", r"if\s+you", "not", "would", "could", "will")) + tuple(rf"\b{{n}}\s+{v}\b" for v in ("since", "again", "more")) + (r"(?:the\s+)?{n}\s+(?:of|in|at|for|to)\b",)
+
+
+def disambiguated(word: Column, context: Column) -> Column:
+    """(type, confidence) of a word that is both a name and a common word; equal counts leave it a person without more confidence."""
+    hit = lambda p: F.rlike(F.lower(context), F.replace(F.lit(p), F.lit("{n}"), F.lower(word))).cast("int")
+    person, concept = total([hit(p) for p in PERSON_CONTEXT]), total([hit(p) for p in CONCEPT_CONTEXT])
+    return F.struct(F.when(concept > person, "concept").otherwise("person").alias("type"), F.round(F.when(person > concept, F.least(F.lit(0.95), 0.7 + person * 0.1)).when(concept > person, F.least(F.lit(0.90), 0.7 + concept * 0.1)).otherwise(0.7), 4).alias("confidence"))
+
+
+def spelling_skipped(token: Column, known: Column) -> Column:
+    """Whether a token is left as it is: short, digits, CamelCase, capitals, - or _, URL-like, code, or a known name (array)."""
+    rules = (r"\d", r"[A-Z][a-z]+[A-Z]", r"^[A-Z_@#$%^&*()+=\[\]{}|<>?.:/\\]+$", r"[-_]", r"(?i)https?://|www\.|/Users/|~/|\.[a-z]{2,4}$", r"[`*_#{}\[\]\\]")
+    out = F.length(token) < 4
+    for r in rules:
+        out = out | token.rlike(r)
+    return out | F.array_contains(known, F.lower(token)) | token.rlike("^[A-Z]")
+
+
+def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, word): the closest dictionary word (word, n) with two edits at most, three for tokens of over 7 letters; the commonest of equals.
+
+    Tokens and words meet on a shared first letter and a length within three, never all with all. Tokens in the
+    dictionary aren't corrected.
+    """
+    d = dictionary.select("word", "n", F.substring("word", 1, 1).alias("_c"), F.length("word").alias("_l"))
+    t = tokens.join(dictionary.select(F.col("word").alias("token")), "token", "left_anti").select("token", F.substring("token", 1, 1).alias("_c"), F.explode(F.sequence(F.length("token") - 3, F.length("token") + 3)).alias("_l"))
+    most = F.when(F.length("token") <= 7, 2).otherwise(3)
+    near = t.join(d, ["_c", "_l"]).withColumn("edits", F.levenshtein("token", "word")).where(F.col("edits") <= most)
+    w = Window.partitionBy("token").orderBy("edits", F.desc("n"), "word")
+    return near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("token", "word", F.col("edits").cast("long").alias("edits"))

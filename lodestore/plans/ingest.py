@@ -35,7 +35,7 @@ def formats(t: Tables) -> DataFrame:
     return d.union(c).select("file", ingest.file_format(F.col("content"), F.col("path")).alias("format"))
 
 
-_TURNS = "with c as (select conv_id as file, role, trim(text) as text, count(*) over (partition by conv_id) as all_n, row_number() over (partition by conv_id order by turn) - 1 as n from conversations where trim(text) <> '' and role in ('user', 'assistant')) select file, n, role, text from c where all_n >= 2"
+_TURNS = "with c as (select conv_id as file, role, trim(text) as text, count(*) over (partition by conv_id) as all_n, turn as n from conversations where trim(text) <> '' and role in ('user', 'assistant')) select file, n, role, text from c where all_n >= 2"
 
 
 @query("ing_02", _TURNS)

@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: BM25 and dense ranks fused for every query."""
-    return QUERIES["sto_07"].run(spark, sf_dir)
+    return QUERIES["ret_06"].run(spark, sf_dir)
