@@ -30,7 +30,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def normalized(text: Column | str) -> Column:
     """Lower case, outer white space off, inner runs as one space."""
-    return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
 def tokens_of(n: Column) -> Column:
