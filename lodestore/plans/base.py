@@ -58,7 +58,7 @@ _MEMORY = {
 _FROM = "documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = d.doc_id left join embeddings e on e.vec_id = d.doc_id"
 MEM = "mem as (select " + ", ".join(f"{e} as {n}" for n, e in _MEMORY.items()) + f", [cast(d.doc_id * 5 % {ANCHORS} as int), cast(d.doc_id * 11 % {ANCHORS} as int)] as secondary_anchor_ids from {_FROM})"
 
-#: Anchor cards: one for each of the first ANCHORS benchmark items; the centroid is a given vector.
+#: Anchor cards: one for each benchmark item; the centroid is a given vector. ANCHORS of them hold memories.
 _CARD = {
     "anchor_id": "cast(b.item_id as int)",
     "name": "substr(b.text, 1, 20)",
@@ -67,7 +67,7 @@ _CARD = {
     "is_novelty": "b.item_id % 8 = 7",
     "status": "case when b.item_id % 11 = 10 then 'retired' else 'active' end",
 }
-_CARD_FROM = f"benchmark b join embeddings e on e.vec_id = b.item_id where b.item_id < {ANCHORS}"
+_CARD_FROM = "benchmark b join embeddings e on e.vec_id = b.item_id"
 CARDS = "cards as (select " + ", ".join(f"{e} as {n}" for n, e in _CARD.items()) + f" from {_CARD_FROM})"
 
 #: Queries: what users say first; the vector is a given one.

@@ -55,9 +55,9 @@ def extracted(t: Tables) -> DataFrame:
     return s.select("doc_id", "start", F.lit("semantic").alias("type"), F.regexp_extract("text", r"^\s*([^.!?\n]*)", 1).alias("title"), F.trim("text").alias("body"))
 
 
-@query("con_06", f"with {MEM} select memory_object_id from mem where quality_score >= 0.65 and (memory_type in ('PROCEDURAL', 'FAILURE', 'TOOL_USE') or length(trim(body || ' ' || substr(title, 1, 10))) >= 30)")
+@query("con_06", f"with {MEM} select memory_object_id from mem where quality_score >= 0.65 and (memory_type in ('PROCEDURAL', 'FAILURE', 'TOOL_USE') or length(trim(body || ' ' || title)) >= 30)")
 def retention(t: Tables) -> DataFrame:
-    ok = text.retained(F.lower("memory_type"), F.col("quality_score"), F.substring("title", 1, 10), F.col("body"))
+    ok = text.retained(F.lower("memory_type"), F.col("quality_score"), F.col("title"), F.col("body"))
     return t.memories().where(ok).select("memory_object_id")
 
 
