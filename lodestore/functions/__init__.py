@@ -18,14 +18,15 @@ def norm(a: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    """The vector at length 1; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """The vector at length 1; a zero vector stays zero. The length is bound once, not taken anew for each element."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    """Dot product of unit vectors, clamped to [-1, 1]."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(unit(a), unit(b))))
+    """Cosine of two vectors, clamped to [-1, 1]; 0 if either has no length."""
+    lengths = norm(a) * norm(b)
+    return F.when(lengths == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), lengths))))
 
 
 def normalized(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import dot, unit
+from lodestore.functions import cosine, dot, unit
 from lodestore.operators.retrieval import small
 
 NOVEL = 0.7
@@ -81,7 +81,7 @@ def matched(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
         return pd.DataFrame(out, columns=["new_id", "old_id", "similarity"])
 
     s = small(new.withColumnRenamed("vec", "a")).crossJoin(small(old.withColumnRenamed("vec", "b")))
-    s = s.select("new_id", "old_id", F.round(dot(unit("a"), unit("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    s = s.select("new_id", "old_id", F.round(cosine("a", "b"), 6).alias("similarity")).where(F.col("similarity") >= least)
     return s.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "new_id int, old_id int, similarity double")
 
 

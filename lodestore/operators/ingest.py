@@ -162,16 +162,14 @@ def room_of(path_parts: Column, filename: Column, content: Column, rooms: dict[s
     """Room by folder, then by file name, then by the most keyword hits in the first 2000 characters; the first room wins ties."""
     low = F.lower(F.substring(content, 1, 2000))
     fits = lambda p, c: (p == c) | F.contains(F.lit(c), p) | F.contains(p, F.lit(c))
-    by_folder = F.lit(None).cast("string")
     folders = F.slice(path_parts, 1, F.greatest(F.size(path_parts) - 1, F.lit(0)))
     # the first folder that fits any room decides, and in it the first room
     hit = F.transform(folders, lambda p: first_of(*[(total([F.when(fits(p, c.lower()), 1).otherwise(0) for c in [r, *k]]) > 0, r) for r, k in rooms.items()]))
     by_folder = F.get(F.array_compact(hit), F.lit(0))
     by_name = first_of(*[(F.contains(filename, F.lit(r.lower())) | F.contains(F.lit(r.lower()), filename), r) for r in rooms])
     count = lambda kw: (F.length(low) - F.length(F.replace(low, F.lit(kw.lower())))) / len(kw)
-    scores = [(r, total([count(kw) for kw in [*k, r]])) for r, k in rooms.items()]
-    best = F.greatest(*[s for _, s in scores], F.lit(0.0))
-    by_text = first_of(*[((s == best) & (best > 0), r) for r, s in scores])
+    scores = F.array(*[total([count(kw) for kw in [*k, r]]) for r, k in rooms.items()])
+    by_text = F.get(F.transform(F.array(scores), lambda s: F.when(F.array_max(s) > 0, F.element_at(F.array(*[F.lit(r) for r in rooms]), F.array_position(s, F.array_max(s)).cast("int")))), F.lit(0))
     return F.coalesce(by_folder, by_name, by_text, F.lit(default))
 
 

@@ -161,7 +161,7 @@ def entity_signals(names: DataFrame) -> DataFrame:
     return names.select(
         "doc_id", "name", "n",
         count(*DIALOGUE).alias("dialogue"),
-        count(*[rf"\b{{n}}\s+{v}\b" for v in PERSON_VERBS]).alias("action"),
+        count(rf"\b{{n}}\s+(?:{'|'.join(PERSON_VERBS)})\b").alias("action"),
         F.size(F.filter(at, lambda i: around(i).rlike(PRONOUNS))).alias("pronoun"),
         count(DIRECT).alias("direct"),
         count(*PROJECT).alias("project"),

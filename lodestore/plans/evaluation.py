@@ -22,13 +22,18 @@ def sessions(t: Tables) -> DataFrame:
     role = F.col("role")
     s = c.groupBy(F.col("conv_id").alias("session_id")).agg(said(role == "user").alias("user_text"), said(role == "assistant").alias("asst_text"), said(role.isNotNull()).alias("full_text"), F.count_if(role == "user").alias("n_user"))
     v = t("embeddings").select(F.col("vec_id").alias("session_id"), F.col("embedding").alias("vec"), "label")
+    s = s.withColumn("hall", e.session_hall(F.col("user_text"), F.col("asst_text")))
     return s.where("n_user > 0").join(v, "session_id").withColumn("day", F.col("session_id") % 200)
 
 
 def questions(t: Tables) -> DataFrame:
     end = F.get(F.array(*[F.lit(x) for x in ENDS]), (F.col("query_id") % 6).cast("int"))
     v = t("embeddings").select((F.col("vec_id") - 300).alias("v"), "label")
-    return t.asked().join(v, F.col("query_id") % 200 == F.col("v")).select("query_id", F.concat("query", end).alias("question"), "qvec", "label", (F.col("query_id") % 30 + 100).alias("asked_day"))
+    q = t.asked().join(v, F.col("query_id") % 200 == F.col("v")).select("query_id", F.concat("query", end).alias("question"), "qvec", "label", (F.col("query_id") % 30 + 100).alias("asked_day"))
+    # what depends on the question alone is made once, before questions meet sessions
+    q = q.withColumns({"kw": e.keywords(F.col("question")), "qt": e.quoted(F.col("question")), "nm": e.names(F.col("question"), NO_NAMES), "off": e.time_offset(F.col("question")), "about": e.about_assistant(F.col("question")), "halls": F.split(e.question_halls(F.col("question")), ",")})
+    low = F.transform("nm", F.lower)
+    return q.withColumn("pk", F.filter("kw", lambda k: ~F.array_contains(low, k)))
 
 
 def hits(t: Tables) -> DataFrame:
@@ -49,11 +54,11 @@ _RANKED = "row_number() over (partition by query_id order by score, session_id)
 
 
 def v1(text: str = "user_text") -> object:
-    return F.round(F.col("dist") * (1 - e.OVERLAP * e.share_within(e.keywords(F.col("question")), F.col(text))), 6)
+    return F.round(F.col("dist") * (1 - e.OVERLAP * e.share_within(F.col("kw"), F.col(text))), 6)
 
 
 def boost() -> object:
-    return e.temporal_boost(F.col("day"), F.col("asked_day"), e.time_offset(F.col("question")))
+    return e.temporal_boost(F.col("day"), F.col("asked_day"), F.col("off"))
 
 
 #: A document's text as the answer, the next one's as the truth.
@@ -136,7 +141,7 @@ _V2 = f"{_HITS}, nr as (select *, row_number() over (partition by query_id order
 @query("evl_08", f"with {_V2}, o as (select query_id, session_id, case when {_ABOUT} then (near > 5)::int else 0 end as late, case when {_ABOUT} then case when near <= 5 then full_ else 0 end else v2 end as score from nr) select query_id, session_id, row_number() over (partition by query_id order by late, score, session_id) as rank from o")
 def hybrid_v2(t: Tables) -> DataFrame:
     h = hits(t)
-    about = e.about_assistant(F.col("question"))
+    about = F.col("about")
     one = e.ranked(h.where(~about).select("query_id", "session_id", F.round(v1() * (1 - boost()), 6).alias("score"))).select("query_id", "session_id", "rank")
     return one.unionByName(e.two_pass(h.where(about).select("query_id", "session_id", "dist", v1("full_text").alias("score"))))
 
@@ -153,8 +158,8 @@ def preference_documents(t: Tables) -> DataFrame:
 
 @query("evl_10", f"with {_HITS}, s as (select query_id, session_id % 20 as session_id, v1 * (1 - tb) * (1 - 0.6 * {_SHARE.format(terms='qt', text='user_text')}) * (1 - 0.4 * {_SHARE.format(terms='nm', text='user_text')}) as score from hb), m as (select query_id, session_id, round(min(score)::double, 6) as score from s group by 1, 2) select *, {_RANKED} from m")
 def hybrid_v4(t: Tables) -> DataFrame:
-    q, text = F.col("question"), F.col("user_text")
-    score = v1() * (1 - boost()) * (1 - e.QUOTED * e.share_within(e.quoted(q), text)) * (1 - e.NAMED * e.share_within(e.names(q, NO_NAMES), text))
+    text = F.col("user_text")
+    score = v1() * (1 - boost()) * (1 - e.QUOTED * e.share_within(F.col("qt"), text)) * (1 - e.NAMED * e.share_within(F.col("nm"), text))
     s = hits(t).select("query_id", (F.col("session_id") % 20).alias("session_id"), score.alias("score"))
     return e.ranked(e.best_per_session(s).withColumn("score", F.round("score", 6)))
 
@@ -171,7 +176,7 @@ _HALLED = "case when split_part(halls, ',', 1) = hall then 0.75 when split_part(
 
 @query("evl_11", f"with {_HALLS}, x as (select query_id, session_id, hall, round((v1 * {_HALLED} * (1 - tb))::double, 6) as score from ha) select *, {_RANKED} from x")
 def palace(t: Tables) -> DataFrame:
-    h = hits(t).withColumns({"hall": e.session_hall(F.col("user_text"), F.col("asst_text")), "halls": F.split(e.question_halls(F.col("question")), ",")})
+    h = hits(t)
     factor = F.when(F.col("halls")[0] == F.col("hall"), 0.75).when(F.col("halls")[1] == F.col("hall"), 0.9).otherwise(1.0)
     return e.ranked(h.select("query_id", "session_id", "hall", F.round(v1() * factor * (1 - boost()), 6).alias("score")))
 
@@ -182,11 +187,8 @@ def locomo(t: Tables) -> DataFrame:
 
 
 def locomo_ranking(t: Tables) -> DataFrame:
-    q, text = F.col("question"), F.col("full_text")
-    n = e.names(q, NO_NAMES)
-    low = F.transform(n, F.lower)
-    predicate = F.filter(e.keywords(q), lambda k: ~F.array_contains(low, k))
-    score = F.col("dist") * (1 - 0.5 * e.share_within(predicate, text)) * (1 - 0.6 * e.share_within(e.quoted(q), text)) * (1 - 0.2 * e.share_within(n, text))
+    text = F.col("full_text")
+    score = F.col("dist") * (1 - 0.5 * e.share_within(F.col("pk"), text)) * (1 - 0.6 * e.share_within(F.col("qt"), text)) * (1 - 0.2 * e.share_within(F.col("nm"), text))
     return e.ranked(hits(t).select("query_id", "session_id", F.round(score, 6).alias("score")))
 
 
@@ -238,7 +240,7 @@ def reranked(t: Tables) -> DataFrame:
 @query("evl_19", f"with {_HALLS}, l as (select query_id, session_id, v1 * {_HALLED} * (1 - tb) as score from ha union all select query_id, session_id, v1 * 0.8 * (1 - tb) from ha where session_id % 2 = 0), m as (select query_id, session_id, round(min(score)::double, 6) as score from l group by 1, 2) select *, {_RANKED} from m")
 def diary(t: Tables) -> DataFrame:
     """Layers share the session's id; the diary layer (here every second session) weighs .80; the best of a session counts."""
-    h = hits(t).withColumns({"hall": e.session_hall(F.col("user_text"), F.col("asst_text")), "halls": F.split(e.question_halls(F.col("question")), ",")})
+    h = hits(t)
     factor = F.when(F.col("halls")[0] == F.col("hall"), 0.75).when(F.col("halls")[1] == F.col("hall"), 0.9).otherwise(1.0)
     raw = h.select("query_id", "session_id", (v1() * factor * (1 - boost())).alias("score"))
     layer = h.where("session_id % 2 = 0").select("query_id", "session_id", (v1() * 0.8 * (1 - boost())).alias("score"))

@@ -168,14 +168,14 @@ def entity_signals(t: Tables) -> DataFrame:
     return signals(t)
 
 
-@query("ent_03", """with s as (select event_id as doc_id, concat('n', user_id) as name, cast(value as bigint) % 40 as n, event_id % 3 as dialogue, event_id % 4 as action, event_id % 2 as pronoun, event_id % 5 // 3 as direct, event_id % 7 as project, event_id % 2 as versioned, 0 as code from events),
+@query("ent_03", """with s as (select event_id as doc_id, concat('n', user_id) as name, cast(floor(value) as bigint) % 40 as n, event_id % 3 as dialogue, event_id % 4 as action, event_id % 2 as pronoun, event_id % 5 // 3 as direct, event_id % 7 as project, event_id % 2 as versioned, 0 as code from events),
  t as (select *, 3 * dialogue + 2 * action + 2 * pronoun + 4 * direct as ps, 2 * project + 3 * versioned as prs, (dialogue > 0)::int + (action > 0)::int + (pronoun > 0)::int + (direct > 0)::int as kinds from s),
  r as (select *, case when ps + prs = 0 then 0.5 else ps / (ps + prs) end as ratio from t)
  select doc_id, name, case when ps + prs = 0 then 'uncertain' when ratio >= 0.7 and kinds >= 2 and ps >= 5 then 'person' when ratio >= 0.7 then 'uncertain' when ratio <= 0.3 then 'project' else 'uncertain' end as type,
  round(case when ps + prs = 0 then least(0.4, n / 50) when ratio >= 0.7 and kinds >= 2 and ps >= 5 then least(0.99, 0.5 + ratio * 0.5) when ratio >= 0.7 then 0.4 when ratio <= 0.3 then least(0.99, 0.5 + (1 - ratio) * 0.5) else 0.5 end::double, 2) as confidence from r""")
 def classification(t: Tables) -> DataFrame:
     i = F.col("event_id")
-    s = t("events").select(i.alias("doc_id"), F.concat(F.lit("n"), "user_id").alias("name"), (F.round("value").cast("long") % 40).alias("n"), (i % 3).alias("dialogue"), (i % 4).alias("action"), (i % 2).alias("pronoun"), F.floor(i % 5 / 3).alias("direct"), (i % 7).alias("project"), (i % 2).alias("versioned"), F.lit(0).alias("code"))
+    s = t("events").select(i.alias("doc_id"), F.concat(F.lit("n"), "user_id").alias("name"), (F.floor("value") % 40).alias("n"), (i % 3).alias("dialogue"), (i % 4).alias("action"), (i % 2).alias("pronoun"), F.floor(i % 5 / 3).alias("direct"), (i % 7).alias("project"), (i % 2).alias("versioned"), F.lit(0).alias("code"))
     return text.classified(s).select("doc_id", "name", "type", "confidence")
 
 

@@ -126,7 +126,7 @@ def families(t: Tables) -> DataFrame:
     return winning(t).select("query_id", tr.family(F.size("set"), F.col("query_id") % 9 == 0).alias("family"))
 
 
-@query("trn_04", f"with {ASKED}, b as (select *, regexp_replace(query, '[?.]+$', '') as bare from asked) select query_id, case query_id % 7 when 0 then 'What about ' || bare || '?' when 1 then bare || ' again' when 2 then regexp_replace(query, '(?i)(^|[^\\p{{L}}\\p{{N}}_])the([^\\p{{L}}\\p{{N}}_]|$)', '\\1that\\2', 'g') when 3 then 'Not ' || query when 4 then 'UPPER' when 5 then regexp_replace(query, '\\s+', ' ', 'g') else bare || ' please' end as rewritten from b")
+@query("trn_04", f"with {ASKED}, b as (select *, regexp_replace(query, '[?.]+$', '') as bare from asked) select query_id, case query_id % 7 when 0 then 'What about ' || bare || '?' when 1 then bare || ' again' when 2 then regexp_replace(regexp_replace(query, '(?i)(^|[^\\p{{L}}\\p{{N}}_])the([^\\p{{L}}\\p{{N}}_]|$)', '\\1that\\2', 'g'), '(?i)(^|[^\\p{{L}}\\p{{N}}_])the([^\\p{{L}}\\p{{N}}_]|$)', '\\1that\\2', 'g') when 3 then 'Not ' || query when 4 then 'UPPER' when 5 then regexp_replace(query, '\\s+', ' ', 'g') else bare || ' please' end as rewritten from b")
 def adversarial(t: Tables) -> DataFrame:
     x = t.asked().select("query_id", tr.adversarial(F.col("query"), F.col("query_id")).alias("x"))
     # upper case of some letters differs between engines, so that it is upper case is what is compared
@@ -158,8 +158,9 @@ _F1 = "case when len(list_intersect({a}, {b})) = 0 then 0 else 2 * len(list_inte
 @query("trn_08", f"with {MEM}, {ASKED}, p as (select query_id, seq, {_WORDS.format('query')} as a, {_WORDS.format('title')} as b from asked join mem on primary_anchor_id = query_id % {ANCHORS}) select query_id, seq, round({_F1.format(a='a', b='b')}::double, 6) as f1, ({_F1.format(a='a', b='b')} > 0.3)::int as label from p")
 def scorer_rows(t: Tables) -> DataFrame:
     q = t.asked().select("query_id", "query", (F.col("query_id") % ANCHORS).cast("int").alias("primary_anchor_id"))
-    p = q.join(t.memories().select("seq", "title", "primary_anchor_id"), "primary_anchor_id")
-    f1 = set_f1(words("query"), words("title"))
+    q = q.withColumn("a", words("query"))
+    p = q.join(t.memories().select("seq", words("title").alias("b"), "primary_anchor_id"), "primary_anchor_id")
+    f1 = set_f1(F.col("a"), F.col("b"))
     return p.select("query_id", "seq", F.round(f1, 6).alias("f1"), (f1 > 0.3).cast("int").alias("label"))
 
 
