@@ -1,7 +1,7 @@
 """Substring deduplication by sliding runs of sentences.
 
-Texts are cut into sentences, and these at clause marks, so that a passage set into the midst of another
-sentence still shares its inner pieces. From each piece a run of at least RUN pieces is taken that holds at
+Texts are cut into sentences, and these at clause marks and, where they are long, at words that hashes pick,
+so that a passage set into the midst of another sentence still shares its inner pieces. From each piece a run of at least RUN pieces is taken that holds at
 least WORDS words; runs are hashed from a rolling polynomial of the pieces' hashes. The first place of each
 repeated run (by document, then position) stays; pieces that any other place covers are removed.
 """
@@ -9,6 +9,7 @@ repeated run (by document, then position) stays; pieces that any other place cov
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,31 @@ from lodestore.llm.common import stored
 #: Pieces of a run and words of it, at least.
 RUN, WORDS = 3, 25
 PIECE = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+\s*|$)")
+#: Pieces of more words are cut, after about one word in CUT.
+LONG, CUT = 24, 5
+SPACED = re.compile(r"(\S+)\s*")
 #: Odd multipliers of the two rolling hashes.
 P1, P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each piece of text, in characters; together they are the text."""
-    return [m.span() for m in PIECE.finditer(text) if m.end() > m.start()]
+    """(start, end) of each piece of text, in characters; together they are the text.
+
+    A piece of more than LONG words is cut after words that their own hash picks, so that two texts which share
+    a long stretch without marks share the cuts in it, whatever stands before.
+    """
+    out = []
+    for m in PIECE.finditer(text):
+        a, b = m.span()
+        if b - a > 2 * LONG and text.count(" ", a, b) >= LONG:
+            for w in SPACED.finditer(text, a, b):
+                if zlib.crc32(w[1].encode("utf-8", "surrogatepass")) % CUT == 0 and w.end() < b:
+                    out.append((a, w.end()))
+                    a = w.end()
+        if b > a:
+            out.append((a, b))
+    return out
 
 
 def _powers(p: int, n: int) -> np.ndarray:
