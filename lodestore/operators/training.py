@@ -72,7 +72,8 @@ def mixed(pools: DataFrame, n: int) -> DataFrame:
     """n rows by MIX from pools (kind, key): drawn by hash, a kind's rows once."""
     w = Window.partitionBy("kind").orderBy(F.md5(F.col("key")), "key")
     cap = F.create_map(*[F.lit(x) for k, share in MIX.items() for x in (k, round(n * share))])
-    return pools.withColumn("draw", F.row_number().over(w).cast("long")).where(F.col("draw") <= cap[F.col("kind")])
+    most = max(round(n * share) for share in MIX.values())  # a literal bound, so that each task keeps its first rows alone
+    return pools.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= most).where(F.col("draw") <= cap[F.col("kind")]).withColumn("draw", F.col("draw").cast("long"))
 
 
 def family(size: Column, complex_: Column) -> Column:
@@ -95,6 +96,20 @@ def oversampled(rows: DataFrame, least: float = POSITIVE_FLOOR) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 1, times - 1).otherwise(0))))
 
 
+def before_in_hash_order(groups: DataFrame) -> DataFrame:
+    """groups (group, n) with before_groups and before_rows: how many groups and rows come earlier in the order of the groups' MD5.
+
+    Sums over the 4096 buckets of the hash's first digits are taken first, then those within a bucket, so that no task sees all groups.
+    """
+    g = groups.withColumn("_h", F.md5(F.col("group").cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    up = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    across, within = up(Window.partitionBy(F.lit(0)).orderBy("_b")), up(Window.partitionBy("_b").orderBy("_h", "group"))
+    b = g.groupBy("_b").agg(F.count("*").alias("_g"), F.sum("n").alias("_n"))
+    b = b.select("_b", F.coalesce(F.sum("_g").over(across), F.lit(0)).alias("_bg"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_bn"))
+    j = g.join(F.broadcast(b), "_b")
+    return j.select("group", "n", (F.col("_bg") + F.count("*").over(within)).alias("before_groups"), (F.col("_bn") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before_rows"))
+
+
 def split(rows: DataFrame, share: float, least: int = 10) -> DataFrame:
     """rows with is_val: whole groups, in hash order, go to validation until it has its share of groups and rows.
 
@@ -102,8 +117,7 @@ def split(rows: DataFrame, share: float, least: int = 10) -> DataFrame:
     """
     g = rows.groupBy("group").agg(F.count("*").alias("n"))
     total = g.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.col("group").cast("string")), "group").rowsBetween(Window.unboundedPreceding, -1)
-    before = g.withColumns({"before_groups": F.count("*").over(order), "before_rows": F.coalesce(F.sum("n").over(order), F.lit(0))}).crossJoin(F.broadcast(total))
+    before = before_in_hash_order(g).crossJoin(F.broadcast(total))
     full = (F.col("before_groups") >= F.greatest(F.ceil(F.col("groups") * share), F.lit(1))) & (F.col("before_rows") >= F.greatest(F.ceil(F.col("rows") * share), F.lit(least)))
     return rows.join(before.select("group", (~full).alias("is_val")), "group")
 
