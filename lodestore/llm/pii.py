@@ -1,7 +1,7 @@
 """Personal data: found by form, then terms around it by what they disclose.
 
-The protected entities are what the base kinds find. For a term t near an entity e the corpus tells how
-strongly t reveals e: the pointwise mutual information log2(N n(e,t) / (n(e) n(t))) over the information of
+The protected entities are what the base kinds find, each value by itself and each kind as a whole. For a term
+t near an entity e the corpus tells how strongly t reveals e: the pointwise mutual information log2(N n(e,t) / (n(e) n(t))) over the information of
 the entity, log2(N / n(e)); n counts documents. The ratio is 1 if t never occurs without e. A term whose ratio
 reaches a threshold, in enough different texts, is generalised; over a higher one it is removed (after Sanchez
 and Batet's C-sanitised documents). Counts are taken over all documents.
@@ -100,7 +100,7 @@ FOUND = "doc_id long, texthash long, spans string, n_email long, n_ip long, n_ca
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """FOUND for each document: base spans, and the terms near them. entity e: kind and the SHA-1 of its value, so that values don't travel."""
+    """FOUND for each document: base spans, and the terms near them. Entities e: kind and the SHA-1 of the value, so that values don't travel; and the kind."""
     near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("x", pa.int32())]))
     kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), near_type]
     names = ["doc_id", "texthash", "spans", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "near"]
@@ -113,7 +113,7 @@ def find(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 said = span_string(spans)
                 entity = [f"{KINDS[k]}:{hashlib.sha1(text[s:e].encode('utf-8', 'surrogatepass')).hexdigest()[:20]}" for s, k, e in spans]
-                near = [{"e": entity[k], "t": t, "s": s, "x": x} for k, t, s, x in near_terms(text, spans)] if spans else []
+                near = [{"e": e, "t": t, "s": s, "x": x} for k, t, s, x in near_terms(text, spans) for e in (entity[k], KINDS[spans[k][1]])] if spans else []
                 count = [sum(k == j for _, k, _ in spans) for j in range(4)]
                 rows.append((xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), said, *count, hashlib.sha256(said.encode()).hexdigest(), near))
             columns = list(zip(*rows)) if rows else [[] for _ in range(8)]
