@@ -175,7 +175,7 @@ _HALLED = "case when split_part(halls, ',', 1) = hall then 0.75 when split_part(
 
 
 @query("evl_11", f"with {_HALLS}, x as (select query_id, session_id, hall, round((v1 * {_HALLED} * (1 - tb))::double, 6) as score from ha) select *, {_RANKED} from x")
-def palace(t: Tables) -> DataFrame:
+def hall_boosts(t: Tables) -> DataFrame:
     h = hits(t)
     factor = F.when(F.col("halls")[0] == F.col("hall"), 0.75).when(F.col("halls")[1] == F.col("hall"), 0.9).otherwise(1.0)
     return e.ranked(h.select("query_id", "session_id", "hall", F.round(v1() * factor * (1 - boost()), 6).alias("score")))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.functions import models
+from lodestore.operators import atlas
 from lodestore.operators import retrieval as r
+from lodestore.plans.atlas import _ASSIGN, VEC, centroids
 from lodestore.plans.base import MEM, Tables, query
 from lodestore.plans.ledger import _RUN, PATTERNS, patterns
-from lodestore.plans.retrieval import active_cards, queries
+from lodestore.plans.retrieval import _BM25, active_cards, queries
 from lodestore.sources import files
 from lodestore.streaming import trace
 
@@ -93,3 +95,47 @@ def frame_fallback(t: Tables) -> DataFrame:
         return pdf[["query_id"]].assign(answer_target="fact")
 
     return models.with_model(unsure, model, "query_id long, answer_target string")
+
+
+_INSERT = f"{MEM}, " + _ASSIGN.replace(VEC, "v as (select seq as id, embedding::double[] as vec from mem where embedding is not null)")
+
+
+@query("con_11", f"with {_INSERT} select id, case when learned < 0.7 then n_id else p end as \"primary\", case when learned < 0.7 then n_sim else c end as confidence from o join n using (id)")
+def assigned_on_insert(t: Tables) -> DataFrame:
+    """New memories with vectors get their anchors at once; those without wait for the next build."""
+    new = t.memories().where("embedding is not null").select(F.col("seq").alias("id"), F.col("embedding").alias("vec"))
+    return atlas.assigned(new, centroids(t)).select("id", "primary", "confidence")
+
+
+@query("lab_05", f"with {MEM} select seq, case when seq % 10 = 3 then 0 else least(1.0::double, length(body) / 4096e0) end::double as success from mem")
+def judged(t: Tables) -> DataFrame:
+    """A batch judge (a stand-in: longer texts succeed); what it can't judge counts as 0."""
+
+    def judge(pdf):  # noqa: ANN001, ANN202
+        score = (pdf["n"] / 4096.0).clip(upper=1.0).where(pdf["seq"] % 10 != 3)
+        return pdf[["seq"]].assign(success=score.fillna(0.0))
+
+    return models.with_model(t.memories().select("seq", F.length("body").alias("n")), judge, "seq long, success double")
+
+
+@query("lab_08", f"with {MEM} select seq, (length(title) % 2 = 0 and seq % 10 <> 3)::int as relevant from mem")
+def relevance_labels(t: Tables) -> DataFrame:
+    """Binary relevance by a model (a stand-in by title length); failures are 0."""
+
+    def label(pdf):  # noqa: ANN001, ANN202
+        ok = (pdf["n"] % 2 == 0) & (pdf["seq"] % 10 != 3)
+        return pdf[["seq"]].assign(relevant=ok.astype("int32"))
+
+    return models.with_model(t.memories().select("seq", F.length("title").alias("n")), label, "seq long, relevant int")
+
+
+@query("sel_08", f"with {_BM25}, l as (select query_id, doc, score, 1 as level from de where score >= 0.25 union all select query_id, doc, score, 2 from de where score >= 0.1 union all select query_id, doc, score, 3 from de), b as (select *, min(level) over (partition by query_id) as best from l), s as (select query_id, doc, score, level, row_number() over (partition by query_id order by score desc, doc) as rank from b where level = best) select * from s where rank <= 6")
+def degradation(t: Tables) -> DataFrame:
+    """The first level that has anything for a query: refined selection, full atlas, plain embedding search."""
+    from pyspark.sql import Window
+
+    d = r.dense_scores(queries(t), active_cards(t))
+    level = F.when(F.col("score") >= 0.25, 1).when(F.col("score") >= 0.1, 2).otherwise(3)
+    best = F.min(level).over(Window.partitionBy("query_id"))
+    kept = d.withColumn("level", best).where(F.col("score") >= F.when(F.col("level") == 1, 0.25).when(F.col("level") == 2, 0.1).otherwise(-2.0))
+    return r.ranked(kept, 6)
