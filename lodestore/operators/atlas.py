@@ -85,8 +85,8 @@ def matched(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
     return s.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "new_id int, old_id int, similarity double")
 
 
-def assigned(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, primary, secondary, confidence): the two nearest anchors; a vector far from all learned ones goes to its nearest novelty anchor alone.
+def assigned(vectors: DataFrame, centroids: DataFrame, near: float = NOVEL) -> DataFrame:
+    """(id, primary, secondary, confidence): the two nearest anchors; one under `near` to all learned ones goes to its nearest novelty anchor alone.
 
     centroids: anchor_id, centroid, is_novelty.
     """
@@ -95,7 +95,7 @@ def assigned(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     learned = F.min(F.when(~F.col("is_novelty"), F.struct("rank", "similarity")))["similarity"]
     one = top.groupBy("id").agg(pick(1, "anchor_id").alias("primary"), pick(2, "anchor_id").alias("secondary"), pick(1, "similarity").alias("confidence"), learned.alias("learned"))
     novel = nearest(vectors, centroids.where("is_novelty").select("anchor_id", "centroid")).select("id", F.col("anchor_id").alias("n_id"), F.col("similarity").alias("n_sim"))
-    far = (F.col("learned") < NOVEL) & F.col("n_id").isNotNull()
+    far = (F.col("learned") < near) & F.col("n_id").isNotNull()
     j = one.join(novel, "id", "left")
     return j.select("id", F.when(far, F.col("n_id")).otherwise(F.col("primary")).alias("primary"), F.when(~F.coalesce(far, F.lit(False)), F.col("secondary")).alias("secondary"), F.when(far, F.col("n_sim")).otherwise(F.col("confidence")).alias("confidence"))
 

@@ -11,6 +11,7 @@ from lodestore.plans.base import CARDS, MEM, NOW, Tables, query
 
 ACTIVE = "not is_archived and not is_duplicate"
 VEC = "v as (select vec_id as id, embedding::double[] as vec from embeddings)"
+#: The given vectors are far apart, so near is .15 here.
 _NEAR = "round(list_dot_product(vec, centroid::double[]), 6) as similarity"
 
 
@@ -86,9 +87,9 @@ _ASSIGN = f"""{VEC}, {CARDS}, r as (select id, anchor_id, is_novelty, {_NEAR} fr
  n as (select id, arg_max(anchor_id, (similarity, -anchor_id)) as n_id, max(similarity) as n_sim from r where is_novelty group by id)"""
 
 
-@query("atl_09", f"with {_ASSIGN} select id, case when learned < 0.7 then n_id else p end as \"primary\", case when coalesce(learned < 0.7, false) then null else s end as secondary, case when learned < 0.7 then n_sim else c end as confidence from o join n using (id)")
+@query("atl_09", f"with {_ASSIGN} select id, case when learned < 0.15 then n_id else p end as \"primary\", case when coalesce(learned < 0.15, false) then null else s end as secondary, case when learned < 0.15 then n_sim else c end as confidence from o join n using (id)")
 def assignment(t: Tables) -> DataFrame:
-    return a.assigned(vectors(t), centroids(t))
+    return a.assigned(vectors(t), centroids(t), 0.15)
 
 
 @query("atl_10", f"with {_ASSIGN}, l as (select id, anchor_id, similarity, row_number() over (partition by id order by similarity desc, anchor_id) as rank from r where not is_novelty) select id, case when id % 40 = 7 then 7 else max(anchor_id) filter (rank = 1) end as \"primary\", max(anchor_id) filter (rank = 2) as secondary, max(similarity) filter (rank = 1) as confidence from l group by id")

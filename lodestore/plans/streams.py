@@ -43,6 +43,23 @@ def windowed_stream(t: Tables) -> DataFrame:
     return out.join(F.broadcast(last), "batch").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@query("str_02", "select time_bucket(interval 1 hour, ts) - to_hours(i) as start, event_type, count(*) as n, round(sum(value), 2) as total from events, range(6) r(i) group by 1, 2")
+def sliding_stream(t: Tables) -> DataFrame:
+    """Six-hour counts, each hour anew."""
+    s = trace.windowed_activation(stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", slide="1 hour")
+    out = trace.drained(s, files.shared_path(t.spark, "sliding"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("str_03", "with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 2 hour then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, max(ts) + interval 2 hour as end, count(*) as n from s group by user_id, k")
+def session_stream(t: Tables) -> DataFrame:
+    """Sessions of users: events less than two hours apart."""
+    s = trace.sessions(stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "2 hours")
+    out = trace.drained(s, files.shared_path(t.spark, "sessions"), "complete")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("user_id", ntz("start"), ntz("end"), "n")
+
+
 @query("led_14", f"with {_RUN} select pid, arg_max(ledger, (ts, event_id)) as ledger, arg_max(streak, (ts, event_id)) as streak, count(*) as n from st group by pid")
 def ledger_stream(t: Tables) -> DataFrame:
     """The ledger as keyed state of the stream; the last word on each pattern."""
@@ -100,11 +117,11 @@ def frame_fallback(t: Tables) -> DataFrame:
 _INSERT = f"{MEM}, " + _ASSIGN.replace(VEC, "v as (select seq as id, embedding::double[] as vec from mem where embedding is not null)")
 
 
-@query("con_11", f"with {_INSERT} select id, case when learned < 0.7 then n_id else p end as \"primary\", case when learned < 0.7 then n_sim else c end as confidence from o join n using (id)")
+@query("con_11", f"with {_INSERT} select id, case when learned < 0.15 then n_id else p end as \"primary\", case when learned < 0.15 then n_sim else c end as confidence from o join n using (id)")
 def assigned_on_insert(t: Tables) -> DataFrame:
     """New memories with vectors get their anchors at once; those without wait for the next build."""
     new = t.memories().where("embedding is not null").select(F.col("seq").alias("id"), F.col("embedding").alias("vec"))
-    return atlas.assigned(new, centroids(t)).select("id", "primary", "confidence")
+    return atlas.assigned(new, centroids(t), 0.15).select("id", "primary", "confidence")
 
 
 @query("lab_05", f"with {MEM} select seq, case when seq % 10 = 3 then 0 else least(1.0::double, length(body) / 4096e0) end::double as success from mem")

@@ -101,10 +101,16 @@ def _entities(column: str = "text") -> str:
 _QUOTED = """list_concat(regexp_extract_all(text, '"([^"]+)"', 1), regexp_extract_all(text, '''([^'']+)''', 1))"""
 
 
-@query("fac_01", f"with d as (select doc_id, text, list_distinct(list_concat(list_concat({_entities()}, {_QUOTED}), list_concat(list_concat(regexp_extract_all(text, '{text.PATH}', 0), regexp_extract_all(text, '{text.URL}', 0)), regexp_extract_all(text, '{text.MENTION}', 0)))) as e from documents) select doc_id, len(e) as n, md5(array_to_string(list_sort(e), chr(1))) as entities from d")
+#: What is put after a text so that it has facets of each kind.
+TAIL = ' GraphQL at https://ex.org/a?b=1 by @ann_1, see src/app.py and "exact words" or \'others\' MyService2.'
+_TAILED = "(select doc_id, text || '{}' as text from documents)".format(TAIL.replace("'", "''"))
+
+
+@query("fac_01", f"with d as (select doc_id, text, list_distinct(list_concat(list_concat({_entities()}, {_QUOTED}), list_concat(list_concat(regexp_extract_all(text, '{text.PATH}', 0), regexp_extract_all(text, '{text.URL}', 0)), regexp_extract_all(text, '{text.MENTION}', 0)))) as e from {_TAILED}) select doc_id, len(e) as n, md5(array_to_string(list_sort(e), chr(1))) as entities from d")
 def entities(t: Tables) -> DataFrame:
     e = text.facet_entities(F.col("text"))
-    return t("documents").select("doc_id", e.alias("e")).select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join("e", "\x01")).alias("entities"))
+    d = t("documents").select("doc_id", F.concat("text", F.lit(TAIL)).alias("text"))
+    return d.select("doc_id", e.alias("e")).select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join("e", "\x01")).alias("entities"))
 
 
 _SAID = "(select doc_id, concat(text, case doc_id % 6 when 0 then ' on 2026-03-15.' when 1 then ' in March 2026.' when 2 then ' and Last  week' when 3 then ' since Q1 2026' when 4 then ' Ann Lee said so, Bob told me. Ann Lee asked. We switched to it' else ' It was deprecated and fixed.' end, case when doc_id % 4 = 0 then chr(10) || '> ask' else '' end) as text from documents)"

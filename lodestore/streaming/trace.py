@@ -15,12 +15,23 @@ def read(spark: SparkSession, path: str, schema: str, kind: str = "parquet") ->
     return spark.readStream.schema(schema).format(kind).load(path)
 
 
-def windowed_activation(traces: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, event_type, n, total) by tumbling windows of ts; records later than `late` are left out."""
-    w = traces.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type")
+def windowed_activation(traces: DataFrame, every: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """(start, event_type, n, total) by tumbling or sliding windows of ts; records later than `late` are left out."""
+    w = traces.withWatermark("ts", late).groupBy(F.window("ts", every, slide or every).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def sessions(traces: DataFrame, key: str, gap: str, late: str = "2 hours") -> DataFrame:
+    """(key, start, end, n): runs of a key's records less than `gap` apart; the end is the last record and the gap."""
+    w = traces.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return w.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def unique(traces: DataFrame, key: str = "run_id", late: str = "1 day") -> DataFrame:
+    """Each record once, as long as its repeats come within the watermark."""
+    return traces.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
 LEDGER = "pid string, ledger double, streak long, n long"
 
 
