@@ -60,7 +60,7 @@ def record_text(least_columns: Column | None = None) -> Column:
         F.lit(f"WARC/1.1{CRLF}"),
         head("WARC-Type", F.col("record_type")),
         head("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))),
-        head("WARC-Date", F.date_format(F.timestamp_seconds(EPOCH + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        head("WARC-Date", F.date_format(F.to_utc_timestamp(F.timestamp_seconds(EPOCH + F.coalesce("page_id", F.lit(0))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         head("WARC-Target-URI", clean_url),
         head("WARC-Target-Key", F.regexp_replace(url_key(F.col("url")), r"[\x00-\x20\x7f]", "%20")),
         head("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
