@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import cosine, dot
 from lodestore.operators import context as c
 from lodestore.operators import retrieval as r
-from lodestore.plans.base import ASKED, CARDS, MEM, NOW, Tables, query
+from lodestore.plans.base import ASKED, CARDS, MEM, NOW, QUERIES, Tables, query
 from lodestore.plans.retrieval import _BM25, _FRAME, _RANK, active_cards, framed, queries
 
 ACTIVE = "not is_archived and not is_duplicate"
@@ -212,3 +212,26 @@ def provenance(t: Tables) -> DataFrame:
 
     raw = F.concat(F.lit("["), "tenant_id", F.lit("/"), F.lower("memory_type"), F.lit("] "), cut(F.col("body"), 400))
     return t.memories().select("seq", F.element_at(F.split("source_path", "/"), -1).alias("source"), raw.alias("raw"))
+
+
+#: The search from query to packed text, with fused ranks in place of dense ones.
+_SEARCH = (_SCORED + ", " + _ITEM).replace("top as (select * from (select *, row_number() over (partition by query_id order by score desc, doc) as rank from de) where rank <= 3)", "@@")
+_FUSED_TOP = "x as (select * from (select *, {r} from bm) where rank <= 10), y as (select * from (select *, {r} from de) where rank <= 10), fu as (select query_id, doc, round(coalesce(1.0 / (60 + x.rank), 0) + coalesce(1.0 / (60 + y.rank), 0), 9)::double as score from x full join y using (query_id, doc)), top as (select * from (select *, {r} from fu) where rank <= 3)".format(r=_RANK)
+_LINES = f"li as (select query_id, {_ORDER} as section, list('- ' || item order by rank) as lines from it group by 1, 2)"
+
+
+def _search_sql() -> str:
+    budget = QUERIES["pck_05"].sql
+    head, tail = f"with recursive {_SCORED}, {_ITEM}, ", " select query_id, section, n_items, tokens from pk where n_items > 0"
+    middle = budget[len(head) : -len(tail)]
+    names = "[" + ", ".join(f"'{x}'" for x in c.SECTIONS.values()) + "]"
+    return f"with recursive {_SEARCH.replace('@@', _FUSED_TOP)}, {middle}, {_LINES} select pk.query_id, pk.section, n_items, tokens, md5({names}[pk.section + 1] || chr(10) || array_to_string(lines[1:n_items], chr(10))) as text from pk join li on li.query_id = pk.query_id and li.section = pk.section where n_items > 0"
+
+
+@query("search", _search_sql())
+def search(t: Tables) -> DataFrame:
+    """The whole way from a query to its packed context."""
+    from lodestore import api
+
+    cards = active_cards(t)
+    return api.search(t.asked(), cards, t.memories().where(ACTIVE)).withColumn("text", F.md5("text"))

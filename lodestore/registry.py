@@ -24,5 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval: BM25 and dense ranks fused for every query."""
-    return QUERIES["ret_06"].run(spark, sf_dir)
+    """Search: fused retrieval of anchors, their memories, and the packed context of every query."""
+    return QUERIES["search"].run(spark, sf_dir)
