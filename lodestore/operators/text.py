@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,6 +113,22 @@ def near_duplicates(memories: DataFrame, least: float = DUPLICATE) -> DataFrame:
     return a.join(b, near).groupBy(F.col("a.memory").alias("memory")).agg(F.min("b.memory").alias("duplicate_of"))
 
 
+def near_duplicates_lsh(memories: DataFrame, least: float = DUPLICATE, tables: int = 8) -> DataFrame:
+    """near_duplicates() for any number of memories (memory, kind, vec): pairs that meet in a bucket of random projections, checked exactly.
+
+    On unit vectors a cosine is a distance, sqrt(2 - 2 cos); buckets are four distances wide. More tables find more.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    away = math.sqrt(2 - 2 * least)
+    v = memories.select("memory", "kind", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=4 * away, numHashTables=tables, seed=7).fit(v)
+    pairs = model.approxSimilarityJoin(v, v, away + 1e-9, "distance")
+    near = pairs.where("datasetA.kind = datasetB.kind and datasetA.memory > datasetB.memory")
+    return near.groupBy(F.col("datasetA.memory").alias("memory")).agg(F.min("datasetB.memory").alias("duplicate_of"))
+
+
 def facet_entities(text: Column) -> Column:
     """Sorted distinct CamelCase words, quoted strings, paths, URLs and mentions."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((CAMEL, 0), ('"([^"]+)"', 1), ("'([^']+)'", 1), (PATH, 0), (URL, 0), (MENTION, 0))]

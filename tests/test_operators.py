@@ -183,6 +183,22 @@ def test_retention(spark):
     assert [r[0] for r in df.select(text.retained(F.col("k"), F.col("s"), F.col("t"), F.col("b"))).collect()] == [True, False, True, False]
 
 
+def test_near_duplicates_by_buckets_find_what_all_pairs_do(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        base = [random.Random(i % 40).gauss(0, 1) for _ in range(16)]
+        v = [x + rnd.gauss(0, 0.05) for x in base]
+        n = math.sqrt(sum(x * x for x in v))
+        rows.append((i, i % 2, 0, [x / n for x in v]))
+    m = spark.createDataFrame(rows, "memory int, kind int, bucket int, vec array<double>")
+    want = {(r.memory, r.duplicate_of) for r in text.near_duplicates(m, 0.92).collect()}
+    got = {(r.memory, r.duplicate_of) for r in text.near_duplicates_lsh(m, 0.92).collect()}
+    assert len(want) > 30 and len(want & got) >= 0.9 * len(want)
+
+
 def test_packing_breaks_at_the_first_overflow(spark):
     items = spark.createDataFrame([(1, 0, n, c, 0) for n, c in enumerate([97, 397, 37])], "query_id int, section int, n int, chars int, header_chars int")
     out = context.packed(items, 60).collect()
