@@ -13,11 +13,11 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import salted_join, scratch_path
+from lodestore.llm.common import salted_join, scratch_path, stored
 
 #: Payloads under so many bytes are stored each time.
 LEAST_SHARED = 100
@@ -26,8 +26,12 @@ CRLF = "\r\n"
 EPOCH = 1_700_000_000
 #: Records of an archive file at most.
 RECORDS_PER_FILE = 4000
-CAPTURES = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, run string"
-HISTORY = "page_id long, urlkey string, ts long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURES = pa.schema([("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("run", pa.string())])
+CAPTURE_COLUMNS = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, run string"
+#: Where a missing page_id stands in an order.
+FIRST = -(1 << 63)
+#: Rows of a batch that a merge hands on.
+BATCH = 10_000
 
 
 def url_key(url: Column) -> Column:
@@ -98,7 +102,7 @@ def _page(ref: str | None) -> int | None:
     return int(x) if x not in ("", "none") else None
 
 
-def captures(data: bytes, run: str) -> pd.DataFrame:
+def captures(data: bytes, run: str) -> pa.RecordBatch:
     """The captures of an archive as a run sorted by URL key, time and page."""
     rows = []
     for f, block in parse_warc(data):
@@ -110,21 +114,20 @@ def captures(data: bytes, run: str) -> pd.DataFrame:
             digest = hashlib.sha256(body).hexdigest()
         page = _page(f["warc-record-id"])
         rows.append((f["warc-target-key"], EPOCH + (page or 0), page, f["warc-type"], _page(f.get("warc-refers-to")), n, digest, run))
-    rows.sort(key=lambda r: (r[0], r[1], r[2] if r[2] is not None else -(1 << 63)))
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in CAPTURES.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    rows.sort(key=lambda r: (r[0], r[1], FIRST if r[2] is None else r[2]))
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows) if rows else [[]] * len(CAPTURES), CAPTURES)], schema=CAPTURES)
 
 
 def read_warc(df_files: DataFrame) -> DataFrame:
     """Captures of the archives in df_files (binaryFile rows), a sorted run for each file."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                data = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else bytes(content)
-                yield captures(data, path)
+            for path, content in zip(b.column(0), b.column(1)):
+                raw = content.as_py()
+                yield captures(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw, path.as_py())
 
-    return df_files.select("path", "content").mapInPandas(parse, CAPTURES)
+    return df_files.select("path", "content").mapInArrow(parse, CAPTURE_COLUMNS)
 
 
 class LoserTree:
@@ -165,27 +168,23 @@ def merge_runs(runs: DataFrame, partitions: int) -> DataFrame:
 
     Ranges are cut on all three keys, so that a URL with a third of all captures spreads over many ranges.
     """
-    key = ["urlkey", "ts", F.coalesce("page_id", F.lit(-(1 << 63)))]
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        page = pdf["page_id"].astype("Float64").isna()
-        order = pdf["page_id"].astype("Int64").fillna(-(1 << 63)).to_numpy("int64")
-        keys, ts = pdf["urlkey"].to_numpy(object), pdf["ts"].to_numpy("int64")
-        del page
-        runs = []
-        for _, at in pdf.groupby("run", sort=True).indices.items():
-            rows = [(keys[i], int(ts[i]), int(order[i]), int(i)) for i in at]
+    names = [k.name for k in CAPTURES if k.name != "run"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), CAPTURES)
+        keys, ts, page, run = (table.column(c).to_pylist() for c in ("urlkey", "ts", "page_id", "run"))
+        by_run: dict[str, list[tuple]] = {}
+        for i, r in enumerate(run):
+            by_run.setdefault(r, []).append((keys[i], ts[i], FIRST if page[i] is None else page[i], i))
+        for rows in by_run.values():
             if any(rows[j][:3] > rows[j + 1][:3] for j in range(len(rows) - 1)):  # a fetch may bring a run's blocks in another order
                 rows.sort()
-            runs.append(iter(rows))
-        at = [r[3] for r in LoserTree(runs)]
-        yield pdf.iloc[at][["page_id", "urlkey", "ts", "payload_bytes", "payload_digest", "record_type", "refers_to"]].astype({"page_id": "Int64", "refers_to": "Int64"})
+        order = pa.array([x[3] for x in LoserTree([iter(by_run[r]) for r in sorted(by_run)])], pa.int64())
+        yield from table.take(order).select(names).to_batches(max_chunksize=BATCH)
 
-    return runs.repartitionByRange(partitions, *key).mapInPandas(merge, HISTORY)
+    key = ["urlkey", "ts", F.coalesce("page_id", F.lit(FIRST))]
+    kinds = CAPTURE_COLUMNS.removesuffix(", run string")
+    return runs.repartitionByRange(partitions, *key).mapInArrow(merge, kinds)
 
 
 def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,7 +198,8 @@ def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = write_warc(pages, path or scratch_path(spark, "warc"))
     files = spark.read.format("binaryFile").load(path + "/part-*")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return merge_runs(read_warc(files), n)
+    runs = stored(read_warc(files), "warc-runs")  # ranges are cut by a sample: without this the archives would be parsed for it, too
+    return merge_runs(runs, n).select("page_id", "urlkey", "ts", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
