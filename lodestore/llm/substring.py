@@ -27,6 +27,8 @@ PIECE = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+\s*|$)")
 #: Pieces of more words are cut, after about one word in CUT.
 LONG, CUT = 24, 5
 SPACED = re.compile(r"(\S+)\s*")
+#: Documents that a task holds as Python objects at a time.
+DOCS = 500
 #: Odd multipliers of the two rolling hashes.
 P1, P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MASK = (1 << 64) - 1
@@ -84,7 +86,7 @@ RUNS = "doc long, h1 long, h2 long, start int, end int"
 
 def all_runs(keyed: DataFrame, least: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
             docs, cols = [], [[], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = runs(text or "", least, words)
