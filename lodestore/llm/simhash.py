@@ -176,3 +176,175 @@ def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame
     keep = simhash_components(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
     keyed = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return keyed.unionByName(docs.where("doc_id is null"))
+
+
+#: Near copies of a pipeline stage: words of a shingle, least Jaccard similarity of two texts' sets of shingles.
+NEAR_WORDS, NEAR_LEAST = 5, 0.8
+#: Differing bits of candidates. Two sets of J = 0.8 share 2J/(1+J) = 0.89 of their shingles, so bits differ by
+#: arccos(0.89)/pi = 0.15: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1. Over the first 64, over all 128.
+NEAR_RADIUS, NEAR_RADIUS_BOTH = 16, 34
+#: A pair of tiles hands on all its candidates up to so many for each of its texts; else a few for each text first.
+MANY, FEW_ROUNDS = 8, 3
+#: Tiles at most: each is sent to as many tasks.
+NEAR_TILES = 32
+
+
+def shingle_hashes(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """The hash of each shingle of text; of all words if there are fewer; none without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], dtype=np.uint64)
+
+
+def jaccard(a: str | None, b: str | None, words: int = NEAR_WORDS) -> float:
+    """Of the sets of shingles of two texts; 1 if neither has any."""
+    x, y = set(shingle_hashes(a, words).tolist()), set(shingle_hashes(b, words).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _votes(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    votes = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = hashes[i : i + 65536].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _near_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, node, fp, more) for each row of docs (doc_id, text, th): node stands for the set of shingles, fp and more are 128 bits of votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp, more = [], [], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t))
+                second = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                second = (second ^ (second >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
+                fp.append(_votes(h))
+                more.append(_votes(second ^ (second >> np.uint64(31))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(x, pa.int64()) for x in (node, fp, more)]], ["doc_id", "th", "node", "fp", "more"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, node long, fp long, more long")
+
+
+TILE = np.dtype([("node", "<i8"), ("fp", "<u8"), ("more", "<u8"), ("label", "<i8")])
+
+
+def near_candidates(a: np.ndarray, b: np.ndarray | None, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate links (nodes, nodes) of different labels between tiles a and b (None: within a), and whether these are all.
+
+    All are given if whole is set or they are MANY for each text at most. Else each text of a has its
+    nearest and its first, which is linear in the texts.
+    """
+    other = a if b is None else b
+    most, step = MANY * (len(a) + len(other)), max(1, 2_000_000 // max(1, len(other)))
+    fp, more, label = (np.ascontiguousarray(other[c]) for c in ("fp", "more", "label"))
+    every, few, count = [], [], 0
+    for lo in range(0, len(a), step):
+        mine = a[lo : lo + step]
+        first = np.bitwise_count(mine["fp"][:, None] ^ fp[None, :])
+        i, j = np.nonzero(first <= NEAR_RADIUS)
+        both = first[i, j].astype(np.int16) + np.bitwise_count(mine["more"][i] ^ more[j])
+        keep = (both <= NEAR_RADIUS_BOTH) & (mine["label"][i] != label[j])
+        i, j, both = i[keep], j[keep], both[keep]
+        if not len(i):
+            continue
+        order = np.lexsort((j, both, i))
+        nearest = order[np.flatnonzero(np.append(True, np.diff(i[order]) != 0))]
+        lowest = np.flatnonzero(np.append(True, np.diff(i) != 0))  # i and j come in order
+        some = np.union1d(nearest, lowest)
+        few.append((mine["node"][i[some]], other["node"][j[some]]))
+        if b is None:
+            up = i + lo < j
+            i, j = i[up], j[up]
+        count += len(i)
+        if whole or count <= most:
+            every.append((mine["node"][i], other["node"][j]))
+        else:
+            every.clear()
+    done = whole or count <= most
+    found = every if done else few
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), True
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), done
+
+
+def _near_candidates_group(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    pdf = pdf.sort_values("tile")
+    tiles = [np.frombuffer(x, dtype=TILE) for x in pdf["data"]]
+    u, v, done = near_candidates(tiles[0], tiles[1] if len(tiles) > 1 else None, whole)
+    out = pd.DataFrame({"src": u, "dst": v, "again": False})
+    if not done:
+        out.loc[len(out)] = [pdf["a"].iloc[0], pdf["b"].iloc[0], True]
+    return out.astype({"src": "int64", "dst": "int64", "again": bool})
+
+
+def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of nodes whose texts reach NEAR_LEAST. nodes: node, rep (doc_id, th)."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select("node", "rep.doc_id", "rep.th")
+    texts = stored(docs.join(ids, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    side = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
+    return pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where(similarity("_a", "_b") >= NEAR_LEAST).select("src", "dst")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (src, dst) whose components are those of all candidates that reach NEAR_LEAST.
+
+    nodes: node (each once), fp, more, rep. Tiles that hold a large group of near copies hand on a few candidates
+    for each text; after these are checked, what they join is left out, and at the last all the rest is handed on.
+    """
+    spark = nodes.sparkSession
+    n = nodes.count()
+    t = max(1, -(-n // max(TILE_LEAST, n // NEAR_TILES)))
+    good, pending = spark.createDataFrame([], "src long, dst long"), None
+    for k in range(FEW_ROUNDS + 1):
+        labels = connected_components(good) if k else good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), F.pmod(F.xxhash64("node"), F.lit(t)).cast("int").alias("tile"))
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(len(pdf), dtype=TILE)
+            for c in TILE.names:
+                out[c] = pdf[c].to_numpy(np.int64).view(np.uint64) if TILE[c].kind == "u" else pdf[c].to_numpy(np.int64)
+            return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "data": [np.sort(out, order="node").tobytes()]})
+
+        packed = tiled.groupBy("tile").applyInPandas(pack, "tile int, data binary")
+        pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(t - 1)))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "data")
+        if pending is not None:
+            pairs = pairs.join(F.broadcast(pending), ["a", "b"], "left_semi")
+        whole = k == FEW_ROUNDS
+        width = min(2000, max(spark.sparkContext.defaultParallelism * 2, t * (t + 1) // 2))
+        found = stored(pairs.repartition(width, "a", "b").groupBy("a", "b").applyInPandas(lambda p: _near_candidates_group(p, whole), "src long, dst long, again boolean"), "near-candidates")
+        good = stored(good.unionByName(_checked(found.where("not again").select("src", "dst"), nodes, docs)), "near-links")
+        left = [(r["src"], r["dst"]) for r in found.where("again").collect()]  # pairs of tiles
+        if not left:
+            return good
+        pending = spark.createDataFrame(left, "a int, b int")
+    return good
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """docs without all but one document of each group of near copies: the one with the smallest doc_id stays. Copies of that row itself go too.
+
+    Two texts are linked if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or
+    more, exactly; they are compared if their votes lie within NEAR_RADIUS and NEAR_RADIUS_BOTH bits. Texts without words
+    are copies of each other. Rows without doc_id are kept: they can't be told apart by their id.
+    """
+    keyed = docs.where("doc_id is not null")
+    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    keys = stored(_near_keys(texts), "near-keys")
+    nodes = stored(keys.groupBy("node").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min(F.struct("doc_id", "th")).alias("rep")), "near-nodes")
+    roots = connected_components(near_links(nodes, texts))
+    named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.col("rep.doc_id").alias("doc_id"))
+    keep = named.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return keyed.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

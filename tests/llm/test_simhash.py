@@ -80,3 +80,55 @@ def test_edges(edge, empty):
     kept = simhash.simhash_dedup(edge)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6, 8]
+
+
+def spoiled(text, at):
+    w = text.split()
+    for k in at:
+        w[k] = "other" + w[k]
+    return " ".join(w)
+
+
+def near_corpus(prose):
+    rows = [(i, prose(i, 150)) for i in range(30)]
+    rows += [(1000 + 10 * i + k, spoiled(prose(i, 150), range(5 + k, 5 + k + 20 * k, 20))) for i in range(10) for k in range(1, 5)]
+    return rows + [(5000, ""), (5001, None), (5002, "one word"), (5003, "one word")]
+
+
+def near_kept(rows):
+    """Smallest id of each component of the pairs of Jaccard >= 0.8."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return {rows[k][0] for k in set(label)}
+
+
+def test_near_copies_beyond_four_bits_go(spark, prose):
+    rows = sorted(near_corpus(prose), key=lambda r: r[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_kept(rows)
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == want
+    four = {r.doc_id for r in simhash.simhash_dedup(docs).collect()}
+    assert four - want  # near copies that 4 bits leave
+
+
+def test_large_group_of_near_copies(spark, prose, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 1)
+    base = prose(1, 200)
+    rows = [(i, spoiled(base, [i])) for i in range(120)] + [(500 + i, prose(i + 50, 150)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == near_kept(rows)
+
+
+def test_near_dedup_edges(edge, empty):
+    assert simhash.near_dedup(empty).count() == 0
+    kept = simhash.near_dedup(edge)
+    assert kept.columns == edge.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6, 8]
