@@ -1,10 +1,13 @@
-"""Personal data: found by form, then terms around it by what they disclose.
-
-The protected entities are what the base kinds find, each value by itself and each kind as a whole. For a term
-t near an entity e the corpus tells how strongly t reveals e: the pointwise mutual information log2(N n(e,t) / (n(e) n(t))) over the information of
-the entity, log2(N / n(e)); n counts documents. The ratio is 1 if t never occurs without e. A term whose ratio
-reaches a threshold, in enough different texts, is generalised; over a higher one it is removed (after Sanchez
-and Batet's C-sanitised documents). Counts are taken over all documents.
+"""Personal data: found by form, then terms by what they disclose, all over the corpus.
+
+The protected entities are what the base kinds find: each kind as a whole, and each value that enough different
+texts hold. Co-occurrence is that of documents. For a term t and an entity e the corpus tells how strongly t
+reveals e: the pointwise mutual information log2(N n(e,t) / (n(e) n(t))) over the information of the entity,
+log2(N / n(e)); n counts documents. The ratio is 1 if t never occurs without e. A term whose ratio reaches the
+threshold for any entity, in enough different texts, is disclosing wherever it stands, also where the entity
+itself isn't written (after Sanchez and Batet's C-sanitised documents). It is replaced by the nearest of its
+generalisations that discloses nothing: its beginning, then what it is made of; it is removed if both disclose.
+Counts are taken over all documents.
 """
 
 from __future__ import annotations
@@ -13,10 +16,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import stored
@@ -30,10 +32,16 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
-#: Words on either side of an entity that count as near it; different texts that must show a pair; thresholds.
-NEAR, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.9, 0.98
-#: Terms are broadcast to the count of words up to so many; beyond, both sides are shuffled.
+#: Different texts that must show a pair; share of an entity's information from which a term discloses it.
+SUPPORT, THRESHOLD = 3, 0.6
+#: Letters of a term's beginning, its first generalisation.
+BEGINNING = 3
+#: Words and generalisations are broadcast up to so many; beyond, both sides are shuffled.
 BROADCAST_TERMS = 200_000
+#: Documents that a task holds as Python objects at a time.
+DOCS = 500
+#: Units that a task counts before it hands its counts on.
+MOST_UNITS = 400_000
 
 
 def luhn(digits: str) -> bool:
@@ -77,159 +85,187 @@ def span_string(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> list[tuple[int, str, int, int]]:
-    """(index of the entity's span, term, start, end) for the words near each span that lie in no span. Short words and pure function letters stay out."""
-    out = []
-    covered = [(s, e) for s, _, e in spans]
-    for k, (s, _, e) in enumerate(spans):
-        left = list(WORD.finditer(text, max(0, s - 40 * near), s))[-near:]
-        if left and left[0].start() == max(0, s - 40 * near) > 0:  # may have been cut in two
-            left = left[1:]
-        right = []
-        for m in WORD.finditer(text, e):
-            if len(right) == near or m.start() > e + 40 * near:
-                break
-            right.append(m)
-        for m in left + right:
-            if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, b in covered):
-                out.append((k, m[0].lower(), m.start(), m.end()))
+def generalisations(term: str) -> tuple[str, str]:
+    """What a term can be generalised to, the nearest first: its beginning, and what it is made of."""
+    return term[:BEGINNING] + "*", "[NUMBER]" if term.isdigit() else "[CODE]" if any(c.isdigit() for c in term) else "[WORD]"
+
+
+def units(text: str, spans: list[tuple[int, int, int]] = ()) -> set[str]:
+    """Distinct terms of text outside spans, in lower case, and their generalisations."""
+    if spans:
+        covered = [(s, e) for s, _, e in spans]
+        terms = {m[0].lower() for m in outside(text, covered)}
+    else:
+        terms = set(WORD.findall(text.lower()))
+    out = set(terms)
+    for t in terms:
+        out.update(generalisations(t))
     return out
 
 
-FOUND = "doc_id long, texthash long, spans string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, near array<struct<e:string,t:string,s:int,x:int>>"
+def outside(text: str, covered: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The words of text that touch none of covered (start, end), which come by start."""
+    k, reach = 0, -1
+    for m in WORD.finditer(text):
+        while k < len(covered) and covered[k][0] < m.end():
+            reach, k = max(reach, covered[k][1]), k + 1
+        if m.start() >= reach:
+            yield m
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """FOUND for each document: base spans, and the terms near them. Entities e: kind and the SHA-1 of the value, so that values don't travel; and the kind."""
-    near_type = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("s", pa.int32()), ("x", pa.int32())]))
-    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), near_type]
-    names = ["doc_id", "texthash", "spans", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "near"]
+ENTITIES = "texthash long, entities array<string>, units array<string>"
+
+
+def find_entities(docs: DataFrame) -> DataFrame:
+    """ENTITIES of each document that holds any: kinds, and values as kind and SHA-1, so that values don't travel; the document's units outside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
             rows = []
-            for text in b.column(1).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                said = span_string(spans)
-                entity = [f"{KINDS[k]}:{hashlib.sha1(text[s:e].encode('utf-8', 'surrogatepass')).hexdigest()[:20]}" for s, k, e in spans]
-                near = [{"e": e, "t": t, "s": s, "x": x} for k, t, s, x in near_terms(text, spans) for e in (entity[k], KINDS[spans[k][1]])] if spans else []
-                count = [sum(k == j for _, k, _ in spans) for j in range(4)]
-                rows.append((xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), said, *count, hashlib.sha256(said.encode()).hexdigest(), near))
-            columns = list(zip(*rows)) if rows else [[] for _ in range(8)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]], names)
+            for text in b.column(0).to_pylist():
+                if text and (spans := base_spans(text)):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    values = {f"{KINDS[k]}:{hashlib.sha1(text[s:e].encode('utf-8', 'surrogatepass')).hexdigest()[:20]}" for s, k, e in spans}
+                    rows.append((xxhash.xxh64_intdigest(raw) - (1 << 63), sorted(values | {KINDS[k] for _, k, _ in spans}), sorted(units(text, spans))))
+            h, e, u = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(e, pa.list_(pa.string())), pa.array(u, pa.list_(pa.string()))], ["texthash", "entities", "units"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select("text").mapInArrow(run, ENTITIES)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n_t): documents of docs that hold each term of terms (t, each once). Words are counted in each task before the shuffle."""
+def unit_counts(docs: DataFrame, wanted: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(u, n_u): documents of docs that hold each unit of wanted (u, each once). Units are counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+        words: dict[str, int] = {}
+        wide: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["t", "n"])
+            both = words | wide
+            return pa.RecordBatch.from_arrays([pa.array(both.keys(), pa.string()), pa.array(both.values(), pa.int64())], ["u", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                for w in set(WORD.findall((text or "").lower())):
-                    counts[w] = counts.get(w, 0) + 1
-            if len(counts) > 400_000:  # bounded memory: hand on and begin anew
-                yield out()
-                counts.clear()
-        if counts:
+                terms = set(WORD.findall((text or "").lower()))
+                for w in terms:
+                    words[w] = words.get(w, 0) + 1
+                for w in {g for t in terms for g in generalisations(t)}:
+                    wide[w] = wide.get(w, 0) + 1
+                if len(words) + len(wide) > MOST_UNITS:  # bounded memory: hand on and begin anew
+                    yield out()
+                    words.clear()
+                    wide.clear()
+        if words:
             yield out()
 
-    words = docs.select("text").mapInArrow(run, "t string, n long")
-    small = terms.count() <= BROADCAST_TERMS
-    return words.join(F.broadcast(terms) if small else terms, "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
+    found = docs.select("text").mapInArrow(run, "u string, n long")
+    small = wanted.count() <= most
+    return found.join(F.broadcast(wanted) if small else wanted, "u", "left_semi").groupBy("u").agg(F.sum("n").alias("n_u"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(e, t, ratio) of the pairs whose disclosure ratio reaches `generalise` and that `support` different texts show."""
-    near = found.where(F.size("near") > 0).select("texthash", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p"))
-    by_text = near.groupBy("p.e", "p.t", "texthash").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    per_doc = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e"))
-    n_e = per_doc.groupBy("e").agg(F.count("*").alias("n_e"))
+def disclosures(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(e, u, ratio) of the entities and units whose disclosure ratio reaches threshold and that `support` different texts show together.
+
+    Copies of a text are counted as documents, but support the pair once. Values that fewer texts hold can't reach
+    the support with any unit and are left out before pairs are made.
+    """
+    found = stored(find_entities(docs), "pii-entities")
+    texts = stored(found.groupBy("texthash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("units").alias("units")), "pii-texts")
+    held = texts.select("texthash", "n", F.explode("entities").alias("e"))
+    n_e = stored(held.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("e", "n_e"), "pii-held")
+    kept = held.join(n_e.select("e"), "e", "left_semi")
+    # an entity's texts are dealt by hash as well, so that a kind's third of all rows is many tasks' work
+    pairs = kept.join(texts.select("texthash", "units"), "texthash").select("e", "n", F.explode("units").alias("u"))
+    pairs = pairs.groupBy("e", "u").agg(F.sum("n").alias("n_eu"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("e", "u", "n_eu")
     pairs = stored(pairs, "pii-pairs")
-    n_t = term_counts(docs, stored(pairs.select("t").distinct(), "pii-terms"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    joined = pairs.join(n_e, "e").join(n_t, "t").crossJoin(F.broadcast(n))
-    pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    n_u = unit_counts(docs, stored(pairs.select("u").distinct(), "pii-units"), most)
+    n = docs.count()
+    joined = pairs.join(n_e, "e").join(n_u, "u").withColumn("n", F.lit(float(max(n, 1))))
+    # a unit within an entity's span only isn't counted there: n_u counts all places
+    pmi = F.log2(F.col("n") * F.col("n_eu") / (F.col("n_e") * F.greatest("n_u", "n_eu")))
     info = F.log2(F.col("n") / F.col("n_e"))
-    return joined.select("e", "t", F.when(info > 0, pmi / info).otherwise(0.0).alias("ratio")).where(F.col("ratio") >= generalise)
+    return joined.select("e", "u", F.when(info > 0, pmi / info).otherwise(0.0).alias("ratio")).where(F.col("ratio") >= threshold)
+
+
+def replacements(disclosing: DataFrame) -> DataFrame:
+    """(t, put): each disclosing term with its nearest generalisation that isn't among the disclosing units; '' if both are."""
+    bad = disclosing.select("u").distinct()
+    terms = bad.where(~F.col("u").endswith("*") & ~F.col("u").startswith("["))
+    first = F.concat(F.substring("u", 1, BEGINNING), F.lit("*"))
+    kind = F.when(F.col("u").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("u").rlike("[0-9]"), "[CODE]").otherwise("[WORD]")
+    chain = terms.select(F.col("u").alias("t"), first.alias("a"), kind.alias("b"))
+    wide = bad.where(F.col("u").endswith("*") | F.col("u").startswith("["))
+    has = lambda c: wide.select(F.col("u").alias(c), F.lit(True).alias(f"{c}_bad"))
+    chain = chain.join(has("a"), "a", "left").join(has("b"), "b", "left")
+    return chain.select("t", F.when(F.col("a_bad").isNull(), F.col("a")).when(F.col("b_bad").isNull(), F.col("b")).otherwise("").alias("put"))
+
+
+SANITISED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, n_removed long, sanitised string"
+
+
+def sanitised(text: str, put: dict[str, str]) -> tuple:
+    """SANITISED of a text: base spans masked by kind, words in put replaced or removed; a word that touches a base span stays as it is."""
+    base = base_spans(text)
+    covered = [(s, e) for s, _, e in base]
+    terms = [(m.start(), len(KINDS) - 1, m.end()) for m in outside(text, covered) if m[0].lower() in put] if put else []
+    out, at = [], 0
+    for s, k, e in sorted(base + terms):
+        if s >= at:
+            out += [text[at:s], put[text[s:e].lower()] if k == len(KINDS) - 1 else f"[{KINDS[k].upper()}]"]
+        at = max(at, e)
+    count = [sum(k == j for _, k, _ in base) for j in range(len(KINDS) - 1)]
+    said = hashlib.sha256(span_string(base).encode()).hexdigest()
+    gone = sum(put[text[s:e].lower()] == "" for s, _, e in terms)
+    return *count, said, span_string(sorted(base + terms)), len(terms), gone, "".join([*out, text[at:]])
+
+
+def with_sanitised(docs: DataFrame, put: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """docs' columns (doc_id, text) and SANITISED. put: replacements(), broadcast up to `most` terms; beyond, each text gets its own terms by a join of words."""
+    spark = docs.sparkSession
+    few = put.limit(most + 1).count() <= most
+    if few:
+        shared = spark.sparkContext.broadcast({r["t"]: r["put"] for r in put.collect()})  # `most` terms at most
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("map<string,string>").alias("own"))
+    else:
+        shared = spark.sparkContext.broadcast(None)
+        keyed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid")), "pii-rows")
+        words = keyed.mapInArrow(_words, "rid long, t string").join(put, "t")
+        own = words.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("t", "put"))).alias("own"))  # a text's own words
+        given = keyed.join(own, "rid", "left").select("doc_id", "text", "own")
+    names = [x.split()[0] for x in SANITISED.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
+            own = [dict(m or ()) for m in b.column(2).to_pylist()] if shared.value is None else [shared.value] * len(b)
+            rows = [sanitised(text or "", put) for text, put in zip(b.column(1).to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc_id", "text", *names])
 
-def term_spans(found: DataFrame, disclosing: DataFrame, salts: int = 8) -> DataFrame:
-    """(texthash, terms): the spans of disclosing terms in each text that has any, as an array of (s, x, ratio), each once."""
-    rows = found.where(F.size("near") > 0).select("texthash", F.explode("near").alias("p")).select("texthash", "p.e", "p.t", "p.s", "p.x")
-    rows = rows.withColumn("_salt", F.pmod(F.col("texthash"), F.lit(salts)).cast("int"))
-    right = disclosing.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    hits = rows.join(right, ["e", "t", "_salt"]).groupBy("texthash", "s", "x").agg(F.max("ratio").alias("ratio"))
-    return hits.groupBy("texthash").agg(F.array_sort(F.collect_list(F.struct("s", "x", "ratio"))).alias("terms"))  # at most 2 NEAR for each of a text's own spans
+    return given.mapInArrow(run, f"doc_id long, text string, {SANITISED}")
 
 
-def sanitised(text: Column, terms: Column) -> Column:
-    """text with each term replaced: by [TERM] or [NUMBER] if generalised, by nothing over the higher threshold."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
+        rows = [(rid, w) for rid, text in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) for w in sorted(set(WORD.findall((text or "").lower())))]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], ["rid", "t"])
 
-    def step(acc: Column, x: Column) -> Column:
-        word = F.substring(text, x["s"] + 1, x["x"] - x["s"])
-        put = F.when(x["ratio"] >= REMOVE, "").when(word.rlike("^[0-9]+$"), "[NUMBER]").otherwise("[TERM]")
-        return F.struct(x["x"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), put).alias("out"))
 
-    return F.aggregate(terms, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def sanitise(docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """doc_id, text and SANITISED for each row of docs (doc_id, text): base spans are masked by kind, disclosing terms generalised or removed.
+
+    Null and empty texts have no spans and an empty sanitised text. Repeated rows stay repeated, a null doc_id
+    keeps its row, other columns are not looked at, an empty table has no rows.
+    """
+    return with_sanitised(docs, stored(replacements(disclosures(docs, most=most)), "pii-replacements"), most)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for each row of docs (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_removed, sanitised_sha256 for each row of docs (doc_id, text).
 
     spans: base spans and the spans of disclosing terms, by start, then kind as listed, terms last. Null and
     empty texts have none: counts 0, spans '' and the SHA-256 of ''. Repeated rows stay repeated.
     """
-    found = stored(find(docs), "pii-found")
-    terms = term_spans(found, disclosures(found, docs))
-    joined = found.where(F.size("near") > 0).drop("near").join(terms, "texthash", "left").unionByName(found.where(F.size("near") == 0).drop("near"), allowMissingColumns=True)
-    base = F.transform(
-        F.filter(F.split("spans", ","), lambda s: s != ""),
-        lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(s, ":")[0]).cast("int").alias("k"), F.split(s, ":")[2].cast("int").alias("x")),
-    )
-    more = F.transform("terms", lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).alias("k"), t["x"].alias("x")))
-    names = F.array(*[F.lit(k) for k in KINDS])
-    every = F.array_join(F.transform(F.array_sort(F.concat(base, more)), lambda s: F.concat_ws(":", F.element_at(names, s["k"]), s["s"].cast("string"), s["x"].cast("string"))), ",")
-    return joined.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
-        F.when(F.col("terms").isNull(), F.col("spans")).otherwise(every).alias("spans"),
-        F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"),
+    return sanitise(docs).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms", "n_removed",
+        F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
     )
-
-
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, text_sanitised): base spans masked by kind, disclosing terms generalised or removed."""
-    found = stored(find(docs), "pii-found")
-    terms = term_spans(found, disclosures(found, docs)).select("texthash", "terms")
-
-    @F.pandas_udf("long")
-    def texthash(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63)).astype("int64")
-
-    @F.pandas_udf("string")
-    def masked(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if not t:
-                return t
-            out, at = [], 0
-            for s, k, e in base_spans(t):
-                if s >= at:
-                    out += [t[at:s], f"[{KINDS[k].upper()}]"]
-                    at = e
-                else:
-                    at = max(at, e)
-            return "".join([*out, t[at:]])
-
-        return text.map(one)
-
-    keyed = docs.select("doc_id", "text").withColumn("texthash", texthash("text")).join(terms, "texthash", "left")
-    text = F.when(F.col("terms").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("terms")))
-    return keyed.select("doc_id", "text", masked(text).alias("text_sanitised"))

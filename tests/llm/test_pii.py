@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from hypothesis import given, settings
@@ -30,44 +31,94 @@ def test_long_runs_take_linear_time():
 
 def corpus(prose):
     rows = [(i, prose(i)) for i in range(40)]
-    rows += [(100 + i, f"{prose(200 + i, 20)} the quixotic florist mail ann@example.org often. {prose(300 + i, 20)}") for i in range(6)]
+    rows += [(100 + i, f"{prose(200 + i, 20)} mail ann@example.org often. {prose(300 + i, 20)} The Quixotic florist went. {prose(400 + i, 20)}") for i in range(6)]
+    # named without the entity; a word that shares its beginning; copies, which support a pair once
+    rows += [(200, f"The florist {prose(500)}"), (201, "flotsam " + prose(501)), (202, "flown " + prose(502)), (203, "flow " + prose(503))]
+    rows += [(210 + i, f"flow {prose(510 + i)}") for i in range(12)]
+    rows += [(300 + i, f"sesquipedalian {prose(600)} +49 30 1234567") for i in range(5)] + [(400, None), (401, "")]
     return rows
 
 
-def test_disclosing_terms(spark, prose):
-    docs = spark.createDataFrame(corpus(prose), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
-    texts = dict(corpus(prose))
-    assert len(out) == len(texts)
-    for i, r in out.items():
-        base = pii.span_string(brute(texts[i]))
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        got = [x.split(":") for x in r.spans.split(",") if x]
-        assert [x for x in got if x[0] != "term"] == [x.split(":") for x in base.split(",") if x]
-        assert [int(x[1]) for x in got] == sorted(int(x[1]) for x in got)
-        terms = {texts[i][int(s) : int(e)] for k, s, e in got if k == "term"}
-        assert ({"quixotic", "florist"} <= terms) == (i >= 100) and bool(terms) == (i >= 100)
-    clean = {r.doc_id: r.text_sanitised for r in pii.sanitise(docs).collect()}
-    assert "ann@" not in clean[100] and "florist" not in clean[100] and clean[3] == texts[3]
-
-
-def test_ratio_equals_brute_force(spark, prose):
-    import math
-
+def brute_disclosures(rows, support, threshold):
+    """(e, u) -> ratio, over all pairs."""
+    entities, units = [], []
+    for _, t in rows:
+        spans = brute(t or "")
+        values = {f"{pii.KINDS[k]}:{hashlib.sha1(t[s:e].encode()).hexdigest()[:20]}" for s, k, e in spans}
+        entities.append(values | {pii.KINDS[k] for _, k, _ in spans})
+        words = [m for m in pii.WORD.finditer(t or "")]
+        own = set()
+        for w in {m[0].lower() for m in words if not any(s < m.end() and m.start() < e for s, _, e in spans)}:
+            own |= {w, w[:3] + "*", "[NUMBER]" if w.isdigit() else "[CODE]" if re.search("[0-9]", w) else "[WORD]"}
+        units.append(own)
+    everywhere = []
+    for _, t in rows:
+        own = set()
+        for w in {m[0].lower() for m in pii.WORD.finditer(t or "")}:
+            own |= {w, w[:3] + "*", "[NUMBER]" if w.isdigit() else "[CODE]" if re.search("[0-9]", w) else "[WORD]"}
+        everywhere.append(own)
+    n, out = len(rows), {}
+    for e in set().union(*entities):
+        has = [i for i in range(n) if e in entities[i]]
+        for u in set().union(*[units[i] for i in has]):
+            both = [i for i in has if u in units[i]]
+            if len({rows[i][1] for i in both}) >= support and len(has) < n:
+                n_u = max(len(both), sum(u in x for x in everywhere))
+                ratio = math.log2(n * len(both) / (len(has) * n_u)) / math.log2(n / len(has))
+                if ratio >= threshold:
+                    out[e, u] = ratio
+    return out
+
+
+def test_disclosures_equal_brute_force(spark, prose):
+    rows = corpus(prose)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_disclosures(rows, 3, -9.0)
+    for most in (pii.BROADCAST_TERMS, 0):
+        got = {(r.e, r.u): r.ratio for r in pii.disclosures(docs, threshold=-9.0, most=most).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert want["email", "florist"] < want["email", "quixotic"] == 1.0 and ("phone", "sesquipedalian") not in want
+
+
+def brute_sanitised(text, put):
+    """Every character decided by itself."""
+    base = brute(text)
+    terms = [(m.start(), 4, m.end()) for m in pii.WORD.finditer(text) if m[0].lower() in put and not any(s < m.end() and m.start() < e for s, _, e in base)]
+    every, out, at = sorted(base + terms), "", 0
+    for s, k, e in every:
+        if s >= at:
+            out += text[at:s] + (put[text[s:e].lower()] if k == 4 else f"[{pii.KINDS[k].upper()}]")
+        at = max(at, e)
+    return every, out + text[at:]
+
+
+def test_spans_and_text_equal_brute_force(spark, prose):
     rows = corpus(prose)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.find(docs)
-    got = {r.t: r.ratio for r in pii.disclosures(found, docs, generalise=0.0).collect()}
-    n, n_e = len(rows), 6
-    for t, ratio in got.items():
-        n_t = sum(t in set(pii.WORD.findall(x.lower())) for _, x in rows)
-        n_et = sum(any(w == t for _, w, _, _ in pii.near_terms(x, pii.base_spans(x))) for _, x in rows)
-        assert math.isclose(ratio, math.log2(n * n_et / (n_e * n_t)) / math.log2(n / n_e))
-    assert got["florist"] == 1.0
+    bad = {u for _, u in brute_disclosures(rows, pii.SUPPORT, pii.THRESHOLD)}
+    put = {u: next((g for g in pii.generalisations(u) if g not in bad), "") for u in bad if u[-1] != "*" and u[0] != "["}
+    assert put["quixotic"] == "[WORD]" and put["florist"] == "flo*"  # `qui*` gives as much away as the word
+    for most in (pii.BROADCAST_TERMS, 0):
+        got = {r.doc_id: r for r in pii.sanitise(docs, most).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            every, clean = brute_sanitised(t or "", put)
+            assert got[i].spans == pii.span_string(every) and got[i].sanitised == clean
+            assert got[i].base_sha256 == hashlib.sha256(pii.span_string([x for x in every if x[1] < 4]).encode()).hexdigest()
+    assert "florist" not in got[200].sanitised and got[100].sanitised.count("[EMAIL]") == 1
+    digest = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
+    assert all(digest[i].sanitised_sha256 == hashlib.sha256(got[i].sanitised.encode()).hexdigest() and digest[i].n_terms == got[i].n_terms for i in got)
+
+
+def test_removed_if_all_generalisations_disclose(spark, prose):
+    rows = [(i, prose(i)) for i in range(60)] + [(100 + i, f"{prose(200 + i, 20)} q77 10.0.0.{i} {prose(300 + i, 20)}") for i in range(4)]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[100 + i].n_removed == 1 and "q77" not in out[100 + i].sanitised and "[IP]" in out[100 + i].sanitised for i in range(4))
 
 
 def test_edges(edge, empty):
     out = pii.pii_digest(edge).collect()
     assert len(out) == edge.count() and all(r.spans == "" for r in out)
-    assert pii.pii_digest(empty).count() == 0
-    assert pii.sanitise(edge).count() == edge.count()
+    assert pii.pii_digest(empty).count() == 0 and pii.sanitise(empty).count() == 0
+    got = sorted(((r.doc_id, r.text, r.sanitised) for r in pii.sanitise(edge).collect()), key=str)
+    assert got == sorted(((r.doc_id, r.text, r.text or "") for r in edge.collect()), key=str)
