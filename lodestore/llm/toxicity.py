@@ -1,22 +1,24 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicon units (words and word beginnings that toxic or clean labelled texts
-favour) and patterns (shouting, repeated marks, direct address). A generative label model takes the votes and
-the given labels as noisy witnesses of a hidden class, estimates each one's accuracy by EM and discounts
-voters that agree beyond what the class explains. Its posteriors train a linear classifier on the votes,
-which then scores every whole text. Labels are learned from a bounded sample of labelled rows; all documents
-are scored in one pass over whole texts.
+favour) and patterns (shouting, repeated marks, direct address). All documents are turned into votes in one
+pass over whole texts. A generative label model then learns from the votes of all documents, labelled or not, how
+each voter votes given the hidden class and how voters depend on each other: EM, whose voters form a forest
+within the class, grown by conditional mutual information. Its posteriors are the labels of a linear classifier, which
+is fitted on all documents, too. Given labels choose the voters, begin EM and calibrate its posteriors, from a
+bounded sample of labelled rows; they are no witness of any document's class.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,16 @@ LEAST_RATIO = 20.0
 FOLDS, HELD = 5, 0
 #: Units that a task counts before it hands its counts on.
 MOST_UNITS = 100_000
-EM_ROUNDS, CORRELATED = 8, 0.3
+#: Rounds of EM; share of the lesser entropy that two voters must share within the class to be linked.
+EM_ROUNDS, LINKED = 5, 0.05
+#: Given labels count as so many rows of each class at most in the voters' rates.
+PRIOR_ROWS = 50
+#: Newton steps of the classifier, and what it pays for large weights.
+NEWTON_ROUNDS, RIDGE = 6, 1.0
+#: Documents of which a task holds votes as a dense matrix; blocks that sums are dealt in.
+DENSE, SUM_BLOCKS = 4096, 16
+#: Words whose voters a task remembers.
+REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Pattern voters, as text patterns over the whole text and the count from which they vote.
 PATTERNS = (
@@ -98,62 +109,222 @@ def lexicon(texts: DataFrame, most: int = LEXICON) -> list[str]:
     return sorted(r["unit"] for r in best.collect())
 
 
-def votes(text: str | None, at: dict[str, int]) -> list[int]:
-    """Numbers of the voters that speak up on text."""
-    text = text or ""
-    out = {at[u] for u in units(text) if u in at}
-    for k, (_, pattern, least) in enumerate(PATTERNS):
-        n = 0
-        for _ in pattern.finditer(text):
-            n += 1
-            if n >= least:
-                out.add(len(at) + k)
-                break
-    return sorted(out)
+class Voters:
+    """Who speaks up on a text: lexicon units by number, then the patterns. Remembers the units of words that it has seen."""
+
+    def __init__(self, units: tuple[str, ...]):
+        self.at = {u: k for k, u in enumerate(units)}
+        self.count = len(units) + len(PATTERNS)
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        own = [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = self.known[word] = tuple(self.at[u] for u in own if u in self.at)
+        return found
+
+    def votes(self, text: str | None) -> list[int]:
+        text = text or ""
+        out: set[int] = set()
+        known = self.known
+        for w in set(WORD.findall(text.lower())):
+            found = known.get(w)
+            if found is None:
+                found = self.of_word(w)
+            if found:
+                out.update(found)
+        for k, (_, pattern, least) in enumerate(PATTERNS):
+            n = 0
+            for _ in pattern.finditer(text):
+                n += 1
+                if n >= least:
+                    out.add(len(self.at) + k)
+                    break
+        return sorted(out)
+
+
+def cast_votes(docs: DataFrame, voters: Voters) -> DataFrame:
+    """(doc_id, v) for each row of docs: the numbers of the voters that speak up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, len(x), 1000)):
+            found = [voters.votes(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "v"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, v array<int>")
+
+
+def dense(v: pa.Array, m: int) -> Iterator[np.ndarray]:
+    """0/1 matrices of a list column, DENSE rows at most each."""
+    for lo in range(0, len(v), DENSE):
+        part = v.slice(lo, DENSE)
+        out = np.zeros((len(part), m))
+        out[np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), part.flatten().to_numpy(zero_copy_only=False)] = 1
+        yield out
+
+
+def sums(cast: DataFrame, m: int, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of of(matrix), an array of `size` numbers, over all rows of cast: in tasks, then by blocks in two steps. The driver gets `size` numbers."""
+    edge = [size * k // SUM_BLOCKS for k in range(SUM_BLOCKS + 1)]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(size), False
+        for b in batches:
+            for x in dense(b.column(0), m):
+                total += of(x).ravel()
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(range(SUM_BLOCKS), pa.int32()), pa.array([total[a:z].tobytes() for a, z in zip(edge, edge[1:])], pa.binary())], ["block", "data"])
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [np.sum([np.frombuffer(x) for x in pdf["data"]], axis=0).tobytes()]})
 
-def label_model(v: np.ndarray, y: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """P(toxic) of each row from votes v (0/1) and given labels y, by EM.
+    each = cast.select("v").mapInArrow(part, "block int, data binary").withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = each.groupBy("block", "slot").applyInPandas(add, "block int, data binary")
+    out = np.zeros(size)
+    for r in some.groupBy("block").applyInPandas(add, "block int, data binary").collect():  # SUM_BLOCKS rows
+        out[edge[r["block"]] : edge[r["block"] + 1]] = np.frombuffer(r["data"])
+    return out
 
-    Two rates of each voter (votes given toxic, given clean) are its accuracies; the label is one more witness
-    whose accuracy is estimated like theirs. After each round the correlation of every pair of voters within
-    the classes is taken, and a voter's weight is divided by the sum of its correlations over CORRELATED: k voters
-    that always agree weigh as one.
+
+@dataclass(frozen=True)
+class LabelModel:
+    """P(class) and P(vote | class, parent's vote): class 1 is toxic; parent -1: none."""
+
+    prior: float
+    rate: np.ndarray  # class, voter
+    parent: np.ndarray
+    given: np.ndarray  # class, parent's vote, voter
+
+    def logit(self, v: np.ndarray) -> np.ndarray:
+        """Log odds of toxic for rows of votes."""
+        ratio = lambda r: (np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0])))
+        free, kids = np.flatnonzero(self.parent < 0), np.flatnonzero(self.parent >= 0)
+        on, off = ratio(self.rate[:, free])
+        out = math.log(self.prior / (1 - self.prior)) + v[:, free] @ (on - off) + off.sum()
+        if len(kids):
+            (on0, off0), (on1, off1) = ratio(self.given[:, 0, kids]), ratio(self.given[:, 1, kids])
+            own, up = v[:, kids], v[:, self.parent[kids]]
+            out = out + own @ (on0 - off0) + up @ (off1 - off0) + (own * up) @ (on1 - off1 - on0 + off0) + off0.sum()
+        return out
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(v), -30, 30)))
+
+    def expected(self, v: np.ndarray) -> np.ndarray:
+        """Of each class: rows, votes of each voter, common votes of each two."""
+        q = self.posterior(v)
+        out = []
+        for w in (1 - q, q):
+            out += [[w.sum()], w @ v, ((v * w[:, None]).T @ v).ravel()]
+        return np.concatenate(out)
+
+
+def unpacked(total: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """expected()'s sums as rows (2), votes (2, m), common votes (2, m, m)."""
+    two = total.reshape(2, 1 + m + m * m)
+    return two[:, 0], two[:, 1 : 1 + m], two[:, 1 + m :].reshape(2, m, m)
+
+
+def forest(mass: np.ndarray, one: np.ndarray, both: np.ndarray, linked: float = LINKED) -> np.ndarray:
+    """The parent of each voter in the forest of the strongest dependences within the class (-1: none)."""
+    m = one.shape[1]
+    n = mass.sum()
+    information, entropy = np.zeros((m, m)), np.zeros(m)
+    for c in range(2):
+        if mass[c] <= 0:
+            continue
+        p, pair = one[c] / mass[c], both[c] / mass[c]
+        for a in (1, 0):
+            pa_ = p if a else 1 - p
+            entropy -= mass[c] / n * pa_ * np.log(np.maximum(pa_, 1e-12))
+            for b in (1, 0):
+                pb = p if b else 1 - p
+                joint = np.maximum(pair if a and b else p[:, None] - pair if a else p[None, :] - pair if b else 1 - p[:, None] - p[None, :] + pair, 0)
+                information += mass[c] / n * joint * np.log(np.maximum(joint, 1e-12) / np.maximum(pa_[:, None] * pb[None, :], 1e-12))
+    share = information / np.maximum(np.minimum(entropy[:, None], entropy[None, :]), 1e-9)
+    parent = np.full(m, -1)
+    # the strongest links first, none that closes a ring; then each tree hangs from its most frequent voter
+    group, near = np.arange(m), [[] for _ in range(m)]
+    i, j = np.nonzero(np.triu(share >= linked, 1))
+    for k in np.lexsort((j, i, -information[i, j])):
+        a, b = int(i[k]), int(j[k])
+        if group[a] != group[b]:
+            group[group == group[b]] = group[a]
+            near[a].append(b)
+            near[b].append(a)
+    seen = np.zeros(m, dtype=bool)
+    for root in np.lexsort((np.arange(m), -one.sum(axis=0))):
+        todo = [] if seen[root] else [int(root)]
+        seen[root] = True
+        while todo:
+            a = todo.pop()
+            for b in near[a]:
+                if not seen[b]:
+                    seen[b], parent[b] = True, a
+                    todo.append(b)
+    return parent
+
+
+def maximised(mass: np.ndarray, one: np.ndarray, both: np.ndarray, parent: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> LabelModel:
+    """The model of expected sums; prior: rows and votes of each class that count beside them."""
+    rows, ones = prior
+    rate = (one + ones + 0.5) / (mass + rows + 1.0)[:, None]
+    given = np.stack([rate, rate], axis=1)
+    for j in np.flatnonzero(parent >= 0):
+        up = parent[j]
+        on = (both[:, j, up] + 2 * rate[:, j]) / (one[:, up] + 2)
+        off = (one[:, j] - both[:, j, up] + 2 * rate[:, j]) / (mass - one[:, up] + 2)
+        given[:, 1, j], given[:, 0, j] = on, off
+    share = float((mass[1] + 1) / (mass.sum() + 2))
+    return LabelModel(share, np.clip(rate, 1e-6, 1 - 1e-6), parent, np.clip(given, 1e-6, 1 - 1e-6))
+
+
+def label_model(cast: DataFrame, v: np.ndarray, y: np.ndarray, rounds: int = EM_ROUNDS, linked: float = LINKED) -> LabelModel:
+    """EM over all rows of cast (v array<int>). v, y: votes and labels of the labelled sample, of which EM sets out; PRIOR_ROWS of each class stay as a prior.
+
+    Every E step goes over all documents; the labels of none are looked at. In each round the forest of
+    dependences is grown anew from the expected common votes, and its rates are estimated with the others.
     """
-    posterior = 0.02 + 0.96 * y
-    weight = np.ones(v.shape[1])
+    m = v.shape[1]
+    sample = unpacked(np.concatenate([np.concatenate([[w.sum()], w @ v, ((v * w[:, None]).T @ v).ravel()]) for w in (1 - y, y)]), m)
+    scale = np.minimum(1, PRIOR_ROWS / np.maximum(sample[0], 1))
+    model = maximised(*sample, forest(*sample, linked), (np.zeros(2), np.zeros((2, m))))
     for _ in range(rounds):
-        p = np.stack([1 - posterior, posterior])
-        mass = p.sum(axis=1)
-        rate = (p @ v + 0.5) / (mass[:, None] + 1.0)
-        given = (p @ y + 1.0) / (mass + 2.0)
-        given = np.array([min(given[0], 0.02), max(given[1], 0.9)])  # given labels are good witnesses: else the classes could drift to another split
-        rest = v - (1 - posterior)[:, None] * rate[0] - posterior[:, None] * rate[1]
-        sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        rho = (rest.T @ rest) / len(v) / np.outer(sd, sd)
-        rho = np.where(np.abs(rho) >= CORRELATED, np.abs(rho), 0)
-        np.fill_diagonal(rho, 1)
-        weight = 1 / rho.sum(axis=1)
-        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = math.log(mass[1] / mass[0]) + (v * on + (1 - v) * off) @ weight
-        logit += np.where(y > 0, math.log(given[1] / given[0]), math.log((1 - given[1]) / (1 - given[0])))
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior
+        total = unpacked(sums(cast, m, model.expected, 2 * (1 + m + m * m)), m)
+        model = maximised(*total, forest(*total, linked), (sample[0] * scale, sample[1] * scale[:, None]))
+    return model
+
+
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) by which log odds z say best what labels y are; the slope is never negative."""
+    w = linear(np.clip(z, -30, 30)[:, None] / 10, y, ridge=1e-2)
+    return max(0.0, float(w[0]) / 10), float(w[1])
 
 
 def linear(v: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Weights (the last is the intercept) of a logistic regression on soft targets, by Newton steps."""
-    x = np.hstack([v, np.ones((len(v), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    w = np.zeros(v.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w = w + np.linalg.solve(h, x.T @ (target - p) - penalty * w)
+        w = newton_step(w, newton_parts(v, target, w), ridge)
     return w
 
 
+def newton_parts(v: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of a logistic regression on rows v, to be summed."""
+    x = np.hstack([v, np.ones((len(v), 1))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (target - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def newton_step(w: np.ndarray, total: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-3
+    g, h = total[: len(w)], total[len(w) :].reshape(len(w), len(w))
+    return w + np.linalg.solve(h + np.diag(penalty), g - penalty * w)
+
+
 @dataclass(frozen=True)
 class Model:
     units: tuple[str, ...]
@@ -161,46 +332,77 @@ class Model:
 
     def column(self, text: Column) -> Column:
         """The score of text as a column, between 0 and 1."""
-        at, w = {u: k for k, u in enumerate(self.units)}, self.weights
+        voters, w = Voters(self.units), self.weights
 
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, w[-1] + sum(w[k] for k in votes(t, at)))))) for t in texts], dtype="float64")
+            return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, w[-1] + sum(w[k] for k in voters.votes(t)))))) for t in texts], dtype="float64")
 
         return score(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+@dataclass(frozen=True)
+class Fitted:
+    """What fit() learned, and the votes of all documents that it learned from."""
+
+    model: Model
+    cast: DataFrame
+    labels: LabelModel | None = None
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def target(self, v: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.labels.logit(v) + self.shift, -30, 30)))
+
+    def scores(self) -> DataFrame:
+        """(doc_id, score, posterior) of every document, from its votes; posterior: what the label model says, null without one."""
+        w, m, labels, target = np.array(self.model.weights), len(self.model.weights) - 1, self.labels, replace(self, cast=None).target  # a DataFrame can't travel
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = 0
+                for x in dense(b.column(1), m):
+                    score = 1 / (1 + np.exp(-np.clip(np.round(x @ w[:-1] + w[-1], 9), -30, 30)))
+                    post = pa.array(target(x)) if labels else pa.nulls(len(x), pa.float64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), pa.array(score), post], ["doc_id", "score", "posterior"])
+                    at += len(x)
+
+        return self.cast.mapInArrow(run, "doc_id long, score double, posterior double")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Without labels of both classes every text scores as low as the lowest: there is nothing to learn from."""
     texts = stored(labelled_texts(docs, labels), "toxicity-labelled")
-    known = lexicon(texts)
+    known = tuple(lexicon(texts))
+    voters = Voters(known)
+    cast = stored(cast_votes(docs, voters), "toxicity-votes")
     if not known:
-        return Model((), (0.0,) * len(PATTERNS) + (-30.0,))
-    at = {u: k for k, u in enumerate(known)}
-
-    def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "v": [votes(t, at) for t in b["text"]]})
-
-    rows = texts.mapInPandas(cast, "doc_id long, toxic int, v array<int>").orderBy("doc_id").collect()  # LABELLED_ROWS at most
-    v, y = np.zeros((len(rows), len(known) + len(PATTERNS))), np.array([float(r["toxic"]) for r in rows])
+        return Fitted(Model((), (0.0,) * len(PATTERNS) + (-30.0,)), cast)
+    m = voters.count
+    rows = cast_votes(texts, voters).join(F.broadcast(texts.select("doc_id", "toxic")), "doc_id").orderBy("doc_id").select("v", "toxic").collect()  # LABELLED_ROWS at most
+    v, y = np.zeros((len(rows), m)), np.array([float(r["toxic"]) for r in rows])
     for i, r in enumerate(rows):
         v[i, r["v"]] = 1
-    return Model(tuple(known), tuple(np.round(linear(v, label_model(v, y)), 9).tolist()))
+    generative = label_model(cast, v, y)
+    out = Fitted(Model(known, ()), None, generative, *calibration(generative.logit(v), y))
+    w = np.zeros(m + 1)
+    for _ in range(NEWTON_ROUNDS):
+        w = newton_step(w, sums(cast, m, lambda x: newton_parts(x, out.target(x), w), (m + 1) * (m + 2)), RIDGE)  # noqa: B023
+    return Fitted(Model(known, tuple(np.round(w, 9).tolist())), cast, generative, out.slope, out.shift)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
+    """doc_id, held_out, score, predicted, posterior (of the label model) for each row of docs (doc_id, text).
 
     Null and empty texts get the score of a text on which no voter speaks. A null doc_id counts as not held
     out. Repeated rows stay repeated. Columns other than doc_id and text are not looked at.
     """
-    model = fit(docs, labels)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), model.column(F.col("text")).alias("score"))
-    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = fit(docs, labels).scores().withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    model = fit(docs, labels)
-    return docs.withColumn("_toxicity", model.column(F.col("text"))).where("_toxicity < 0.5").drop("_toxicity")
+    """docs without those that the classifier rejects: null and empty texts are scored like any other, repeated rows stay or go together. Any column names are fine."""
+    score = fit(docs, labels).model.column(F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, score.alias("score")).where("score < 0.5").select(*[F.col("row")[c].alias(c) for c in docs.columns])
