@@ -1,27 +1,35 @@
 """URL filter: host rules first, then the ratio of two character language models.
 
-URLs that rules allow or block are the accepted and rejected text. For each class the counts of characters
-after contexts of 0 to ORDER characters are summed over all pages, in tables of a fixed number of hashed
-cells, so the model's size has a bound whatever the input. A longer context backs off to a shorter one
-(Dirichlet smoothing), which makes the order variable: unseen contexts weigh nothing. The score is the
-log-likelihood difference divided by the URL's length, and its threshold is calibrated on URLs of known
-verdict that were left out of the counts.
+URLs that rules allow or block are the accepted and rejected text. For each class the characters after contexts of
+0 to ORDER characters are counted over all pages, exactly: a table of grams that grows with what the pages
+hold, never gathered anywhere. A longer context backs off to a shorter one (Dirichlet smoothing), which makes
+the order variable: unseen contexts weigh nothing. Each distinct gram is judged once, by a join with the
+counts of its contexts, and each distinct URL by a join with its grams. The score is the log-likelihood
+difference divided by the URL's length, and its threshold is calibrated on URLs of known verdict that were
+left out of the counts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import ascii_lower
+from lodestore.llm.common import ascii_lower, salted_join, stored
 
-#: Longest context, cells of a table, weight of the shorter context.
-ORDER, CELLS, ALPHA = 4, 1 << 16, 2.0
+#: Longest context, weight of the shorter context, share of a character that no text shows.
+ORDER, ALPHA, FLAT = 4, 2.0, 1 / 256
+#: What stands before and after a URL.
+BEFORE, AFTER = "\x02", "\x03"
+#: URLs that a task cuts at a time.
+URLS = 500
+#: Tasks that the rows of one gram or URL are dealt over.
+SALTS = 16
 #: One in so many labelled URLs calibrates instead of being counted.
 HELD_OUT = 5
 #: Scores are binned for calibration: bins over [-LIMIT, LIMIT].
@@ -66,87 +74,64 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> t
     return name, verdict
 
 
-def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of context and of context with character for each order and character of urls; number of each character's URL."""
-    data = [b"\x02" * ORDER + (u or "").encode("utf-8", "surrogatepass") + b"\x03" for u in urls]
-    size = np.array([len(d) for d in data], dtype=np.int64)
-    text = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
-    start = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(data)), size)
-    at = np.flatnonzero(np.arange(len(text)) - start[owner] >= ORDER)
-    contexts, grams = [], []
-    for k in range(ORDER + 1):
-        h = np.full(len(at), 0x9E3779B97F4A7C15 + k, dtype=np.uint64)
-        for j in range(k, 0, -1):
-            h = (h ^ text[at - j]) * np.uint64(0x100000001B3)
-        g = (h ^ text[at]) * np.uint64(0x100000001B3)
-        mix = lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % CELLS
-        contexts.append(mix(h ^ np.uint64(0x55)))
-        grams.append(mix(g))
-    return np.stack(contexts), np.stack(grams), owner[at]
-
-
-#: A model: counts by class (allow 0, block 1), kind (context 0, context and character 1), order and cell.
-SHAPE = (2, 2, ORDER + 1, CELLS)
-
-
-def count_grams(labelled: DataFrame) -> DataFrame:
-    """(cell, n): counts over all of labelled (url, block int), summed in each task before the shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(int(np.prod(SHAPE)), dtype=np.int64)
-        for b in batches:
-            for block in (0, 1):
-                urls = b["url"][b["block"] == block].tolist()
-                if urls:
-                    contexts, grams, _ = _grams(urls)
-                    for kind, cells in ((0, contexts), (1, grams)):
-                        base = (((block * 2 + kind) * (ORDER + 1)) + np.arange(ORDER + 1)[:, None]) * CELLS
-                        total += np.bincount((base + cells).ravel(), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cell.astype("int32"), "n": total[cell]})
-
-    return labelled.mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def model_of(counts: DataFrame) -> np.ndarray:
-    """The tables, on the driver: at most 2 x 2 x (ORDER + 1) x CELLS cells, whatever the input."""
-    out = np.zeros(int(np.prod(SHAPE)), dtype=np.float32)
-    pdf = counts.toPandas()
-    out[pdf["cell"].to_numpy(np.int64)] = pdf["n"].to_numpy(np.float32)
-    return out.reshape(SHAPE)
-
-
-def scores(model: np.ndarray, urls: list[str | None]) -> np.ndarray:
-    """Log-likelihood as rejected minus as accepted, by character; over 0: more like the rejected."""
-    contexts, grams, owner = _grams(urls)
-    logs = []
-    for block in (0, 1):
-        p = np.full(contexts.shape[1], 1 / 256)
-        for k in range(ORDER + 1):
-            p = (model[block, 1, k][grams[k]] + ALPHA * p) / (np.maximum(model[block, 0, k][contexts[k]], model[block, 1, k][grams[k]]) + ALPHA)
-        logs.append(np.log(p))
-    n = np.bincount(owner, minlength=len(urls))
-    return np.bincount(owner, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(n, 1)
+def url_grams(urls: DataFrame) -> DataFrame:
+    """(key, n, block, g, m) for each distinct gram of ORDER + 1 characters of each row of urls (key, url, n, block): m times in the URL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, URLS) for x in batches for i in range(0, len(x), URLS)):
+            seen = []
+            for url in b.column(1).to_pylist():
+                text = BEFORE * ORDER + (url or "") + AFTER
+                seen.append(Counter(text[i : i + ORDER + 1] for i in range(len(text) - ORDER)))
+            at = pa.array(np.repeat(np.arange(len(b)), [len(c) for c in seen]))
+            same = [b.column(c).take(at) for c in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([g for c in seen for g in c], pa.string()), pa.array([m for c in seen for m in c.values()], pa.int64())], ["key", "n", "block", "g", "m"])
+
+    return urls.select("key", "url", "n", "block").mapInArrow(run, "key binary, n long, block int, g string, m long")
+
 
+def _keys(g: Column) -> list[Column]:
+    """Of each order: the gram's end of order + 1 characters, and its context, as keys of gram_counts()."""
+    return [k for o in range(ORDER + 1) for k in (F.concat(F.lit(f"g{o}"), F.substring(g, ORDER + 1 - o, o + 1)), F.concat(F.lit(f"c{o}"), F.substring(g, ORDER + 1 - o, o)))]
 
-def with_scores(pages: DataFrame, model: np.ndarray) -> DataFrame:
-    """pages (with url) with column score. The model goes out once to each executor; its size is fixed."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(url: pd.Series) -> pd.Series:
-        return pd.Series(np.round(scores(shared.value, url.tolist()), 9) if len(url) else [], dtype="float64")
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(k, allow, block): how often each gram and context of each order comes, by class, over all grams (g, n, m, block) of known verdict."""
+    times = F.col("n") * F.col("m")
+    whole = grams.groupBy("g").agg(F.sum(F.when(F.col("block") == 0, times).otherwise(0)).alias("allow"), F.sum(F.when(F.col("block") == 1, times).otherwise(0)).alias("block"))
+    return whole.select(F.explode(F.array(*_keys(F.col("g")))).alias("k"), "allow", "block").groupBy("k").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def gram_ratios(distinct: DataFrame, counts: DataFrame) -> DataFrame:
+    """(g, ratio) for each of distinct (g, each once): log P(last character | context), as rejected minus as accepted."""
+    asked = distinct.select("g", F.posexplode(F.array(*_keys(F.col("g")))).alias("i", "k"))
+    # the contexts of order 0 are two keys that all grams ask for
+    found = salted_join(asked, counts, "k", F.col("g"), salts=SALTS).where("allow is not null")
+    rows = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("allow", "block").alias("n")))).alias("n"))  # 2 (ORDER + 1) at most
+    every = distinct.join(rows, "g", "left")
+    logs = []
+    for c in ("block", "allow"):
+        p = F.lit(FLAT)
+        for o in range(ORDER + 1):
+            n, of = (F.coalesce(F.col("n")[F.lit(2 * o + j)][c], F.lit(0)) for j in (0, 1))
+            p = (n + ALPHA * p) / (of + ALPHA)
+        logs.append(F.log(p))
+    return every.select("g", (logs[0] - logs[1]).alias("ratio"))
+
 
-    return pages.withColumn("score", score("url"))
+def url_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, score) of each URL of grams: the log-likelihood difference by character; over 0: more like the rejected."""
+    ratios = gram_ratios(grams.select("g").distinct(), counts)
+    per = salted_join(grams.select("key", "g", "m"), ratios, "g", F.col("key"), salts=SALTS)
+    return per.groupBy("key").agg(F.round(F.sum(F.col("m") * F.col("ratio")) / F.sum("m"), 9).alias("score"))
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The threshold with the least balanced error on scored (score, block): URLs at or over it are blocked. One class alone: 0."""
+    """The threshold with the least balanced error on scored (score, block, n times): URLs at or over it are blocked. One class alone: 0."""
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + LIMIT) / (2 * LIMIT) * BINS))).cast("int")
     hist = np.zeros((2, BINS + 1))
-    for r in scored.groupBy(bin_.alias("b"), "block").count().collect():  # 2 x BINS rows at most
-        hist[r["block"], r["b"]] = r["count"]
+    for r in scored.groupBy(bin_.alias("b"), "block").agg(F.sum("n").alias("n")).collect():  # 2 x BINS rows at most
+        hist[r["block"], r["b"]] = r["n"]
     if not hist.sum(axis=1).all():
         return 0.0
     share = hist / hist.sum(axis=1, keepdims=True)
@@ -165,14 +150,19 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
     class there is nothing to compare and URLs without a rule are allowed. Repeated rows stay repeated.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    base = pages.select(F.col("page_id"), "url", host.alias("host"), path.alias("path"))
+    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", name).withColumn("ruled", verdict)
-    labelled = base.where("ruled is not null").select("url", (F.col("ruled") == "block").cast("int").alias("block"))
-    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    model = model_of(count_grams(labelled.where(~held)))
-    both = bool((model[:, 1, 0].sum(axis=1) > 0).all())
-    limit = calibrated(with_scores(labelled.where(held), model)) if both else float("inf")
-    out = with_scores(base, model)
+    base = base.withColumn("rule", name).withColumn("ruled", verdict).withColumn("key", F.unhex(F.sha2(F.col("url").cast("binary"), 256)))
+    # each distinct URL is read once, however many pages have it
+    urls = base.groupBy("key").agg(F.first("url").alias("url"), F.count("*").alias("n"), F.first((F.col("ruled") == "block").cast("int")).alias("block"))
+    grams = stored(url_grams(urls), "url-grams")
+    held = F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0
+    counts = stored(gram_counts(grams.where(F.col("block").isNotNull() & ~held)), "url-gram-counts")
+    # every text ends with AFTER, so this gram is there for each class that was counted
+    both = counts.where((F.col("k") == "g0" + AFTER) & (F.col("allow") > 0) & (F.col("block") > 0)).count() > 0
+    scores = stored(url_scores(grams, counts), "url-scores")
+    known = grams.where(F.col("block").isNotNull() & held).groupBy("key").agg(F.first("n").alias("n"), F.first("block").alias("block"))
+    limit = calibrated(known.join(scores, "key")) if both else float("inf")
     guess = F.when(F.col("score") >= limit, "block").otherwise("allow")
+    out = salted_join(base.drop("url"), scores, "key", F.coalesce("page_id", F.lit(0)), salts=SALTS)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", guess).alias("verdict"), "score")

@@ -1,6 +1,9 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
-import numpy as np
+from pyspark.sql import functions as F
 
 from lodestore.llm import urlfilter
 
@@ -29,23 +32,78 @@ def test_rules_equal_brute_force(spark):
         assert r.verdict == rule.verdict if rule else r.verdict in ("allow", "block")
 
 
-def test_model_separates(spark):
-    rows = [(f"http://shop{i % 17}.example/cheap-pills-{i}", 1) for i in range(200)] + [(f"http://lib{i % 13}.example/essay/{i}", 0) for i in range(200)]
-    counts = urlfilter.count_grams(spark.createDataFrame(rows, "url string, block int"))
-    model = urlfilter.model_of(counts)
-    s = urlfilter.scores(model, ["http://shop3.example/cheap-pills-x", "http://lib3.example/essay/x", None])
-    assert s[0] > 0.1 and s[1] < -0.1
-    scored = urlfilter.with_scores(spark.createDataFrame(rows, "url string, block int"), model)
-    limit = urlfilter.calibrated(scored)
-    wrong = scored.where((scored.score >= limit) != (scored.block == 1)).count()
-    assert wrong == 0
+def brute_verdicts(urls):
+    """Counts in dictionaries over all of urls, then threshold and verdicts, by the definitions. urls: url -> times."""
+    label = {u: {"block": 1, "allow": 0}[brute(u)[2].verdict] for u in urls if brute(u)[2]}
+    held = {u for u in label if in_held(u)}
+    counts = [defaultdict(int), defaultdict(int)]
+    grams = lambda u: [("\x02" * 4 + u + "\x03")[i : i + 5] for i in range(len(u) + 1)]
+    for u, block in label.items():
+        if u not in held:
+            for g in grams(u):
+                for o in range(5):
+                    counts[block]["g", g[4 - o :]] += urls[u]
+                    counts[block]["c", o, g[4 - o : 4]] += urls[u]
 
+    def score(u):
+        total = 0.0
+        for g in grams(u):
+            logs = []
+            for c in counts:
+                p = 1 / 256
+                for o in range(5):
+                    p = (c["g", g[4 - o :]] + 2 * p) / (c["c", o, g[4 - o : 4]] + 2)
+                logs.append(math.log(p))
+            total += logs[1] - logs[0]
+        return round(total / len(grams(u)), 9)
 
-def test_counts_equal_brute_force(spark):
-    url = "http://a.b/c"
-    contexts, grams, owner = urlfilter._grams([url, None])
-    assert contexts.shape == grams.shape == (urlfilter.ORDER + 1, len(url) + 1 + 1) and np.bincount(owner).tolist() == [len(url) + 1, 1]
-    assert len(set(contexts[0].tolist())) == 1
+    got = {u: score(u) for u in urls}
+    edges = [k / urlfilter.BINS * 8 - 4 for k in range(urlfilter.BINS + 1)]
+    size = [sum(urls[u] for u in held if label[u] == b) for b in (0, 1)]
+    if not all(size):
+        return got, 0.0, label
+    error = [sum(urls[u] for u in held if label[u] == 1 and got[u] < x) / size[1] + sum(urls[u] for u in held if label[u] == 0 and got[u] >= x) / size[0] for x in edges]
+    best = [k for k, e in enumerate(error) if e <= min(error) + 1e-9]
+    return got, edges[best[len(best) // 2]], label
+
+
+def web(seed=3):
+    rnd = random.Random(seed)
+    words = ["essay", "library", "cheap", "pills", "notes", "win", "bonus", "history"]
+    urls = [f"http://{rnd.choice(words)}{rnd.randrange(9)}.example.{rnd.choice(['net', 'com', 'org', 'info'])}/{rnd.choice(['en', 'de', 'fr'])}/{rnd.choice(words)}-{rnd.randrange(50)}" for _ in range(400)]
+    return urls + urls[:60] * 3 + ["http://one.example.net/x"] * 200 + ["", "é", "http://x/" + "y" * 3000]
+
+
+def test_scores_and_verdicts_equal_brute_force(spark, monkeypatch):
+    urls = web()
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    keys = {r.url: r.h for r in pages.select("url", (F.pmod(F.xxhash64(F.unhex(F.sha2(F.col("url").cast("binary"), 256))), F.lit(urlfilter.HELD_OUT)) == 0).alias("h")).collect()}
+    monkeypatch.setitem(globals(), "in_held", keys.get)
+    score, limit, label = brute_verdicts(Counter(urls))
+    out = urlfilter.judge_urls(pages).collect()
+    assert len(out) == len(urls)
+    for r in out:
+        u = urls[r.page_id]
+        assert abs(r.score - score[u]) < 1e-8
+        if brute(u)[2] is None:
+            assert r.verdict == ("block" if score[u] >= limit else "allow"), (u, score[u], limit)
+    assert len({r.verdict for r in out if r.rule is None}) == 2
+
+
+def test_counts_grow_with_the_input(spark):
+    """Every gram and context of every order has a row of its own."""
+    rows = [(b"%d" % i, f"http://{i:x}.example/", 1, i % 2) for i in range(300)]
+    urls = spark.createDataFrame(rows, "key binary, url string, n long, block int")
+    counts = urlfilter.gram_counts(urlfilter.url_grams(urls))
+    want = set()
+    for _, u, _, _ in rows:
+        t = "\x02" * 4 + u + "\x03"
+        for i in range(4, len(t)):
+            for o in range(5):
+                want |= {f"g{o}{t[i - o : i + 1]}", f"c{o}{t[i - o : i]}"}
+    assert {r.k for r in counts.collect()} == want
+    total = counts.where("k = 'c0'").first()
+    assert (total.allow, total.block) == tuple(sum(len(u) + 1 for _, u, _, b in rows if b == c) for c in (0, 1))
 
 
 def test_edges(spark):
