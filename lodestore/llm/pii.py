@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +38,7 @@ SUPPORT, THRESHOLD = 3, 0.6
 #: Letters of a term's beginning, its first generalisation.
 BEGINNING = 3
 #: Words and generalisations are broadcast up to so many; beyond, both sides are shuffled.
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS = 50_000
 #: Documents that a task holds as Python objects at a time.
 DOCS = 500
 #: Units that a task counts before it hands its counts on.
@@ -90,17 +91,25 @@ def generalisations(term: str) -> tuple[str, str]:
     return term[:BEGINNING] + "*", "[NUMBER]" if term.isdigit() else "[CODE]" if any(c.isdigit() for c in term) else "[WORD]"
 
 
-def units(text: str, spans: list[tuple[int, int, int]] = ()) -> set[str]:
-    """Distinct terms of text outside spans, in lower case, and their generalisations."""
-    if spans:
-        covered = [(s, e) for s, _, e in spans]
-        terms = {m[0].lower() for m in outside(text, covered)}
-    else:
-        terms = set(WORD.findall(text.lower()))
-    out = set(terms)
-    for t in terms:
-        out.update(generalisations(t))
-    return out
+class Units:
+    """The units of texts: distinct terms, and their generalisations, which are remembered by word."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, str, str]] = {}
+
+    def terms(self, words: Iterable[str]) -> tuple[set[str], set[str]]:
+        """(terms, generalisations) of words as they are written."""
+        if len(self.known) > MOST_UNITS:
+            self.known.clear()
+        terms, wide = set(), set()
+        for w in set(words):
+            found = self.known.get(w)
+            if found is None:
+                low = w.lower()
+                found = self.known[w] = (low, *generalisations(low))
+            terms.add(found[0])
+            wide.update(found[1:])
+        return terms, wide
 
 
 def outside(text: str, covered: list[tuple[int, int]]) -> Iterator[re.Match]:
@@ -120,13 +129,14 @@ def find_entities(docs: DataFrame) -> DataFrame:
     """ENTITIES of each document that holds any: kinds, and values as kind and SHA-1, so that values don't travel; the document's units outside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units()
         for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
             rows = []
             for text in b.column(0).to_pylist():
                 if text and (spans := base_spans(text)):
                     raw = text.encode("utf-8", "surrogatepass")
                     values = {f"{KINDS[k]}:{hashlib.sha1(text[s:e].encode('utf-8', 'surrogatepass')).hexdigest()[:20]}" for s, k, e in spans}
-                    rows.append((xxhash.xxh64_intdigest(raw) - (1 << 63), sorted(values | {KINDS[k] for _, k, _ in spans}), sorted(units(text, spans))))
+                    rows.append((xxhash.xxh64_intdigest(raw) - (1 << 63), sorted(values | {KINDS[k] for _, k, _ in spans}), sorted(set().union(*units.terms(m[0] for m in outside(text, [(s, e) for s, _, e in spans]))))))
             h, e, u = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(e, pa.list_(pa.string())), pa.array(u, pa.list_(pa.string()))], ["texthash", "entities", "units"])
 
@@ -137,25 +147,20 @@ def unit_counts(docs: DataFrame, wanted: DataFrame, most: int = BROADCAST_TERMS)
     """(u, n_u): documents of docs that hold each unit of wanted (u, each once). Units are counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, int] = {}
-        wide: dict[str, int] = {}
+        counts: Counter[str] = Counter()
+        units = Units()
 
         def out() -> pa.RecordBatch:
-            both = words | wide
-            return pa.RecordBatch.from_arrays([pa.array(both.keys(), pa.string()), pa.array(both.values(), pa.int64())], ["u", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["u", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                terms = set(WORD.findall((text or "").lower()))
-                for w in terms:
-                    words[w] = words.get(w, 0) + 1
-                for w in {g for t in terms for g in generalisations(t)}:
-                    wide[w] = wide.get(w, 0) + 1
-                if len(words) + len(wide) > MOST_UNITS:  # bounded memory: hand on and begin anew
+                for own in units.terms(WORD.findall(text or "")):
+                    counts.update(own)
+                if len(counts) > MOST_UNITS:  # bounded memory: hand on and begin anew
                     yield out()
-                    words.clear()
-                    wide.clear()
-        if words:
+                    counts.clear()
+        if counts:
             yield out()
 
     found = docs.select("text").mapInArrow(run, "u string, n long")
@@ -189,7 +194,7 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, threshold: float = THRE
 
 def replacements(disclosing: DataFrame) -> DataFrame:
     """(t, put): each disclosing term with its nearest generalisation that isn't among the disclosing units; '' if both are."""
-    bad = disclosing.select("u").distinct()
+    bad = stored(disclosing.select("u").distinct(), "pii-disclosing")
     terms = bad.where(~F.col("u").endswith("*") & ~F.col("u").startswith("["))
     first = F.concat(F.substring("u", 1, BEGINNING), F.lit("*"))
     kind = F.when(F.col("u").rlike("^[0-9]+$"), "[NUMBER]").when(F.col("u").rlike("[0-9]"), "[CODE]").otherwise("[WORD]")
@@ -207,7 +212,8 @@ def sanitised(text: str, put: dict[str, str]) -> tuple:
     """SANITISED of a text: base spans masked by kind, words in put replaced or removed; a word that touches a base span stays as it is."""
     base = base_spans(text)
     covered = [(s, e) for s, _, e in base]
-    terms = [(m.start(), len(KINDS) - 1, m.end()) for m in outside(text, covered) if m[0].lower() in put] if put else []
+    has = bool(put) and any(w.lower() in put for w in set(WORD.findall(text)))
+    terms = [(m.start(), len(KINDS) - 1, m.end()) for m in outside(text, covered) if m[0].lower() in put] if has else []
     out, at = [], 0
     for s, k, e in sorted(base + terms):
         if s >= at:
@@ -246,7 +252,7 @@ def with_sanitised(docs: DataFrame, put: DataFrame, most: int = BROADCAST_TERMS)
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x.slice(i, DOCS) for x in batches for i in range(0, len(x), DOCS)):
-        rows = [(rid, w) for rid, text in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) for w in sorted(set(WORD.findall((text or "").lower())))]
+        rows = [(rid, w) for rid, text in zip(b.column(2).to_pylist(), b.column(1).to_pylist()) for w in sorted({w.lower() for w in set(WORD.findall(text or ""))})]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], ["rid", "t"])
 
 
