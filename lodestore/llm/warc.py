@@ -1,15 +1,19 @@
 """WARC archives: written, read back, and indexed by an external merge of sorted capture runs.
 
-Archives are written by Spark's text writer with the record separator of the format, so that commits,
-retries and file systems are Spark's. They are read with binaryFile and parsed by Content-Length. Each
-archive yields a run of captures, sorted locally by URL key and time. Runs are dealt by range of (URL key,
-time, page) and each range is put in order by a k-way loser-tree merge, so that the concatenated ranges are
-globally ordered capture histories.
+Each record is a gzip member of its own, so that the index can point at it by archive, offset and length. Archives
+are written by Spark's text writer, so that commits, retries and file systems are Spark's; the next one begins
+after ARCHIVE_BYTES. They are read with binaryFile, record by record. Each archive yields a run of captures,
+sorted locally by URL key and time and cut into small blocks. Blocks are dealt by range of the whole key and come
+to a merge in the order of their first captures, so that it reads a block only when its turn has come: a k-way
+loser-tree merge over the open blocks, at most one for each run, whatever the range holds. The concatenated
+ranges are globally ordered capture histories.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +28,21 @@ LEAST_SHARED = 100
 CRLF = "\r\n"
 #: Time of page 0; later pages follow a second apart, since pages carry no time of their own.
 EPOCH = 1_700_000_000
-#: Records of an archive file at most.
-RECORDS_PER_FILE = 4000
-CAPTURES = pa.schema([("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("run", pa.string())])
-CAPTURE_COLUMNS = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, run string"
+#: Bytes of an archive after which the next begins; bytes of a record's text in one gzip member (its length field then ends with the byte 0).
+ARCHIVE_BYTES, MEMBER_BYTES = 16 << 20, 8 << 20
+#: A capture: fields of the index, and what their order is, which no two captures share.
+CAPTURE = "urlkey:string,ts:bigint,page:bigint,archive:string,offset:bigint,page_id:bigint,record_type:string,refers_to:bigint,payload_bytes:bigint,payload_digest:string,length:bigint"
+FIELDS = [x.split(":")[0] for x in CAPTURE.split(",")]
+ORDER = FIELDS[:5]
+CAPTURE_TYPE = pa.struct([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split(":") for x in CAPTURE.split(","))])
+#: Captures and bytes of their keys in a block, about; blocks that a merge reads at a time, at least; blocks of a range, about.
+BLOCK, BLOCK_BYTES, AHEAD, RANGE = 64, 16384, 64, 65536
+#: Blocks by which ranges are cut, for each range.
+SAMPLED = 16
 #: Where a missing page_id stands in an order.
 FIRST = -(1 << 63)
 #: Rows of a batch that a merge hands on.
-BATCH = 10_000
+BATCH = 2000
 
 
 def url_key(url: Column) -> Column:
@@ -52,7 +63,7 @@ def with_record_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     return seen.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
 
-def record_text(least_columns: Column | None = None) -> Column:
+def record_text() -> Column:
     """A record without its closing blank lines, from the columns of with_record_types()."""
     n = F.octet_length("payload")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n.cast("string"), F.lit(CRLF + CRLF))
@@ -76,25 +87,85 @@ def record_text(least_columns: Column | None = None) -> Column:
     )
 
 
-def write_warc(pages: DataFrame, path: str) -> str:
-    """Writes pages as gzipped WARC files under path, which may be on any file system that Spark writes to."""
-    records = with_record_types(pages).select(record_text().alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def gzip_record(record: bytes) -> bytes:
+    """record as a gzip member; as several, one after the other, if it is longer than MEMBER_BYTES."""
+    out = []
+    for at in range(0, max(1, len(record)), MEMBER_BYTES):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [z.compress(record[at : at + MEMBER_BYTES]), z.flush()]
+    return b"".join(out)
+
+
+def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Writes pages as WARC files under path, which may be on any file system that Spark writes to; a gzip member for each record.
+
+    A member ends with the high byte of its length, which is 0. The text writer puts it there as the line's end.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = size = 0
+        for b in (x.slice(i, 100) for x in batches for i in range(0, len(x), 100)):
+            number, data = [], []
+            for record in b.column(0).cast(pa.binary()):
+                member = gzip_record(record.as_py() + b"\r\n\r\n")
+                archive, size = (archive + 1, 0) if size >= archive_bytes else (archive, size)
+                size += len(member)
+                number.append(archive)
+                data.append(member[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(data, pa.binary())], ["archive", "value"])
+
+    records = with_record_types(pages).select(record_text().alias("value")).mapInArrow(members, "archive int, value binary")
+    records.select("archive", F.col("value").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\x00").text(path)
     return path
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record; lengths rule, so blocks may hold any bytes."""
-    at = 0
+def unzipped(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of each gzip member of data; data that isn't zipped is one."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield 0, len(data), data
+        return
+    at, view = 0, memoryview(data)
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        start, out, z = at, [], zlib.decompressobj(31)
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError(f"the member at byte {start} is cut off")
+            out.append(z.decompress(view[at : at + 65536]))
+            at = min(at + 65536, len(data))
+        at -= len(z.unused_data)
+        yield start, at, b"".join(out)
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, header fields in lower case, block) of each record; lengths rule, so blocks may hold any bytes.
+
+    In zipped archives offset and length are those of the record's members; one record is held at a time.
+    """
+    zipped = data[:2] == b"\x1f\x8b"
+    held, start = b"", 0
+    for a, z, content in unzipped(data):
+        held, start = (held + content, start) if held else (content, a)
+        at = 0
+        while at < len(held):
+            if not held.startswith(b"WARC/", at):
+                raise ValueError(f"no record at byte {start}")
+            end = held.find(b"\r\n\r\n", at)
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[at : end if end >= 0 else at].decode("utf-8").split(CRLF)[1:])}
+            n = int(fields["content-length"]) if end >= 0 else 0
+            if end < 0 or end + 8 + n > len(held):
+                break  # goes on in the next member
+            yield (start, z - start, fields, held[end + 4 : end + 4 + n]) if zipped else (at, end + 8 + n - at, fields, held[end + 4 : end + 4 + n])
+            at = end + 8 + n
+        held = held[at:]
+    if held:
+        raise ValueError(f"the record at byte {start} is cut off")
+
+
+def read_record(data: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """(header fields, payload) of the record that the index points at."""
+    _, _, fields, block = next(parse_warc(data[offset : offset + length]))
+    return fields, block[block.index(b"\r\n\r\n") + 4 :]
 
 
 def _page(ref: str | None) -> int | None:
@@ -102,10 +173,10 @@ def _page(ref: str | None) -> int | None:
     return int(x) if x not in ("", "none") else None
 
 
-def captures(data: bytes, run: str) -> pa.RecordBatch:
-    """The captures of an archive as a run sorted by URL key, time and page."""
+def captures(data: bytes, archive: str) -> list[tuple]:
+    """The captures of an archive, FIELDS each: a run in their order."""
     rows = []
-    for f, block in parse_warc(data):
+    for offset, length, f, block in parse_warc(data):
         body = block[(cut := block.index(b"\r\n\r\n") + 4) :]
         n, digest = len(body), f["warc-payload-digest"].removeprefix("sha256:")
         if f["warc-type"] == "revisit":  # the payload's length is in the stored HTTP header, its digest was compared when it was written
@@ -113,21 +184,44 @@ def captures(data: bytes, run: str) -> pa.RecordBatch:
         else:
             digest = hashlib.sha256(body).hexdigest()
         page = _page(f["warc-record-id"])
-        rows.append((f["warc-target-key"], EPOCH + (page or 0), page, f["warc-type"], _page(f.get("warc-refers-to")), n, digest, run))
-    rows.sort(key=lambda r: (r[0], r[1], FIRST if r[2] is None else r[2]))
-    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows) if rows else [[]] * len(CAPTURES), CAPTURES)], schema=CAPTURES)
+        rows.append((f["warc-target-key"], EPOCH + (page or 0), FIRST if page is None else page, archive, offset, page, f["warc-type"], _page(f.get("warc-refers-to")), n, digest, length))
+    rows.sort(key=lambda r: r[:5])
+    return rows
+
+
+def _blocks(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """rows in pieces of BLOCK captures and BLOCK_BYTES of keys, about."""
+    at = size = 0
+    for k, r in enumerate(rows):
+        size += len(r[0])
+        if k + 1 - at == BLOCK or size >= BLOCK_BYTES or k + 1 == len(rows):
+            yield rows[at : k + 1]
+            at, size = k + 1, 0
+
+
+BLOCKS = f"urlkey string, ts long, page long, archive string, offset long, captures array<struct<{CAPTURE}>>"
+BLOCK_NAMES = [*ORDER, "captures"]
 
 
-def read_warc(df_files: DataFrame) -> DataFrame:
-    """Captures of the archives in df_files (binaryFile rows), a sorted run for each file."""
+def _block_batch(blocks: list[list[tuple]], more: dict[str, list] | None = None) -> pa.RecordBatch:
+    firsts = [pa.array([b[0][i] for b in blocks], CAPTURE_TYPE[i].type) for i in range(len(ORDER))]
+    flat = [r for b in blocks for r in b]
+    values = pa.StructArray.from_arrays([pa.array([r[i] for r in flat], f.type) for i, f in enumerate(CAPTURE_TYPE)], fields=list(CAPTURE_TYPE))
+    lists = pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, blocks))], pa.int32()), values)
+    extra = more or {}
+    return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in extra.values()], *firsts, lists], [*extra, *BLOCK_NAMES])
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """BLOCKS of the archives in files (binaryFile rows): each archive's captures as a sorted run, in blocks."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0), b.column(1)):
-                raw = content.as_py()
-                yield captures(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw, path.as_py())
+                if blocks := list(_blocks(captures(content.as_py(), path.as_py()))):
+                    yield _block_batch(blocks)
 
-    return df_files.select("path", "content").mapInArrow(parse, CAPTURE_COLUMNS)
+    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "content").mapInArrow(parse, BLOCKS)
 
 
 class LoserTree:
@@ -163,43 +257,90 @@ class LoserTree:
             self._settle(w)
 
 
-def merge_runs(runs: DataFrame, partitions: int) -> DataFrame:
-    """Captures in global order of (urlkey, ts, page_id): partition by partition, and within each by loser-tree merge of its runs.
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple]]]:
+    """(range, captures) of each row, a few at a time as Python objects."""
+    for lo in range(0, len(batch), AHEAD):
+        b = batch.slice(lo, AHEAD)
+        lists = b.column(batch.schema.get_field_index("captures"))
+        flat = list(zip(*[c.to_pylist() for c in lists.flatten().flatten()]))
+        at = 0
+        numbers = b.column(0).to_pylist() if batch.schema.names[0] == "range" else [0] * len(b)
+        for number, n in zip(numbers, lists.value_lengths().to_pylist()):
+            yield number, flat[at : at + n]
+            at += n
+
+
+def merged(blocks: Iterator[list[tuple]]) -> Iterator[tuple]:
+    """The captures of blocks, which come by their first capture, in order.
 
-    Ranges are cut on all three keys, so that a URL with a third of all captures spreads over many ranges.
+    What comes before the next block's first capture can't be overtaken; it leaves through a loser tree over the
+    open blocks. After that at most one block of each run is open.
     """
-    names = [k.name for k in CAPTURES if k.name != "run"]
+    held: dict[str, list[tuple]] = {}
+    ahead = next(blocks, None)
+    while ahead is not None:
+        for _ in range(max(AHEAD, len(held))):
+            if ahead is None:
+                break
+            held.setdefault(ahead[0][3], []).extend(ahead)
+            ahead = next(blocks, None)
+        cut = {run: len(rows) if ahead is None else bisect.bisect_left(rows, ahead[0][:5], key=lambda r: r[:5]) for run, rows in held.items()}
+        yield from LoserTree([iter(held[run][:n]) for run, n in sorted(cut.items()) if n])
+        held = {run: rows[cut[run] :] for run, rows in held.items() if cut[run] < len(rows)}
+
+
+def merge_runs(runs: DataFrame, least: int = 2) -> DataFrame:
+    """The captures of runs (BLOCKS) in global order of ORDER: range by range, and within each by a streaming loser-tree merge.
+
+    Ranges are cut on the whole key, so that a URL with a third of all captures spreads over many ranges; their number
+    grows with that of the blocks. Boundaries come from a bounded number of blocks; blocks that lie across one are cut.
+    """
+    n = max(least, -(-runs.count() // RANGE))
+    sample = runs.select(*ORDER).orderBy(F.xxhash64(*ORDER), *ORDER).limit(SAMPLED * n).collect()  # SAMPLED for each range
+    firsts = sorted(tuple(r) for r in sample)
+    bounds = [firsts[len(firsts) * k // n] for k in range(1, n)] if firsts else []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, blocks = [], []
+            for _, rows in _rows(b):
+                while rows:
+                    k = bisect.bisect_right(bounds, rows[0][:5])
+                    to = bisect.bisect_left(rows, bounds[k], key=lambda r: r[:5]) if k < len(bounds) else len(rows)
+                    number.append(k)
+                    blocks.append(rows[:to])
+                    rows = rows[to:]
+            if blocks:
+                yield _block_batch(blocks, {"range": number})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), CAPTURES)
-        keys, ts, page, run = (table.column(c).to_pylist() for c in ("urlkey", "ts", "page_id", "run"))
-        by_run: dict[str, list[tuple]] = {}
-        for i, r in enumerate(run):
-            by_run.setdefault(r, []).append((keys[i], ts[i], FIRST if page[i] is None else page[i], i))
-        for rows in by_run.values():
-            if any(rows[j][:3] > rows[j + 1][:3] for j in range(len(rows) - 1)):  # a fetch may bring a run's blocks in another order
-                rows.sort()
-        order = pa.array([x[3] for x in LoserTree([iter(by_run[r]) for r in sorted(by_run)])], pa.int64())
-        yield from table.take(order).select(names).to_batches(max_chunksize=BATCH)
-
-    key = ["urlkey", "ts", F.coalesce("page_id", F.lit(FIRST))]
-    kinds = CAPTURE_COLUMNS.removesuffix(", run string")
-    return runs.repartitionByRange(partitions, *key).mapInArrow(merge, kinds)
-
-
-def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes pages to WARC archives, reads them back, and returns one row for each page in global capture order.
-
-    page_id, urlkey, ts, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty payload.
+        found = (row for b in batches for row in _rows(b))
+        for _, group in itertools.groupby(found, key=lambda r: r[0]):
+            rows = merged(captures for _, captures in group)
+            while part := list(itertools.islice(rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), CAPTURE_TYPE)], FIELDS)
+
+    dealt = runs.mapInArrow(cut, f"range int, {BLOCKS}").repartitionById(n, F.col("range")).sortWithinPartitions("range", *ORDER)
+    return dealt.mapInArrow(merge, CAPTURE.replace(":", " "))
+
+
+def capture_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes pages to WARC archives, reads them back, and returns one row for each page in global capture order: FIELDS without page.
+
+    archive, offset and length say where the record stands under path. Null html is an empty payload.
     Of equal payloads of at least 100 bytes the smallest page_id is the response (every row of it, if that row
     is repeated), the others revisit it; without any page_id all are responses. A null url has the key `)`.
     """
     spark = pages.sparkSession
     path = write_warc(pages, path or scratch_path(spark, "warc"))
-    files = spark.read.format("binaryFile").load(path + "/part-*")
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = stored(read_warc(files), "warc-runs")  # ranges are cut by a sample: without this the archives would be parsed for it, too
-    return merge_runs(runs, n).select("page_id", "urlkey", "ts", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = spark.read.format("binaryFile").load(path)
+    runs = stored(read_warc(files), "warc-runs")  # read three times: counted, sampled, merged
+    return merge_runs(runs, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).drop("page")
+
+
+def capture_history(pages: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, ts of each page, in the order of capture_index()."""
+    return capture_index(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
 
 
 ORACLE_SQL = """
@@ -207,9 +348,10 @@ with p as (select page_id, url, coalesce(html, '') as html, sha256(coalesce(html
 f as (select d, min(page_id) as first from p where octet_length(encode(html)) >= 100 group by d),
 k as (select p.*, f.first, lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)) as host,
              lower(regexp_replace(url, '^[^:/?#]*://[^/?#]*', '')) as rest from p left join f using (d))
-select page_id, coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest, ')') as urlkey,
-       1700000000 + page_id as ts,
+select page_id,
        octet_length(encode(html)) as payload_bytes, d as payload_digest,
        case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
-       case when first is not null and page_id <> first then first end as refers_to
+       case when first is not null and page_id <> first then first end as refers_to,
+       coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest, ')') as urlkey,
+       1700000000 + page_id as ts
 from k"""
