@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import any_of, first_of, total
+from lodestore.functions import any_of, dot, first_of, total
 
 #: Words that are no keywords of a question.
 NO_KEYWORDS = (
@@ -27,9 +29,33 @@ EVENTS = ("milestone", "graduation", "promotion", "anniversary", "birthday", "mo
 FACTS = ("degree", "major", "university", "college", "job", "position", "role", "company", "city", "country", "street", "born in", "grew up", "studied", "works at", "lives in", "years old", "salary", "budget")
 #: What introduces a preference in a user's turn.
 WISHES = (
-    r"i(?:'ve been| have been) having (?:trouble|issues?|problems?) with ([^,\.!?]{5,80})", r"i(?:'ve been| have been) feeling ([^,\.!?]{5,60})", r"i prefer ([^,\.!?]{5,60})", r"i usually ([^,\.!?]{5,60})",
-    r"i want to ([^,\.!?]{5,60})", r"i(?:'m| am) looking (?:to|for) ([^,\.!?]{5,60})", r"i(?:'m| am) thinking (?:about|of) ([^,\.!?]{5,60})", r"i(?:'ve been| have been) (?:considering|thinking about) ([^,\.!?]{5,80})",
-)
+    r"i(?:'ve been| have been) having (?:trouble|issues?|problems?) with ([^,\.!?]{5,80})",
+    r"i(?:'ve been| have been) feeling ([^,\.!?]{5,60})",
+    r"i(?:'ve been| have been) (?:struggling|dealing) with ([^,\.!?]{5,80})",
+    r"i(?:'ve been| have been) (?:worried|concerned) about ([^,\.!?]{5,80})",
+    r"i(?:'m| am) (?:worried|concerned) about ([^,\.!?]{5,80})",
+    r"i prefer ([^,\.!?]{5,60})",
+    r"i usually ([^,\.!?]{5,60})",
+    r"i(?:'ve been| have been) (?:trying|attempting) to ([^,\.!?]{5,80})",
+    r"i(?:'ve been| have been) (?:considering|thinking about) ([^,\.!?]{5,80})",
+    r"lately[,\s]+(?:i've been|i have been|i'm|i am) ([^,\.!?]{5,80})",
+    r"recently[,\s]+(?:i've been|i have been|i'm|i am) ([^,\.!?]{5,80})",
+    r"i(?:'ve been| have been) (?:working on|focused on|interested in) ([^,\.!?]{5,80})",
+    r"i want to ([^,\.!?]{5,60})",
+    r"i(?:'m| am) looking (?:to|for) ([^,\.!?]{5,60})",
+    r"i(?:'m| am) thinking (?:about|of) ([^,\.!?]{5,60})",
+    r"i(?:'ve been| have been) (?:noticing|experiencing) ([^,\.!?]{5,80})",
+)
+#: What the fourth version adds, memories.
+MEMORIES = (
+    r"i (?:still )?remember (?:the |my )?([^,\.!?]{5,80})",
+    r"i used to ([^,\.!?]{5,60})",
+    r"when i was (?:in high school|in college|young|a kid|growing up)[,\s]+([^,\.!?]{5,80})",
+    r"growing up[,\s]+([^,\.!?]{5,80})",
+    r"(?:happy|fond|good|positive) (?:high school|college|childhood|school) (?:experience|memory|memories|time)[^,\.!?]{0,60}",
+)
+#: Ranks at which retrieval is measured; sessions that a question fetches before they are re-ranked; questions that are sent out together.
+KS, FETCH, QUESTIONS = (1, 3, 5, 10, 30, 50), 50, 512
 OVERLAP, TEMPORAL, QUOTED, NAMED = 0.30, 0.40, 0.60, 0.40
 
 
@@ -39,9 +65,8 @@ def keywords(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{3,})\b"), F.lit(1)), lambda w: ~F.array_contains(stop, w))
 
 
-def share_within(terms: Column, text: Column) -> Column:
-    """The share of terms that text holds as substrings; 0 without terms."""
-    low = F.lower(text)
+def share_within(terms: Column, low: Column) -> Column:
+    """The share of terms that low, a text in lower case, holds as substrings; 0 without terms."""
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda k: F.contains(low, F.lower(k)))) / F.greatest(F.size(terms), F.lit(1)))
 
 
@@ -90,13 +115,36 @@ def question_halls(question: Column) -> Column:
     return first_of((about_assistant(question), "assistant,general"), (wants, "preferences,general"), default=F.lit("events,facts"))
 
 
-def preferences(turns: Column, most: int = 10) -> Column:
+def preferences(turns: Column, patterns: tuple[str, ...] = WISHES, most: int = 10) -> Column:
     """Ordered distinct wishes of a session's user turns (array), 5 to 80 characters, `most` at most."""
-    of = lambda t: F.concat(*[F.regexp_extract_all(F.lower(t), F.lit(p), F.lit(1)) for p in WISHES])
+    of = lambda t: F.concat(*[F.regexp_extract_all(F.lower(t), F.lit(p), F.lit(int("([^" in p))) for p in patterns])
     clean = F.transform(F.flatten(F.transform(turns, of)), lambda m: F.regexp_replace(F.trim(m), r"[.,;!? ]+$", ""))
     return F.slice(F.array_distinct(F.filter(clean, lambda m: F.length(m).between(5, 80))), 1, most)
 
 
+def in_blocks(questions: DataFrame, most: int = QUESTIONS) -> list[DataFrame]:
+    """questions in parts of about `most` rows, by hash: each can be broadcast whatever their number."""
+    n = max(1, -(-questions.count() // most))
+    return [questions.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else questions for k in range(n)]
+
+
+def nearest(questions: DataFrame, docs: DataFrame, k: int = FETCH, on: str | None = None) -> DataFrame:
+    """(query_id, doc_id, dist, near): the k docs (doc_id, vec) closest to each of questions (query_id, qvec), by 1 - cosine, then doc_id.
+
+    A stated set of questions meets all docs block by block, by vectors alone; each task keeps its own best k of a
+    question before any shuffle. on: a column that both must share.
+    """
+    out = []
+    for block in in_blocks(questions):
+        q = F.broadcast(block.select("query_id", "qvec", *([on] if on else [])))
+        v = docs.select("doc_id", "vec", *([on] if on else []))
+        pairs = v.join(q, on) if on else v.crossJoin(q)
+        dist = pairs.select("query_id", "doc_id", F.round(1 - dot("qvec", "vec"), 6).alias("dist"))
+        w = Window.partitionBy("query_id").orderBy("dist", "doc_id")
+        out.append(dist.withColumn("near", F.row_number().over(w)).where(F.col("near") <= k))
+    return reduce(DataFrame.unionByName, out)
+
+
 def ranked(scored: DataFrame, *order: Column | str) -> DataFrame:
     """scored with rank by score ascending in each query."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *(order or ("session_id",)))).cast("long"))
@@ -115,7 +163,7 @@ def best_per_session(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "session_id").agg(F.min("score").alias("score"))
 
 
-def metrics(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def metrics(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """Recall of any and all gold sessions and nDCG at each k, by query. The ideal order is that of the retrieved relevances.
 
     ranking: query_id, session_id, rank; gold: query_id, session_id.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,45 +17,100 @@ ENDS = (" yesterday", " as you suggested 3 weeks ago", " about 'the' last month"
 NO_NAMES = ["The", "That"]
 
 
+#: Questions that search: those whose id this divides.
+EVERY = 50
+#: Answer sessions of a question, by their distance from its own.
+GOLD = (0, 1, 4)
+
+
 def sessions(t: Tables) -> DataFrame:
-    """A conversation is a session: its user's, its assistant's and all its turns, a day and a vector in a coarse cell (label)."""
+    """A conversation is a session: its user's, its assistant's and all its turns (also in lower case, made once), a day, a vector and a room."""
     c = t("conversations")
     said = lambda who: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(who, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
     role = F.col("role")
-    s = c.groupBy(F.col("conv_id").alias("session_id")).agg(said(role == "user").alias("user_text"), said(role == "assistant").alias("asst_text"), said(role.isNotNull()).alias("full_text"), F.count_if(role == "user").alias("n_user"))
-    v = t("embeddings").select(F.col("vec_id").alias("session_id"), F.col("embedding").alias("vec"), "label")
+    s = c.groupBy(F.col("conv_id").alias("session_id")).agg(
+        said(role == "user").alias("user_text"),
+        said(role == "assistant").alias("asst_text"),
+        said(role.isNotNull()).alias("full_text"),
+        F.count_if(role == "user").alias("n_user"),
+    )
+    v = t("embeddings").select(F.col("vec_id").alias("session_id"), F.col("embedding").alias("vec"), F.col("label").alias("room"))
     s = s.withColumn("hall", e.session_hall(F.col("user_text"), F.col("asst_text")))
+    s = s.withColumns({"low_user": F.lower("user_text"), "low_full": F.lower("full_text")})
     return s.where("n_user > 0").join(v, "session_id").withColumn("day", F.col("session_id") % 200)
 
 
 def questions(t: Tables) -> DataFrame:
     end = F.get(F.array(*[F.lit(x) for x in ENDS]), (F.col("query_id") % 6).cast("int"))
-    v = t("embeddings").select((F.col("vec_id") - 300).alias("v"), "label")
-    q = t.asked().join(v, F.col("query_id") % 200 == F.col("v")).select("query_id", F.concat("query", end).alias("question"), "qvec", "label", (F.col("query_id") % 30 + 100).alias("asked_day"))
+    v = t("embeddings").select((F.col("vec_id") - 300).alias("v"))
+    q = t.asked().join(v, F.col("query_id") % 200 == F.col("v")).select("query_id", F.concat("query", end).alias("question"), "qvec", (F.col("query_id") % 30 + 100).alias("asked_day"))
     # what depends on the question alone is made once, before questions meet sessions
-    q = q.withColumns({"kw": e.keywords(F.col("question")), "qt": e.quoted(F.col("question")), "nm": e.names(F.col("question"), NO_NAMES), "off": e.time_offset(F.col("question")), "about": e.about_assistant(F.col("question")), "halls": F.split(e.question_halls(F.col("question")), ",")})
+    question = F.col("question")
+    q = q.withColumns({
+        "kw": e.keywords(question), "qt": e.quoted(question), "nm": e.names(question, NO_NAMES), "off": e.time_offset(question),
+        "about": e.about_assistant(question), "halls": F.split(e.question_halls(question), ","),
+    })
     low = F.transform("nm", F.lower)
     return q.withColumn("pk", F.filter("kw", lambda k: ~F.array_contains(low, k)))
 
 
-def hits(t: Tables) -> DataFrame:
-    """Questions with the sessions of their vector's cell: dist is 1 - cosine."""
-    return questions(t).join(sessions(t), "label").withColumn("dist", F.round(1 - dot("qvec", "vec"), 6))
+def searched(t: Tables) -> DataFrame:
+    return questions(t).where(F.col("query_id") % EVERY == 0)
+
+
+def hits(t: Tables, k: int = e.FETCH) -> DataFrame:
+    """Questions with the k closest of all sessions: dist is 1 - cosine. Texts come in after the search."""
+    q, s = searched(t), sessions(t)
+    found = e.nearest(q, s.withColumnRenamed("session_id", "doc_id"), k).withColumnRenamed("doc_id", "session_id")
+    return found.join(F.broadcast(q.drop("qvec")), "query_id").join(s.drop("vec"), "session_id")
+
+
+def wishes(t: Tables) -> DataFrame:
+    """(session_id, turns): users' turns in order; some get a wish, since given turns rarely hold any."""
+    c = t("conversations").where("role = 'user'")
+    begin = F.when(F.col("turn") % 4 == 0, "I prefer ").when(F.col("turn") % 4 == 2, "I still remember my ")
+    wish = F.when(begin.isNotNull(), F.concat(begin, F.substring("text", 1, 30), F.lit(". "), "text")).otherwise(F.col("text"))
+    return c.groupBy(F.col("conv_id").alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", wish.alias("w")))), lambda x: x["w"]).alias("turns"))
+
+
+def preference_docs(t: Tables, patterns: tuple[str, ...], most: int) -> DataFrame:
+    p = wishes(t).select("session_id", e.preferences(F.col("turns"), patterns, most).alias("p")).where(F.size("p") > 0)
+    return p.select("session_id", F.concat(F.lit("User has mentioned: "), F.array_join("p", "; ")).alias("doc"))
 
 
-_SESSIONS = "se0 as (select conv_id as session_id, coalesce(string_agg(text, chr(10) order by turn) filter (role = 'user'), '') as user_text, coalesce(string_agg(text, chr(10) order by turn) filter (role = 'assistant'), '') as asst_text, string_agg(text, chr(10) order by turn) as full_text, count(*) filter (role = 'user') as n_user from conversations group by 1), se as (select se0.*, embedding as vec, label, session_id % 200 as day from se0 join embeddings on vec_id = session_id where n_user > 0)"
-_QUESTIONS = f"{ASKED}, qu as (select query_id, query || case query_id % 6 " + " ".join("when {} then '{}'".format(i, x.replace("'", "''")) for i, x in enumerate(ENDS)) + " end as question, qvec, label, query_id % 30 + 100 as asked_day from asked join embeddings on vec_id - 300 = query_id % 200)"
+_SESSIONS = """se0 as (select conv_id as session_id,
+    coalesce(string_agg(text, chr(10) order by turn) filter (role = 'user'), '') as user_text,
+    coalesce(string_agg(text, chr(10) order by turn) filter (role = 'assistant'), '') as asst_text,
+    string_agg(text, chr(10) order by turn) as full_text, count(*) filter (role = 'user') as n_user from conversations group by 1),
+se as (select se0.*, embedding as vec, label as room, session_id % 200 as day from se0 join embeddings on vec_id = session_id where n_user > 0)"""
+_ENDS = " ".join("when {} then '{}'".format(i, x.replace("'", "''")) for i, x in enumerate(ENDS))
+_QUESTIONS = f"""{ASKED}, qu as (select query_id, query || case query_id % 6 {_ENDS} end as question, qvec, query_id % 30 + 100 as asked_day
+    from asked join embeddings on vec_id - 300 = query_id % 200)"""
 _NOK = "[" + ", ".join(f"'{w}'" for w in e.NO_KEYWORDS) + "]"
 _KW = f"list_filter(regexp_extract_all({spread('lower(question)')}, '{OUT}([a-z]{{3,}}){OUT}', 1), lambda w: not list_contains({_NOK}, w))"
 _SHARE = "case when len({terms}) = 0 then 0 else len(list_filter({terms}, lambda k: contains(lower({text}), lower(k)))) / len({terms}) end"
 _QT = """list_filter(list_transform(list_concat(regexp_extract_all(question, '''([^'']{3,60})''', 1), regexp_extract_all(question, '"([^"]{3,60})"', 1)), lambda p: trim(p)), lambda p: length(p) >= 3)"""
 _NM = f"list_filter(list_distinct(regexp_extract_all({spread('question')}, '{OUT}([A-Z][a-z]{{2,15}}){OUT}', 1)), lambda w: not list_contains(['The', 'That'], w))"
-_OFF = "case " + " ".join(f"when regexp_matches(lower(question), '{p}') then " + (f"[cast(regexp_extract(lower(question), '{p}', 1) as int) * {d}, {tol}]" if "(\\d+)" in p else f"[{d}, {tol}]") for p, d, tol in e.OFFSETS) + " end"
-_HITS = f"{_SESSIONS}, {_QUESTIONS}, qk as (select *, {_KW} as kw, {_QT} as qt, {_NM} as nm, {_OFF} as off from qu), hi as (select *exclude(label), round(1 - list_dot_product(qvec::double[], vec::double[]), 6) as dist from qk join se using (label)), ho as (select *, {_SHARE.format(terms='kw', text='user_text')} as ov, abs(day - (asked_day - off[1])) as away from hi), hb as (select *, round((dist * (1 - 0.3 * ov))::double, 6) as v1, case when off is null then 0 when away <= off[2] then 0.4 when away <= 3 * off[2] then 0.4 * (1 - (away - off[2]) / (2.0 * off[2])) else 0 end as tb from ho)"
+_OFF = "case " + " ".join(
+    f"when regexp_matches(lower(question), '{p}') then " + (f"[cast(regexp_extract(lower(question), '{p}', 1) as int) * {d}, {tol}]" if "(\\d+)" in p else f"[{d}, {tol}]")
+    for p, d, tol in e.OFFSETS
+) + " end"
+_ABOUT = "(" + " or ".join(f"contains(lower(question), '{x}')" for x in e.ASSISTANT) + ")"
+_QK = f"""{_SESSIONS}, {_QUESTIONS},
+qk0 as (select *, {_KW} as kw, {_QT} as qt, {_NM} as nm, {_OFF} as off, {_ABOUT} as about from qu where query_id % {EVERY} = 0),
+qk as (select *, list_filter(kw, lambda k: not list_contains(list_transform(nm, lambda n: lower(n)), k)) as pk from qk0)"""
+_DIST = "round(1 - list_dot_product(qvec::double[], vec::double[]), 6)"
+_TB = "case when off is null then 0 when away <= off[2] then 0.4 when away <= 3 * off[2] then 0.4 * (1 - (away - off[2]) / (2.0 * off[2])) else 0 end"
+_HITS = f"""{_QK},
+hi0 as (select *, {_DIST} as dist from qk, se),
+hi as (select *, row_number() over (partition by query_id order by dist, session_id) as near from hi0),
+ho as (select *, {_SHARE.format(terms='kw', text='user_text')} as ov, abs(day - (asked_day - off[1])) as away from hi where near <= {e.FETCH}),
+hb as (select *, round((dist * (1 - 0.3 * ov))::double, 6) as v1, {_TB} as tb from ho)"""
 _RANKED = "row_number() over (partition by query_id order by score, session_id) as rank"
+_GOLD = f"go as (select query_id, session_id from qk, (select unnest({list(GOLD)}) as away), se where session_id = query_id + away)"
 
 
-def v1(text: str = "user_text") -> object:
+def v1(text: str = "low_user") -> object:
     return F.round(F.col("dist") * (1 - e.OVERLAP * e.share_within(F.col("kw"), F.col(text))), 6)
 
 
@@ -87,22 +144,24 @@ def multiset_f1(t: Tables) -> DataFrame:
     return e.multiset_f1(d, "doc_id")
 
 
-_RK = f"{_HITS}, sc as (select query_id, session_id, v1 as score from hb), rk as (select *, {_RANKED} from sc), go as (select distinct query_id, session_id from hb where session_id % 3 = query_id % 3)"
+_RK = f"""{_HITS}, {_GOLD}, sc as (select query_id, session_id, v1 as score from hb), rk as (select *, {_RANKED} from sc)"""
 
 
-def ranking(t: Tables) -> DataFrame:
-    return e.ranked(hits(t).select("query_id", "session_id", v1().alias("score")))
+def ranking(t: Tables, k: int = e.FETCH) -> DataFrame:
+    return e.ranked(hits(t, k).select("query_id", "session_id", v1().alias("score")))
 
 
 def gold(t: Tables) -> DataFrame:
-    return hits(t).where("session_id % 3 = query_id % 3").select("query_id", "session_id").distinct()
+    """Answer sessions of each question, of those that there are."""
+    g = searched(t).select("query_id", F.explode(F.array(*[F.lit(x) for x in GOLD])).alias("away"))
+    return g.select("query_id", (F.col("query_id") + F.col("away")).alias("session_id")).join(sessions(t).select("session_id"), "session_id", "left_semi").select("query_id", "session_id")
 
 
 def _metric(k: int) -> str:
     return f"(coalesce(sum(rel) filter (rank <= {k}), 0) > 0)::int::double as any_{k}, (coalesce(sum(rel) filter (rank <= {k}), 0) >= max(n_gold))::int::double as all_{k}, case when coalesce(sum(rel) filter (rank <= {k}), 0) = 0 then 0 else round(sum(rel / log2(rank + 1)) filter (rank <= {k}) / list_sum(list_transform(range(1, (sum(rel) filter (rank <= {k}))::bigint + 1), lambda i: 1 / log2(i + 1))), 6) end::double as ndcg_{k}"
 
 
-@query("evl_03", f"with {_RK}, n as (select query_id, count(*) as n_gold from go group by 1), j as (select n.query_id, n_gold, rank, case when go.session_id is not null then 1 else 0 end as rel from n join rk using (query_id) left join go on go.query_id = rk.query_id and go.session_id = rk.session_id) select query_id, {_metric(1)}, {_metric(5)}, {_metric(10)} from j group by query_id")
+@query("evl_03", f"with {_RK}, n as (select query_id, count(*) as n_gold from go group by 1), j as (select n.query_id, n_gold, rank, case when go.session_id is not null then 1 else 0 end as rel from n join rk using (query_id) left join go on go.query_id = rk.query_id and go.session_id = rk.session_id) select query_id, {', '.join(_metric(k) for k in e.KS)} from j group by query_id")
 def retrieval_metrics(t: Tables) -> DataFrame:
     return e.metrics(ranking(t), gold(t))
 
@@ -134,34 +193,61 @@ def hybrid_v1(t: Tables) -> DataFrame:
     return ranking(t)
 
 
-_ABOUT = "(" + " or ".join(f"contains(lower(question), '{x}')" for x in e.ASSISTANT) + ")"
-_V2 = f"{_HITS}, nr as (select *, row_number() over (partition by query_id order by dist, session_id) as near, round((dist * (1 - 0.3 * {_SHARE.format(terms='kw', text='full_text')}))::double, 6) as full_, round((v1 * (1 - tb))::double, 6) as v2 from hb)"
+_V2 = f"{_HITS}, nr as (select *, round((dist * (1 - 0.3 * {_SHARE.format(terms='kw', text='full_text')}))::double, 6) as full_, round((v1 * (1 - tb))::double, 6) as v2 from hb)"
 
 
-@query("evl_08", f"with {_V2}, o as (select query_id, session_id, case when {_ABOUT} then (near > 5)::int else 0 end as late, case when {_ABOUT} then case when near <= 5 then full_ else 0 end else v2 end as score from nr) select query_id, session_id, row_number() over (partition by query_id order by late, score, session_id) as rank from o")
+@query("evl_08", f"with {_V2}, o as (select query_id, session_id, case when about then (near > 5)::int else 0 end as late, case when about then case when near <= 5 then full_ else 0 end else v2 end as score from nr) select query_id, session_id, row_number() over (partition by query_id order by late, score, session_id) as rank from o")
 def hybrid_v2(t: Tables) -> DataFrame:
     h = hits(t)
     about = F.col("about")
     one = e.ranked(h.where(~about).select("query_id", "session_id", F.round(v1() * (1 - boost()), 6).alias("score"))).select("query_id", "session_id", "rank")
-    return one.unionByName(e.two_pass(h.where(about).select("query_id", "session_id", "dist", v1("full_text").alias("score"))))
+    return one.unionByName(e.two_pass(h.where(about).select("query_id", "session_id", "dist", v1("low_full").alias("score"))))
+
 
+def _preferences(patterns: tuple[str, ...], most: int) -> str:
+    """pd: session_id, doc."""
+    found = ", ".join("regexp_extract_all(lower(w), '{}', {})".format(p.replace("'", "''"), int("([^" in p)) for p in patterns)
+    wish = "case turn % 4 when 0 then 'I prefer ' || substr(text, 1, 30) || '. ' || text when 2 then 'I still remember my ' || substr(text, 1, 30) || '. ' || text else text end"
+    return f"""pw as (select conv_id as session_id, turn, {wish} as w from conversations where role = 'user'),
+pm as (select session_id, flatten(list(flatten([{found}]) order by turn)) as m from pw group by 1),
+pc as (select session_id, list_filter(list_transform(m, lambda x: regexp_replace(trim(x), '[.,;!? ]+$', '')), lambda x: length(x) between 5 and 80) as c from pm),
+pd as (select session_id, 'User has mentioned: ' || array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i)[1:{most}], '; ') as doc from pc where len(c) > 0)"""
 
-@query("evl_09")
+
+@query("evl_09", f"with {_preferences(e.WISHES, 10)} select * from pd")
 def preference_documents(t: Tables) -> DataFrame:
-    """Users' wishes by session; the turns get some, since given turns rarely hold any."""
-    c = t("conversations").where("role = 'user'")
-    wish = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("I prefer "), F.substring("text", 1, 30), F.lit(". "), "text")).otherwise(F.col("text"))
-    s = c.groupBy(F.col("conv_id").alias("session_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", wish.alias("w")))), lambda x: x["w"]).alias("turns"))
-    p = s.select("session_id", e.preferences(F.col("turns")).alias("p")).where(F.size("p") > 0)
-    return p.select("session_id", F.concat(F.lit("User has mentioned: "), F.array_join("p", "; ")).alias("doc"))
+    """Users' wishes by session, as documents that are indexed beside it (see evl_10)."""
+    return preference_docs(t, e.WISHES, 10)
+
+
+_V4 = f"""{_QK}, {_preferences(e.WISHES + e.MEMORIES, 12)},
+px as (select query_id, session_id * 2 as doc, session_id, full_text, user_text as text, vec, day from se, (select query_id from qk)
+       union all select query_id, session_id * 2 + 1, session_id, full_text, doc, embedding, session_id % 200
+       from pd join embeddings on vec_id = session_id + 1 join se using (session_id), (select query_id from qk where not about)),
+hi0 as (select qk.*, px.* exclude(query_id), {_DIST} as dist from qk join px using (query_id)),
+hi as (select *, row_number() over (partition by query_id order by dist, doc) as near, abs(day - (asked_day - off[1])) as away from hi0),
+sx as (select query_id, session_id, case when about
+    then dist * (1 - 0.3 * {_SHARE.format(terms='kw', text='full_text')}) * (1 - 0.6 * {_SHARE.format(terms='qt', text='full_text')})
+    else dist * (1 - 0.3 * {_SHARE.format(terms='kw', text='text')}) * (1 - {_TB}) * (1 - 0.4 * {_SHARE.format(terms='nm', text='text')}) end as score
+    from hi where near <= {e.FETCH}),
+m as (select query_id, session_id, round(min(score)::double, 6) as score from sx group by 1, 2)"""
 
 
-@query("evl_10", f"with {_HITS}, s as (select query_id, session_id % 20 as session_id, v1 * (1 - tb) * (1 - 0.6 * {_SHARE.format(terms='qt', text='user_text')}) * (1 - 0.4 * {_SHARE.format(terms='nm', text='user_text')}) as score from hb), m as (select query_id, session_id, round(min(score)::double, 6) as score from s group by 1, 2) select *, {_RANKED} from m")
+@query("evl_10", f"with {_V4} select *, {_RANKED} from m")
 def hybrid_v4(t: Tables) -> DataFrame:
-    text = F.col("user_text")
-    score = v1() * (1 - boost()) * (1 - e.QUOTED * e.share_within(F.col("qt"), text)) * (1 - e.NAMED * e.share_within(F.col("nm"), text))
-    s = hits(t).select("query_id", (F.col("session_id") % 20).alias("session_id"), score.alias("score"))
-    return e.ranked(e.best_per_session(s).withColumn("score", F.round("score", 6)))
+    """Sessions and their preference documents in one search; the best of both stands for the session. Questions about the assistant look at whole sessions alone."""
+    q, s = searched(t), sessions(t)
+    vec = t("embeddings").select((F.col("vec_id") - 1).alias("session_id"), F.col("embedding").alias("vec"))
+    wish = preference_docs(t, e.WISHES + e.MEMORIES, 12).join(vec, "session_id").join(s.select("session_id", "day"), "session_id")
+    own = s.select((F.col("session_id") * 2).alias("doc_id"), "vec", "day", F.col("low_user").alias("low"), "low_full")
+    more = wish.select((F.col("session_id") * 2 + 1).alias("doc_id"), "vec", "day", F.lower("doc").alias("low"), F.lit("").alias("low_full"))
+    every = own.unionByName(more)
+    found = e.nearest(q.where("about"), own).unionByName(e.nearest(q.where("not about"), every))
+    h = found.join(F.broadcast(q.drop("qvec")), "query_id").join(every.drop("vec"), "doc_id")
+    about = F.col("dist") * (1 - e.OVERLAP * e.share_within(F.col("kw"), F.col("low_full"))) * (1 - e.QUOTED * e.share_within(F.col("qt"), F.col("low_full")))
+    other = F.col("dist") * (1 - e.OVERLAP * e.share_within(F.col("kw"), F.col("low"))) * (1 - boost()) * (1 - e.NAMED * e.share_within(F.col("nm"), F.col("low")))
+    scored = h.select("query_id", F.floor(F.col("doc_id") / 2).cast("long").alias("session_id"), F.when(F.col("about"), about).otherwise(other).alias("score"))
+    return e.ranked(e.best_per_session(scored).withColumn("score", F.round("score", 6)))
 
 
 def _count(text: str, signals: tuple[str, ...]) -> str:
@@ -181,28 +267,63 @@ def hall_boosts(t: Tables) -> DataFrame:
     return e.ranked(h.select("query_id", "session_id", "hall", F.round(v1() * factor * (1 - boost()), 6).alias("score")))
 
 
-@query("evl_12", f"with {_HITS}, p as (select *, list_filter(kw, lambda k: not list_contains(list_transform(nm, lambda n: lower(n)), k)) as pk from hb), s as (select query_id, session_id, round((dist * (1 - 0.5 * {_SHARE.format(terms='pk', text='full_text')}) * (1 - 0.6 * {_SHARE.format(terms='qt', text='full_text')}) * (1 - 0.2 * {_SHARE.format(terms='nm', text='full_text')}))::double, 6) as score from p), r as (select *, {_RANKED} from s), g as (select query_id, session_id from hb where session_id % 3 = query_id % 3) select g.query_id, round(avg((coalesce(rank, 99) <= 10)::int)::double, 6) as recall from g left join r using (query_id, session_id) group by 1")
+_PRED = "round((dist * (1 - 0.5 * {pk}) * (1 - 0.6 * {qt}) * (1 - 0.2 * {nm}))::double, 6)".format(**{k: _SHARE.format(terms=k, text="full_text") for k in ("pk", "qt", "nm")})
+_ROOMS = f"""{_QK}, {_GOLD},
+ra as (select room, string_agg(lower(substr(full_text, 1, 80)), ' ') as said from se group by 1),
+rs as (select query_id, room, case when len(pk) = 0 then 0 else len(list_filter(pk, lambda k: contains(said, k))) / len(pk) end as part from qk, ra),
+rr as (select *, row_number() over (partition by query_id order by part desc, room desc) as place, max(part) over (partition by query_id) as best from rs),
+ro as (select query_id, room from rr where place <= 3 or best = 0),
+hi0 as (select qk.*, se.*, {_DIST} as dist from qk join ro using (query_id) join se using (room)),
+hi as (select *, row_number() over (partition by query_id order by dist, session_id) as near from hi0),
+s as (select query_id, session_id, {_PRED} as score from hi where near <= {e.FETCH}), r as (select *, {_RANKED} from s)"""
+
+
+def predicate_score() -> object:
+    low = F.col("low_full")
+    score = F.col("dist") * (1 - 0.5 * e.share_within(F.col("pk"), low)) * (1 - 0.6 * e.share_within(F.col("qt"), low)) * (1 - 0.2 * e.share_within(F.col("nm"), low))
+    return F.round(score, 6).alias("score")
+
+
+def question_rooms(q: DataFrame, s: DataFrame) -> DataFrame:
+    """(query_id, qvec, room): the three rooms whose sessions' summaries hold most of a question's predicate words; all rooms if none holds any.
+
+    A word has no spaces, so a room's summaries hold it together if one of them does: no room's text is gathered.
+    """
+    said = s.select("room", F.substring("low_full", 1, 80).alias("said"))
+    found = []
+    for block in e.in_blocks(q):
+        asked = F.broadcast(block.select("query_id", "pk"))
+        place = F.sequence(F.lit(0), F.size("pk") - 1)
+        held = said.join(asked.where(F.size("pk") > 0)).select("query_id", "room", F.explode(F.filter(place, lambda i: F.contains("said", F.get("pk", i)))).alias("i"))
+        found.append(held.distinct())
+    part = reduce(DataFrame.unionByName, found).groupBy("query_id", "room").agg(F.count("*").alias("held"))
+    rooms = s.select("room").distinct()
+    every = q.select("query_id", "qvec").join(F.broadcast(rooms)).join(part, ["query_id", "room"], "left").fillna(0, ["held"])  # as many rows as questions have rooms
+    own = Window.partitionBy("query_id")
+    placed = every.withColumns({"place": F.row_number().over(own.orderBy(F.desc("held"), F.desc("room"))), "best": F.max("held").over(own)})
+    return placed.where("place <= 3 or best = 0").select("query_id", "qvec", "room")
+
+
+@query("evl_12", f"with {_ROOMS} select go.query_id, round(avg((coalesce(rank, 99) <= 10)::int)::double, 6) as recall from go left join r using (query_id, session_id) group by 1")
 def locomo(t: Tables) -> DataFrame:
-    return fractional_recall(t, 10)
-
-
-def locomo_ranking(t: Tables) -> DataFrame:
-    text = F.col("full_text")
-    score = F.col("dist") * (1 - 0.5 * e.share_within(F.col("pk"), text)) * (1 - 0.6 * e.share_within(F.col("qt"), text)) * (1 - 0.2 * e.share_within(F.col("nm"), text))
-    return e.ranked(hits(t).select("query_id", "session_id", F.round(score, 6).alias("score")))
+    """Sessions of the rooms that a question leads to, re-ranked; the share of its answers among the first ten."""
+    q, s = searched(t), sessions(t)
+    found = e.nearest(question_rooms(q, s), s.withColumnRenamed("session_id", "doc_id"), e.FETCH, "room").withColumnRenamed("doc_id", "session_id")
+    h = found.join(F.broadcast(q.drop("qvec")), "query_id").join(s.drop("vec"), "session_id")
+    r = e.ranked(h.select("query_id", "session_id", predicate_score()))
+    j = gold(t).join(r.select("query_id", "session_id", "rank"), ["query_id", "session_id"], "left")
+    return j.groupBy("query_id").agg(F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 10).cast("int")), 6).alias("recall"))
 
 
-def fractional_recall(t: Tables, k: int) -> DataFrame:
-    j = gold(t).join(locomo_ranking(t).select("query_id", "session_id", "rank"), ["query_id", "session_id"], "left")
-    return j.groupBy("query_id").agg(F.round(F.avg((F.coalesce("rank", F.lit(99)) <= k).cast("int")), 6).alias("recall"))
+#: Sessions that count, and that are fetched before they are re-ranked.
+TOP, MORE = 5, 15
 
 
-@query("evl_13", f"with {_RK}, h as (select r.query_id, max((g.session_id is not null)::int) as hit from rk r left join go g on g.query_id = r.query_id and g.session_id = r.session_id where rank <= 5 group by 1) select query_id % 6 as category, count(*) as n, round(avg(hit), 6) as hit_rate from h group by 1")
+@query("evl_13", f"with {_RK}, f as (select query_id, session_id, row_number() over (partition by query_id order by v1, session_id) as rank from hb where near <= {MORE}), h as (select f.query_id, max((g.session_id is not null)::int) as hit from f left join go g on g.query_id = f.query_id and g.session_id = f.session_id where rank <= {TOP} group by 1) select query_id % 6 as category, count(*) as n, round(avg(hit), 6) as hit_rate from h group by 1")
 def membench(t: Tables) -> DataFrame:
-    top = ranking(t).where("rank <= 5").groupBy("query_id").agg(F.collect_list("session_id").alias("s"))
-    g = gold(t).groupBy("query_id").agg(F.collect_list("session_id").alias("g"))
-    h = top.join(g, "query_id", "left").select((F.col("query_id") % 6).alias("category"), F.coalesce(F.arrays_overlap("s", "g"), F.lit(False)).cast("int").alias("hit"))
-    return h.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+    top = ranking(t, MORE).where(F.col("rank") <= TOP).join(gold(t).withColumn("hit", F.lit(1)), ["query_id", "session_id"], "left")
+    h = top.groupBy("query_id").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("hit"))
+    return h.groupBy((F.col("query_id") % 6).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
 @query("evl_14", "with m as (select conv_id, text, turn from conversations where text <> ''), ev as (select conv_id, case when turn % 2 = 0 then substr(text, 3, 40) else 'x' || text || 'y' end as evidence, turn from m) select ev.conv_id, count(distinct ev.turn) filter (m.turn is not null) as found, count(distinct ev.turn) as n from ev left join m on m.conv_id = ev.conv_id and m.turn <> ev.turn + 1 and (contains(m.text, evidence) or contains(evidence, m.text)) group by 1")
@@ -247,9 +368,9 @@ def diary(t: Tables) -> DataFrame:
     return e.ranked(e.best_per_session(raw.unionByName(layer)).withColumn("score", F.round("score", 6)))
 
 
-@query("evl_21", f"with {_HITS}, p as (select *, list_filter(kw, lambda k: not list_contains(list_transform(nm, lambda n: lower(n)), k)) as pk from hb), s as (select query_id, session_id, round((dist * (1 - 0.5 * {_SHARE.format(terms='pk', text='full_text')}) * (1 - 0.6 * {_SHARE.format(terms='qt', text='full_text')}) * (1 - 0.2 * {_SHARE.format(terms='nm', text='full_text')}))::double, 6) as score from p) select * from (select *, {_RANKED} from s) where rank <= 5")
+@query("evl_21", f"with {_HITS}, s as (select query_id, session_id, {_PRED} as score from hb where near <= {MORE}) select * from (select *, {_RANKED} from s) where rank <= {TOP}")
 def locomo_standard(t: Tables) -> DataFrame:
-    return locomo_ranking(t).where("rank <= 5")
+    return e.ranked(hits(t, MORE).select("query_id", "session_id", predicate_score())).where(F.col("rank") <= TOP)
 
 
 @query("evl_22", "select min(conv_id) as session_id, md5(text) as h from conversations where turn = 0 group by md5(text)")
