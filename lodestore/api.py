@@ -46,7 +46,7 @@ def search(queries: DataFrame, cards: DataFrame, memories: DataFrame, budget: in
     the cards are fused, the memories of the best anchors fetched, ranked by cosine and quality, and packed.
     """
     q = queries.withColumn("tokens", retrieval.tokens(F.col("query")))
-    fused = retrieval.fused(retrieval.ranked(retrieval.bm25_scores(q, cards), 10), retrieval.ranked(retrieval.dense_scores(q, cards), 10), anchors)
+    fused = retrieval.fused(retrieval.bm25_scores(q, cards, 10), retrieval.dense_scores(q, cards, 10), anchors)
     hits = context.fetched(fused, memories, 10, 5).select("query_id", "seq").join(memories, "seq").join(q.select("query_id", "qvec"), "query_id")
     hits = hits.withColumn("cosine", F.coalesce(F.round(cosine("embedding", "qvec"), 6), F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.round(F.col("cosine") * 0.7 + F.col("quality_score") * 0.3, 6).desc(), "seq")

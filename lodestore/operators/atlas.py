@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import cosine, dot, unit
-from lodestore.operators.retrieval import small
+from lodestore.functions import unit
+from lodestore.operators.retrieval import small, vector_top
 
 NOVEL = 0.7
 ANCHOR_BUDGET, NOVELTY_ANCHORS = 20, 32
+#: Vectors that a clustering begins with, at most; stability under which one is rejected.
+SEEDED, STABLE = 20_000, 0.6
 
 
 def clusters(n: int) -> int:
@@ -19,40 +26,60 @@ def clusters(n: int) -> int:
     return min(224, max(8, n // 5))
 
 
-def nearest(vectors: DataFrame, centroids: DataFrame, most: int = 1) -> DataFrame:
-    """(id, anchor_id, similarity, rank): the closest centroids (anchor_id, centroid) of each vector (id, vec). Centroids are few and broadcast."""
-    s = vectors.crossJoin(small(centroids)).select("id", "anchor_id", F.round(dot("vec", "centroid"), 6).alias("similarity"))
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "anchor_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+def nearest(vectors: DataFrame, centroids: DataFrame, most: int = 1, keep: bool = False) -> DataFrame:
+    """(id, anchor_id, similarity, rank[, vec]): the closest centroids (anchor_id, centroid) of each vector (id, vec), found where the vector lies."""
+    return vector_top(vectors, "id", "vec", centroids, "anchor_id", "centroid", most, keep).withColumnRenamed("score", "similarity")
 
 
 def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(anchor_id, centroid): unit means of the vectors nearest to each centroid; one without vectors stays.
 
-    Coordinates are summed by (anchor, position), with partial sums before the shuffle.
+    Each task hands on one partial sum for each anchor.
     """
-    near = nearest(vectors, centroids).select("id", "anchor_id").join(vectors, "id")
-    mean = near.select("anchor_id", F.posexplode("vec").alias("i", "x")).groupBy("anchor_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    new = mean.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))  # as many as dimensions
-    return centroids.join(new, "anchor_id", "left").select("anchor_id", F.coalesce(unit("m"), F.col("centroid").cast("array<double>")).alias("centroid"))
-
-
-def spherical_kmeans(vectors: DataFrame, k: int, seed: int, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(anchor_id, centroid) after Lloyd steps on unit vectors (id, vec), from k vectors drawn by hash of seed and id.
-
-    Centroids are k rows and pass the driver each round; vectors never do.
+    near = nearest(vectors, centroids, keep=True)
+    mean = near.groupBy("anchor_id").agg(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))).alias("m"))
+    return centroids.join(mean.select("anchor_id", vector_to_array("m").alias("m")), "anchor_id", "left").select("anchor_id", F.coalesce(unit("m"), F.col("centroid").cast("array<double>")).alias("centroid"))
+
+
+def spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of sample (unit vectors): the first at random, each next one with a chance in proportion to max(0, 1 - its cosine to the nearest so far)."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(sample)))]
+    near = sample @ sample[chosen[0]]
+    while len(chosen) < min(k, len(sample)):
+        weight = np.maximum(0.0, 1.0 - near)
+        weight[chosen] = 0.0
+        p = weight / weight.sum() if weight.sum() > 0 else None
+        pick = int(rng.choice(len(sample), p=p)) if p is not None else next(i for i in range(len(sample)) if i not in set(chosen))
+        chosen.append(pick)
+        near = np.maximum(near, sample @ sample[pick])
+    return sample[chosen]
+
+
+def spherical_kmeans(vectors: DataFrame, k: int, seed: int, rounds: int = 200, tolerance: float = 1e-4, sample: int = SEEDED) -> DataFrame:
+    """(anchor_id, centroid) after Lloyd steps over all unit vectors (id, vec), until no centroid moves by `tolerance`.
+
+    It begins with spread_out() of up to `sample` vectors, drawn by hash of seed and id; a centroid that no vector is nearest to is
+    drawn anew from them. Centroids are k rows and pass the driver each round; vectors beyond the sample never do.
     """
     spark = vectors.sparkSession
-    start = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).select("vec").collect()
+    drawn = np.array([r["vec"] for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vec").collect()], dtype=float)
     schema = "anchor_id int, centroid array<double>"
-    now = np.array([r["vec"] for r in start], dtype=float)
+    if not len(drawn):
+        return spark.createDataFrame([], schema)
+    rng, now = np.random.default_rng(seed), spread_out(drawn, k, seed)
     for _ in range(rounds):
-        step = lloyd_step(vectors, spark.createDataFrame([(i, c) for i, c in enumerate(now.tolist())], schema)).orderBy("anchor_id").collect()
-        new = np.array([r["centroid"] for r in step])
+        centroids = spark.createDataFrame(list(enumerate(now.tolist())), schema)
+        near = nearest(vectors, centroids, keep=True)
+        step = near.groupBy("anchor_id").agg(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))).alias("m")).collect()  # k rows
+        new = drawn[rng.integers(len(drawn), size=len(now))]
+        for r in step:
+            if (size := np.linalg.norm(r["m"].toArray())) > 0:
+                new[r["anchor_id"]] = r["m"].toArray() / size
         shift, now = np.linalg.norm(new - now, axis=1).max(), new
         if shift < tolerance:
             break
-    return spark.createDataFrame([(i, c) for i, c in enumerate(now.tolist())], schema)
+    return spark.createDataFrame(list(enumerate(now.tolist())), schema)
 
 
 def rand_index(pairs: DataFrame) -> DataFrame:
@@ -68,6 +95,23 @@ def rand_index(pairs: DataFrame) -> DataFrame:
     return one.select(F.round(ari, 6).alias("ari"), F.round((ari + 1) / 2, 6).alias("stability"))
 
 
+def stability(labels: DataFrame, columns: list[str], least: float = STABLE) -> DataFrame:
+    """One row: the mean of the stabilities of each two of columns (labellings of one row each), and whether it reaches `least`."""
+    each = [rand_index(labels.select(F.col(x).alias("a"), F.col(y).alias("b"))).select("stability") for x, y in combinations(columns, 2)]
+    mean = F.round(F.avg("stability"), 6)
+    return reduce(DataFrame.unionByName, each).agg(mean.alias("stability"), (mean >= least).alias("accepted"))
+
+
+def stable_atlas(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (0, 1, 2), least: float = STABLE) -> tuple[DataFrame, DataFrame]:
+    """(centroids of the first seed, stability() of the clusterings of all seeds). Each clustering labels all vectors."""
+    made = [spherical_kmeans(vectors, k, seed) for seed in seeds]
+    labels = None
+    for n, c in enumerate(made):
+        one = nearest(vectors, c).select("id", F.col("anchor_id").alias(f"l{n}"))
+        labels = one if labels is None else labels.join(one, "id")
+    return made[0], stability(labels, [f"l{n}" for n in range(len(seeds))], least)
+
+
 def matched(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
     """(new_id, old_id, similarity): one to one, greedily from the highest cosine. new: (new_id, vec), old: (old_id, vec); a few hundred each, one group."""
 
@@ -80,8 +124,9 @@ def matched(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:
                 out.append((r.new_id, r.old_id, r.similarity))
         return pd.DataFrame(out, columns=["new_id", "old_id", "similarity"])
 
-    s = small(new.withColumnRenamed("vec", "a")).crossJoin(small(old.withColumnRenamed("vec", "b")))
-    s = s.select("new_id", "old_id", F.round(cosine("a", "b"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    unit_rows = lambda df, key: df.select(key, unit("vec").alias("vec"))
+    s = vector_top(unit_rows(new, "new_id"), "new_id", "vec", unit_rows(old, "old_id"), "old_id", "vec", None)
+    s = s.select("new_id", "old_id", F.col("score").alias("similarity")).where(F.col("similarity") >= least)
     return s.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "new_id int, old_id int, similarity double")
 
 

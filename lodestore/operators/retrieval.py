@@ -5,10 +5,17 @@ Cards are few (hundreds), queries many: cards are broadcast after their count is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lodestore.functions import any_of, dot, first_of, total
+from lodestore.functions import any_of, first_of, total
 
 #: Stop words of tokenizer A.
 STOP = (
@@ -38,10 +45,88 @@ CAPITAL_TERMS = r"\b[A-Z][a-z]+[A-Z][\p{L}\p{N}_]*\b|\b[A-Z]{2,}[\p{L}\p{N}_]*\b
 
 
 def small(cards: DataFrame) -> DataFrame:
-    """cards for a broadcast, once their number is known to be small."""
-    if (n := cards.count()) > MOST_CARDS:
-        raise ValueError(f"{n} cards; at most {MOST_CARDS} are broadcast, use buckets instead")
-    return F.broadcast(cards)
+    """cards for a broadcast join if they are few enough; beyond that the join shuffles."""
+    return F.broadcast(cards) if cards.limit(MOST_CARDS + 1).count() <= MOST_CARDS else cards
+
+
+def card_blocks(cards: DataFrame, key: str) -> list[DataFrame]:
+    """cards in parts of about MOST_CARDS, by hash of their key: each fits a broadcast, however many there are."""
+    n = max(1, -(-cards.count() // MOST_CARDS))
+    return [cards.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else cards for k in range(n)]
+
+
+Scorer = Callable[[pa.Array], np.ndarray]
+
+
+def top_by_row(rows: DataFrame, key: str, value: str, blocks: list[tuple[list, Scorer]], card_key: StructField, most: int | None, positive: bool = False, keep: bool = False) -> DataFrame:
+    """(key, card_key, score, rank[, value]) of the `most` best cards (None: all) of each of rows, ties by card; without a shuffle if there is one block.
+
+    blocks: card keys in order, and what scores a column of values against them as a matrix. Rows without a value have none.
+    """
+    types = [rows.schema[key].dataType, card_key.dataType, DoubleType(), LongType()]
+    names = [key, card_key.name, "score", "rank"]
+    if keep:
+        types, names = [*types, rows.schema[value].dataType], [*names, value]
+    given = rows.where(F.col(value).isNotNull()).select(key, value)
+    out = []
+    for docs, scorer in blocks:
+        shared = rows.sparkSession.sparkContext.broadcast((docs, scorer))
+        doc_type = to_arrow_type(card_key.dataType)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, doc_type=doc_type) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            docs, scorer = shared.value
+            cards, step = pa.array(docs, doc_type), max(1, 1_000_000 // max(1, len(docs)))
+            for b in (x.slice(i, step) for x in batches for i in range(0, len(x), step)):
+                score = np.round(scorer(b.column(1)), 6)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                best = np.take_along_axis(score, order, axis=1)
+                row, col = np.nonzero(best > 0 if positive else np.ones_like(best, dtype=bool))
+                at = pa.array(row)
+                columns = [b.column(0).take(at), cards.take(pa.array(order[row, col])), pa.array(best[row, col] + 0.0), pa.array(col + 1)]
+                yield pa.RecordBatch.from_arrays(columns + ([b.column(1).take(at)] if keep else []), names)
+
+        out.append(given.mapInArrow(run, StructType([StructField(n, t) for n, t in zip(names, types)])))
+    every = reduce(DataFrame.unionByName, out)
+    if len(out) > 1:
+        w = Window.partitionBy(key).orderBy(F.desc("score"), card_key.name)
+        every = every.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= (most or 1 << 30))
+    return every
+
+
+class VectorScorer:
+    """Dot products of list values with the rows of a matrix."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+
+    def __call__(self, values: pa.Array) -> np.ndarray:
+        if not len(values):
+            return np.zeros((0, len(self.matrix)))
+        return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1) @ self.matrix.T
+
+
+def vector_top(rows: DataFrame, key: str, value: str, cards: DataFrame, card_key: str, card_value: str, most: int | None, keep: bool = False) -> DataFrame:
+    """top_by_row() by the dot product of vectors. Cards go out in bounded blocks."""
+    blocks = []
+    for part in card_blocks(cards, card_key):
+        got = part.where(F.col(card_value).isNotNull()).select(card_key, card_value).orderBy(card_key).collect()  # MOST_CARDS, about
+        blocks.append(([r[0] for r in got], VectorScorer(np.array([r[1] for r in got], dtype=np.float64).reshape(len(got), -1))))
+    return top_by_row(rows, key, value, blocks, cards.schema[card_key], most, keep=keep)
+
+
+class TermScorer:
+    """Sums of the weights that a card gives to each token; a token counts as often as it comes."""
+
+    def __init__(self, cards: int, weights: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.cards, self.weights = cards, weights
+
+    def __call__(self, values: pa.Array) -> np.ndarray:
+        out = np.zeros((len(values), self.cards))
+        for row, tokens in zip(out, values.to_pylist()):
+            for t in tokens:
+                if (found := self.weights.get(t)) is not None:
+                    row[found[0]] += found[1]
+        return out
 
 
 def query_frame(q: Column) -> dict[str, Column]:
@@ -102,17 +187,24 @@ def bm25_index(docs: DataFrame) -> DataFrame:
     return p.join(df, "term").crossJoin(F.broadcast(all_)).select("doc", "term", "tf", "dl", idf.alias("idf"), "avgdl")
 
 
-def bm25_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """(query_id, doc, score) for every query (query_id, tokens) and card (doc, tokens); a query word counts as often as it comes; 0 without a match.
+def bm25_scores(queries: DataFrame, cards: DataFrame, most: int | None = None, positive: bool = False) -> DataFrame:
+    """(query_id, doc, score, rank) of queries (query_id, tokens) and cards (doc, tokens); a query word counts as often as it comes; 0 without a match.
 
-    Cards and their index are small and broadcast; the product of queries and cards is what is asked for.
+    The `most` best of each query, ties by doc; None: all. positive: only those with a match. What a card gives to a word
+    doesn't depend on the query, so it is worked out once, and each query is scored where it lies.
     """
-    index = bm25_index(cards)
-    words = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = words.join(F.broadcast(index), "term").groupBy("query_id", "doc").agg(F.sum(part).alias("s"))
-    every = queries.select("query_id").crossJoin(small(cards.select("doc")))
-    return every.join(hits, ["query_id", "doc"], "left").select("query_id", "doc", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    tf = F.col("tf")
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    index = bm25_index(cards).select("doc", "term", weight.alias("w"))
+    blocks = []
+    for part in card_blocks(cards.select("doc"), "doc"):
+        docs = [r[0] for r in part.orderBy("doc").collect()]  # MOST_CARDS, about
+        at, weights = {d: i for i, d in enumerate(docs)}, {}
+        for r in index.join(F.broadcast(part), "doc", "left_semi").collect():  # the words of these cards
+            weights.setdefault(r["term"], []).append((at[r["doc"]], r["w"]))
+        held = {t: (np.array([i for i, _ in sorted(p)]), np.array([w for _, w in sorted(p)])) for t, p in weights.items()}
+        blocks.append((docs, TermScorer(len(docs), held)))
+    return top_by_row(queries, "query_id", "tokens", blocks, cards.schema["doc"], most, positive)
 
 
 def ranked(scores: DataFrame, most: int, *ties: str) -> DataFrame:
@@ -121,9 +213,9 @@ def ranked(scores: DataFrame, most: int, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 
 
-def dense_scores(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """(query_id, doc, score): dot product of each query's vector with each card's centroid."""
-    return queries.crossJoin(small(cards)).select("query_id", "doc", F.round(dot("qvec", "centroid"), 6).alias("score"))
+def dense_scores(queries: DataFrame, cards: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, doc, score, rank): the dot products of each query's vector with the `most` best cards' centroids, ties by doc; None: all."""
+    return vector_top(queries, "query_id", "qvec", cards, "doc", "centroid", most)
 
 
 def fused(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
@@ -136,9 +228,8 @@ def fused(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
 
 def selected(scores: DataFrame, threshold: float, most: int, least: int = 0) -> DataFrame:
     """Trained selection from sorted scores: all over the threshold up to `most`, filled up to `least`, one at least."""
-    w = Window.partitionBy("query_id")
-    passed = F.least(F.count_if(F.col("score") >= threshold).over(w), F.lit(most))
-    r = ranked(scores, 1 << 30).withColumn("_p", passed)
+    passed = F.least(F.count_if(F.col("score") >= threshold).over(Window.partitionBy("query_id")), F.lit(most))
+    r = ranked(scores, max(most, least, 1)).withColumn("_p", passed)  # beyond these ranks none is selected
     return r.where(F.col("rank") <= F.greatest("_p", F.lit(least), F.lit(1))).drop("_p")
 
 

@@ -50,9 +50,22 @@ def cluster_counts(t: Tables) -> DataFrame:
     return g.select("tenant_id", "n", F.least(F.lit(224), F.greatest(F.lit(8), F.floor(F.col("n") / 5))).alias("k"), (F.col("n") >= 200).alias("enough"))
 
 
-@query("atl_04", "with c as (select label as a, vec_id * 7 // 100 as b, count(*) as n from embeddings group by 1, 2), s as (select sum(n * (n - 1) / 2) as s, sum(n)::double as n from c), ra as (select sum(n * (n - 1) / 2) as sa from (select sum(n)::double as n from c group by a)), rb as (select sum(n * (n - 1) / 2) as sb from (select sum(n)::double as n from c group by b)), r as (select (s - sa * sb / (n * (n - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2)) as ari from s, ra, rb) select round(ari, 6) as ari, round((ari + 1) / 2, 6) as stability from r")
+def _ari(x: str, y: str) -> str:
+    """The adjusted Rand index of two labellings in lb, brought to 0 to 1."""
+    choose = "sum(n * (n - 1) / 2)"
+    side = lambda c: f"(select {choose} from (select count(*)::double as n from lb group by {c}))"
+    both = f"(select {choose} from (select count(*)::double as n from lb group by {x}, {y}))"
+    due = f"({side(x)} * {side(y)} / (select count(*)::double * (count(*) - 1) / 2 from lb))"
+    return f"round((({both} - {due}) / (({side(x)} + {side(y)}) / 2 - {due}) + 1) / 2, 6)"
+
+
+@query("atl_04", f"""with lb as (select label as l0, vec_id * 7 // 100 as l1, label * 2 + (vec_id % 50 = 0)::int as l2 from embeddings),
+ s as (select round(({_ari('l0', 'l1')} + {_ari('l0', 'l2')} + {_ari('l1', 'l2')}) / 3, 6) as stability) select stability, stability >= 0.6 as accepted from s""")
 def stability(t: Tables) -> DataFrame:
-    return a.rand_index(t("embeddings").select(F.col("label").alias("a"), F.floor(F.col("vec_id") * 7 / 100).alias("b")))
+    """Three labellings stand for those of three seeds."""
+    v = F.col("vec_id")
+    labels = t("embeddings").select(F.col("label").alias("l0"), F.floor(v * 7 / 100).alias("l1"), (F.col("label") * 2 + (v % 50 == 0).cast("int")).alias("l2"))
+    return a.stability(labels, ["l0", "l1", "l2"])
 
 
 @query("atl_05", f"with {CARDS} select anchor_id, case when is_novelty then 'novelty-' else 'cluster-' end || anchor_id as name from cards")
@@ -60,7 +73,17 @@ def stub_cards(t: Tables) -> DataFrame:
     return t.cards().select("anchor_id", F.concat(F.when(F.col("is_novelty"), "novelty-").otherwise("cluster-"), "anchor_id").alias("name"))
 
 
-@query("atl_06")
+_MATCH = f"""{_LLOYD.split(" select anchor_id, round(sum")[0]},
+ u as (select anchor_id as new_id, list(x order by i) as vec from s group by 1),
+ o as (select new_id, old_id, similarity, row_number() over (order by similarity desc, new_id, old_id) as i from (
+   select new_id, c.anchor_id as old_id, round(list_dot_product(u.vec::double[], c.centroid::double[]), 6) as similarity from u, cards c) where similarity >= 0.3),
+ f as (select 0::bigint as i, []::int[] as used_new, []::int[] as used_old, false as kept union all
+   select o.i, case when ok then list_append(used_new, new_id) else used_new end, case when ok then list_append(used_old, old_id) else used_old end, ok
+   from (select o.i, new_id, old_id, used_new, used_old, not list_contains(used_new, new_id) and not list_contains(used_old, old_id) as ok from f join o on o.i = f.i + 1) o)
+ select new_id, old_id, similarity from o join f using (i) where kept""".replace("with ", "with recursive ", 1)
+
+
+@query("atl_06", _MATCH)
 def anchor_matching(t: Tables) -> DataFrame:
     old = centroids(t).select(F.col("anchor_id").alias("old_id"), F.col("centroid").cast("array<double>").alias("vec"))
     new = a.lloyd_step(vectors(t), centroids(t).select("anchor_id", "centroid")).select(F.col("anchor_id").alias("new_id"), F.col("centroid").alias("vec"))

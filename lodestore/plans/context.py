@@ -16,7 +16,7 @@ ACTIVE = "not is_archived and not is_duplicate"
 
 def fetched(t: Tables) -> DataFrame:
     """Memories of the three closest anchors of each query."""
-    top = r.ranked(r.dense_scores(queries(t), active_cards(t)), 3)
+    top = r.dense_scores(queries(t), active_cards(t), 3)
     return c.fetched(top, t.memories().where(ACTIVE), 10, 5)
 
 

@@ -106,7 +106,7 @@ _BM25 = f"""{ASKED}, {CARDS}, docs as (select anchor_id as doc, {_tokens('meanin
 
 @query("ret_04", f"with {_BM25} select * from bm")
 def bm25_scores(t: Tables) -> DataFrame:
-    return r.bm25_scores(queries(t), active_cards(t))
+    return r.bm25_scores(queries(t), active_cards(t)).drop("rank")
 
 
 _RANK = "row_number() over (partition by query_id order by score desc, doc) as rank"
@@ -114,7 +114,7 @@ _RANK = "row_number() over (partition by query_id order by score desc, doc) as r
 
 @query("ret_05", f"with {_BM25} select * from (select *, {_RANK} from de) where rank <= 10")
 def dense_top_k(t: Tables) -> DataFrame:
-    return r.ranked(r.dense_scores(queries(t), active_cards(t)), 10)
+    return r.dense_scores(queries(t), active_cards(t), 10)
 
 
 _FUSED = f"""x as (select * from (select *, {_RANK} from bm) where rank <= 10), y as (select * from (select *, {_RANK} from de) where rank <= 10),
@@ -124,27 +124,27 @@ _FUSED = f"""x as (select * from (select *, {_RANK} from bm) where rank <= 10),
 @query("ret_06", f"with {_BM25}, {_FUSED} select * from (select *, {_RANK} from fu) where rank <= 8")
 def hybrid(t: Tables) -> DataFrame:
     q, c = queries(t), active_cards(t)
-    return r.fused(r.ranked(r.bm25_scores(q, c), 10), r.ranked(r.dense_scores(q, c), 10), 8)
+    return r.fused(r.bm25_scores(q, c, 10), r.dense_scores(q, c, 10), 8)
 
 
 @query("ret_07", f"with {_BM25} select * from (select *, {_RANK} from bm where score > 0) where rank <= 48")
 def shortlist(t: Tables) -> DataFrame:
-    return r.ranked(r.bm25_scores(queries(t), active_cards(t)).where("score > 0"), r.SHORTLIST)
+    return r.bm25_scores(queries(t), active_cards(t), r.SHORTLIST, positive=True)
 
 
 @query("ret_09", f"with {_BM25} select *, {_RANK} from de")
 def full_atlas(t: Tables) -> DataFrame:
-    return r.ranked(r.dense_scores(queries(t), active_cards(t)), 1 << 30)
+    return r.dense_scores(queries(t), active_cards(t))
 
 
 @query("sel_01", f"with {_BM25} select * from (select *, {_RANK} from de) where rank <= 6 and score >= 0.05")
 def cosine_selection(t: Tables) -> DataFrame:
-    return r.ranked(r.dense_scores(queries(t), active_cards(t)), 6).where("score >= 0.05")
+    return r.dense_scores(queries(t), active_cards(t), 6).where("score >= 0.05")
 
 
 @query("sel_02", f"with {_BM25}, p as (select *, {_RANK}, least(count(*) filter (score >= 0.1) over (partition by query_id), 6) as p from de) select query_id, doc, score, rank from p where rank <= greatest(p, 2, 1)")
 def trained_selection(t: Tables) -> DataFrame:
-    return r.selected(r.dense_scores(queries(t), active_cards(t)), 0.1, 6, 2)
+    return r.selected(r.dense_scores(queries(t), active_cards(t), 6), 0.1, 6, 2)
 
 
 @query("sel_03", "select false as ok, 'recall; families: ' || (select string_agg(lang, ',' order by lang) from (select lang from documents group by lang having count(*) < 50)) as reasons where exists (select 1 from documents group by lang having count(*) < 50) union all select false, 'recall' where not exists (select 1 from documents group by lang having count(*) < 50)")
@@ -155,7 +155,7 @@ def training_gates(t: Tables) -> DataFrame:
 
 @query("sel_05", f"with {_BM25}, p as (select *, {_RANK} from de), b as (select *, count(*) filter (score >= 0.02) over (partition by query_id) as p from p where rank <= 12) select query_id, doc, score, rank from b where rank <= greatest(p, 4, 1)")
 def adaptive_selection(t: Tables) -> DataFrame:
-    budget = r.ranked(r.dense_scores(queries(t), active_cards(t)), 12).drop("rank")
+    budget = r.dense_scores(queries(t), active_cards(t), 12).drop("rank")
     return r.selected(budget, 0.02, 12, 4)
 
 

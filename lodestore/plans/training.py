@@ -16,7 +16,7 @@ CAND = f"{_BM25}, ca as (select query_id, (rank - 1)::int as pos, doc as anchor_
 
 
 def candidates(t: Tables) -> DataFrame:
-    d = r.ranked(r.dense_scores(queries(t), active_cards(t)), 12)
+    d = r.dense_scores(queries(t), active_cards(t), 12)
     return d.select("query_id", (F.col("rank") - 1).cast("int").alias("pos"), F.col("doc").alias("anchor_id"))
 
 
