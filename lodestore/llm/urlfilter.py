@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import ascii_lower, salted_join, stored
@@ -29,7 +29,7 @@ BEFORE, AFTER = "\x02", "\x03"
 #: URLs that a task cuts at a time.
 URLS = 500
 #: Tasks that the rows of one gram or URL are dealt over.
-SALTS = 16
+SALTS = 4
 #: One in so many labelled URLs calibrates instead of being counted.
 HELD_OUT = 5
 #: Scores are binned for calibration: bins over [-LIMIT, LIMIT].
@@ -75,7 +75,7 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> t
 
 
 def url_grams(urls: DataFrame) -> DataFrame:
-    """(key, n, block, g, m) for each distinct gram of ORDER + 1 characters of each row of urls (key, url, n, block): m times in the URL."""
+    """(uid, n, block, held, g, m) for each distinct gram of ORDER + 1 characters of each row of urls (uid, url, n, block, held): m times in the URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, URLS) for x in batches for i in range(0, len(x), URLS)):
@@ -84,46 +84,44 @@ def url_grams(urls: DataFrame) -> DataFrame:
                 text = BEFORE * ORDER + (url or "") + AFTER
                 seen.append(Counter(text[i : i + ORDER + 1] for i in range(len(text) - ORDER)))
             at = pa.array(np.repeat(np.arange(len(b)), [len(c) for c in seen]))
-            same = [b.column(c).take(at) for c in (0, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array([g for c in seen for g in c], pa.string()), pa.array([m for c in seen for m in c.values()], pa.int64())], ["key", "n", "block", "g", "m"])
+            same = [b.column(c).take(at) for c in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([g for c in seen for g in c], pa.string()), pa.array([m for c in seen for m in c.values()], pa.int64())], ["uid", "n", "block", "held", "g", "m"])
 
-    return urls.select("key", "url", "n", "block").mapInArrow(run, "key binary, n long, block int, g string, m long")
+    return urls.select("uid", "url", "n", "block", "held").mapInArrow(run, "uid long, n long, block int, held boolean, g string, m long")
 
 
-def _keys(g: Column) -> list[Column]:
-    """Of each order: the gram's end of order + 1 characters, and its context, as keys of gram_counts()."""
-    return [k for o in range(ORDER + 1) for k in (F.concat(F.lit(f"g{o}"), F.substring(g, ORDER + 1 - o, o + 1)), F.concat(F.lit(f"c{o}"), F.substring(g, ORDER + 1 - o, o)))]
+def gram_counts(grams: DataFrame, counted: Column) -> list[DataFrame]:
+    """Of each order a table (g, allow, block, of_allow, of_block): how often each of its grams comes in URLs that are counted, by class, and how often its context.
 
-
-def gram_counts(grams: DataFrame) -> DataFrame:
-    """(k, allow, block): how often each gram and context of each order comes, by class, over all grams (g, n, m, block) of known verdict."""
-    times = F.col("n") * F.col("m")
-    whole = grams.groupBy("g").agg(F.sum(F.when(F.col("block") == 0, times).otherwise(0)).alias("allow"), F.sum(F.when(F.col("block") == 1, times).otherwise(0)).alias("block"))
-    return whole.select(F.explode(F.array(*_keys(F.col("g")))).alias("k"), "allow", "block").groupBy("k").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-
-
-def gram_ratios(distinct: DataFrame, counts: DataFrame) -> DataFrame:
-    """(g, ratio) for each of distinct (g, each once): log P(last character | context), as rejected minus as accepted."""
-    asked = distinct.select("g", F.posexplode(F.array(*_keys(F.col("g")))).alias("i", "k"))
-    # the contexts of order 0 are two keys that all grams ask for
-    found = salted_join(asked, counts, "k", F.col("g"), salts=SALTS).where("allow is not null")
-    rows = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("allow", "block").alias("n")))).alias("n"))  # 2 (ORDER + 1) at most
-    every = distinct.join(rows, "g", "left")
-    logs = []
-    for c in ("block", "allow"):
-        p = F.lit(FLAT)
-        for o in range(ORDER + 1):
-            n, of = (F.coalesce(F.col("n")[F.lit(2 * o + j)][c], F.lit(0)) for j in (0, 1))
-            p = (n + ALPHA * p) / (of + ALPHA)
-        logs.append(F.log(p))
-    return every.select("g", (logs[0] - logs[1]).alias("ratio"))
-
-
-def url_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, score) of each URL of grams: the log-likelihood difference by character; over 0: more like the rejected."""
-    ratios = gram_ratios(grams.select("g").distinct(), counts)
-    per = salted_join(grams.select("key", "g", "m"), ratios, "g", F.col("key"), salts=SALTS)
-    return per.groupBy("key").agg(F.round(F.sum(F.col("m") * F.col("ratio")) / F.sum("m"), 9).alias("score"))
+    Every gram of every URL has a row, also where nothing is counted. Each order is summed from the next longer one.
+    """
+    times = lambda c: F.sum(F.when(counted & (F.col("block") == c), F.col("n") * F.col("m")).otherwise(0))
+    now, out = grams.groupBy("g").agg(times(0).alias("allow"), times(1).alias("block")), []
+    for o in range(ORDER, -1, -1):
+        same = Window.partitionBy(F.substring("g", 1, o))  # as many rows as characters follow a context
+        out.append(now.withColumns({"of_allow": F.sum("allow").over(same), "of_block": F.sum("block").over(same)}))
+        now = now.groupBy(F.substring("g", 2, o).alias("g")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    return out[::-1]
+
+
+def gram_ratios(counts: list[DataFrame]) -> DataFrame:
+    """(g, ratio) for each gram of the highest order: log P(last character | context), as rejected minus as accepted."""
+    under = None
+    for o, table in enumerate(counts):
+        now = table
+        if under is None:
+            now = now.withColumns({"p_allow": F.lit(FLAT), "p_block": F.lit(FLAT)})
+        else:  # a gram's end is shared by as many grams as there are characters
+            now = now.join(under, F.substring("g", 2, o) == F.col("end"))
+        p = {c: ((F.col(c) + ALPHA * F.col(f"p_{c}")) / (F.col(f"of_{c}") + ALPHA)) for c in ("allow", "block")}
+        under = now.select(F.col("g").alias("end"), p["allow"].alias("p_allow"), p["block"].alias("p_block"))
+    return under.select(F.col("end").alias("g"), (F.log("p_block") - F.log("p_allow")).alias("ratio"))
+
+
+def url_scores(grams: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(uid, score) of each URL of grams: the log-likelihood difference by character; over 0: more like the rejected."""
+    per = salted_join(grams.select("uid", "g", "m"), ratios, "g", F.col("uid"), salts=SALTS)
+    return per.groupBy("uid").agg(F.round(F.sum(F.col("m") * F.col("ratio")) / F.sum("m"), 9).alias("score"))
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -155,14 +153,14 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
     base = base.withColumn("rule", name).withColumn("ruled", verdict).withColumn("key", F.unhex(F.sha2(F.col("url").cast("binary"), 256)))
     # each distinct URL is read once, however many pages have it
     urls = base.groupBy("key").agg(F.first("url").alias("url"), F.count("*").alias("n"), F.first((F.col("ruled") == "block").cast("int")).alias("block"))
+    urls = stored(urls.withColumn("uid", F.monotonically_increasing_id()).withColumn("held", F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0), "url-list")
     grams = stored(url_grams(urls), "url-grams")
-    held = F.pmod(F.xxhash64("key"), F.lit(HELD_OUT)) == 0
-    counts = stored(gram_counts(grams.where(F.col("block").isNotNull() & ~held)), "url-gram-counts")
-    # every text ends with AFTER, so this gram is there for each class that was counted
-    both = counts.where((F.col("k") == "g0" + AFTER) & (F.col("allow") > 0) & (F.col("block") > 0)).count() > 0
-    scores = stored(url_scores(grams, counts), "url-scores")
-    known = grams.where(F.col("block").isNotNull() & held).groupBy("key").agg(F.first("n").alias("n"), F.first("block").alias("block"))
-    limit = calibrated(known.join(scores, "key")) if both else float("inf")
+    ratios = stored(gram_ratios(gram_counts(grams, F.col("block").isNotNull() & ~F.col("held"))), "url-gram-ratios")
+    scores = stored(url_scores(grams, ratios), "url-scores")
+    known = urls.where("block is not null").select("uid", "n", "block", "held")
+    classes = known.where(~F.col("held")).agg(F.count_distinct("block")).first()[0]
+    limit = calibrated(known.where("held").join(scores, "uid")) if classes == 2 else float("inf")
     guess = F.when(F.col("score") >= limit, "block").otherwise("allow")
-    out = salted_join(base.drop("url"), scores, "key", F.coalesce("page_id", F.lit(0)), salts=SALTS)
+    named = urls.select("uid", "key").join(scores, "uid").select("key", "score")
+    out = salted_join(base.drop("url"), named, "key", F.coalesce("page_id", F.lit(0)), salts=SALTS)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", guess).alias("verdict"), "score")

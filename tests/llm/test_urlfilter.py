@@ -91,19 +91,20 @@ def test_scores_and_verdicts_equal_brute_force(spark, monkeypatch):
 
 
 def test_counts_grow_with_the_input(spark):
-    """Every gram and context of every order has a row of its own."""
-    rows = [(b"%d" % i, f"http://{i:x}.example/", 1, i % 2) for i in range(300)]
-    urls = spark.createDataFrame(rows, "key binary, url string, n long, block int")
-    counts = urlfilter.gram_counts(urlfilter.url_grams(urls))
-    want = set()
-    for _, u, _, _ in rows:
+    """Every gram of every order has a row of its own, with its counts and its context's; what isn't counted has zeros."""
+    rows = [(i, f"http://{i:x}.example/", 1 + i % 2, i % 2, i % 7 == 0) for i in range(300)]
+    urls = spark.createDataFrame(rows, "uid long, url string, n long, block int, held boolean")
+    tables = urlfilter.gram_counts(urlfilter.url_grams(urls), ~F.col("held"))
+    want = [defaultdict(lambda: [0, 0, 0, 0]) for _ in range(5)]
+    context = [defaultdict(lambda: [0, 0]) for _ in range(5)]
+    for _, u, n, block, held in rows:
         t = "\x02" * 4 + u + "\x03"
         for i in range(4, len(t)):
             for o in range(5):
-                want |= {f"g{o}{t[i - o : i + 1]}", f"c{o}{t[i - o : i]}"}
-    assert {r.k for r in counts.collect()} == want
-    total = counts.where("k = 'c0'").first()
-    assert (total.allow, total.block) == tuple(sum(len(u) + 1 for _, u, _, b in rows if b == c) for c in (0, 1))
+                want[o][t[i - o : i + 1]][block] += n * (not held)
+                context[o][t[i - o : i]][block] += n * (not held)
+    for o, table in enumerate(tables):
+        assert {r.g: [r.allow, r.block, r.of_allow, r.of_block] for r in table.collect()} == {g: [*c[:2], *context[o][g[:-1]]] for g, c in want[o].items()}
 
 
 def test_edges(spark):
