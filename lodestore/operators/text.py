@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import dot, first_of, total
+from lodestore.functions import first_of, total
+from lodestore.sources.files import stored
 
 #: Facet patterns.
 CAMEL = r"\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b"
@@ -31,6 +33,8 @@ ACTOR = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:said|told|mentioned|suggested|
 #: Boundaries of sections by kind of text.
 BOUNDARY = {"code": r"\n(?=class |def |async def )", "conversation": r"\n(?=Human:|User:|>)", "prose": r"\n(?=#{1,3} )|\n(?=\n)"}
 RETENTION, DUPLICATE = 0.65, 0.92
+#: Vectors of a tile that is compared whole.
+TILE = 4096
 
 
 def sections(docs: DataFrame, kind: str) -> DataFrame:
@@ -102,15 +106,64 @@ def evidence(memories: DataFrame, chunks: DataFrame) -> DataFrame:
     return memories.join(spans, "memory", "left").select("memory", F.coalesce("spans", whole).alias("spans"))
 
 
+def near_pairs(memories: DataFrame, least: float = DUPLICATE, rows: int = TILE) -> DataFrame:
+    """(late, early): each two memories of one kind whose cosine reaches `least`, by id. memories: memory long, kind, vec (unit vectors).
+
+    Vectors are dealt into tiles of about `rows`; each two tiles of a kind are compared in a task of their own as matrices, and
+    only near pairs leave it. Exact, and quadratic in the memories of a kind, as a comparison with the whole store is;
+    near_duplicates_lsh() is for stores where that is too much.
+    """
+    n = max(1, -(-memories.count() // rows))
+    kind = F.col("kind").cast("string").alias("kind")
+    tiled = memories.where("vec is not null").select(F.col("memory").cast("long").alias("memory"), kind, F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("memory"), F.lit(n)).cast("int").alias("tile"))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"kind": [key[0]], "tile": [key[1]], "ids": [pdf["memory"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(pdf["vec"]).tobytes()]})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        tiles = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64)) for r in pdf.sort_values("tile").itertuples()]
+        if len(tiles) == 1 and pdf["a"].iloc[0] != pdf["b"].iloc[0]:  # the other tile of this pair is empty
+            return pd.DataFrame({"late": [], "early": []}, dtype="int64")
+        (i, x), (j, y) = tiles[0], tiles[-1]
+        a, b = np.nonzero(x.reshape(len(i), -1) @ y.reshape(len(j), -1).T >= least)
+        a, b = i[a], j[b]
+        keep = a > b if len(tiles) == 1 else a != b
+        return pd.DataFrame({"late": np.maximum(a, b)[keep], "early": np.minimum(a, b)[keep]})
+
+    packed = tiled.groupBy("kind", "tile").applyInPandas(pack, "kind string, tile int, ids binary, vecs binary")
+    other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("kind", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "ids", "vecs")
+    return other.groupBy("kind", "a", "b").applyInPandas(compare, "late long, early long")
+
+
 def near_duplicates(memories: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """(memory, duplicate_of): the smallest earlier memory of the same type and bucket whose cosine reaches `least`.
+    """(memory, duplicate_of): memories in the order of their ids, each against all earlier ones of its kind that aren't duplicates themselves; the newest that is near enough.
+
+    memories: memory long, kind, vec (unit vectors).
+    """
+    return kept_first(near_pairs(memories, least))
+
 
-    memories: memory, kind, bucket, vec (unit vectors). Only pairs of one bucket meet: callers give the label of a
-    cluster or a hash of the vector as the bucket, so that no type is compared with itself whole.
+def kept_first(pairs: DataFrame) -> DataFrame:
+    """(memory, duplicate_of) of pairs (late, early): late is a duplicate if any of its early ones isn't, of the last of these.
+
+    All that can be decided is decided in each round, over all chains at once; there are as many rounds as the longest chain of
+    doubts, a few in practice.
     """
-    a, b = memories.alias("a"), memories.alias("b")
-    near = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.memory") > F.col("b.memory")) & (dot("a.vec", "b.vec") >= least)
-    return a.join(b, near).groupBy(F.col("a.memory").alias("memory")).agg(F.min("b.memory").alias("duplicate_of"))
+    spark = pairs.sparkSession
+    edges = stored(spark, pairs.distinct(), "duplicate-pairs")
+    late, early = edges.select(F.col("late").alias("m")).distinct(), edges.select(F.col("early").alias("m")).distinct()
+    kept, gone, open_ = early.join(late, "m", "left_anti"), None, late
+    while True:
+        kept = stored(spark, kept, "duplicate-kept")
+        hit = edges.join(kept.withColumnRenamed("m", "early"), "early", "left_semi").select(F.col("late").alias("m")).distinct()
+        gone = stored(spark, hit, "duplicate-gone")
+        left = stored(spark, open_.join(gone, "m", "left_anti").join(kept, "m", "left_anti"), "duplicate-open")
+        if left.isEmpty():
+            break
+        waits = edges.join(left.withColumnRenamed("m", "early"), "early", "left_semi").select(F.col("late").alias("m")).distinct()
+        kept, open_ = kept.unionByName(left.join(waits, "m", "left_anti")), left
+    sure = edges.join(kept.withColumnRenamed("m", "early"), "early", "left_semi")
+    return sure.groupBy(F.col("late").alias("memory")).agg(F.max("early").alias("duplicate_of"))
 
 
 def near_duplicates_lsh(memories: DataFrame, least: float = DUPLICATE, tables: int = 8) -> DataFrame:
@@ -126,7 +179,7 @@ def near_duplicates_lsh(memories: DataFrame, least: float = DUPLICATE, tables: i
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=4 * away, numHashTables=tables, seed=7).fit(v)
     pairs = model.approxSimilarityJoin(v, v, away + 1e-9, "distance")
     near = pairs.where("datasetA.kind = datasetB.kind and datasetA.memory > datasetB.memory")
-    return near.groupBy(F.col("datasetA.memory").alias("memory")).agg(F.min("datasetB.memory").alias("duplicate_of"))
+    return kept_first(near.select(F.col("datasetA.memory").alias("late"), F.col("datasetB.memory").alias("early")))
 
 
 def facet_entities(text: Column) -> Column:
@@ -154,10 +207,24 @@ def actors(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, common: DataFrame, least: int = 3) -> DataFrame:
-    """(doc_id, name, n): capitalised words that aren't common (word) and come `least` times in a document."""
-    named = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{1,19})\b"), F.lit(1))).alias("name"))
-    counted = named.groupBy("doc_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counted.join(common.select(F.col("word").alias("_w")), F.lower("name") == F.col("_w"), "left_anti")
+    """(doc_id, name, n): capitalised words, and phrases of them, of which no word is common (word), that come `least` times in a document."""
+    one = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{1,19})\b"), F.lit(1))
+    many = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(1))
+    counted = docs.select("doc_id", F.explode(F.concat(one, many)).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = counted.select("name").distinct().select("name", F.explode(F.split(F.lower("name"), r"\s+")).alias("word"))
+    return counted.join(words.join(common, "word", "left_semi").select("name").distinct(), "name", "left_anti").select("doc_id", "name", "n")
+
+
+def known_people(queries: DataFrame, people: DataFrame) -> DataFrame:
+    """(query_id, name): people (name, alias) of whom an alias stands in a query (query_id, query) as whole words, in any case.
+
+    A query's words lead to the aliases that begin with one of them; only these are looked for.
+    """
+    first = F.regexp_extract(F.lower("alias"), r"[\p{L}\p{N}_]+", 0)
+    words = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("w"))
+    found = words.join(people.select("name", "alias", first.alias("w")), "w")
+    whole = F.concat(F.lit(r"(?iU)\b\Q"), "alias", F.lit(r"\E\b"))
+    return found.where(F.rlike("query", whole)).select("query_id", "name").distinct()
 
 
 #: Signals of a person and of a project; {n} is the name.
@@ -243,14 +310,22 @@ def spelling_skipped(token: Column, known: Column) -> Column:
 
 
 def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(token, word): the closest dictionary word (word, n) with two edits at most, three for tokens of over 7 letters; the commonest of equals.
+    """(token, word, edits): the closest dictionary word (word, n) with two edits at most, three for tokens of over 7 letters; the commonest of equals.
 
-    Tokens and words meet on a shared first letter and a length within three, never all with all. Tokens in the
-    dictionary aren't corrected.
+    A word cut into one piece more than there may be edits has a piece that no edit touches. Tokens and words meet
+    on such a piece, shifted by no more than the edits, so no word within them is missed. Tokens in the dictionary aren't corrected.
     """
-    d = dictionary.select("word", "n", F.substring("word", 1, 1).alias("_c"), F.length("word").alias("_l"))
-    t = tokens.join(dictionary.select(F.col("word").alias("token")), "token", "left_anti").select("token", F.substring("token", 1, 1).alias("_c"), F.explode(F.sequence(F.length("token") - 3, F.length("token") + 3)).alias("_l"))
-    most = F.when(F.length("token") <= 7, 2).otherwise(3)
-    near = t.join(d, ["_c", "_l"]).withColumn("edits", F.levenshtein("token", "word")).where(F.col("edits") <= most)
+    size, edits = F.length("word"), F.col("most")
+    cut = lambda i, n, parts: F.floor(i * n / parts).cast("int")
+    d = dictionary.select("word", "n", F.explode(F.array(F.lit(2), F.lit(3))).alias("most")).select("*", size.alias("size"), F.explode(F.sequence(F.lit(0), edits)).alias("i"))
+    begin, end = cut(F.col("i"), F.col("size"), edits + 1), cut(F.col("i") + 1, F.col("size"), edits + 1)
+    d = d.withColumns({"begin": begin, "end": end}).select("word", "n", "most", "size", "i", F.substring("word", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
+    t = tokens.join(dictionary.select(F.col("word").alias("token")), "token", "left_anti").withColumn("most", F.when(F.length("token") <= 7, 2).otherwise(3))
+    t = t.withColumn("size", F.explode(F.sequence(F.greatest(F.length("token") - edits, F.lit(1)), F.length("token") + edits))).withColumn("i", F.explode(F.sequence(F.lit(0), edits)))
+    t = t.withColumns({"begin": begin, "end": end}).withColumn("at", F.explode(F.sequence(F.col("begin") - edits, F.col("begin") + edits)))
+    t = t.where((F.col("at") >= 0) & (F.col("at") + F.col("end") - F.col("begin") <= F.length("token")))
+    t = t.select("token", "most", "size", "i", F.substring("token", F.col("at") + 1, F.col("end") - F.col("begin")).alias("piece")).distinct()
+    near = t.join(d, ["most", "size", "i", "piece"]).select("token", "word", "n", "most").distinct()
+    near = near.withColumn("edits", F.levenshtein("token", "word")).where(F.col("edits") <= F.col("most"))
     w = Window.partitionBy("token").orderBy("edits", F.desc("n"), "word")
     return near.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("token", "word", F.col("edits").cast("long").alias("edits"))

@@ -83,9 +83,15 @@ def coerced(t: Tables) -> DataFrame:
     return j.select("memory_object_id", F.when(kind.isin(known), kind).otherwise("SEMANTIC").alias("memory_type"), F.substring(F.coalesce("j.title", F.lit("Untitled")), 1, 200).alias("title"), F.substring("j.summary", 1, 300).alias("summary"), F.when(F.col("j.speaker_role").isin("user", "assistant", "system", "external"), F.col("j.speaker_role")).alias("speaker_role"), interval.alias("validity_interval"))
 
 
-@query("con_09", f"with e as (select vec_id as memory, vec_id % 2 as kind, label as bucket, embedding::double[] as vec from embeddings) select a.memory, min(b.memory) as duplicate_of from e a join e b on a.kind = b.kind and a.bucket = b.bucket and a.memory > b.memory and list_dot_product(a.vec, b.vec) >= 0.3 group by a.memory")
+@query("con_09", """with recursive e as (select vec_id as memory, vec_id % 2 as kind, embedding::double[] as vec from embeddings),
+ p as (select a.memory, list(b.memory) as near from e a join e b on a.kind = b.kind and a.memory > b.memory and list_dot_product(a.vec, b.vec) >= 0.3 group by a.memory),
+ o as (select e.memory, coalesce(near, []) as near, row_number() over (order by e.memory) as i from e left join p using (memory)),
+ f as (select 0::bigint as i, []::bigint[] as kept, null::bigint as memory, null::bigint as duplicate_of union all
+   select o.i, case when len(list_intersect(near, kept)) = 0 then list_append(kept, o.memory) else kept end, o.memory, list_max(list_intersect(near, kept)) from f join o on o.i = f.i + 1)
+ select memory, duplicate_of from f where duplicate_of is not null""")
 def near_duplicates(t: Tables) -> DataFrame:
-    e = t("embeddings").select(F.col("vec_id").alias("memory"), (F.col("vec_id") % 2).alias("kind"), F.col("label").alias("bucket"), F.col("embedding").alias("vec"))
+    """The given vectors are far apart, so near is .3 here."""
+    e = t("embeddings").select(F.col("vec_id").alias("memory"), (F.col("vec_id") % 2).alias("kind"), F.col("embedding").alias("vec"))
     return text.near_duplicates(e, 0.3)
 
 
@@ -154,7 +160,11 @@ def common_words(t: Tables) -> DataFrame:
 
 
 _COMMON = "common as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as word from benchmark)"
-_CAND = f"c as (select doc_id, name, count(*) as n from (select doc_id, unnest(regexp_extract_all({spread('text')}, '{OUT}([A-Z][a-z]{{1,19}}){OUT}', 1)) as name from documents) where lower(name) not in (select word from common) group by 1, 2 having count(*) >= 3)"
+#: Separators are doubled for the patterns, and halved again in what they find.
+_NAMES = f"""list_concat(regexp_extract_all({spread('text')}, '{OUT}([A-Z][a-z]{{1,19}}){OUT}', 1),
+    list_transform(regexp_extract_all({spread('text')}, '{OUT}([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+){OUT}', 1), lambda x: regexp_replace(x, '(\\s)\\s', '\\1', 'g')))"""
+_CAND = f"""c0 as (select doc_id, name, count(*) as n from (select doc_id, unnest({_NAMES}) as name from documents) group by 1, 2 having count(*) >= 3),
+ c as (select * from c0 where not exists (select 1 from common where list_contains(string_split_regex(lower(name), '\\s+'), word)))"""
 
 
 @query("ent_01", f"with {_COMMON}, {_CAND} select * from c")
@@ -221,10 +231,21 @@ def learned(t: Tables) -> DataFrame:
     return people.join(known, F.lower("name") == F.col("_k"), "left_anti").select("name", "confidence").groupBy("name").agg(F.max("confidence").alias("confidence"))
 
 
-@query("ent_09", f"with {ASKED}, w as (select query_id, unnest(regexp_extract_all({spread('query')}, '{OUT}([A-Z][a-z]{{2,15}}){OUT}', 1)) as word from asked), {_COMMON} select distinct query_id, word from w where lower(word) not in (select word from common)")
-def unknown_words(t: Tables) -> DataFrame:
-    w = t.asked().select("query_id", F.explode(F.regexp_extract_all("query", F.lit(r"\b([A-Z][a-z]{2,15})\b"), F.lit(1))).alias("word")).distinct()
-    return w.join(common_words(t).withColumnRenamed("word", "_c"), F.lower("word") == F.col("_c"), "left_anti")
+#: People are known by the first two words of items, one of them capitalised as an alias of its own.
+_PEOPLE = "pe as (select distinct unnest([name, split_part(name, ' ', 1)]) as alias, name from (select regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') as name from benchmark) where length(name) > 6)"
+
+
+@query("ent_09", f"""with {ASKED}, w as (select query_id, unnest(regexp_extract_all({spread('query')}, '{OUT}([A-Z][a-z]{{2,15}}){OUT}', 1)) as word from asked), {_COMMON}, {_PEOPLE},
+ k as (select distinct query_id, name from asked, pe where regexp_matches({spread('lower(query)')}, '{OUT}' || replace(lower(alias), ' ', '  ') || '{OUT}'))
+ select query_id, 'unknown' as kind, word as name from w where lower(word) not in (select word from common) group by all union all select query_id, 'person', name from k""")
+def people_and_unknown_words(t: Tables) -> DataFrame:
+    """Known people in a query, and capitalised words that are neither common nor known."""
+    w = t.asked().select("query_id", F.explode(F.regexp_extract_all("query", F.lit(r"\b([A-Z][a-z]{2,15})\b"), F.lit(1))).alias("name")).distinct()
+    unknown = w.join(common_words(t).withColumnRenamed("word", "_c"), F.lower("name") == F.col("_c"), "left_anti")
+    name = t("benchmark").select(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("name")).where("length(name) > 6")
+    people = name.select("name", F.explode(F.array("name", F.split("name", " ")[0])).alias("alias")).distinct()
+    known = text.known_people(t.asked().select("query_id", "query"), people)
+    return unknown.select("query_id", F.lit("unknown").alias("kind"), "name").unionByName(known.select("query_id", F.lit("person").alias("kind"), "name"))
 
 
 _SKIP = " or ".join(f"regexp_matches(token, '{r}')" for r in (r"\d", r"[A-Z][a-z]+[A-Z]", r"^[A-Z_@#$%^&*()+=\[\]{}|<>?.:/\\]+$", r"[-_]", r"(?i)https?://|www\.|/Users/|~/|\.[a-z]{2,4}$", r"[`*_#{}\[\]\\]", "^[A-Z]"))
@@ -244,7 +265,7 @@ def dictionary(t: Tables) -> DataFrame:
 
 @query("spl_02", """with d as (select word, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z]+')) as word from benchmark) where length(word) >= 4 group by word),
  t as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as token from conversations where role = 'user'),
- c as (select token, word, levenshtein(token, word) as edits, n from t join d on token[1] = word[1] and abs(length(token) - length(word)) <= 3 where length(token) >= 4 and token not in (select word from d)),
+ c as (select token, word, levenshtein(token, word) as edits, n from t join d on abs(length(token) - length(word)) <= 3 where length(token) >= 4 and token not in (select word from d)),
  r as (select *, row_number() over (partition by token order by edits, n desc, word) as k from c where edits <= case when length(token) <= 7 then 2 else 3 end)
  select token, word, edits from r where k = 1""")
 def corrected(t: Tables) -> DataFrame:

@@ -195,6 +195,16 @@ def test_near_duplicates_by_buckets_find_what_all_pairs_do(spark):
         rows.append((i, i % 2, 0, [x / n for x in v]))
     m = spark.createDataFrame(rows, "memory int, kind int, bucket int, vec array<double>")
     want = {(r.memory, r.duplicate_of) for r in text.near_duplicates(m, 0.92).collect()}
+    kept, fold = [], set()
+    for i, kind, _, v in rows:  # one after the other; the newest kept one that is near
+        near = [j for j in kept if rows[j][1] == kind and sum(a * b for a, b in zip(v, rows[j][3])) >= 0.92]
+        if near:
+            fold.add((i, near[-1]))
+        else:
+            kept.append(i)
+    assert want == fold
+    tiles = {(r.late, r.early) for r in text.near_pairs(m, 0.92, 7).collect()}
+    assert tiles == {(r.late, r.early) for r in text.near_pairs(m, 0.92).collect()} and len(tiles) > 30
     got = {(r.memory, r.duplicate_of) for r in text.near_duplicates_lsh(m, 0.92).collect()}
     assert len(want) > 30 and len(want & got) >= 0.9 * len(want)
 
@@ -297,3 +307,65 @@ def test_stream_handler_counts_a_batch_once():
 def test_model_hook(spark):
     out = models.with_model(spark.range(3), lambda p: p.assign(y=p["id"] * 2), "id long, y long")
     assert sorted(r.y for r in out.collect()) == [0, 2, 4]
+
+
+def test_duplicates_of_duplicates_are_none(spark):
+    """A chain: 2 repeats 1 and goes, so 3, near to 2 alone, stays; 5 is near to 3 and 4, of which 4 went."""
+    pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (5, 3), (7, 6), (7, 1)], "late long, early long")
+    assert sorted(tuple(r) for r in text.kept_first(pairs).collect()) == [(2, 1), (4, 3), (5, 3), (7, 6)]
+
+
+def test_corrections_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 11))) for _ in range(150)]
+    tokens = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 11))) for _ in range(60)]
+    for w in words[:60]:
+        k = rnd.randrange(len(w))
+        tokens += [w[:k] + rnd.choice("abcde") + w[k + 1 :], w[1:] + "e", "x" + w]
+    n = {w: 1 + k % 3 for k, w in enumerate(words)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    want = set()
+    for t in set(tokens) - set(n):
+        near = min(((edits(t, w), -n[w], w) for w in n), default=None)
+        if near[0] <= (2 if len(t) <= 7 else 3):
+            want.add((t, near[2], near[0]))
+    d = spark.createDataFrame(list(n.items()), "word string, n int")
+    got = text.corrections(spark.createDataFrame([(t,) for t in set(tokens)], "token string"), d)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_phrases_and_known_people(spark):
+    docs = spark.createDataFrame([(1, "Memory Palace is big. The Memory Palace, Memory Palace. Anna\nAnna Anna")], "doc_id long, text string")
+    common = spark.createDataFrame([("the",), ("is",)], "word string")
+    assert {(r.name, r.n) for r in text.candidates(docs, common).collect()} == {("Memory", 3), ("Palace", 3), ("Anna", 3)}
+    more = spark.createDataFrame([(2, "Memory Palace. Memory Palace? Memory Palace!")], "doc_id long, text string")
+    assert ("Memory Palace", 3) in {(r.name, r.n) for r in text.candidates(more, common).collect()}
+    q = spark.createDataFrame([(1, "did ann lee call?"), (2, "the annex"), (3, "Bo. or bo+ said")], "query_id long, query string")
+    people = spark.createDataFrame([("Ann Lee", "Ann Lee"), ("Ann Lee", "Annie"), ("Bo", "bo"), ("Ann", "ann")], "name string, alias string")
+    assert {tuple(r) for r in text.known_people(q, people).collect()} == {(1, "Ann Lee"), (1, "Ann"), (3, "Bo")}
+
+
+def test_kmeans_spreads_seeds_and_fills_empty_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = np.eye(6)[:4]
+    v = centres[np.arange(200) % 4] + rng.normal(0, 0.05, (200, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, vec array<double>")
+    made, stable = atlas.stable_atlas(df, 4)
+    got = np.array([r.centroid for r in made.orderBy("anchor_id").collect()])
+    assert sorted(np.argmax(got, axis=1).tolist()) == [0, 1, 2, 3] and (got.max(axis=1) > 0.98).all()
+    r = stable.first()
+    assert r.stability == 1.0 and r.accepted
+    assert len(set(map(tuple, atlas.spread_out(np.repeat(centres, 5, axis=0), 4, 0).tolist()))) == 4
