@@ -181,14 +181,38 @@ def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame
 #: Near copies of a pipeline stage: words of a shingle, least Jaccard similarity of two texts' sets of shingles.
 NEAR_WORDS, NEAR_LEAST = 5, 0.8
 #: Differing bits of candidates. Two sets of J = 0.8 share 2J/(1+J) = 0.89 of their shingles, so bits differ by
-#: arccos(0.89)/pi = 0.15: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1. Over the first 64, over all 128.
-NEAR_RADIUS, NEAR_RADIUS_BOTH = 16, 34
+#: arccos(0.89)/pi = 0.15: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1. Over the first 64, over all 128:
+#: three and a half deviations more.
+NEAR_RADIUS, NEAR_RADIUS_BOTH = 20, 34
 #: A pair of tiles hands on all its candidates up to so many for each of its texts; else a few for each text first.
 MANY, FEW_ROUNDS = 8, 3
-#: Tiles at most: each is sent to as many tasks.
+#: Tiles, about, at most: each is sent to as many tasks.
 NEAR_TILES = 32
 
 
+def count_tiles(by_count: dict[int, int], rows: int, radius: int) -> tuple[dict[int, int], dict[int, int], dict[int, tuple[int, int]]]:
+    """(first tile and tiles of each population count, tiles that each tile meets): neighbouring counts share tiles of about `rows`; tiles whose counts differ beyond radius don't meet."""
+    groups: list[list[int]] = []  # lowest count, highest count, fingerprints
+    for pc, n in sorted(by_count.items()):
+        if groups and groups[-1][2] + n <= rows:
+            groups[-1][1:] = [pc, groups[-1][2] + n]
+        else:
+            groups.append([pc, pc, n])
+    first, slices, spans, t = {}, {}, [], 0
+    for lo, hi, n in groups:
+        k = max(1, -(-n // rows))
+        for pc in range(lo, hi + 1):
+            first[pc], slices[pc] = t, k
+        spans.append((lo, hi, t, t + k - 1))
+        t += k
+    meets = {}
+    for lo, hi, a, z in spans:
+        near = [(x, y) for l2, h2, x, y in spans if l2 - hi <= radius and lo - h2 <= radius]
+        for tile in range(a, z + 1):
+            meets[tile] = (min(x for x, _ in near), max(y for _, y in near))
+    return first, slices, meets
+
+
 def shingle_hashes(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
     """The hash of each shingle of text; of all words if there are fewer; none without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -305,12 +329,18 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     for each text; after these are checked, what they join is left out, and at the last all the rest is handed on.
     """
     spark = nodes.sparkSession
-    n = nodes.count()
-    t = max(1, -(-n // max(TILE_LEAST, n // NEAR_TILES)))
+    by_count = {r["pc"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    n = sum(by_count.values())
+    first, slices, meets = count_tiles(by_count, max(TILE_LEAST, n // NEAR_TILES), NEAR_RADIUS)
+    if not meets:
+        return spark.createDataFrame([], "src long, dst long")
+    number = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    pc = F.bit_count("fp")
+    tile = (number(first)[pc] + F.pmod(F.xxhash64("node"), number(slices)[pc])).cast("int").alias("tile")
     good, pending = spark.createDataFrame([], "src long, dst long"), None
     for k in range(FEW_ROUNDS + 1):
         labels = connected_components(good) if k else good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), F.pmod(F.xxhash64("node"), F.lit(t)).cast("int").alias("tile"))
+        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), tile)
 
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             out = np.zeros(len(pdf), dtype=TILE)
@@ -319,11 +349,12 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "data": [np.sort(out, order="node").tobytes()]})
 
         packed = tiled.groupBy("tile").applyInPandas(pack, "tile int, data binary")
-        pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(t - 1)))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "data")
+        lo, hi = (number({k: v[i] for k, v in meets.items()})[F.col("tile")] for i in (0, 1))
+        pairs = packed.withColumn("other", F.explode(F.sequence(lo, hi))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "data")
         if pending is not None:
             pairs = pairs.join(F.broadcast(pending), ["a", "b"], "left_semi")
         whole = k == FEW_ROUNDS
-        width = min(2000, max(spark.sparkContext.defaultParallelism * 2, t * (t + 1) // 2))
+        width = min(2000, max(spark.sparkContext.defaultParallelism * 2, sum(z - a + 1 for a, z in meets.values())))
         found = stored(pairs.repartition(width, "a", "b").groupBy("a", "b").applyInPandas(lambda p: _near_candidates_group(p, whole), "src long, dst long, again boolean"), "near-candidates")
         good = stored(good.unionByName(_checked(found.where("not again").select("src", "dst"), nodes, docs)), "near-links")
         left = [(r["src"], r["dst"]) for r in found.where("again").collect()]  # pairs of tiles
