@@ -296,9 +296,11 @@ def merge_runs(runs: DataFrame, least: int = 2) -> DataFrame:
     grows with that of the blocks. Boundaries come from a bounded number of blocks; blocks that lie across one are cut.
     """
     n = max(least, -(-runs.count() // RANGE))
-    sample = runs.select(*ORDER).orderBy(F.xxhash64(*ORDER), *ORDER).limit(SAMPLED * n).collect()  # SAMPLED for each range
-    firsts = sorted(tuple(r) for r in sample)
-    bounds = [firsts[len(firsts) * k // n] for k in range(1, n)] if firsts else []
+    # one capture of each block, at any place: the first ones of short runs all lie low
+    one = F.get("captures", F.pmod(F.xxhash64(*ORDER), F.size("captures")).cast("int"))
+    sample = runs.select(one.alias("c")).select(*[f"c.{x}" for x in ORDER]).orderBy(F.xxhash64(*ORDER), *ORDER).limit(SAMPLED * n).collect()  # SAMPLED for each range
+    keys = sorted(tuple(r) for r in sample)
+    bounds = [keys[len(keys) * k // n] for k in range(1, n)] if keys else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
