@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import unit
 from lodestore.operators.retrieval import small, vector_top
+from lodestore.sources.files import stored
 
 NOVEL = 0.7
 ANCHOR_BUDGET, NOVELTY_ANCHORS = 20, 32
@@ -162,13 +163,30 @@ def days_since(then_s: Column, now_s: int) -> Column:
     return F.coalesce(F.greatest((F.lit(now_s) - then_s) / 86400.0, F.lit(0.0)), F.lit(0.0))
 
 
+def ordered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with `name`: their place from 1 within each group `by` in `order`, which leaves no ties; groups aren't null.
+
+    A group of any size is put in order by many tasks: rows are dealt by range of group and order, and counted in each range;
+    a row's place is that in its range and what the group has in the ranges before.
+    """
+    spark = rows.sparkSession
+    group = [F.col(c) for c in by]
+    dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id())
+    # written, so that ranges and places are the same ones in both uses
+    dealt = stored(spark, dealt, "ordered").withColumn("_range", F.shiftright("_at", 33))
+    ranges = dealt.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as a group has ranges
+    ranges = ranges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return dealt.join(ranges, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_range", "_first", "_before")
+
+
 def pressure(memories: DataFrame, *by: str) -> DataFrame:
     """memories with pressure: 1 for the least used of its peers down to 0; 0 for under five peers or none used. Ties spread by age, then seq."""
-    order = Window.partitionBy(*by).orderBy("pack_count", "select_count", "quality_score", "created_s", "seq")
-    all_ = Window.partitionBy(*by)
-    counted = memories.withColumn("n_peers", F.count("*").over(all_)).withColumn("_used", F.max(F.col("pack_count") + F.col("select_count")).over(all_))
-    p = 1 - (F.row_number().over(order) - 1) / F.greatest(F.col("n_peers") - 1, F.lit(1))
-    return counted.withColumn("pressure", F.when((F.col("n_peers") < 5) | (F.col("_used") == 0), 0.0).otherwise(p)).drop("_used")
+    groups = memories.groupBy(*by).agg(F.count("*").alias("n_peers"), F.max(F.col("pack_count") + F.col("select_count")).alias("_used"))
+    order = [F.col(c) for c in ("pack_count", "select_count", "quality_score", "created_s", "seq")]
+    placed = ordered(memories, list(by), order, "_k").join(groups, list(by))
+    p = 1 - (F.col("_k") - 1) / F.greatest(F.col("n_peers") - 1, F.lit(1))
+    return placed.withColumn("pressure", F.when((F.col("n_peers") < 5) | (F.col("_used") == 0), 0.0).otherwise(p)).drop("_used", "_k")
 
 
 def forgetting_score(usage: Column, size: Column, budget: int, now_s: int) -> Column:
@@ -181,13 +199,13 @@ def forgetting_score(usage: Column, size: Column, budget: int, now_s: int) -> Co
 def pruned(memories: DataFrame, now_s: int, budget: int = ANCHOR_BUDGET) -> DataFrame:
     """(anchor, seq, score) of what to archive: of every anchor over its budget the most disposable, all anchors at once."""
     p = pressure(memories.withColumn("anchor", F.col("primary_anchor_id")), "anchor").withColumn("score", forgetting_score(F.col("pressure"), F.col("n_peers"), budget, now_s))
-    w = Window.partitionBy("anchor").orderBy(F.desc("score"), "seq")
-    return p.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n_peers") - budget).select("anchor", "seq", "score")
+    full = p.where(F.col("n_peers") > budget).select("anchor", "seq", "score", "n_peers")
+    return ordered(full, ["anchor"], [F.desc("score"), F.col("seq")], "k").where(F.col("k") <= F.col("n_peers") - budget).select("anchor", "seq", "score")
 
 
 def over_cap(memories: DataFrame, now_s: int, most: int) -> DataFrame:
     """(tenant_id, seq, score) of what each tenant over `most` active memories should archive, by .7 of its anchor's and .3 of the tenant's pressure."""
     a = pressure(memories, "tenant_id", "primary_anchor_id").select("tenant_id", "seq", "pack_count", "select_count", "quality_score", "created_s", F.col("pressure").alias("pa"))
     t = pressure(a, "tenant_id").withColumn("score", forgetting_score(0.7 * F.col("pa") + 0.3 * F.col("pressure"), F.col("n_peers"), ANCHOR_BUDGET, now_s))
-    w = Window.partitionBy("tenant_id").orderBy(F.desc("score"), "seq")
-    return t.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n_peers") - most).select("tenant_id", "seq", "score")
+    full = t.where(F.col("n_peers") > most).select("tenant_id", "seq", "score", "n_peers")
+    return ordered(full, ["tenant_id"], [F.desc("score"), F.col("seq")], "k").where(F.col("k") <= F.col("n_peers") - most).select("tenant_id", "seq", "score")

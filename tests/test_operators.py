@@ -369,3 +369,16 @@ def test_kmeans_spreads_seeds_and_fills_empty_clusters(spark):
     r = stable.first()
     assert r.stability == 1.0 and r.accepted
     assert len(set(map(tuple, atlas.spread_out(np.repeat(centres, 5, axis=0), 4, 0).tolist()))) == 4
+
+
+def test_places_over_many_ranges(spark):
+    """One group with most of the rows, dealt over several ranges."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(g, rnd.randrange(50), i) for i in range(600) for g in [0 if i % 4 else 1 + i % 3]]
+    df = spark.createDataFrame(rows, "g int, x int, seq int").repartition(7)
+    got = {(r.g, r.seq): r.k for r in atlas.ordered(df, ["g"], [F.desc("x"), F.col("seq")], "k").collect()}
+    for g in {r[0] for r in rows}:
+        for k, (_, _, seq) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            assert got[g, seq] == k
