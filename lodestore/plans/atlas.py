@@ -76,7 +76,7 @@ def stub_cards(t: Tables) -> DataFrame:
 _MATCH = f"""{_LLOYD.split(" select anchor_id, round(sum")[0]},
  u as (select anchor_id as new_id, list(x order by i) as vec from s group by 1),
  o as (select new_id, old_id, similarity, row_number() over (order by similarity desc, new_id, old_id) as i from (
-   select new_id, c.anchor_id as old_id, round(list_dot_product(u.vec::double[], c.centroid::double[]), 6) as similarity from u, cards c) where similarity >= 0.3),
+   select new_id, c.anchor_id as old_id, round(list_dot_product(u.vec::double[], c.centroid::double[]) / sqrt(list_dot_product(c.centroid::double[], c.centroid::double[])), 6) as similarity from u, cards c) where similarity >= 0.3),
  f as (select 0::bigint as i, []::int[] as used_new, []::int[] as used_old, false as kept union all
    select o.i, case when ok then list_append(used_new, new_id) else used_new end, case when ok then list_append(used_old, old_id) else used_old end, ok
    from (select o.i, new_id, old_id, used_new, used_old, not list_contains(used_new, new_id) and not list_contains(used_old, old_id) as ok from f join o on o.i = f.i + 1) o)

@@ -279,9 +279,20 @@ def test_vectors(spark):
     assert math.isclose(r.c, 1.0) and r.z == 0.0 and r.u == [0.0, 0.0]
 
 
-def test_too_many_cards_are_not_broadcast(spark):
-    with pytest.raises(ValueError):
-        retrieval.small(spark.range(retrieval.MOST_CARDS + 1))
+def test_many_cards_go_out_in_blocks(spark, monkeypatch):
+    """The same ranks, ties included, whether the cards fit one block or not; all cards, the best few, and those with a match."""
+    cards = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 5}", "all"], [float(i % 3), 1.0]) for i in range(40)], "doc int, tokens array<string>, centroid array<double>")
+    queries = spark.createDataFrame([(1, ["w1", "w1", "all"], [1.0, 0.5]), (2, ["none"], [0.0, 1.0]), (3, None, None)], "query_id int, tokens array<string>, qvec array<double>")
+
+    def ask():
+        found = [retrieval.bm25_scores(queries, cards, k, p) for k, p in ((None, False), (5, False), (9, True))] + [retrieval.dense_scores(queries, cards, k) for k in (None, 6)]
+        return [sorted(tuple(r) for r in f.collect()) for f in found]
+
+    one = ask()
+    assert len(one[0]) == 80 and len(one[1]) == 10 and {r[0] for r in one[2]} == {1} and len(one[4]) == 12
+    assert [r[1] for r in one[4] if r[0] == 2] == [0, 1, 2, 3, 4, 5]
+    monkeypatch.setattr(retrieval, "MOST_CARDS", 16)
+    assert ask() == one
 
 
 def test_sources(spark, tmp_path):
