@@ -34,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 #: Different texts that must show a pair; share of an entity's information from which a term discloses it.
-SUPPORT, THRESHOLD = 3, 0.6
+SUPPORT, THRESHOLD = 3, 0.8
 #: Letters of a term's beginning, its first generalisation.
 BEGINNING = 3
 #: Words and generalisations are broadcast up to so many; beyond, both sides are shuffled.
