@@ -40,7 +40,7 @@ def test_held_out_labels_are_not_learned(spark, prose):
 
 def test_votes_equal_units(prose):
     voters = toxicity.Voters(("kori", "kori-", "tum", "bako-"))
-    for t in [*map(prose, range(50)), "", None, "KORITUM tum!! what?? kori"] * 2:  # twice: words are remembered
+    for t in [*map(prose, range(50)), "", None, "KORITUM tum!! what?? kori", "you f**k s#@t you d%%n", "a*b #c"] * 2:  # twice: words are remembered
         own = {voters.at[u] for u in toxicity.units(t or "") if u in voters.at}
         own |= {4 + k for k, (_, p, least) in enumerate(toxicity.PATTERNS) if len(p.findall(t or "")) >= least}
         assert voters.votes(t) == sorted(own)
