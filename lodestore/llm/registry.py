@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import decontam, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, warc
+from lodestore.llm import decontam, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, vectorcodes, warc
 from lodestore.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_table(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_latent_decontamination,
@@ -63,9 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_markov_ratio,
         op9_tiled_simhash,
         op10_disclosure_pii,
+        op11_walsh_codes,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_blob_ledger_secrets": secrets.oracle_sql(), "op5_warc_index_merge": warc.ORACLE_SQL}
+    return {"op3_blob_ledger_secrets": secrets.oracle_sql(), "op5_warc_index_merge": warc.ORACLE_SQL, "op11_walsh_codes": vectorcodes.ORACLE_SQL}
