@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import decontam, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, vectorcodes, warc
+from lodestore.llm import decontam, divergence, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, vectorcodes, warc
 from lodestore.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.code_table(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_latent_decontamination,
@@ -68,9 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_tiled_simhash,
         op10_disclosure_pii,
         op11_walsh_codes,
+        op12_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_blob_ledger_secrets": secrets.oracle_sql(), "op5_warc_index_merge": warc.ORACLE_SQL, "op11_walsh_codes": vectorcodes.ORACLE_SQL}
+    return {"op3_blob_ledger_secrets": secrets.oracle_sql(), "op5_warc_index_merge": warc.ORACLE_SQL, "op11_walsh_codes": vectorcodes.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
