@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import decontam, divergence, media, packing, pii, secrets, simhash, substring, toxicity, urlfilter, vectorcodes, warc
+from lodestore.llm import decontam, divergence, media, packing, pii, quality, secrets, simhash, substring, toxicity, urlfilter, vectorcodes, warc
 from lodestore.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_latent_decontamination,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_disclosure_pii,
         op11_walsh_codes,
         op12_source_divergence,
+        op13_unlabelled_quality,
     )
     return {f.__name__: f for f in found}
 
