@@ -1,10 +1,9 @@
-"""Where models plug in: functions over batches, and the attention scorer of anchors."""
+"""Where models plug in: functions over batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -20,26 +19,3 @@ def with_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], sch
                 yield model(b)
 
     return df.mapInPandas(run, schema)
-
-
-def attention_weights(dims: int, hidden: int = 16, seed: int = 7) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {k: rng.standard_normal((dims, hidden)) / np.sqrt(dims) for k in ("q", "k", "v")} | {"o": rng.standard_normal(hidden) / np.sqrt(hidden), "t": rng.standard_normal(hidden) / np.sqrt(hidden)}
-
-
-def coactivation(scores: DataFrame, dims: int, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """(query_id, doc, refined, threshold): one attention layer over a query's cards (query_id, doc, score, centroid) and an adaptive threshold. A group is one query's cards."""
-    w = weights or attention_weights(dims + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc")
-        x = np.hstack([pdf["score"].to_numpy(float)[:, None], np.stack(pdf["centroid"].to_numpy()).astype(float)])
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-        a = q @ k.T / np.sqrt(q.shape[1])
-        a = np.exp(a - a.max(axis=1, keepdims=True))
-        h = a / a.sum(axis=1, keepdims=True) @ v
-        sigmoid = lambda z: 1 / (1 + np.exp(-z))
-        refined = sigmoid(pdf["score"].to_numpy(float) + h @ w["o"])
-        return pd.DataFrame({"query_id": pdf["query_id"], "doc": pdf["doc"], "refined": np.round(refined, 6), "threshold": round(float(sigmoid(h.mean(axis=0) @ w["t"])), 6)})
-
-    return scores.groupBy("query_id").applyInPandas(run, "query_id long, doc int, refined double, threshold double")

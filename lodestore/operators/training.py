@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore.functions import first_of
+from lodestore.operators.atlas import ordered
+from lodestore.sources.files import whole_tables
 
-#: Weights of the oracle score; candidate sets by size and their caps; mix of examples.
+#: Weights of the oracle score; candidate sets by size and their caps; mix of examples in tenths (60 % made of positives and easy negatives); adversarial rewrites.
 ORACLE = {"support": 0.45, "procedural": 0.20, "success": 0.15, "noise": -0.10, "cost": -0.10}
 SET_CAPS = {1: 8, 2: 10, 3: 5, 4: 2}
-MIX = {"positive": 0.6, "easy": 0.2, "hard": 0.2}
+MIX = {"positive": 3, "easy": 3, "hard": 2, "adversarial": 2}
+FORMS = 7
 SUCCESS, LEAST_SAMPLE, POSITIVE_FLOOR = 0.6, 10, 0.25
 
 
@@ -68,12 +75,48 @@ def negatives(labels: DataFrame, anchors: DataFrame) -> DataFrame:
     return easy.unionByName(hard)
 
 
-def mixed(pools: DataFrame, n: int) -> DataFrame:
-    """n rows by MIX from pools (kind, key): drawn by hash, a kind's rows once."""
-    w = Window.partitionBy("kind").orderBy(F.md5(F.col("key")), "key")
-    cap = F.create_map(*[F.lit(x) for k, share in MIX.items() for x in (k, round(n * share))])
-    most = max(round(n * share) for share in MIX.values())  # a literal bound, so that each task keeps its first rows alone
-    return pools.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= most).where(F.col("draw") <= cap[F.col("kind")]).withColumn("draw", F.col("draw").cast("long"))
+def hashed(*parts: Column) -> Column:
+    """60 bits of the MD5 of parts joined by `-`, the same in any engine."""
+    text = F.concat_ws("-", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def weighted_draws(rows: DataFrame, draws: DataFrame, seed: int = 42) -> DataFrame:
+    """draws (kind, draw) with a row of rows (kind, key, weight) each: drawn with replacement, by weight, by hash of kind, draw and seed.
+
+    Rows lie side by side in the order of their keys' MD5, each as long as its weight (a whole number, 0: never drawn); a draw is a point on
+    this line. The line is cut into cells of a row's mean length. A row lies in the cells that it reaches into, at
+    most two for each row on the average, and points meet rows in their cell: no kind is sorted or searched by one task.
+    Draws of a kind without rows are left out. Equal (kind, key) rows are rows of their own.
+    """
+    r = rows.where(F.col("weight") > 0).select("kind", "key", "weight", F.md5("key").alias("_h"))
+    placed = ordered(r.withColumn("_i", F.monotonically_increasing_id()), ["kind"], [F.col("_h"), F.col("key"), F.col("_i")], "_place")
+    # running sums of weight: by thousands of places first
+    placed = placed.withColumn("_lot", F.floor(F.col("_place") / 1000))
+    lots = placed.groupBy("kind", "_lot").agg(F.sum("weight").alias("_w"))
+    before = F.coalesce(F.sum("_w").over(Window.partitionBy("kind").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.sum("weight").over(Window.partitionBy("kind", "_lot").orderBy("_place"))
+    line = placed.join(lots.withColumn("_before", before), ["kind", "_lot"]).withColumn("_end", F.col("_before") + inner)
+    total = r.groupBy("kind").agg(F.sum("weight").alias("_total"), F.ceil(F.sum("weight") / F.count("*")).alias("_cell"))  # a row for each kind
+    line = line.join(F.broadcast(total), "kind").select("kind", "key", (F.col("_end") - F.col("weight")).alias("_begin"), "_end", "_cell")
+    reach = F.sequence(F.floor(F.col("_begin") / F.col("_cell")), F.floor((F.col("_end") - 1) / F.col("_cell")))
+    line = line.withColumn("_in", F.explode(reach)).drop("_cell")
+    d = draws.join(F.broadcast(total), "kind").withColumn("_point", hashed(F.col("kind"), F.col("draw"), F.lit(seed)) % F.col("_total"))
+    d = d.withColumn("_in", F.floor(F.col("_point") / F.col("_cell"))).drop("_total", "_cell")
+    return d.join(line, ["kind", "_in"]).where("_point >= _begin and _point < _end").drop("_in", "_point", "_begin", "_end")
+
+
+def mixed(pools: DataFrame, tens: int, seed: int = 42) -> DataFrame:
+    """10 * tens examples by MIX from pools (kind, key, weight), with replacement: kind, draw, key, form.
+
+    Adversarial ones are positives whose query is rewritten; form is the number of the rewrite, null for others.
+    """
+    all_ = pools.unionByName(pools.where("kind = 'positive'").withColumn("kind", F.lit("adversarial")))
+    spark = pools.sparkSession
+    draws = [spark.range(tens * share).select(F.lit(kind).alias("kind"), F.col("id").alias("draw")) for kind, share in MIX.items()]
+    each = reduce(DataFrame.unionByName, draws)
+    form = F.when(F.col("kind") == "adversarial", hashed(F.lit("form"), F.col("draw"), F.lit(seed)) % FORMS)
+    return weighted_draws(all_, each, seed).select("kind", "draw", "key", form.alias("form"))
 
 
 def family(size: Column, complex_: Column) -> Column:
@@ -151,3 +194,40 @@ def sweep_winner(results: DataFrame, margin: float = 0.005, faster: float = 0.8)
     x = results.crossJoin(F.broadcast(best))
     ok = (F.col("candidate") == F.col("bc")) | ((F.col("metric") >= F.col("bm") - margin) & (F.col("seconds") <= F.col("bs") * faster))
     return x.where(ok).orderBy("seconds", F.desc("metric"), "candidate").limit(1).select("candidate", "metric", "seconds")
+
+
+RESULTS = "candidate string, metric double, seconds double, round long"
+
+
+def candidate_key(candidate: dict) -> str:
+    return json.dumps(candidate, sort_keys=True)
+
+
+def results_of(spark: SparkSession, path: str) -> DataFrame | None:
+    tables = whole_tables(spark, path, "results-")
+    return spark.read.schema(RESULTS).parquet(tables[-1]) if tables else None
+
+
+def upserted(results: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """results with rows in the place of those of the same candidate; rows have each candidate once."""
+    return rows if results is None else results.join(rows.select("candidate"), "candidate", "left_anti").unionByName(rows)
+
+
+def swept(spark: SparkSession, candidates: list[dict], fit: Callable[[dict], tuple[float, float]], path: str) -> DataFrame:
+    """(candidate, metric, seconds, round) of all candidates: those that path's table has are not fitted again.
+
+    A finished candidate's row goes into a new version of the table, whole or not at all, so a sweep that dies loses only the fit it was
+    at. round: which fit of this table it was, from 1. Two candidates with the same parameters are refused.
+    """
+    keys = [candidate_key(c) for c in candidates]
+    if twice := sorted({k for k in keys if keys.count(k) > 1}):
+        raise ValueError(f"candidates that are there twice: {twice}")
+    for key, candidate in zip(keys, candidates):
+        known = results_of(spark, path)
+        number = 1 + (known.agg(F.max("round")).first()[0] or 0) if known is not None else 1
+        if known is None or known.where(F.col("candidate") == key).isEmpty():
+            metric, seconds = fit(candidate)
+            row = spark.createDataFrame([(key, metric, seconds, number)], RESULTS)
+            upserted(known, row).coalesce(1).write.mode("overwrite").parquet(f"{path}/results-{number:06d}")
+    found = results_of(spark, path)
+    return found.join(spark.createDataFrame([(k,) for k in keys], "candidate string"), "candidate", "left_semi")

@@ -1,4 +1,4 @@
-"""Queries of sinks, streams and plugged-in models (STO-22, LED-14, SEL-04, CON-05, TRN-12, DEC-06, STR)."""
+"""Queries of sinks, streams and plugged-in models (STO-22, LED-14, CON-05, DEC-06, STR)."""
 
 from __future__ import annotations
 
@@ -70,13 +70,6 @@ def ledger_stream(t: Tables) -> DataFrame:
     return out.groupBy("pid").agg(last).select("pid", "x.ledger", "x.streak", "x.n")
 
 
-@query("sel_04")
-def coactivation(t: Tables) -> DataFrame:
-    """Refined scores of every query's cards by the attention scorer with fixed weights."""
-    s = r.dense_scores(queries(t), active_cards(t)).join(F.broadcast(active_cards(t).select("doc", "centroid")), "doc")
-    return models.coactivation(s, 64)
-
-
 @query("dec_06", f"with {PATTERNS} select anchor_id, sha256(string_agg(pattern, '|' order by pos)) as stamp, anchor_id % 5 <> 0 as may_promote from pt group by anchor_id")
 def promotion_gate(t: Tables) -> DataFrame:
     """A candidate may be promoted if the cards are still those it was made from; here every fifth anchor's cards have changed."""
@@ -86,23 +79,6 @@ def promotion_gate(t: Tables) -> DataFrame:
     return stamp(p).join(now, "anchor_id").select("anchor_id", "stamp", (F.col("stamp") == F.col("now")).alias("may_promote"))
 
 
-@query("trn_12")
-def parameter_sweep(t: Tables) -> DataFrame:
-    """A grid of regularisations for the memory scorer by cross-validation, one row a candidate."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    m = t.memories().select((F.col("quality_score") >= 0.5).cast("double").alias("label"), F.log1p(F.length("body")).alias("a"), F.col("pack_count").cast("double").alias("b"))
-    x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(m).cache()
-    lr = LogisticRegression(maxIter=10)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
-    fit = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=7, parallelism=2).fit(x)
-    x.unpersist()
-    return t.spark.createDataFrame([(f"reg={g[lr.regParam]}", round(float(v), 6)) for g, v in zip(grid, fit.avgMetrics)], "candidate string, metric double")
-
-
 @query("qf_05")
 def frame_fallback(t: Tables) -> DataFrame:
     """Queries whose frame is unsure go to a model; here a stand-in answers `fact`."""

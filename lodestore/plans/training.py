@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lodestore.functions import set_f1, words
 from lodestore.operators import retrieval as r
 from lodestore.operators import training as tr
-from lodestore.plans.base import ANCHORS, ASKED, CARDS, MEM, Tables, query
+from lodestore.operators import context as c
+from lodestore.plans.base import ANCHORS, ASKED, CARDS, MEM, NOW, Tables, query
+from lodestore.plans.context import _SCORED
+from lodestore.plans.context import scored as fetched_memories
 from lodestore.plans.retrieval import _BM25, _RANK, active_cards, queries
 
 #: Candidates of every query: the dense ranking. Gold anchors: two by its number.
@@ -116,9 +119,23 @@ def with_positives(t: Tables) -> DataFrame:
     return pools(t).select("kind", key).unionByName(pos)
 
 
-@query("trn_01", f"with {_POOLS}, k as (select *, row_number() over (partition by kind order by md5(key), key) as draw from pl) select * from k where draw <= case kind when 'positive' then 60 else 20 end")
+#: Ten draws for each query; a draw's point is 60 bits of its MD5.
+_HASH = "('0x' || substr(md5({}), 1, 15))::bigint"
+_MIX = f"""{_POOLS},
+ al as (select kind, key from pl union all select 'adversarial', key from pl where kind = 'positive'),
+ pr as (select kind, key, row_number() over (partition by kind order by md5(key), key) - 1 as at, count(*) over (partition by kind) as n from al),
+ tens as (select count(*) as q from wi),
+ dr as (select kind, unnest(range(q * share)) as draw from tens, (values ('positive', 3), ('easy', 3), ('hard', 2), ('adversarial', 2)) k(kind, share)),
+ mx as (
+   select d.kind, d.draw, p.key, case when d.kind = 'adversarial' then {_HASH.format("'form-' || draw || '-42'")} % 7 end as form
+   from dr d join pr p on p.kind = d.kind and p.at = {_HASH.format("d.kind || '-' || d.draw || '-42'")} % p.n
+ )"""
+
+
+@query("trn_01", f"with {_MIX} select * from mx")
 def mix(t: Tables) -> DataFrame:
-    return tr.mixed(with_positives(t), 100)
+    """Ten examples a query, drawn with replacement."""
+    return tr.mixed(with_positives(t).withColumn("weight", F.lit(1).cast("long")), winning(t).count())
 
 
 @query("trn_03", f"with {_WIN} select query_id, case when query_id % 9 = 0 then 'multi_hop' when len(st) <= 1 then 'single' when len(st) = 2 then 'pair' else 'broad' end as family from wi")
@@ -155,13 +172,19 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace({},
 _F1 = "case when len(list_intersect({a}, {b})) = 0 then 0 else 2 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) end"
 
 
-@query("trn_08", f"with {MEM}, {ASKED}, p as (select query_id, seq, {_WORDS.format('query')} as a, {_WORDS.format('title')} as b from asked join mem on primary_anchor_id = query_id % {ANCHORS}) select query_id, seq, round({_F1.format(a='a', b='b')}::double, 6) as f1, ({_F1.format(a='a', b='b')} > 0.3)::int as label from p")
+@query("trn_08", f"""with {_SCORED},
+ p as (select query_id, seq, {_WORDS.format('query')} as a, {_WORDS.format('title')} as b from sc join asked using (query_id))
+ select query_id, seq, round({_F1.format(a='a', b='b')}::double, 6) as f1, ({_F1.format(a='a', b='b')} > 0.3)::int as label from p""")
 def scorer_rows(t: Tables) -> DataFrame:
-    q = t.asked().select("query_id", "query", (F.col("query_id") % ANCHORS).cast("int").alias("primary_anchor_id"))
-    q = q.withColumn("a", words("query"))
-    p = q.join(t.memories().select("seq", words("title").alias("b"), "primary_anchor_id"), "primary_anchor_id")
-    f1 = set_f1(F.col("a"), F.col("b"))
-    return p.select("query_id", "seq", F.round(f1, 6).alias("f1"), (f1 > 0.3).cast("int").alias("label"))
+    """The memories that a query fetches, labelled by the words that their titles share with it."""
+    return memory_examples(t).select("query_id", "seq", "f1", "label")
+
+
+def memory_examples(t: Tables) -> DataFrame:
+    s = fetched_memories(t).join(t.asked().select("query_id", "query"), "query_id")
+    f1 = set_f1(words("query"), words("title"))
+    x = c.features(F.col("cosine"), F.col("memory_type"), F.col("quality_score"), F.col("body"), F.col("created_s"), F.col("cosine"), NOW, 2000)
+    return s.select("query_id", "seq", F.round(f1, 6).alias("f1"), (f1 > 0.3).cast("int").alias("label"), x.alias("x"))
 
 
 @query("trn_09", "with s as (select (doc_id * 37 % 101) / 101.0 * 0.6 + toxic * 0.35 as score, toxic as label from labels), p as (select tau, count(*) filter (score >= tau and label = 1) as tp, count(*) filter (score >= tau and label = 0) as fp, count(*) filter (label = 1) as pos from s, (select i * 0.05::double as tau from range(1, 20) r(i)) group by tau), f as (select tau, round(case when tp = 0 then 0 else 5.0 * tp / (5.0 * tp + 4.0 * (pos - tp) + fp) end::double, 9) as f from p) select least(round(arg_max(tau, (f, -tau)), 2), 0.25)::double as tau, round(max(f), 6) as f, (select round(count(*) filter ((score >= 0.5) = (label = 1)) / count(*), 6) from s) as accuracy from f")
@@ -170,18 +193,6 @@ def threshold(t: Tables) -> DataFrame:
     return tr.threshold(t("labels").select(s.alias("score"), F.col("toxic").alias("label")))
 
 
-@query("trn_10")
-def trained_scorer(t: Tables) -> DataFrame:
-    """A scorer of memories by pyspark.ml on the features of the store: quality from length, usage and age."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    m = t.memories().select("seq", (F.col("quality_score") >= 0.5).cast("double").alias("label"), F.log1p(F.length("body")).alias("a"), F.col("pack_count").cast("double").alias("b"), F.col("select_count").cast("double").alias("c"))
-    x = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(m)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(x)
-    return model.transform(x).select("seq", "label", "prediction")
-
-
 @query("trn_11", "with c as (select l_returnflag || l_linestatus as candidate, avg(l_discount)::double as metric, sum(l_quantity)::double as seconds from lineitem group by 1), b as (select * from c order by metric desc, seconds, candidate limit 1) select c.candidate, round(c.metric, 6) as metric, c.seconds from c, b where c.candidate = b.candidate or c.metric >= b.metric - 0.005 and c.seconds <= b.seconds * 0.8 order by c.seconds, c.metric desc, c.candidate limit 1")
 def sweep_winner(t: Tables) -> DataFrame:
     c = t("lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("candidate")).agg(F.avg("l_discount").cast("double").alias("metric"), F.sum("l_quantity").cast("double").alias("seconds"))

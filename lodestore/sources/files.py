@@ -27,6 +27,17 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_tables(spark: SparkSession, path: str, begin: str) -> list[str]:
+    """Tables in the folder path whose name begins with `begin` and that were written to their end, by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(folder):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+    return [f"{path}/{n}" for n in names if n.startswith(begin) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def text_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(file, content, modified, bytes) of the files under path, a row each."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
