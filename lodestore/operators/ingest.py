@@ -15,7 +15,7 @@ from lodestore.functions import first_of, total
 
 #: Readable extensions, skipped folders, conversation extensions.
 READABLE = (".txt", ".md", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".html", ".css", ".java", ".go", ".rs", ".rb", ".sh", ".csv", ".sql", ".toml")
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", "coverage", ".cache", ".tox", ".idea", ".vscode")
+SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", "coverage", ".cache", ".tox", ".idea", ".vscode", ".ipynb_checkpoints", ".eggs", "htmlcov", "target")
 CONVERSATIONS = (".txt", ".md", ".json", ".jsonl")
 #: Topic rooms in their order and their keywords.
 TOPICS = {
@@ -261,21 +261,3 @@ def drawer_id(wing: Column, room: Column, path: Column, index: Column) -> Column
 
 def memory_type_of(room: Column) -> Column:
     return first_of(*[(F.lower(room).isin(*names.split()), t) for t, names in ROOM_TYPES.items()], default=F.lit("SEMANTIC"))
-
-
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether gitignore rules keep path out: the last that matches wins; `!` negates, a leading `/` anchors, a trailing one means folders."""
-    out = F.lit(False)
-    for rule in rules:
-        negated, body = rule.startswith("!"), rule.lstrip("!")
-        folder, body = body.endswith("/"), body.rstrip("/")
-        anchored, body = "/" in body, body.lstrip("/")
-        glob, i = "", 0
-        while i < len(body):
-            if body.startswith("**", i):
-                glob, i = glob + ".*", i + 2
-            else:
-                glob, i = glob + {"*": "[^/]*", "?": "[^/]"}.get(body[i], "\\" + body[i] if not body[i].isalnum() and body[i] not in "/_-" else body[i]), i + 1
-        pattern = ("^" if anchored else "(^|/)") + glob + ("/" if folder else "(/|$)")
-        out = F.when(path.rlike(pattern), not negated).otherwise(out)
-    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.operators import ingest
+from lodestore.operators import ignore, ingest
 from lodestore.plans.base import MEM, Tables, query
 
 TRANSCRIPT = """
@@ -119,15 +119,71 @@ def project_scan(t: Tables) -> DataFrame:
     return t.memories().where(extension.isin(*ingest.READABLE) & ~skipped).select("source_path")
 
 
-@query("ing_12", f"with {MEM} select source_path, case when regexp_matches(source_path, '(^|/)session1[^/]*(/|$)') then not regexp_matches(source_path, '(^|/)[^/]*[.]md(/|$)') and not regexp_matches(source_path, '(^|/)src2/') or regexp_matches(source_path, '(^|/)src2/') else regexp_matches(source_path, '(^|/)src2/') end as ignored from mem")
+#: Ignore files of folders of the paths of memories, and their rules as SQL has them: what folder, is it for folders alone, does it let in, and as a pattern.
+IGNORE_FILES = {
+    "": "session1*\n!*.md\n/src2/\n# a remark\n\n\\#odd\nsrc7/**/*[0-4].*",
+    "src4": "*.py\n!session3?/*.py\nsession7/",
+    "src5/session5": "**\n!5?.jsonl",
+    "src6": "/**/6*.md\nsession[0-2][!0-5]/\n!session26",
+    "src2": "!*.py",
+}
+_RULES = """rules(base, pos, folders, negated, regex) as (values
+  ('', 0, false, false, '(?:^|/)session1[^/]*/'),
+  ('', 1, false, true, '(?:^|/)[^/]*[.]md/'),
+  ('', 2, true, false, '^src2/'),
+  ('', 5, false, false, '(?:^|/)#odd/'),
+  ('', 6, false, false, '^src7/(?:[^/]+/)*[^/]*[0-4][.][^/]*/'),
+  ('src4', 0, false, false, '(?:^|/)[^/]*[.]py/'),
+  ('src4', 1, false, true, '^session3[^/]/[^/]*[.]py/'),
+  ('src4', 2, true, false, '(?:^|/)session7/'),
+  ('src5/session5', 0, false, false, '(?:^|/)[^/]+/'),
+  ('src5/session5', 1, false, true, '(?:^|/)5[^/][.]jsonl/'),
+  ('src6', 0, false, false, '^(?:[^/]+/)*6[^/]*[.]md/'),
+  ('src6', 1, true, false, '(?:^|/)session[0-2][^0-5/]/'),
+  ('src6', 2, false, true, '(?:^|/)session26/'),
+  ('src2', 0, false, true, '(?:^|/)[^/]*[.]py/')
+)"""
+_ENTRIES = f"""{MEM},
+ f as (select distinct substr(source_path, 2) as entry, false as is_dir from mem),
+ d as (select distinct unnest([split_part(entry, '/', 1), split_part(entry, '/', 1) || '/' || split_part(entry, '/', 2)]) as entry, true as is_dir from f),
+ e as (select * from f union all select * from d),
+ {_RULES},
+ x as (select e.*, r.*, case when base = '' then entry else substr(entry, length(base) + 2) end || '/' as rest from e join rules r on base = '' or starts_with(entry, base || '/')),
+ h as (select * from x where regexp_matches(case when folders and not is_dir then regexp_replace(rest, '[^/]*/$', '') else rest end, regex)),
+ ig as (select entry from h group by entry having not arg_max(negated, length(base) * 100 + pos))"""
+
+
+def project_paths(t: Tables) -> DataFrame:
+    return t.memories().select(F.substring("source_path", 2, 10_000).alias("file")).distinct()
+
+
+def ignore_rules(t: Tables) -> DataFrame:
+    return ignore.rules_of(t.spark.createDataFrame(list(IGNORE_FILES.items()), "base string, content string"))
+
+
+@query("ing_12", f"with {_ENTRIES} select entry, is_dir from e where entry in (select entry from ig)")
 def gitignore(t: Tables) -> DataFrame:
-    return t.memories().select("source_path", ingest.ignored(F.col("source_path"), ["session1*", "!*.md", "src2/"]).alias("ignored"))
+    """The files and folders of a project that the ignore files of their ancestors keep out."""
+    f = project_paths(t).select(F.col("file").alias("entry"), F.lit(False).alias("is_dir"))
+    d = f.select(F.explode(ignore.above(F.col("entry"))).alias("entry")).where("entry <> ''").distinct().withColumn("is_dir", F.lit(True))
+    entries = f.unionByName(d)
+    return entries.join(ignore.ignored(entries, ignore_rules(t)), "entry", "left_semi")
 
 
-@query("ing_13", f"with {MEM} select source_path from mem where starts_with(source_path, '/src4/') or source_path = '/src5/session5/5.py'")
+INCLUDES = (" /src2/session12/ ", "src4/session7", "src5/./session5//5.py", "src6")
+_FORCED = "(in_ like 'src2/session12/%' or in_ in ('src2', 'src2/session12', 'src4', 'src4/session7', 'src5', 'src5/session5', 'src5/session5/5.py', 'src6') or in_ like 'src4/session7/%' or in_ like 'src6/%')"
+
+
+@query("ing_13", f"""with {_ENTRIES},
+ s as (select entry, is_dir, entry in (select entry from ig) as out, {_FORCED.replace('in_', 'entry')} as forced from e),
+ gone as (select entry from s where is_dir and out and not forced)
+ select entry as file from s
+ where not is_dir and (regexp_matches(entry, '[.](py|md)$') or entry = 'src5/session5/5.py') and (forced or not out)
+   and split_part(entry, '/', 1) not in (select entry from gone)
+   and split_part(entry, '/', 1) || '/' || split_part(entry, '/', 2) not in (select entry from gone)""")
 def forced(t: Tables) -> DataFrame:
-    p = F.col("source_path")
-    return t.memories().where(F.startswith(p, F.lit("/src4/")) | (p == "/src5/session5/5.py")).select("source_path")
+    """The files that a scan reads: readable ones in no folder that is out, and what is stated, what lies in it and what leads to it."""
+    return ignore.scanned(project_paths(t), ignore_rules(t), t.spark.createDataFrame([(p,) for p in INCLUDES], "path string"))
 
 
 _ROOMS = {"auth": ["licensed", "token"], "data": ["public", "secret"], "src7": []}

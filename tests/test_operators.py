@@ -160,12 +160,6 @@ def test_windows():
     assert text.token_windows("a" * 1000, 720)[-1] == (680, "a" * 320) and len(text.token_windows("a" * 1000, 720, compat=True)) == 42
 
 
-def test_gitignore(spark):
-    paths = ["a/build/x.py", "a/keep.log", "b/deep/c.log", "src/main.py", "build"]
-    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ingest.ignored(F.col("p"), ["*.log", "!keep.log", "build/", "/src/main.py"]).alias("i"))
-    assert {r.p: r.i for r in df.collect()} == {"a/build/x.py": True, "a/keep.log": False, "b/deep/c.log": True, "src/main.py": True, "build": False}
-
-
 def test_channel_roles_alternate(spark):
     m = spark.createDataFrame([(1, i, u, f"t{i}") for i, u in enumerate(["a", "b", "a", "c", "b"])], "file int, n int, user string, text string")
     assert [r.role for r in ingest.channel_turns(m).orderBy("n").collect()] == ["user", "assistant", "user", "assistant", "assistant"]
