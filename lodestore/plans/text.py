@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.functions import normalized
+from lodestore.operators import signals as sg
 from lodestore.operators import text
 from lodestore.plans.base import ASKED, MEM, Tables, query
 
@@ -172,14 +173,72 @@ def candidates(t: Tables) -> DataFrame:
     return text.candidates(t("documents"), common_words(t))
 
 
-def signals(t: Tables) -> DataFrame:
-    """Each document's own candidates against its whole text."""
-    d = t("documents").select("doc_id", F.concat("text", F.lit("\n"), F.regexp_extract("text", r"\b([A-Z][a-z]{1,19})\b", 1), F.lit(" said hey "), F.regexp_extract("text", r"\b([A-Z][a-z]{1,19})\b", 1), F.lit(" she")).alias("text"))
-    names = text.candidates(d, common_words(t), 2)
-    return text.entity_signals(names.join(d, "doc_id"))
+#: What is put after a text, by doc_id % 5, so that its first capitalised word X has signals of each kind.
+SIGNALS = (
+    "\nX said hey X she\nthanks X and dear X",
+    "\n> X: yes\nX: no\n[X] well\nhe is\n\n\nX wrote",
+    "\nbuilding X and pip install X; the X pipeline\nsee X.py and X-core or X-v2 X v3",
+    "\nimport X\nX.json X X\ntheir\n\n\nnone",
+    "\n\"X said\" X thinks X knows\nfar\nfar\nher",
+)
+
+
+def signalled(t: Tables) -> DataFrame:
+    tail = F.element_at(F.array(*[F.lit(x) for x in SIGNALS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t("documents").select("doc_id", F.concat("text", F.replace(tail, F.lit("X"), F.regexp_extract("text", r"\b([A-Z][a-z]{1,19})\b", 1))).alias("text"))
 
 
-@query("ent_02")
+def signals(t: Tables) -> DataFrame:
+    """Each document's own candidates against its whole text."""
+    d = signalled(t)
+    return sg.entity_signals(text.candidates(d, common_words(t), 2), d)
+
+
+def _matches(pattern: str, name: str = "name", column: str = "text") -> str:
+    """How often a pattern around {name} matches, in SQL. Where the pattern begins or ends with a word, separators are doubled, so that neighbouring matches have one each."""
+    body = pattern.replace("\\w", "[\\p{L}\\p{N}_]")
+    ends, begins = body.endswith("\\b"), body.startswith("\\b")
+    core = body.removeprefix("\\b").removesuffix("\\b")
+    whole = ends and begins and not any(x in core for x in ("\\.", "-"))  # a doubled point or dash would be another text
+    core = (f"(?:^|{OUT})" if begins else "") + core + (f"(?:{OUT}|$)" if ends else "")
+    parts = [("'" + p.replace("'", "''") + "'") for p in core.split("{name}")]
+    literal = f"regexp_replace({name}, '(\\s)', '\\1\\1', 'g')" if whole else name
+    return f"len(regexp_extract_all({spread(column) if whole else column}, '(?im)' || {parts[0]} || {literal} || {parts[1]}))"
+
+
+_sum = lambda ps: " + ".join(_matches(p) for p in ps)
+_fired = lambda ps: " + ".join(f"({_matches(p)} > 0)::int" for p in ps)
+_TAIL = "replace(case doc_id % 5 " + " ".join(f"when {k} then '" + x.replace("'", "''") + "'" for k, x in enumerate(SIGNALS)) + f" end, 'X', regexp_extract({spread('text')}, '{OUT}([A-Z][a-z]{{1,19}}){OUT}', 1))"
+_SIGNALS = f"""{_COMMON},
+ sd as (select doc_id, text || {_TAIL} as text from documents),
+ s0 as (select doc_id, name, count(*) as n from (select doc_id, unnest({_NAMES}) as name from sd) group by 1, 2 having count(*) >= 2),
+ s1 as (select doc_id, name, n, text from s0 join sd using (doc_id) where not exists (select 1 from common where list_contains(string_split_regex(lower(name), '\\s+'), word))),
+ li as (select doc_id, unnest(string_split(lower(text), chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from sd),
+ wi as (select doc_id, line, string_agg(line, ' ') over (partition by doc_id order by i rows between 2 preceding and 2 following) as around from li),
+ pr as (select doc_id, name, count(*) as pronoun from s1 join wi using (doc_id) where contains(line, lower(name)) and {bounded('she|her|hers|he|him|his|they|them|their', 'around')} group by 1, 2),
+ s2 as (
+   select doc_id, name, n, {_sum(sg.DIALOGUE)} as dialogue, {_sum(sg.PERSON_VERBS)} as action, coalesce(pronoun, 0) as pronoun, {_sum(sg.DIRECT)} as direct,
+     {_sum(sg.PROJECT_VERBS)} as project, {_sum(sg.VERSIONED)} as versioned, {_sum(sg.CODE)} as code,
+     {_fired(sg.DIALOGUE)} as d, {_fired(sg.PERSON_VERBS)} as v
+   from s1 left join pr using (doc_id, name)
+ ),
+ sn as (
+   select doc_id, name, n, dialogue, action, pronoun, direct, project, versioned, code,
+     (d > 0)::int + (v > 0 and d < 3)::int + (pronoun > 0 and d + v < 3)::int + (direct > 0 and d + v + (pronoun > 0)::int < 3)::int as kinds
+   from s2
+ )"""
+_TYPED = f"""{_SIGNALS},
+ sp as (select *, 3 * dialogue + 2 * action + 2 * pronoun + 4 * direct as ps, 2 * project + 3 * versioned + 3 * code as prs from sn),
+ sr as (select *, case when ps + prs = 0 then 0.5 else ps / (ps + prs) end as ratio, ps + prs = 0 as none from sp),
+ ty as (
+   select *, case when none then 'uncertain' when ratio >= 0.7 and kinds >= 2 and ps >= 5 then 'person' when ratio >= 0.7 then 'uncertain' when ratio <= 0.3 then 'project' else 'uncertain' end as type,
+     round(case when none then least(0.4, n / 50) when ratio >= 0.7 and kinds >= 2 and ps >= 5 then least(0.99, 0.5 + ratio * 0.5) when ratio >= 0.7 then 0.4
+       when ratio <= 0.3 then least(0.99, 0.5 + (1 - ratio) * 0.5) else 0.5 end::double, 2) as confidence
+   from sr
+ )"""
+
+
+@query("ent_02", f"with {_SIGNALS} select * from sn")
 def entity_signals(t: Tables) -> DataFrame:
     return signals(t)
 
@@ -195,7 +254,9 @@ def classification(t: Tables) -> DataFrame:
     return text.classified(s).select("doc_id", "name", "type", "confidence")
 
 
-@query("ent_04")
+@query("ent_04", f"""with {_TYPED},
+ k as (select doc_id, name, type, confidence, row_number() over (partition by type order by confidence desc, n desc, doc_id, name) as rank from ty)
+ select * from k where rank <= case type when 'person' then 15 when 'project' then 10 else 8 end""")
 def ranked_entities(t: Tables) -> DataFrame:
     return text.top_entities(text.classified(signals(t)), {"person": 15, "project": 10, "uncertain": 8}).select("doc_id", "name", "type", "confidence", "rank")
 
@@ -211,7 +272,13 @@ def registry(t: Tables) -> DataFrame:
     return text.lookup(words, people, t("region").select(F.col("r_name").alias("name")), none)
 
 
-@query("ent_06")
+_hits = lambda ps: " + ".join(f"({_matches(p, 'lower(word)', 'low').replace('(?im)', '(?i)')} > 0)::int" for p in ps)
+
+
+@query("ent_06", f"""with w as (select doc_id, regexp_extract({spread('text')}, '{OUT}([A-Z][a-z]+){OUT}', 1) as word, lower(text) as low from documents),
+ h as (select doc_id, word, {_hits(text.PERSON_CONTEXT)} as p, {_hits(text.CONCEPT_CONTEXT)} as c from w where word <> '')
+ select doc_id, word, case when c > p then 'concept' else 'person' end as type,
+   round(case when p > c then least(0.95, 0.7 + p * 0.1) when c > p then least(0.9, 0.7 + c * 0.1) else 0.7 end::double, 4) as confidence from h""")
 def disambiguation(t: Tables) -> DataFrame:
     d = t("documents").select("doc_id", F.regexp_extract("text", r"\b([A-Z][a-z]+)\b", 1).alias("word"), "text").where("word <> ''")
     return d.select("doc_id", "word", text.disambiguated(F.col("word"), F.col("text")).alias("r")).select("doc_id", "word", "r.type", "r.confidence")
@@ -224,7 +291,7 @@ def seeded(t: Tables) -> DataFrame:
     return a.join(common, F.lower("alias") == F.col("_c"), "left").select("name", "alias", F.col("_c").isNotNull().alias("ambiguous"))
 
 
-@query("ent_08")
+@query("ent_08", f"with {_TYPED} select name, max(confidence) as confidence from ty where type = 'person' and confidence >= 0.75 and lower(name) not in (select lower(n_name) from nation) group by name")
 def learned(t: Tables) -> DataFrame:
     known = t("nation").select(F.lower("n_name").alias("_k"))
     people = text.classified(signals(t)).where("type = 'person' and confidence >= 0.75")
