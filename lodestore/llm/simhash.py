@@ -168,16 +168,6 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest doc_id. Copies of that row itself go too.
-
-    Rows without doc_id are kept: they can't be told apart by their id.
-    """
-    keep = simhash_components(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return keyed.unionByName(docs.where("doc_id is null"))
-
-
 #: Near copies of a pipeline stage: words of a shingle, least Jaccard similarity of two texts' sets of shingles.
 NEAR_WORDS, NEAR_LEAST = 5, 0.8
 #: Differing bits of candidates. Two sets of J = 0.8 share 2J/(1+J) = 0.89 of their shingles, so bits differ by
@@ -186,8 +176,8 @@ NEAR_WORDS, NEAR_LEAST = 5, 0.8
 NEAR_RADIUS, NEAR_RADIUS_BOTH = 20, 34
 #: A pair of tiles hands on all its candidates up to so many for each of its texts; else a few for each text first.
 MANY, FEW_ROUNDS = 8, 3
-#: Tiles, about, at most: each is sent to as many tasks.
-NEAR_TILES = 32
+#: Tiles, about, while they are small; beyond that there are more of them, each of NEAR_MOST texts at most, so that a task's work stays the same.
+NEAR_TILES, NEAR_MOST = 32, 16_384
 
 
 def count_tiles(by_count: dict[int, int], rows: int, radius: int) -> tuple[dict[int, int], dict[int, int], dict[int, tuple[int, int]]]:
@@ -331,7 +321,7 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     by_count = {r["pc"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     n = sum(by_count.values())
-    first, slices, meets = count_tiles(by_count, max(TILE_LEAST, n // NEAR_TILES), NEAR_RADIUS)
+    first, slices, meets = count_tiles(by_count, min(NEAR_MOST, max(TILE_LEAST, n // NEAR_TILES)), NEAR_RADIUS)
     if not meets:
         return spark.createDataFrame([], "src long, dst long")
     number = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
@@ -365,17 +355,21 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group of near copies: the one with the smallest doc_id stays. Copies of that row itself go too.
+    """docs without all but one document of each group of near copies: the one with the smallest doc_id stays, of several with that id the one with the least text hash.
 
     Two texts are linked if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or
     more, exactly; they are compared if their votes lie within NEAR_RADIUS and NEAR_RADIUS_BOTH bits. Texts without words
-    are copies of each other. Rows without doc_id are kept: they can't be told apart by their id.
+    are copies of each other. Rows of one doc_id with unlike texts are documents of their own; of rows with one doc_id and text one stays.
+    Rows without doc_id are kept: they can't be told apart by their id. Any column names are fine.
     """
-    keyed = docs.where("doc_id is not null")
-    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    th = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+    keyed = docs.where("doc_id is not null").select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", th)
+    texts = keyed.select("doc_id", "text", "th")
     keys = stored(_near_keys(texts), "near-keys")
     nodes = stored(keys.groupBy("node").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min(F.struct("doc_id", "th")).alias("rep")), "near-nodes")
     roots = connected_components(near_links(nodes, texts))
-    named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.col("rep.doc_id").alias("doc_id"))
-    keep = named.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return keyed.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "rep")
+    keep = named.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.th").distinct()
+    kept = keyed.drop("text").join(keep, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

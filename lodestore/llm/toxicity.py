@@ -149,15 +149,21 @@ class Voters:
         return sorted(out)
 
 
+def text_keys() -> list[Column]:
+    """128 bits of a text; a null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("other_key")]
+
+
 def cast_votes(docs: DataFrame, voters: Voters) -> DataFrame:
-    """(doc_id, v) for each row of docs: the numbers of the voters that speak up."""
+    """(doc_id, key, other_key, v) for each row of docs: the numbers of the voters that speak up, and the keys of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 1000) for x in batches for i in range(0, len(x), 1000)):
-            found = [voters.votes(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "v"])
+            found = [voters.votes(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "key", "other_key", "v"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, v array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text").mapInArrow(run, "doc_id long, key long, other_key long, v array<int>")
 
 
 def dense(v: pa.Array, m: int) -> Iterator[np.ndarray]:
@@ -360,19 +366,19 @@ class Fitted:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.labels.logit(v) + self.shift, -30, 30)))
 
     def scores(self) -> DataFrame:
-        """(doc_id, score, posterior) of every document, from its votes; posterior: what the label model says, null without one."""
+        """(doc_id, key, other_key, score, posterior) of every document, from its votes; posterior: what the label model says, null without one."""
         w, m, labels, target = np.array(self.model.weights), len(self.model.weights) - 1, self.labels, replace(self, cast=None).target  # a DataFrame can't travel
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = 0
-                for x in dense(b.column(1), m):
+                for x in dense(b.column(3), m):
                     score = 1 / (1 + np.exp(-np.clip(np.round(x @ w[:-1] + w[-1], 9), -30, 30)))
                     post = pa.array(target(x)) if labels else pa.nulls(len(x), pa.float64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), pa.array(score), post], ["doc_id", "score", "posterior"])
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(x)) for c in b.columns[:3]], pa.array(score), post], ["doc_id", "key", "other_key", "score", "posterior"])
                     at += len(x)
 
-        return self.cast.mapInArrow(run, "doc_id long, score double, posterior double")
+        return self.cast.mapInArrow(run, "doc_id long, key long, other_key long, score double, posterior double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
@@ -407,7 +413,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects: null and empty texts are scored like any other, repeated rows stay or go together. Any column names are fine."""
-    score = fit(docs, labels).model.column(F.col("text"))
+    """docs without those that the classifier rejects: null and empty texts are scored like any other, equal texts stay or go together. Any column names are fine.
+
+    Scores come from the votes that fit() has written; a row is found again by 128 bits of its text.
+    """
+    bad = stored(fit(docs, labels).scores().where("score >= 0.5").select("key", "other_key").distinct(), "toxicity-rejected")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, score.alias("score")).where("score < 0.5").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return docs.select(row, *text_keys()).join(bad, ["key", "other_key"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

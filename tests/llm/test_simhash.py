@@ -77,9 +77,6 @@ def test_edges(edge, empty):
     assert {r.component_id for r in zero} == {2} and len(zero) == 4
     assert sorted(r.component_id for r in out if r.doc_id == 7) == [1, 1]
     assert simhash.simhash_components(empty).count() == 0
-    kept = simhash.simhash_dedup(edge)
-    assert kept.columns == edge.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6, 8]
 
 
 def spoiled(text, at):
@@ -115,7 +112,7 @@ def test_near_copies_beyond_four_bits_go(spark, prose):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = near_kept(rows)
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == want
-    four = {r.doc_id for r in simhash.simhash_dedup(docs).collect()}
+    four = {r.component_id for r in simhash.simhash_components(docs).collect()}
     assert four - want  # near copies that 4 bits leave
 
 
@@ -132,3 +129,22 @@ def test_near_dedup_edges(edge, empty):
     kept = simhash.near_dedup(edge)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6, 8]
+
+
+def test_unlike_texts_of_one_id_are_all_kept(spark, prose):
+    rows = [(1, prose(1, 80), "a"), (1, prose(2, 80), "b"), (2, prose(3, 80), "c"), (3, prose(2, 80), "d"), (1, prose(1, 80), "a"), (None, prose(1, 80), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string").repartition(4)
+    kept = sorted((r.doc_id or 0, r.th) for r in simhash.near_dedup(docs).collect())
+    assert kept == [(0, "e"), (1, "a"), (1, "b"), (2, "c")]
+
+
+def test_tiles_have_a_bound_of_their_own(monkeypatch):
+    first, slices, meets = simhash.count_tiles({30: 100_000, 32: 50_000}, 16_384, 20)
+    assert slices[30] == 7 and slices[32] == 4 and meets[0] == (0, 10)
+
+
+def test_small_tiles_find_the_same(spark, prose, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_MOST", 7)
+    rows = sorted(near_corpus(prose), key=lambda r: r[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == near_kept(rows)
