@@ -114,6 +114,43 @@ def within_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
     return items.withColumn("used", F.sum(tokens_of(F.length("item") + 3)).over(w)).where(F.col("used") <= budget)
 
 
+def rendered_chars(head: int | Column, chars: Column) -> Column:
+    """Characters of a section: its header, then each item (array of lengths) as a line with a mark before it."""
+    return F.lit(head) + 1 + F.aggregate(chars, F.lit(0), lambda a, c: a + c + 2) + F.greatest(F.size(chars) - 1, F.lit(0))
+
+
+#: Tokens that are kept free before raw hits are trimmed.
+RAW_SPARE = 20
+
+
+def packed_hits(hits: DataFrame, budget: int) -> DataFrame:
+    """(query_id, n, section) of the hits that a budget takes.
+
+    hits: query_id, n (order), text, section (number, null for a hit that is no memory), chars of its line, header_chars of the whole context. Hits with blank texts go, and of
+    equal texts but the first. Sections are taken or left as a whole, one after the other, with what those before have left; raw hits
+    come last (section -1), as many of the first as fit. A query has as many hits as its search gives, so they meet as one list.
+    """
+    text = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    first = Window.partitionBy("query_id", F.md5(text)).orderBy("n")
+    d = hits.where(text != "").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    one = F.struct("n", "section", F.col("chars").cast("int").alias("chars"))
+    q = d.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("hits"), F.max("header_chars").alias("h"))
+    q = q.withColumn("left", F.lit(budget).cast("long") - tokens_of(F.col("h"))).withColumn("taken", F.array().cast("array<int>"))
+    for number, header in enumerate(SECTIONS.values()):
+        own = F.transform(F.filter("hits", lambda x: x["section"] == number), lambda x: x["chars"])
+        cost = tokens_of(rendered_chars(len(header), own)) + 2
+        fits = (F.size(own) > 0) & (cost <= F.col("left"))
+        q = q.withColumns({"left": F.when(fits, F.col("left") - cost).otherwise(F.col("left")), "taken": F.when(fits, F.array_append("taken", F.lit(number))).otherwise(F.col("taken"))})
+    raw = F.filter("hits", lambda x: x["section"].isNull())
+    free = F.struct((F.col("left") - RAW_SPARE).alias("room"), F.lit(0).alias("k"))
+    # the room of a list that has ended is under 0, so nothing more fits
+    step = lambda a, x: F.when(tokens_of(x["chars"] + 3) <= a["room"], F.struct((a["room"] - tokens_of(x["chars"] + 3)).alias("room"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.lit(-1).cast("long").alias("room"), a["k"].alias("k")))
+    few = F.slice(raw, 1, F.aggregate(raw, free, step, lambda a: a["k"]))
+    kept = F.concat(F.filter("hits", lambda x: F.array_contains(F.col("taken"), x["section"])), few)
+    out = q.select("query_id", F.explode(kept).alias("x"))
+    return out.select("query_id", "x.n", F.coalesce("x.section", F.lit(-1)).alias("section"))
+
+
 def packed(items: DataFrame, budget: int) -> DataFrame:
     """(query_id, section, n_items, tokens) of the sections that a budget takes.
 

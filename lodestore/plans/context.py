@@ -168,14 +168,37 @@ def budgeted(t: Tables) -> DataFrame:
     return c.packed(i.withColumn("header_chars", F.col("q") + 70), 900).select("query_id", F.col("section").cast("long").alias("section"), F.col("n_items").cast("long").alias("n_items"), "tokens")
 
 
-@query("pck_06", "with d as (select source, doc_id, text, row_number() over (partition by source, md5(text) order by doc_id) as k from documents), u as (select source, doc_id, sum(length('[x/y] ' || case when length(text) > 400 then substr(text, 1, 397) || '...' else text end) + 3) over (partition by source order by doc_id) as z, sum((length('[x/y] ' || case when length(text) > 400 then substr(text, 1, 397) || '...' else text end) + 3) // 4) over (partition by source order by doc_id) as used from d where k = 1) select source, doc_id from u where used <= 1500")
+_HEADS = "(values " + ", ".join(f"({i}, {len(h)}, '{k}')" for i, (k, h) in enumerate(c.SECTIONS.items())) + ") heads(section, head, kind)"
+
+
+@query("pck_06", f"""with recursive {_SCORED}, {_ITEM},
+ hi as (
+   select i.query_id, i.rank as n, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as text, case when i.seq % 3 > 0 then section end as section,
+     case when i.seq % 3 > 0 then length(item) else length('[' || source || '/general] ' || case when length(body) > 400 then substr(body, 1, 397) || '...' else body end) end as chars
+   from it i join sc using (query_id, seq) join (select seq, tenant_id as source from mem) using (seq) join {_HEADS} on kind = sc.memory_type
+ ),
+ hd as (select * from (select *, row_number() over (partition by query_id, md5(text) order by n) as k from hi where text <> '') where k = 1),
+ co as (select query_id, section, (max(head) + 1 + sum(chars + 2) + count(*) - 1)::bigint // 4 + 2 as cost from hd join {_HEADS} using (section) group by query_id, section),
+ fo as (
+   select query_id, -1 as section, false as taken, 900 - (80 + length(query)) // 4 as lft from asked
+   union all
+   select f.query_id, f.section + 1, coalesce(cost <= lft, false), lft - case when cost <= lft then cost else 0 end
+   from fo f left join co on co.query_id = f.query_id and co.section = f.section + 1
+   where f.section < 5
+ ),
+ ra as (select query_id, n, sum((chars + 3) // 4) over (partition by query_id order by n) as used from hd where section is null)
+ select h.query_id, h.n, h.section::int as section from hd h join fo on fo.query_id = h.query_id and fo.section = h.section where taken
+ union all
+ select r.query_id, r.n, -1 from ra r join fo on fo.query_id = r.query_id and fo.section = 5 where used <= lft - 20""")
 def raw_hits(t: Tables) -> DataFrame:
-    """Equal texts once, in each source the hits that the budget takes."""
-    w = Window.partitionBy("source", F.md5("text")).orderBy("doc_id")
-    d = t("documents").withColumn("k", F.row_number().over(w)).where("k = 1")
-    preview = F.when(F.length("text") > 400, F.concat(F.substring("text", 1, 397), F.lit("..."))).otherwise(F.col("text"))
-    hits = d.select("source", "doc_id", F.col("doc_id").alias("n"), F.concat(F.lit("[x/y] "), preview).alias("item"))
-    return c.within_budget(hits, "source", 1500).select("source", "doc_id")
+    """What a query has found; a third of it plays hits that are no memories. Whole sections first, then raw hits with what is left."""
+    i = items(t).join(t.memories().select("seq", "body", F.col("tenant_id").alias("source")), "seq").join(t.asked().select("query_id", F.length("query").alias("q")), "query_id")
+    preview = F.when(F.length("body") > 400, F.concat(F.substring("body", 1, 397), F.lit("..."))).otherwise(F.col("body"))
+    typed = F.col("seq") % 3 > 0
+    chars = F.when(typed, F.length("item")).otherwise(F.length(F.concat(F.lit("["), "source", F.lit("/general] "), preview)))
+    section = F.when(typed, c.section_order(F.col("memory_type")))
+    hits = i.select("query_id", F.col("rank").alias("n"), F.col("body").alias("text"), section.alias("section"), chars.alias("chars"), (F.col("q") + 80).alias("header_chars"))
+    return c.packed_hits(hits, 900)
 
 
 @query("pck_07", f"with {_SCORED}, k as (select query_id, seq, cosine, body, row_number() over (partition by query_id order by cosine desc, seq) as k from sc), u as (select *, sum((length(body) + 3) // 4) over (partition by query_id order by k) as used from k where k <= 30) select query_id, seq from u where used <= 2000")

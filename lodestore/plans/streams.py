@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def sinks(t: Tables) -> DataFrame:
     files.append_json(files.latest_version(t.spark, f"{path}/table").drop("version"), f"{path}/log")
     back = files.json_lines(t.spark, f"{path}/log", "memory_object_id string, memory_type string, body string")
     files.replace(back, f"{path}/final")
-    return t.spark.read.parquet(f"{path}/final").groupBy("memory_type").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+    return files.current(t.spark, f"{path}/final").groupBy("memory_type").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
 def stream(t: Tables) -> DataFrame:
@@ -60,12 +61,41 @@ def session_stream(t: Tables) -> DataFrame:
     return out.select("user_id", ntz("start"), ntz("end"), "n")
 
 
-@query("led_14", f"with {_RUN} select pid, arg_max(ledger, (ts, event_id)) as ledger, arg_max(streak, (ts, event_id)) as streak, count(*) as n from st group by pid")
+_DELTA = "case event_id % 4 when 0 then 3.0 when 1 then 0.75 else -1.25 end"
+
+
+def deltas(d: DataFrame) -> DataFrame:
+    i = F.col("event_id") % 4
+    return d.select(F.concat(F.lit("p"), "user_id").alias("pid"), "ts", "event_id", F.when(i == 0, 3.0).when(i == 1, 0.75).otherwise(-1.25).alias("delta"))
+
+
+@query("led_14", f"""with e as (select concat('p', user_id) as pid, {_DELTA} as delta from events)
+ select pid, round(sum(delta), 6)::double as ledger, count(*) as n, (select count(*) from events) as traced from e group by pid""")
+def trace_then_ledger(t: Tables) -> DataFrame:
+    """The trace in four batches with its ledger. The run dies in the second one, after the trace and before the ledger, and is started again: each batch counts once."""
+    path = files.shared_path(t.spark, "trace-ledger")
+    t("events").repartition(4, "event_id").write.parquet(f"{path}/in")
+    schema = t("events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    def dies(batch_id: int) -> None:
+        if batch_id == 1:
+            raise OSError("lost between the two sinks")
+
+    first = trace.TraceThenLedger(f"{path}/out", deltas, between=dies)
+    try:
+        trace.run_to_end(trace.read(t.spark, f"{path}/in", schema, files=1), first, f"{path}/state")
+    except StreamingQueryException:  # that of dies()
+        pass
+    again = trace.TraceThenLedger(f"{path}/out", deltas)
+    trace.run_to_end(trace.read(t.spark, f"{path}/in", schema, files=1), again, f"{path}/state")
+    traced = again.trace(t.spark, schema).agg(F.count("*").alias("traced"))
+    return again.ledger(t.spark).select("pid", F.round("ledger", 6).alias("ledger"), "n").crossJoin(F.broadcast(traced))
+
+
+@query("led_14_keyed", f"with {_RUN} select pid, arg_max(ledger, (ts, event_id)) as ledger, arg_max(streak, (ts, event_id)) as streak, count(*) as n from st group by pid")
 def ledger_stream(t: Tables) -> DataFrame:
     """The ledger as keyed state of the stream; the last word on each pattern."""
-    i = F.col("event_id") % 4
-    d = stream(t).select(F.concat(F.lit("p"), "user_id").alias("pid"), "ts", "event_id", F.when(i == 0, 3.0).when(i == 1, 0.75).otherwise(-1.25).alias("delta"))
-    out = trace.drained(trace.running_ledger(d), files.shared_path(t.spark, "ledger"))
+    out = trace.drained(trace.running_ledger(deltas(stream(t))), files.shared_path(t.spark, "ledger"))
     last = F.max(F.struct("n", "ledger", "streak")).alias("x")
     return out.groupBy("pid").agg(last).select("pid", "x.ledger", "x.streak", "x.n")
 

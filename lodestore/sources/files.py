@@ -1,7 +1,8 @@
-"""Sources and sinks: whole files, JSON lines, versioned tables, staged replacement."""
+"""Sources and sinks: whole files, JSON lines, versioned tables, replacement by versions."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,14 +11,25 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir; on one machine a temporary one if that is unset."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir; on one machine a temporary one if that is unset. What is there goes when the driver ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM may be gone by now
+            pass
+
+    atexit.register(drop)
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -54,18 +66,26 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes beside path and then takes its place, so that readers see the old or the new table, never a half."""
+    """The next version of the table at path. It counts from the moment that it is whole: current() gives the old or the new table, never a half and never none.
+
+    The version before stays for those who are reading it; older ones go.
+    """
     spark = df.sparkSession
-    staged, old = f"{path}.{uuid.uuid4().hex}.staged", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(staged)
+    known = whole_tables(spark, path, "table-")
+    number = 1 + int(known[-1].rpartition("-")[2]) if known else 1
+    df.write.mode("overwrite").parquet(f"{path}/table-{number:09d}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    if not fs.rename(p(staged), p(path)):
-        raise OSError(f"{staged} could not take the place of {path}")
-    fs.delete(p(old), True)
+    for old in known[:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace() has last written whole."""
+    known = whole_tables(spark, path, "table-")
+    if not known:
+        raise FileNotFoundError(f"no whole table in {path}")
+    return spark.read.parquet(known[-1])
 
 
 def write_version(df: DataFrame, path: str, version: int, *partitions: str) -> None:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestore.sources.files import whole_tables
 
-def read(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    """A file source; new files under path are new records."""
-    return spark.readStream.schema(schema).format(kind).load(path)
+
+def read(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int | None = None) -> DataFrame:
+    """A file source; new files under path are new records. files: that many of them make a batch."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
 def windowed_activation(traces: DataFrame, every: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
@@ -50,16 +53,62 @@ def running_ledger(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("pid").applyInPandasWithState(update, LEDGER, "ledger double, streak long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def trace_then_ledger(write_trace: Callable[[DataFrame, int], None], write_ledger: Callable[[DataFrame, int], None], done: Callable[[int], bool]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the trace first, the ledger only after it; a batch that has been done is not counted again."""
+class TraceThenLedger:
+    """Two sinks of one stream: the trace first, then the ledger of what the trace has, then a line in the batch log.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if done(batch_id):
-            return
-        write_trace(batch, batch_id)
-        write_ledger(batch, batch_id)
+    Use it as a foreachBatch function. Every write is a table of its own under the batch's number, so a batch that died half way and comes again takes the place of
+    its own leavings and of nothing else. The ledger after a batch is that of the last batch in the log before it, plus the batch; a batch in the log is
+    done and isn't looked at again. Readers go by the log: trace() and ledger() show batches that are whole. tracking False: the trace alone.
+    """
+
+    def __init__(self, path: str, deltas: Callable[[DataFrame], DataFrame], tracking: bool = True, between: Callable[[int], None] | None = None):
+        """deltas: a batch of the trace to (pid, delta). between: called after the trace and before the ledger (tests)."""
+        self.path, self.deltas, self.tracking, self.between = path, deltas, tracking, between
+
+    def done(self, spark: SparkSession) -> list[int]:
+        return sorted(int(p.rpartition("=")[2]) for p in whole_tables(spark, f"{self.path}/log", "batch="))
 
-    return handle
+    def _at(self, sink: str, batch_id: int) -> str:
+        return f"{self.path}/{sink}/batch={batch_id}"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = self.done(spark)
+        if batch_id in done:
+            return
+        batch.write.mode("overwrite").parquet(self._at("trace", batch_id))
+        if self.between:
+            self.between(batch_id)
+        written = spark.read.schema(batch.schema).parquet(self._at("trace", batch_id))
+        if self.tracking:
+            before = [n for n in done if n < batch_id]
+            known = self._ledger(spark, before[-1]) if before else spark.createDataFrame([], LEDGER_TABLE)
+            new = self.deltas(written).groupBy("pid").agg(F.sum("delta").alias("ledger"), F.count("*").alias("n"))
+            both = known.unionByName(new).groupBy("pid").agg(F.sum("ledger").alias("ledger"), F.sum("n").alias("n"))
+            both.write.mode("overwrite").parquet(self._at("ledger", batch_id))
+        log = written.agg(F.lit(batch_id).cast("long").alias("id"), F.count("*").alias("records"))
+        log.coalesce(1).write.mode("overwrite").parquet(self._at("log", batch_id))
+
+    def _ledger(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.schema(LEDGER_TABLE).parquet(self._at("ledger", batch_id))
+
+    def trace(self, spark: SparkSession, schema: str) -> DataFrame:
+        paths = [self._at("trace", n) for n in self.done(spark)]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        """(pid, ledger, n) after the last batch of the log."""
+        done = self.done(spark)
+        return self._ledger(spark, done[-1]) if done and self.tracking else spark.createDataFrame([], LEDGER_TABLE)
+
+
+LEDGER_TABLE = "pid string, ledger double, n long"
+
+
+def run_to_end(stream: DataFrame, handle: Callable[[DataFrame, int], None], state: str) -> None:
+    """All data that is there now through handle, batch by batch; state: the stream's checkpoint folder. Raises what handle raises."""
+    q = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(handle).start()
+    q.awaitTermination()
 
 
 def drained(stream: DataFrame, path: str, mode: str = "update") -> DataFrame:
