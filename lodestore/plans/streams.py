@@ -130,28 +130,6 @@ def assigned_on_insert(t: Tables) -> DataFrame:
     return atlas.assigned(new, centroids(t), 0.15).select("id", "primary", "confidence")
 
 
-@query("lab_05", f"with {MEM} select seq, case when seq % 10 = 3 then 0 else least(1.0::double, length(body) / 4096e0) end::double as success from mem")
-def judged(t: Tables) -> DataFrame:
-    """A batch judge (a stand-in: longer texts succeed); what it can't judge counts as 0."""
-
-    def judge(pdf):  # noqa: ANN001, ANN202
-        score = (pdf["n"] / 4096.0).clip(upper=1.0).where(pdf["seq"] % 10 != 3)
-        return pdf[["seq"]].assign(success=score.fillna(0.0))
-
-    return models.with_model(t.memories().select("seq", F.length("body").alias("n")), judge, "seq long, success double")
-
-
-@query("lab_08", f"with {MEM} select seq, (length(title) % 2 = 0 and seq % 10 <> 3)::int as relevant from mem")
-def relevance_labels(t: Tables) -> DataFrame:
-    """Binary relevance by a model (a stand-in by title length); failures are 0."""
-
-    def label(pdf):  # noqa: ANN001, ANN202
-        ok = (pdf["n"] % 2 == 0) & (pdf["seq"] % 10 != 3)
-        return pdf[["seq"]].assign(relevant=ok.astype("int32"))
-
-    return models.with_model(t.memories().select("seq", F.length("title").alias("n")), label, "seq long, relevant int")
-
-
 @query("sel_08", f"with {_BM25}, l as (select query_id, doc, score, 1 as level from de where score >= 0.25 union all select query_id, doc, score, 2 from de where score >= 0.1 union all select query_id, doc, score, 3 from de), b as (select *, min(level) over (partition by query_id) as best from l), s as (select query_id, doc, score, level, row_number() over (partition by query_id order by score desc, doc) as rank from b where level = best) select * from s where rank <= 6")
 def degradation(t: Tables) -> DataFrame:
     """The first level that has anything for a query: refined selection, full atlas, plain embedding search."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.functions import normalized
+from lodestore.functions import models, normalized
 from lodestore.operators import signals as sg
 from lodestore.operators import text
 from lodestore.plans.base import ASKED, MEM, Tables, query
+from lodestore.sources.files import shared_path
 
 #: What a word boundary is in SQL: no letter, digit or underscore of any script.
 OUT = r"[^\p{L}\p{N}_]"
@@ -49,11 +52,30 @@ def strategy(t: Tables) -> DataFrame:
     return t.memories().select("memory_object_id", text.chunk_kind(kind, F.col("source_path")).alias("strategy"))
 
 
-@query("con_05")
+def stand_in_extractor(prompts: list[str]) -> list[str]:
+    """A memory of a prompt's first section. Documents whose id 7 leaves at 3 get prose around it at first, those that 11 leaves at 5 always."""
+    out = []
+    for p in prompts:
+        head, _, rest = p.split("\n", 1)[1].partition("] ")
+        key, again = int(head[1:].split("-")[0]), models.REPAIR in p
+        section = rest.split("\n---\n")[0].split("\n\n=== FINE CHUNKS")[0]
+        fine = p.split("(for evidence references) ===\n")[1].split("\n\nExtract")[0]
+        memory = {"type": "semantic", "title": section[:40], "body": f"{len(section)} characters", "retention_score": 0.7, "evidence_chunk_ids": [fine.partition("]")[0][1:]]}
+        bad = key % 7 == 3 and not again or key % 11 == 5
+        out.append(("Here you are: " if bad else "") + json.dumps({"memories": [memory]}))
+    return out
+
+
+@query("con_05", """with s as (
+   select doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '[^\\s]')) as parts from documents
+ )
+ select doc_id, case when doc_id % 7 = 3 then 2 else 1 end as attempt, 0 as position, 'semantic' as type, substr(parts[1], 1, 40) as title, least(length(parts[1]), 4000) || ' characters' as body, 0.7::double as retention_score
+ from s where len(parts) > 0 and doc_id % 11 <> 5""")
 def extracted(t: Tables) -> DataFrame:
-    """A stand-in extractor: the first sentence as title, the section as body."""
-    s = text.sections(t("documents"), "prose")
-    return s.select("doc_id", "start", F.lit("semantic").alias("type"), F.regexp_extract("text", r"^\s*([^.!?\n]*)", 1).alias("title"), F.trim("text").alias("body"))
+    """Memories by a stand-in extractor that at times fails once or twice: what fails is asked again, and what fails again is a dead letter."""
+    chunks = text.hierarchy(t("documents"))
+    found, _ = models.extracted(chunks, stand_in_extractor, shared_path(t.spark, "extraction"))
+    return found.drop("evidence_chunk_ids")
 
 
 @query("con_06", f"with {MEM} select memory_object_id from mem where quality_score >= 0.65 and (memory_type in ('PROCEDURAL', 'FAILURE', 'TOOL_USE') or length(trim(body || ' ' || title)) >= 30)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import set_f1, words
+from lodestore.functions import models, set_f1, words
 from lodestore.operators import retrieval as r
 from lodestore.operators import training as tr
 from lodestore.operators import context as c
@@ -13,6 +15,7 @@ from lodestore.plans.base import ANCHORS, ASKED, CARDS, MEM, NOW, Tables, query
 from lodestore.plans.context import _SCORED
 from lodestore.plans.context import scored as fetched_memories
 from lodestore.plans.retrieval import _BM25, _RANK, active_cards, queries
+from lodestore.sources.files import shared_path
 
 #: Candidates of every query: the dense ranking. Gold anchors: two by its number.
 CAND = f"{_BM25}, ca as (select query_id, (rank - 1)::int as pos, doc as anchor_id from (select *, {_RANK} from de) where rank <= 12)"
@@ -78,6 +81,49 @@ def oracle_winner(t: Tables) -> DataFrame:
     return winning(t).select("query_id", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("winning"), "score")
 
 
+JUDGED = ("support_coverage", "noise_penalty")
+
+
+def stand_in_judge(prompts: list[str]) -> list[str]:
+    """Support by the size of a set. Of a question that has more than ten sets it says nothing about the last of them; sets with anchor 7 it garbles."""
+    out = []
+    for p in prompts:
+        sets = [line.partition(": ")[2].split(",") for line in p.split("\n")[1:]]
+        scores = [{"support_coverage": "?" if "7" in s else str(len(s) / 4), "noise_penalty": 0.5} for s in sets]
+        out.append(json.dumps({"sets": scores[:-1] if len(sets) > 10 else scores}))
+    return out
+
+
+@query("lab_05", f"""with {_SETS},
+ nr as (select *, row_number() over (partition by query_id order by size, rank) - 1 as number, count(*) over (partition by query_id) as sets from ss)
+ select query_id, number::int as number, array_to_string(st, ',') as payload, case when list_contains(st, 7) then 0 else size / 4 end::double as support_coverage,
+   case when list_contains(st, 7) then 0 else 0.5 end::double as noise_penalty,
+   case when list_contains(st, 7) then 0 when sets > 10 and number = sets - 1 then 2 else 1 end::int as attempt from nr""")
+def judged(t: Tables) -> DataFrame:
+    """All sets of a query by one question to a judge, a stand-in that leaves some out; these alone are asked again, and what stays open is zero."""
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("size", "rank")) - 1
+    items = sets(t).select(F.col("query_id").alias("key"), number.cast("int").alias("number"), F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("payload"))
+    return models.judged(items, stand_in_judge, JUDGED, shared_path(t.spark, "judge")).withColumnRenamed("key", "query_id")
+
+
+def stand_in_relevance(prompts: list[str]) -> list[str]:
+    """A memory is relevant if its title has an even number of characters; every tenth it can't judge."""
+    titles = [[line.partition(": ")[2] for line in p.split("\n")[1:]] for p in prompts]
+    return [json.dumps({"sets": [{} if len(x) % 10 == 3 else {"relevant": 1 - len(x) % 2} for x in own]}) for own in titles]
+
+
+@query("lab_08", f"""with {_SCORED},
+ nr as (select query_id, seq, row_number() over (partition by query_id order by seq) - 1 as number, length(regexp_replace(title, '\\n', ' ', 'g')) as n from sc)
+ select query_id, seq, (n % 2 = 0 and n % 10 <> 3)::int as relevant from nr""")
+def relevance_labels(t: Tables) -> DataFrame:
+    """Which of its fetched memories are relevant to a query, by one question for each query (a stand-in judge); failures are 0."""
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("seq")) - 1
+    s = fetched_memories(t).select("query_id", "seq", F.regexp_replace("title", "\n", " ").alias("payload"), number.cast("int").alias("number"))
+    items = s.select(F.col("query_id").alias("key"), "number", "payload")
+    out = models.judged(items, stand_in_relevance, ("relevant",), shared_path(t.spark, "relevance"))
+    return out.select(F.col("key").alias("query_id"), "number", F.col("relevant").cast("int").alias("relevant")).join(s.select("query_id", "number", "seq"), ["query_id", "number"]).select("query_id", "seq", "relevant")
+
+
 @query("lab_06", f"with {MEM}, {ASKED} select query_id, array_to_string(list_sort(list(distinct primary_anchor_id)), ',') as gold from asked join mem on contains(source_path, 'session' || (query_id % 50) || '/') group by query_id")
 def gold_anchors(t: Tables) -> DataFrame:
     """Sessions of a query to their memories' anchors. A path's session is taken out of it, so the join is an equi join."""

@@ -9,7 +9,7 @@ from lodestore import functions as fn
 from lodestore.functions import models
 from lodestore.operators import atlas, context, diagnostics, evaluation, ingest, ledger, retrieval, store, text, training
 from lodestore.sources import files
-from lodestore.streaming import trace
+
 
 NOW = 1_776_686_400
 
