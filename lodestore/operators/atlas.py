@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import unit
 from lodestore.operators.retrieval import small, vector_top
-from lodestore.sources.files import stored
+from lodestore.sources.files import stored, whole_tables
 
 NOVEL = 0.7
 ANCHOR_BUDGET, NOVELTY_ANCHORS = 20, 32
@@ -57,29 +57,38 @@ def spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return sample[chosen]
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, seed: int, rounds: int = 200, tolerance: float = 1e-4, sample: int = SEEDED) -> DataFrame:
+def spherical_kmeans(vectors: DataFrame, k: int, seed: int, rounds: int = 200, tolerance: float = 1e-4, sample: int = SEEDED, path: str | None = None) -> DataFrame:
     """(anchor_id, centroid) after Lloyd steps over all unit vectors (id, vec), until no centroid moves by `tolerance`.
 
     It begins with spread_out() of up to `sample` vectors, drawn by hash of seed and id; a centroid that no vector is nearest to is
     drawn anew from them. Centroids are k rows and pass the driver each round; vectors beyond the sample never do.
+    path: a folder of this clustering alone, where each round is written; a run that is started again goes on from the last whole one.
     """
     spark = vectors.sparkSession
     drawn = np.array([r["vec"] for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vec").collect()], dtype=float)
     schema = "anchor_id int, centroid array<double>"
     if not len(drawn):
         return spark.createDataFrame([], schema)
-    rng, now = np.random.default_rng(seed), spread_out(drawn, k, seed)
-    for _ in range(rounds):
+    made = whole_tables(spark, path, "round-") if path else []
+    done, settled = len(made), False
+    if made:
+        rows = spark.read.parquet(made[-1]).orderBy("anchor_id").collect()  # k rows
+        now, settled = np.array([r["centroid"] for r in rows]), rows[0]["settled"]
+    else:
+        now = spread_out(drawn, k, seed)
+    while done < rounds and not settled:
         centroids = spark.createDataFrame(list(enumerate(now.tolist())), schema)
         near = nearest(vectors, centroids, keep=True)
         step = near.groupBy("anchor_id").agg(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))).alias("m")).collect()  # k rows
-        new = drawn[rng.integers(len(drawn), size=len(now))]
+        new = drawn[np.random.default_rng([seed, done]).integers(len(drawn), size=len(now))]
         for r in step:
             if (size := np.linalg.norm(r["m"].toArray())) > 0:
                 new[r["anchor_id"]] = r["m"].toArray() / size
-        shift, now = np.linalg.norm(new - now, axis=1).max(), new
-        if shift < tolerance:
-            break
+        shift, now, done = np.linalg.norm(new - now, axis=1).max(), new, done + 1
+        settled = bool(shift < tolerance)
+        if path:
+            state = spark.createDataFrame([(i, c, settled) for i, c in enumerate(now.tolist())], schema + ", settled boolean")
+            state.coalesce(1).write.mode("overwrite").parquet(f"{path}/round-{done:06d}")
     return spark.createDataFrame(list(enumerate(now.tolist())), schema)
 
 
@@ -103,9 +112,9 @@ def stability(labels: DataFrame, columns: list[str], least: float = STABLE) -> D
     return reduce(DataFrame.unionByName, each).agg(mean.alias("stability"), (mean >= least).alias("accepted"))
 
 
-def stable_atlas(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (0, 1, 2), least: float = STABLE) -> tuple[DataFrame, DataFrame]:
-    """(centroids of the first seed, stability() of the clusterings of all seeds). Each clustering labels all vectors."""
-    made = [spherical_kmeans(vectors, k, seed) for seed in seeds]
+def stable_atlas(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (0, 1, 2), least: float = STABLE, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(centroids of the first seed, stability() of the clusterings of all seeds). Each clustering labels all vectors. path: as in spherical_kmeans()."""
+    made = [spherical_kmeans(vectors, k, seed, path=path and f"{path}/seed-{seed}") for seed in seeds]
     labels = None
     for n, c in enumerate(made):
         one = nearest(vectors, c).select("id", F.col("anchor_id").alias(f"l{n}"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.operators.ingest import READABLE, SKIPPED
@@ -165,3 +165,24 @@ def scanned(files: DataFrame, rules: DataFrame | None, includes: DataFrame) -> D
     suffix = F.lower(F.regexp_extract(base, r"^.+(\.[^.]+)$", 1))
     ok = (kept | ~base.isin(*SKIPPED_FILES)) & (suffix.isin(*READABLE) | F.coalesce("exact", F.lit(False))) & (kept | ~out)
     return state.where(~F.col("is_dir") & ok).withColumn("parent", parent(F.col("entry"))).join(under, "parent", "left_anti").select(F.col("entry").alias("file"))
+
+
+#: Prose extensions and the others that names are looked for in; how many prose files make others needless; files at most.
+PROSE = (".txt", ".md", ".rst", ".csv")
+OTHER_TEXT = (".py", ".js", ".ts", ".json", ".yaml", ".yml", ".toml", ".sh", ".rb", ".go", ".rs")
+PROSE_ENOUGH, FILES_READ = 3, 10
+
+
+def prose_first(files: DataFrame, most: int = FILES_READ) -> DataFrame:
+    """(project, file, rank) of files (project, file) that entities are looked for in: prose if a project has PROSE_ENOUGH such files, else prose and then other readable ones.
+
+    Files in skipped folders don't count. `most` of a project, by path; each task keeps its own first ones, and a project's
+    prose is counted to PROSE_ENOUGH from these alone.
+    """
+    suffix = F.lower(F.regexp_extract(name(F.col("file")), r"^.+(\.[^.]+)$", 1))
+    skipped = F.exists(F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1), lambda p: p.isin(*SKIPPED))
+    f = files.where(suffix.isin(*PROSE, *OTHER_TEXT) & ~skipped).withColumn("prose", suffix.isin(*PROSE))
+    place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("prose"), "file"))
+    first = f.withColumn("rank", place).where(F.col("rank") <= max(most, PROSE_ENOUGH))
+    enough = F.count_if("prose").over(Window.partitionBy("project")) >= PROSE_ENOUGH
+    return first.withColumn("enough", enough).where((F.col("prose") | ~F.col("enough")) & (F.col("rank") <= most)).select("project", "file", F.col("rank").cast("long").alias("rank"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import normalized, unit
 from lodestore.operators import atlas as a
 from lodestore.plans.base import CARDS, MEM, NOW, Tables, query
+from lodestore.sources.files import shared_path
 
 ACTIVE = "not is_archived and not is_duplicate"
 VEC = "v as (select vec_id as id, embedding::double[] as vec from embeddings)"
@@ -44,6 +45,27 @@ def lloyd_step(t: Tables) -> DataFrame:
     return x.groupBy("anchor_id").agg(F.round(F.sum(F.col("x") * (F.col("i") + 1)), 5).alias("checksum"), F.round(F.max("x"), 5).alias("most"))
 
 
+def clustered(t: Tables) -> tuple[DataFrame, int]:
+    """Unit vectors and how many clusters are due."""
+    v = t("embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), unit("embedding").alias("vec"))
+    return v, a.clusters(v.count())
+
+
+@query("atl_02_converged")
+def converged(t: Tables) -> DataFrame:
+    """The cluster of every vector after Lloyd steps to the end, each round written to shared storage."""
+    v, k = clustered(t)
+    centroids = a.spherical_kmeans(v, k, 0, path=shared_path(t.spark, "kmeans"))
+    return a.nearest(v, centroids).select("id", "anchor_id", F.round("similarity", 5).alias("similarity"))
+
+
+@query("atl_04_seeds")
+def stability_of_seeds(t: Tables) -> DataFrame:
+    """How alike the clusterings of three seeds are, each over all vectors and to the end."""
+    v, k = clustered(t)
+    return a.stable_atlas(v, k, path=shared_path(t.spark, "atlas"))[1]
+
+
 @query("atl_03", f"with {MEM} select tenant_id, count(*) as n, least(224, greatest(8, count(*) // 5)) as k, count(*) >= 200 as enough from mem where embedding is not null group by tenant_id")
 def cluster_counts(t: Tables) -> DataFrame:
     g = t.memories().where("embedding is not null").groupBy("tenant_id").agg(F.count("*").alias("n"))

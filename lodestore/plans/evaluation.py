@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.functions import dot, set_f1, words
+from lodestore.functions import set_f1, words
 from lodestore.operators import evaluation as e
-from lodestore.plans.base import ASKED, MEM, Tables, query
+from lodestore.operators import routing
+from lodestore.plans.base import ASKED, Tables, query
 from lodestore.plans.retrieval import OUT, spread
 from lodestore.plans.training import _F1, _WORDS
+from lodestore.sources import files
 
 ENDS = (" yesterday", " as you suggested 3 weeks ago", " about 'the' last month", "", " lately, recently", ' what Bob told "there" a week ago')
 NO_NAMES = ["The", "That"]
@@ -368,6 +370,55 @@ def diary(t: Tables) -> DataFrame:
     return e.ranked(e.best_per_session(raw.unionByName(layer)).withColumn("score", F.round("score", 6)))
 
 
+ROOMS = ("technical", "architecture", "planning", "decisions", "problems", "general")
+
+
+def stand_in_rooms(prompts: list[str]) -> list[str]:
+    """A room by the length of a conversation; of some lengths it makes nothing."""
+    n = [len(p.split("Conversation:\n")[1]) for p in prompts]
+    return ["zzz" if x % 7 == 3 else f"Room: {ROOMS[x % 6].upper()}" for x in n]
+
+
+def stand_in_router(prompts: list[str]) -> list[str]:
+    """One or two rooms by the length of a question; of some it has no idea."""
+    n = [len(p.split("Question: ")[1]) for p in prompts]
+    return ["no idea" if x % 5 == 4 else ROOMS[x % 6] + (f", {ROOMS[(x + 2) % 6]}" if x % 3 == 0 else "") for x in n]
+
+
+def stand_in_pick(prompts: list[str]) -> list[str]:
+    out = []
+    for p in prompts:
+        n, most = len(p.split("Question: ")[1].split("\n\nWhich of")[0]), int(p.split("(1-")[1].split(")")[0])
+        out.append("none" if n % 4 == 1 else f"I choose {1 + n % most}.")
+    return out
+
+
+_ROOMS = "[" + ", ".join(f"'{r}'" for r in ROOMS) + "]"
+
+
+@query("evl_20", f"""with {_QK},
+ sr as (select *, case when session_id % 10 = 0 then 'planning' when least(600, length(full_text)) % 7 = 3 then 'general' else {_ROOMS}[least(600, length(full_text)) % 6 + 1] end as cell from se),
+ ro as (
+   select query_id, unnest(case when length(question) % 5 = 4 then {_ROOMS} when length(question) % 3 = 0 then [{_ROOMS}[length(question) % 6 + 1], {_ROOMS}[(length(question) + 2) % 6 + 1]]
+     else [{_ROOMS}[length(question) % 6 + 1]] end) as cell from qk
+ ),
+ di as (select query_id, question, session_id, {_DIST} as dist from qk join ro using (query_id) join sr using (cell)),
+ ra as (select *, row_number() over (partition by query_id order by dist, session_id) as rank from di),
+ fe as (select *, least(10, count(*) over (partition by query_id)) as n from ra where rank <= {e.FETCH}),
+ pi as (select *, case when n > 1 and length(question) % 4 <> 1 then 1 + length(question) % n end as pick from fe)
+ select query_id, session_id, row_number() over (partition by query_id order by case when rank = pick then 0 else 1 end, rank) as rank from pi""")
+def routed(t: Tables) -> DataFrame:
+    """Sessions and questions are put into rooms by a stand-in model, every tenth session's room is known; questions search their rooms alone, and one of the first ten hits is picked."""
+    path = files.shared_path(t.spark, "rooms")
+    q = searched(t).select("query_id", "question", "qvec")
+    s = sessions(t).select("session_id", F.col("full_text").alias("text"), "vec")
+    known = s.where("session_id % 10 = 0").select("session_id", F.lit("planning").alias("room"))
+    rooms = routing.assigned_rooms(s.select("session_id", "text"), known, ROOMS, stand_in_rooms, f"{path}/assigned")
+    found = routing.searched_rooms(q, routing.routed(q, ROOMS, stand_in_router, f"{path}/routes"), s.select("session_id", "vec").join(rooms, "session_id"))
+    hits = found.withColumnRenamed("near", "rank").join(F.broadcast(q.select("query_id", "question")), "query_id").join(s.select("session_id", "text"), "session_id")
+    return routing.repicked(hits, stand_in_pick, f"{path}/picks")
+
+
 @query("evl_21", f"with {_HITS}, s as (select query_id, session_id, {_PRED} as score from hb where near <= {MORE}) select * from (select *, {_RANKED} from s) where rank <= {TOP}")
 def locomo_standard(t: Tables) -> DataFrame:
     return e.ranked(hits(t, MORE).select("query_id", "session_id", predicate_score())).where(F.col("rank") <= TOP)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.functions import models, normalized
+from lodestore.operators import ignore, text
 from lodestore.operators import signals as sg
-from lodestore.operators import text
 from lodestore.plans.base import ASKED, MEM, Tables, query
 from lodestore.sources.files import shared_path
 
@@ -368,3 +368,14 @@ def user_lines(t: Tables) -> DataFrame:
     raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("> "), "text")).otherwise(F.col("text"))
     c = t("conversations").withColumn("raw", raw)
     return c.select("conv_id", "turn", F.when(F.startswith(F.trim("raw"), F.lit(">")), F.concat(F.lit("> "), normalized(F.expr("substr(raw, 3)")))).otherwise(F.col("raw")).alias("line"))
+
+
+@query("ent_11", f"""with {MEM},
+ f as (select split_part(source_path, '/', 3) || '-' || tenant_id as project, source_path as file, regexp_matches(source_path, '[.]md$') as prose from mem where not regexp_matches(source_path, '[.]jsonl$') and seq % 4 > 0),
+ r as (select *, count(*) filter (prose) over (partition by project) >= 3 as enough, row_number() over (partition by project order by prose desc, file) as rank from (select distinct * from f))
+ select project, file, rank from r where (prose or not enough) and rank <= 10""")
+def prose_files(t: Tables) -> DataFrame:
+    """The files of each project, here a session of a tenant, that entities are looked for in."""
+    m = t.memories().where("seq % 4 > 0")
+    f = m.select(F.concat(F.split("source_path", "/")[2], F.lit("-"), "tenant_id").alias("project"), F.col("source_path").alias("file")).distinct()
+    return ignore.prose_first(f)
