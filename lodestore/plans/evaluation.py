@@ -374,8 +374,8 @@ ROOMS = ("technical", "architecture", "planning", "decisions", "problems", "gene
 
 
 def stand_in_rooms(prompts: list[str]) -> list[str]:
-    """A room by the length of a conversation; of some lengths it makes nothing."""
-    n = [len(p.split("Conversation:\n")[1]) for p in prompts]
+    """A room by the length of a conversation's first word; of some lengths it makes nothing."""
+    n = [p.split("Conversation:\n")[1].find(" ") + 1 for p in prompts]
     return ["zzz" if x % 7 == 3 else f"Room: {ROOMS[x % 6].upper()}" for x in n]
 
 
@@ -397,7 +397,8 @@ _ROOMS = "[" + ", ".join(f"'{r}'" for r in ROOMS) + "]"
 
 
 @query("evl_20", f"""with {_QK},
- sr as (select *, case when session_id % 10 = 0 then 'planning' when least(600, length(full_text)) % 7 = 3 then 'general' else {_ROOMS}[least(600, length(full_text)) % 6 + 1] end as cell from se),
+ sr as (select *, case when session_id % 10 = 0 then 'planning' when word % 7 = 3 then 'general' else {_ROOMS}[word % 6 + 1] end as cell
+   from (select *, instr(replace(substr(full_text, 1, 600), chr(10), ' '), ' ') as word from se)),
  ro as (
    select query_id, unnest(case when length(question) % 5 = 4 then {_ROOMS} when length(question) % 3 = 0 then [{_ROOMS}[length(question) % 6 + 1], {_ROOMS}[(length(question) + 2) % 6 + 1]]
      else [{_ROOMS}[length(question) % 6 + 1]] end) as cell from qk
