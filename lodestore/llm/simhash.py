@@ -174,8 +174,8 @@ NEAR_WORDS, NEAR_LEAST = 5, 0.8
 #: arccos(0.89)/pi = 0.15: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1. Over the first 64, over all 128:
 #: three and a half deviations more.
 NEAR_RADIUS, NEAR_RADIUS_BOTH = 20, 34
-#: A pair of tiles hands on all its candidates up to so many for each of its texts; else a few for each text first.
-MANY, FEW_ROUNDS = 8, 3
+#: A pair of tiles hands on all its candidates up to so many for each of its texts; else, in the first rounds, a few for each text, and after them it checks its candidates itself.
+MANY, FEW_ROUNDS = 8, 1
 #: Tiles, about, while they are small; beyond that there are more of them, each of NEAR_MOST texts at most, so that a task's work stays the same.
 NEAR_TILES, NEAR_MOST = 32, 16_384
 
@@ -249,25 +249,31 @@ def _near_keys(docs: DataFrame) -> DataFrame:
 TILE = np.dtype([("node", "<i8"), ("fp", "<u8"), ("more", "<u8"), ("label", "<i8")])
 
 
-def near_candidates(a: np.ndarray, b: np.ndarray | None, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate links (nodes, nodes) of different labels between tiles a and b (None: within a), and whether these are all.
-
-    All are given if whole is set or they are MANY for each text at most. Else each text of a has its
-    nearest and its first, which is linear in the texts.
-    """
+def close_pairs(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row of a, i, j, differing bits of 128) of the candidates of different labels between tiles a and b (None: within a), for some rows of a at a time."""
     other = a if b is None else b
-    most, step = MANY * (len(a) + len(other)), max(1, 2_000_000 // max(1, len(other)))
+    step = max(1, 2_000_000 // max(1, len(other)))
     fp, more, label = (np.ascontiguousarray(other[c]) for c in ("fp", "more", "label"))
-    every, few, count = [], [], 0
     for lo in range(0, len(a), step):
         mine = a[lo : lo + step]
         first = np.bitwise_count(mine["fp"][:, None] ^ fp[None, :])
         i, j = np.nonzero(first <= NEAR_RADIUS)
         both = first[i, j].astype(np.int16) + np.bitwise_count(mine["more"][i] ^ more[j])
         keep = (both <= NEAR_RADIUS_BOTH) & (mine["label"][i] != label[j])
-        i, j, both = i[keep], j[keep], both[keep]
-        if not len(i):
-            continue
+        if keep.any():
+            yield lo, i[keep], j[keep], both[keep]
+
+
+def near_candidates(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate links (nodes, nodes) of different labels between tiles a and b (None: within a), and whether these are all.
+
+    All are given if they are MANY for each text at most. Else each text of a has its nearest and its first, which is linear in the texts.
+    """
+    other = a if b is None else b
+    most = MANY * (len(a) + len(other))
+    every, few, count = [], [], 0
+    for lo, i, j, both in close_pairs(a, b):
+        mine = a[lo:]
         order = np.lexsort((j, both, i))
         nearest = order[np.flatnonzero(np.append(True, np.diff(i[order]) != 0))]
         lowest = np.flatnonzero(np.append(True, np.diff(i) != 0))  # i and j come in order
@@ -277,46 +283,113 @@ def near_candidates(a: np.ndarray, b: np.ndarray | None, whole: bool) -> tuple[n
             up = i + lo < j
             i, j = i[up], j[up]
         count += len(i)
-        if whole or count <= most:
+        if count <= most:
             every.append((mine["node"][i], other["node"][j]))
         else:
             every.clear()
-    done = whole or count <= most
-    found = every if done else few
+    found = every if count <= most else few
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), True
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), done
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), count <= most
 
 
-def _near_candidates_group(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles, each in order, reach NEAR_LEAST."""
+    if min(len(x), len(y)) < NEAR_LEAST * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+    same = int((y[at] == x).sum()) if len(y) else 0
+    return same / (len(x) + len(y) - same) >= NEAR_LEAST if len(x) or len(y) else True
+
+
+def forest_of_links(a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], other_sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (node, node) that join what the candidates that reach NEAR_LEAST join; what is joined already isn't looked at again."""
+    other = a if b is None else b
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for lo, i, j, both in close_pairs(a, b):
+        order = np.lexsort((j, i, both))
+        for x, y in zip((i[order] + lo).tolist(), j[order].tolist()):
+            u, v = top(int(a["label"][x])), top(int(other["label"][y]))
+            if u != v and alike(sets[x], other_sets[y]):
+                root[u] = v
+                out.append((int(a["node"][x]), int(other["node"][y])))
+    return out
+
+
+def _near_candidates_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("tile")
     tiles = [np.frombuffer(x, dtype=TILE) for x in pdf["data"]]
-    u, v, done = near_candidates(tiles[0], tiles[1] if len(tiles) > 1 else None, whole)
+    u, v, done = near_candidates(tiles[0], tiles[1] if len(tiles) > 1 else None)
     out = pd.DataFrame({"src": u, "dst": v, "again": False})
     if not done:
         out.loc[len(out)] = [pdf["a"].iloc[0], pdf["b"].iloc[0], True]
     return out.astype({"src": "int64", "dst": "int64", "again": bool})
 
 
+def _forest_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("tile")
+    tiles = [np.frombuffer(x, dtype=TILE) for x in pdf["data"]]
+    sets = [np.split(np.frombuffer(h, np.uint64), np.frombuffer(e, np.int64)) for h, e in zip(pdf["hashes"], pdf["edges"])]
+    links = forest_of_links(tiles[0], tiles[1] if len(tiles) > 1 else None, sets[0], sets[-1])
+    return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+
+
+def _pack(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(len(pdf), dtype=TILE)
+    for c in TILE.names:
+        out[c] = pdf[c].to_numpy(np.int64).view(np.uint64) if TILE[c].kind == "u" else pdf[c].to_numpy(np.int64)
+    return out
+
+
+def _pack_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "data": [np.sort(_pack(pdf), order="node").tobytes()]})
+
+
+def _pack_sets(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A tile with the sets of shingles of its texts, one after the other, and where each but the first begins."""
+    pdf = pdf.sort_values("node")
+    sets = [np.unique(shingle_hashes(t)) for t in pdf["text"]]
+    hashes, edges = np.concatenate(sets), np.cumsum([len(x) for x in sets])[:-1]
+    return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "data": [_pack(pdf).tobytes()], "hashes": [hashes.tobytes()], "edges": [edges.astype(np.int64).tobytes()]})
+
+
 def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (src, dst) of nodes whose texts reach NEAR_LEAST. nodes: node, rep (doc_id, th)."""
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("node", "rep.doc_id", "rep.th")
     texts = stored(docs.join(ids, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[str | None, np.ndarray] = {}  # a text comes in several pairs, which lie side by side
+
+        def shingles(t: str | None) -> np.ndarray:
+            if len(known) > 1000:
+                known.clear()
+            if t not in known:
+                known[t] = np.unique(shingle_hashes(t))
+            return known[t]
+
+        return pd.Series([alike(shingles(x), shingles(y)) for x, y in zip(a, b)], dtype="bool")
 
     side = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
-    return pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where(similarity("_a", "_b") >= NEAR_LEAST).select("src", "dst")
+    return pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where(similar("_a", "_b")).select("src", "dst")
 
 
 def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (src, dst) whose components are those of all candidates that reach NEAR_LEAST.
 
     nodes: node (each once), fp, more, rep. Tiles that hold a large group of near copies hand on a few candidates
-    for each text; after these are checked, what they join is left out, and at the last all the rest is handed on.
+    for each text; after these are checked, what they join is left out, and at the last such pairs of tiles get the shingles of their texts
+    and check all the rest where they lie: no more links leave a pair of tiles than it has texts.
     """
     spark = nodes.sparkSession
     by_count = {r["pc"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
@@ -327,25 +400,26 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     number = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
     pc = F.bit_count("fp")
     tile = (number(first)[pc] + F.pmod(F.xxhash64("node"), number(slices)[pc])).cast("int").alias("tile")
+    lo, hi = (number({k: v[i] for k, v in meets.items()})[F.col("tile")] for i in (0, 1))
+    width = min(2000, max(spark.sparkContext.defaultParallelism * 2, sum(z - a + 1 for a, z in meets.values())))
+
+    def met(packed: DataFrame, *columns: str) -> DataFrame:
+        """Each two tiles that meet, side by side; after the first round those alone that aren't done."""
+        pairs = packed.withColumn("other", F.explode(F.sequence(lo, hi))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", *columns)
+        return pairs if pending is None else pairs.join(F.broadcast(pending), ["a", "b"], "left_semi")
+
     good, pending = spark.createDataFrame([], "src long, dst long"), None
     for k in range(FEW_ROUNDS + 1):
         labels = connected_components(good) if k else good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), tile)
-
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = np.zeros(len(pdf), dtype=TILE)
-            for c in TILE.names:
-                out[c] = pdf[c].to_numpy(np.int64).view(np.uint64) if TILE[c].kind == "u" else pdf[c].to_numpy(np.int64)
-            return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "data": [np.sort(out, order="node").tobytes()]})
-
-        packed = tiled.groupBy("tile").applyInPandas(pack, "tile int, data binary")
-        lo, hi = (number({k: v[i] for k, v in meets.items()})[F.col("tile")] for i in (0, 1))
-        pairs = packed.withColumn("other", F.explode(F.sequence(lo, hi))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "data")
-        if pending is not None:
-            pairs = pairs.join(F.broadcast(pending), ["a", "b"], "left_semi")
-        whole = k == FEW_ROUNDS
-        width = min(2000, max(spark.sparkContext.defaultParallelism * 2, sum(z - a + 1 for a, z in meets.values())))
-        found = stored(pairs.repartition(width, "a", "b").groupBy("a", "b").applyInPandas(lambda p: _near_candidates_group(p, whole), "src long, dst long, again boolean"), "near-candidates")
+        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), tile, "rep")
+        if k == FEW_ROUNDS:
+            some = tiled.join(F.broadcast(pending.select(F.explode(F.array("a", "b")).alias("tile")).distinct()), "tile", "left_semi")
+            texts = some.select("*", "rep.doc_id", "rep.th").join(docs, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "fp", "more", "label", "tile", "text")
+            packed = texts.groupBy("tile").applyInPandas(_pack_sets, "tile int, data binary, hashes binary, edges binary")
+            links = met(packed, "data", "hashes", "edges").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_forest_group, "src long, dst long")
+            return stored(good.unionByName(links), "near-links")
+        packed = tiled.drop("rep").groupBy("tile").applyInPandas(_pack_tile, "tile int, data binary")
+        found = stored(met(packed, "data").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_near_candidates_group, "src long, dst long, again boolean"), "near-candidates")
         good = stored(good.unionByName(_checked(found.where("not again").select("src", "dst"), nodes, docs)), "near-links")
         left = [(r["src"], r["dst"]) for r in found.where("again").collect()]  # pairs of tiles
         if not left:

@@ -148,3 +148,29 @@ def test_small_tiles_find_the_same(spark, prose, monkeypatch):
     rows = sorted(near_corpus(prose), key=lambda r: r[0])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == near_kept(rows)
+
+
+def test_alike_is_the_jaccard_of_texts(prose):
+    texts = [prose(1, 60), spoiled(prose(1, 60), [5]), spoiled(prose(1, 60), [5, 20]), spoiled(prose(1, 60), [0]), prose(1, 50), "", "one two", None, prose(2, 60)]
+    sets = [np.unique(simhash.shingle_hashes(t)) for t in texts]
+    for x, s in zip(texts, sets):
+        for y, t in zip(texts, sets):
+            assert simhash.alike(s, t) == (simhash.jaccard(x, y) >= 0.8)
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k // 4 :], rng.integers(0, 2**63, k % 7, dtype=np.uint64)])) for k in range(60)]
+    tile = np.zeros(60, dtype=simhash.TILE)
+    tile["node"] = tile["label"] = np.arange(60)
+    links = simhash.forest_of_links(tile, None, sets, sets)
+    group = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if simhash.alike(sets[i], sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    got = list(range(60))
+    for i, j in links:
+        got = [got[j] if g == got[i] else g for g in got]
+    assert len(links) == 60 - len(set(group)) and len({(a, b) for a, b in zip(group, got)}) == len(set(group)) == len(set(got))
