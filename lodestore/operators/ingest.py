@@ -36,6 +36,14 @@ WINDOW, OVERLAP, LEAST = 800, 100, 50
 MESSAGE = "type string, uuid string, message struct<role:string,content:string>, timestamp string, payload struct<type:string,message:string>"
 
 
+def conversation_files(files: DataFrame) -> DataFrame:
+    """Those of files (file, a path) that hold conversations: by their extension in any case, no `.meta.json`, in no skipped folder."""
+    parts = F.split("file", "/")
+    skipped = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*SKIPPED))
+    suffix = F.lower(F.regexp_extract("file", r"[^/](\.[^./]+)$", 1))
+    return files.where(suffix.isin(*CONVERSATIONS) & ~F.endswith("file", F.lit(".meta.json")) & ~skipped)
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, n, line), n from 0."""
     return files.select("file", F.posexplode(F.split("content", "\n")).alias("n", "line"))

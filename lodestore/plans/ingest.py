@@ -235,10 +235,17 @@ def topics(t: Tables) -> DataFrame:
     return t("conversations").select("conv_id", "turn", ingest.topic_of(F.col("text")).alias("room"))
 
 
-@query("ing_19", f"with {MEM} select source_path from mem where regexp_matches(source_path, '[.](txt|md|json|jsonl)$') and not ends_with(source_path, '0.md')")
+#: Extensions of the files of a scan, by the memory's number; one of seven folders is a skipped one.
+SCANNED = (".txt", ".MD", ".json", ".jsonl", ".meta.json", ".py", "")
+_SCANNED = "regexp_replace(source_path, '[.][a-z]+$', '') || case seq % 7 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(SCANNED)) + " end"
+
+
+@query("ing_19", f"""with {MEM}, f as (select case when seq % 5 = 2 then '/node_modules' else '' end || {_SCANNED} as file from mem)
+ select file from f where regexp_matches(lower(file), '[.](txt|md|json|jsonl)$') and not ends_with(file, '.meta.json') and not starts_with(file, '/node_modules/')""")
 def conversation_scan(t: Tables) -> DataFrame:
-    p = F.col("source_path")
-    return t.memories().where(F.regexp_extract(p, r"(\.[a-z]+)$", 1).isin(*ingest.CONVERSATIONS) & ~F.endswith(p, F.lit("0.md"))).select("source_path")
+    ends = F.element_at(F.array(*[F.lit(x) for x in SCANNED]), (F.col("seq") % 7 + 1).cast("int"))
+    folder = F.when(F.col("seq") % 5 == 2, "/node_modules").otherwise("")
+    return ingest.conversation_files(t.memories().select(F.concat(folder, F.regexp_replace("source_path", "[.][a-z]+$", ""), ends).alias("file")))
 
 
 @query("ing_20", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")

@@ -35,6 +35,33 @@ def prose_sections(t: Tables) -> DataFrame:
     return text.sections(t("documents"), "prose").withColumn("start", F.col("start").cast("long"))
 
 
+#: What takes the place of the blank after a sentence, by doc_id % 3, so that a text has boundaries of code or of a conversation.
+CODE, TALK = ("class ", "def ", "async def "), ("Human:", "User:", "> ")
+
+
+def broken(t: Tables, marks: tuple[str, ...]) -> DataFrame:
+    mark = F.element_at(F.array(*[F.lit("\n" + m) for m in marks]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return t("documents").select("doc_id", F.replace("text", F.lit(". "), mark).alias("text"))
+
+
+def _sections(marks: tuple[str, ...], boundary: str) -> str:
+    broken_ = "replace(text, '. ', chr(10) || case doc_id % 3 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(marks)) + " end)"
+    return f"""with q as (select doc_id, regexp_replace({broken_}, '\\n({boundary})', chr(1) || chr(10) || '\\1', 'g') as t from documents),
+ s as (select doc_id, unnest(string_split(t, chr(1))) as text, unnest(range(len(string_split(t, chr(1))))) as i from q),
+ o as (select doc_id, text, coalesce(sum(length(text)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from s)
+ select doc_id, start, text from o where regexp_replace(text, '\\s', '', 'g') <> ''"""
+
+
+@query("con_01_code", _sections(CODE, "class |def |async def "))
+def code_sections(t: Tables) -> DataFrame:
+    return text.sections(broken(t, CODE), "code").withColumn("start", F.col("start").cast("long"))
+
+
+@query("con_01_conversation", _sections(TALK, "Human:|User:|>"))
+def conversation_sections(t: Tables) -> DataFrame:
+    return text.sections(broken(t, TALK), "conversation").withColumn("start", F.col("start").cast("long"))
+
+
 @query("con_02")
 def token_windows(t: Tables) -> DataFrame:
     d = t("documents").select("doc_id", F.concat_ws("", "text").alias("text"))
