@@ -72,7 +72,19 @@ def trees(t: Tables) -> DataFrame:
     return ingest.tree_turns(main.union(side)).withColumn("n", F.col("n").cast("long"))
 
 
-@query("ing_06")
+@query("ing_06", """with recursive c as (
+   select conv_id % 50 as file, conv_id * 100 + turn as n, 'u' || conv_id % 4 as user, text from conversations where text <> ''
+ ),
+ o as (select *, row_number() over (partition by file order by n) as k, count(*) over (partition by file) as many from c),
+ w as (
+   select file, k, n, text, many, map([user], ['user']) as who, 'user' as role from o where k = 1
+   union all
+   select o.file, o.k, o.n, o.text, o.many,
+     case when map_contains(w.who, o.user) then w.who else map_concat(w.who, map([o.user], [case when w.role = 'user' then 'assistant' else 'user' end])) end,
+     case when map_contains(w.who, o.user) then w.who[o.user] when w.role = 'user' then 'assistant' else 'user' end
+   from w join o on o.file = w.file and o.k = w.k + 1
+ )
+ select file, n::int as n, role, text from w where many >= 2""")
 def channels(t: Tables) -> DataFrame:
     c = t("conversations").select((F.col("conv_id") % 50).alias("file"), (F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.concat(F.lit("u"), F.col("conv_id") % 4).alias("user"), "text")
     return ingest.channel_turns(c)
@@ -199,7 +211,21 @@ def routing(t: Tables) -> DataFrame:
     return t.memories().select("memory_object_id", ingest.room_of(parts, F.concat(F.lit("#"), name), F.col("body"), _ROOMS).alias("room"))
 
 
-@query("ing_15")
+#: The end of a window of 800 characters from `start`: a blank line, else a line end, past its middle.
+_END = """case when start + 800 >= length(t) then length(t)
+     when strpos(reverse(substr(t, start + 1, 800)), chr(10) || chr(10)) between 1 and 398 then start + 799 - strpos(reverse(substr(t, start + 1, 800)), chr(10) || chr(10))
+     when strpos(reverse(substr(t, start + 1, 800)), chr(10)) between 1 and 399 then start + 800 - strpos(reverse(substr(t, start + 1, 800)), chr(10))
+     else start + 800 end"""
+
+
+@query("ing_15", f"""with recursive d as (select doc_id as file, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents where text is not null),
+ w as (
+   select file, t, i, start, {_END} as stop from (select file, t, 0 as i, 0::bigint as start from d where t <> '')
+   union all
+   select file, t, i, start, {_END} as stop from (select file, t, i + 1 as i, stop - 100 as start from w where stop < length(t))
+ ),
+ p as (select file, i, regexp_replace(substr(t, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') as content from w)
+ select file, row_number() over (partition by file order by i) - 1 as chunk_index, content from p where length(content) >= 50""")
 def character_windows(t: Tables) -> DataFrame:
     return ingest.window_chunks(t("documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
 

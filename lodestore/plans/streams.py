@@ -12,7 +12,7 @@ from lodestore.operators import retrieval as r
 from lodestore.plans.atlas import _ASSIGN, VEC, centroids
 from lodestore.plans.base import MEM, Tables, query
 from lodestore.plans.ledger import _RUN, PATTERNS, patterns
-from lodestore.plans.retrieval import _BM25, active_cards, queries
+from lodestore.plans.retrieval import _BM25, _FRAME, active_cards, framed, queries
 from lodestore.sources import files
 from lodestore.streaming import trace
 
@@ -109,10 +109,13 @@ def promotion_gate(t: Tables) -> DataFrame:
     return stamp(p).join(now, "anchor_id").select("anchor_id", "stamp", (F.col("stamp") == F.col("now")).alias("may_promote"))
 
 
-@query("qf_05")
+@query("qf_05", f"""{_FRAME},
+ m as (select query_id, least((case when person is not null or self then 2 when proc > 0 then least(proc, 2) when target <> 'fact' then 1 else 0 end
+   + (time is not null)::int + changed::int + (len(ents) > 0)::int) / 4.0, 1.0)::double as confidence from e)
+ select query_id, 'fact' as answer_target from m where confidence < 0.6""")
 def frame_fallback(t: Tables) -> DataFrame:
     """Queries whose frame is unsure go to a model; here a stand-in answers `fact`."""
-    unsure = t.asked().select("query_id", "query", r.query_frame(F.col("query"))["confidence"].alias("confidence")).where("confidence < 0.6")
+    unsure = framed(t).select("query_id", "q", "confidence").where("confidence < 0.6")
 
     def model(pdf):  # noqa: ANN001, ANN202
         return pdf[["query_id"]].assign(answer_target="fact")

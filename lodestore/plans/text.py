@@ -62,13 +62,43 @@ def conversation_sections(t: Tables) -> DataFrame:
     return text.sections(broken(t, TALK), "conversation").withColumn("start", F.col("start").cast("long"))
 
 
-@query("con_02")
+def _windows(name: str, source: str, size: int) -> str:
+    """A recursive table of the windows of source (doc_id, part, mid, off, t): they end after a sentence past their middle, and begin 40 characters before the last one's end."""
+    mark = f"strpos(reverse(substr(t, start + 1, {size})), ' .')"
+    stop = f"case when start + {size} >= length(t) then length(t) when {mark} between 1 and {size - size // 2 - 2} then start + {size} + 1 - {mark} else start + {size} end"
+    return f"""{name} as (
+   select doc_id, part, mid, off, t, k, start, {stop} as stop from (select *, 0 as k, 0::bigint as start from {source})
+   union all
+   select doc_id, part, mid, off, t, k, start, {stop} as stop from (select doc_id, part, mid, off, t, k + 1 as k, greatest(start + 1, stop - 40) as start from {name} where stop < length(t))
+ )"""
+
+
+_HIERARCHY = f"""with recursive d as (select doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) as parts from documents),
+ p0 as (select doc_id, unnest(parts) as t, unnest(range(len(parts))) as part from d),
+ p1 as (select *, coalesce(sum(length(t) + 2) over (partition by doc_id order by part rows between unbounded preceding and 1 preceding), 0)::bigint as off from p0),
+ pa as (select doc_id, part, 0 as mid, off, t from p1 where regexp_matches(t, '[^\\s]')),
+ {_windows('mw', 'pa', 1800)},
+ mi as (select doc_id, part, k as mid, off + start as off, substr(t, start + 1, stop - start) as t from mw where regexp_matches(substr(t, start + 1, stop - start), '[^\\s]')),
+ {_windows('fw', 'mi', 720)},
+ fi as (select doc_id, part, mid, k as fine, off + start as off, substr(t, start + 1, stop - start) as t from fw where regexp_matches(substr(t, start + 1, stop - start), '[^\\s]'))"""
+
+
+@query("con_02", _HIERARCHY + ' select doc_id, off as start, t as text from mi')
 def token_windows(t: Tables) -> DataFrame:
     d = t("documents").select("doc_id", F.concat_ws("", "text").alias("text"))
     return text.hierarchy(d).where("level = 'mid'").select("doc_id", "start", "text")
 
 
-@query("con_03")
+@query("con_03", _HIERARCHY + """,
+ al as (
+   select doc_id, part, -1 as mid, -1 as fine, 'section' as level, off, t from pa
+   union all select doc_id, part, mid, -1, 'mid', off, t from mi
+   union all select doc_id, part, mid, fine, 'fine', off, t from fi
+ ),
+ nu as (select *, row_number() over (partition by doc_id order by part, mid, fine) - 1 as chunk from al)
+ select n.doc_id, n.chunk, n.level, u.chunk as parent, n.off as start, n.t as text
+ from nu n left join nu u on u.doc_id = n.doc_id and u.part = n.part
+   and (n.level = 'mid' and u.level = 'section' or n.level = 'fine' and u.level = 'mid' and u.mid = n.mid)""")
 def hierarchy(t: Tables) -> DataFrame:
     return text.hierarchy(t("documents"))
 
