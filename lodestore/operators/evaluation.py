@@ -199,3 +199,20 @@ def multiset_f1(rows: DataFrame, key: str) -> DataFrame:
     n = rows.select(key, F.size("a").alias("na"), F.size("b").alias("nb")).join(same, key, "left")
     f1 = F.when((F.col("na") == 0) | (F.col("nb") == 0), (F.col("na") == F.col("nb")).cast("double")).otherwise(2.0 * F.coalesce("same", F.lit(0)) / (F.col("na") + F.col("nb")))
     return n.select(key, F.round(f1, 6).alias("f1"))
+
+
+#: F1 under which an answer has failed, and from which on it is right.
+FAILED, RIGHT = 0.3, 0.5
+
+
+def emitted_labels(results: DataFrame) -> DataFrame:
+    """results with label_id and winning: training labels of answered questions (question, f1, selected, gold: arrays of anchors, and any other columns).
+
+    With gold anchors the winning ones are those that were selected, in order; maybe none. Without them a failed answer has none, a right one
+    all that were selected, and what lies between gives no label. Null arrays are empty.
+    """
+    none = F.array().cast("array<int>")
+    selected, gold = F.array_sort(F.array_distinct(F.coalesce("selected", none))), F.coalesce("gold", none)
+    winning = F.when(F.size(gold) > 0, F.array_intersect(selected, gold)).when(F.col("f1") < FAILED, none).when(F.col("f1") >= RIGHT, selected)
+    label = F.concat(F.lit("q_"), F.substring(F.md5("question"), 1, 8))
+    return results.withColumns({"label_id": label, "winning": winning}).where("winning is not null")

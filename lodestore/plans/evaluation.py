@@ -181,6 +181,27 @@ def benchmark_scores(t: Tables) -> DataFrame:
     return f.groupBy("n_anchors").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg("g"), 6).alias("gold_rate"), F.count_if(F.col("f1") > 0.5).alias("success"), F.count_if(F.col("f1") < 0.3).alias("failed"))
 
 
+@query("evl_05_labels", f"""with {_PAIRS},
+ f as (
+   select pa.doc_id, text, {_F1.format(a='a', b='b')} as f1, [pa.doc_id % 7, pa.doc_id % 5, pa.doc_id % 3] as selected,
+     case pa.doc_id % 4 when 0 then [pa.doc_id % 5, 9] when 1 then [] end as gold
+   from pa join documents d on d.doc_id = pa.doc_id
+ ),
+ w as (
+   select *, case when len(coalesce(gold, [])) > 0 then list_sort(list_distinct(list_intersect(selected, gold))) when f1 < 0.3 then [] when f1 >= 0.5 then list_sort(list_distinct(selected)) end as winning
+   from f
+ )
+ select 'q_' || substr(md5(text), 1, 8) as label_id, doc_id, array_to_string(winning, ',') as winning, round(f1::double, 6) as score from w where winning is not null""")
+def emitted_labels(t: Tables) -> DataFrame:
+    """Labels that a benchmark run gives to training: a document's text as the question, anchors by its number."""
+    d = pairs(t).select("doc_id", "text", words("text").alias("a"), words("truth").alias("b"))
+    part = lambda n: (F.col("doc_id") % n).cast("int")
+    gold = F.when(part(4) == 0, F.array(part(5), F.lit(9))).when(part(4) == 1, F.array().cast("array<int>"))
+    results = d.select(F.col("text").alias("question"), set_f1(F.col("a"), F.col("b")).alias("f1"), F.array(part(7), part(5), part(3)).alias("selected"), gold.alias("gold"), "doc_id")
+    joined = F.array_join(F.transform("winning", lambda x: x.cast("string")), ",")
+    return e.emitted_labels(results).select("label_id", "doc_id", joined.alias("winning"), F.round("f1", 6).alias("score"))
+
+
 @query("evl_06", f"with {_RK}, a as (select query_id, list(session_id order by session_id) as s from rk where rank <= 5 group by 1), r2 as (select query_id, session_id, row_number() over (partition by query_id order by dist, session_id) as rank from hb), b as (select query_id, list(session_id order by session_id) as s from r2 where rank <= 5 group by 1) select query_id, round((len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))))::double, 6) as jaccard, a.s = b.s as same from a join b using (query_id)")
 def ablation(t: Tables) -> DataFrame:
     top = lambda r: r.where("rank <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list("session_id")).alias("s"))

@@ -97,3 +97,12 @@ def test_prose_first(spark):
     out = ignore.prose_first(spark.createDataFrame(files, "project string, file string").repartition(3)).collect()
     got = {p: [r.file for r in sorted(out, key=lambda r: r.rank) if r.project == p] for p in "abc"}
     assert got == {"a": ["x/0.md", "x/1.md", "x/b.py"], "b": [f"{i:02}.txt" for i in range(10)], "c": ["a.md", "b.RST", "c.csv"]}
+
+
+def test_emitted_labels(spark):
+    from lodestore.operators import evaluation
+
+    rows = [("a", 0.1, [3, 1, 3], [1, 9]), ("b", 0.9, [2, 1], [7]), ("c", 0.1, [2], None), ("d", 0.5, [5, 4, 5], []), ("e", 0.4, [1], None), ("f", 0.9, None, None)]
+    out = evaluation.emitted_labels(spark.createDataFrame(rows, "question string, f1 double, selected array<int>, gold array<int>"))
+    assert {r.question: r.winning for r in out.collect()} == {"a": [1], "b": [], "c": [], "d": [4, 5], "f": []}
+    assert {r.label_id for r in out.where("question = 'a'").collect()} == {"q_0cc175b9"}
