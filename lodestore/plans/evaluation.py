@@ -374,23 +374,6 @@ def corpora(t: Tables) -> DataFrame:
     return turns.union(sessions(t).select(F.col("session_id").cast("string"), F.md5("full_text")))
 
 
-@query("evl_17", f"with {_RK}, p as (select query_id, session_id, rank, case when rank = 1 + query_id % 3 then 0 else rank end as o from rk) select query_id, session_id, row_number() over (partition by query_id order by o, rank) as rank from p")
-def reranked(t: Tables) -> DataFrame:
-    """A pick (here by number, else a model's) moves to the front."""
-    r = ranking(t).withColumn("o", F.when(F.col("rank") == 1 + F.col("query_id") % 3, 0).otherwise(F.col("rank")))
-    return r.select("query_id", "session_id", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "rank")).cast("long").alias("rank"))
-
-
-@query("evl_19", f"with {_HALLS}, l as (select query_id, session_id, v1 * {_HALLED} * (1 - tb) as score from ha union all select query_id, session_id, v1 * 0.8 * (1 - tb) from ha where session_id % 2 = 0), m as (select query_id, session_id, round(min(score)::double, 6) as score from l group by 1, 2) select *, {_RANKED} from m")
-def diary(t: Tables) -> DataFrame:
-    """Layers share the session's id; the diary layer (here every second session) weighs .80; the best of a session counts."""
-    h = hits(t)
-    factor = F.when(F.col("halls")[0] == F.col("hall"), 0.75).when(F.col("halls")[1] == F.col("hall"), 0.9).otherwise(1.0)
-    raw = h.select("query_id", "session_id", (v1() * factor * (1 - boost())).alias("score"))
-    layer = h.where("session_id % 2 = 0").select("query_id", "session_id", (v1() * 0.8 * (1 - boost())).alias("score"))
-    return e.ranked(e.best_per_session(raw.unionByName(layer)).withColumn("score", F.round("score", 6)))
-
-
 ROOMS = ("technical", "architecture", "planning", "decisions", "problems", "general")
 
 
@@ -414,6 +397,28 @@ def stand_in_pick(prompts: list[str]) -> list[str]:
     return out
 
 
+@query("evl_17", f"""with {_RK},
+ p as (
+   select rk.query_id, session_id, rank, case when length(question) % 4 <> 1 then 1 + length(question) % least(10, count(*) over (partition by rk.query_id)) end as pick
+   from rk join qk using (query_id)
+ )
+ select query_id, session_id, row_number() over (partition by query_id order by case when rank = pick and pick <= 10 then 0 else 1 end, rank) as rank from p""")
+def reranked(t: Tables) -> DataFrame:
+    """A model, here a stand-in, sees the first ten hits of a question and picks one, which moves to the front."""
+    h = hits(t).select("query_id", "session_id", "question", F.col("user_text").alias("text"), v1().alias("score"))
+    return routing.repicked(e.ranked(h), stand_in_pick, files.shared_path(t.spark, "pick"))
+
+
+@query("evl_19", f"with {_HALLS}, l as (select query_id, session_id, v1 * {_HALLED} * (1 - tb) as score from ha union all select query_id, session_id, v1 * 0.8 * (1 - tb) from ha where session_id % 2 = 0), m as (select query_id, session_id, round(min(score)::double, 6) as score from l group by 1, 2) select *, {_RANKED} from m")
+def diary(t: Tables) -> DataFrame:
+    """Layers share the session's id; the diary layer (here every second session) weighs .80; the best of a session counts."""
+    h = hits(t)
+    factor = F.when(F.col("halls")[0] == F.col("hall"), 0.75).when(F.col("halls")[1] == F.col("hall"), 0.9).otherwise(1.0)
+    raw = h.select("query_id", "session_id", (v1() * factor * (1 - boost())).alias("score"))
+    layer = h.where("session_id % 2 = 0").select("query_id", "session_id", (v1() * 0.8 * (1 - boost())).alias("score"))
+    return e.ranked(e.best_per_session(raw.unionByName(layer)).withColumn("score", F.round("score", 6)))
+
+
 _ROOMS = "[" + ", ".join(f"'{r}'" for r in ROOMS) + "]"
 
 
