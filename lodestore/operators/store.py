@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestore.functions import dot
 
 ACTIVE = "not is_archived and not is_duplicate"
 PREFETCH = 200
+#: Names of sessions that tasks hold at a time.
+MOST_NAMES = 4096
 
 
 def insert_ignored(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -42,9 +49,34 @@ def with_usage(memories: DataFrame, used: DataFrame) -> DataFrame:
     return memories.join(counts, "memory_object_id", "left").withColumn("pack_count", F.col("pack_count") + F.coalesce("n", F.lit(0))).drop("n")
 
 
-def from_sessions(memories: DataFrame, sources: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session, memory_object_id): memories whose source's path holds the session's name. sessions is broadcast; callers pass a bounded list."""
-    found = sources.join(F.broadcast(sessions), F.contains(sources["source_path"], sessions["session"])).select("session", "source_id")
+def from_sessions(memories: DataFrame, sources: DataFrame, sessions: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """(session, memory_object_id): memories whose source's path holds the session's name; an empty name is in every path.
+
+    Names go out in blocks of about `most`, and each path is looked through once for all names of a block by an automaton, so that
+    neither their number nor their product with the paths counts. Nulls are in nothing.
+    """
+    names = sessions.select("session").where("session is not null").distinct()
+    blocks = max(1, -(-names.count() // most))
+    schema = StructType([StructField("session", StringType()), sources.schema["source_id"]])
+    found = sources.sparkSession.createDataFrame([], schema)
+    for k in range(blocks):
+        block = [r["session"] for r in names.where(F.pmod(F.xxhash64("session"), F.lit(blocks)) == k).collect()]  # about `most`
+
+        def run(batches: Iterator[pd.DataFrame], block: list[str] = block) -> Iterator[pd.DataFrame]:
+            automaton = ahocorasick.Automaton()
+            for name in block:
+                if name:
+                    automaton.add_word(name, name)
+            automaton.make_automaton()
+            for b in batches:
+                rows = []
+                for source, path in zip(b["source_id"], b["source_path"]):
+                    if path is not None:
+                        own = {name for _, name in automaton.iter(path)} if len(automaton) else set()
+                        rows += [(name, source) for name in own | ({""} & set(block))]
+                yield pd.DataFrame(rows, columns=["session", "source_id"])
+
+        found = found.unionByName(sources.select("source_id", "source_path").mapInPandas(run, schema))
     return memories.select("memory_object_id", F.explode("source_ids").alias("source_id")).join(found, "source_id").select("session", "memory_object_id").distinct()
 
 

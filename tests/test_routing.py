@@ -106,3 +106,16 @@ def test_emitted_labels(spark):
     out = evaluation.emitted_labels(spark.createDataFrame(rows, "question string, f1 double, selected array<int>, gold array<int>"))
     assert {r.question: r.winning for r in out.collect()} == {"a": [1], "b": [], "c": [], "d": [4, 5], "f": []}
     assert {r.label_id for r in out.where("question = 'a'").collect()} == {"q_0cc175b9"}
+
+
+def test_memories_of_sessions(spark):
+    from lodestore.operators import store
+
+    paths = [(1, "/a/session1/x"), (2, "/a/session12/x"), (3, None), (4, "/b/other"), (5, "")]
+    sources = spark.createDataFrame(paths, "source_id long, source_path string").repartition(3)
+    memories = spark.createDataFrame([(f"m{i}", [i, 1]) for i, _ in paths], "memory_object_id string, source_ids array<long>")
+    names = ["session1", "session12", "n1/x", "", "none", None, "session1"]
+    found = lambda most: {(r.session, r.memory_object_id) for r in store.from_sessions(memories, sources, spark.createDataFrame([(n,) for n in names], "session string"), most).collect()}
+    want = {(n, f"m{i}") for n in names if n is not None for i, _ in paths for s in (i, 1) if (p := dict(paths)[s]) is not None and n in p}
+    assert found(4096) == found(2) == want
+    assert store.from_sessions(memories, sources, spark.createDataFrame([], "session string")).count() == 0
