@@ -174,8 +174,8 @@ NEAR_WORDS, NEAR_LEAST = 5, 0.8
 #: arccos(0.89)/pi = 0.15: 9.7 of 64 and 19.4 of 128 on average, with deviations of 2.9 and 4.1. Over the first 64, over all 128:
 #: three and a half deviations more.
 NEAR_RADIUS, NEAR_RADIUS_BOTH = 20, 34
-#: A pair of tiles hands on all its candidates up to so many for each of its texts; else, in the first rounds, a few for each text, and after them it checks its candidates itself.
-MANY, FEW_ROUNDS = 8, 1
+#: A pair of tiles hands on all its candidates up to so many for each of its texts; with more it gets its texts' shingles and checks them itself.
+MANY = 8
 #: Tiles, about, while they are small; beyond that there are more of them, each of NEAR_MOST texts at most, so that a task's work stays the same.
 NEAR_TILES, NEAR_MOST = 32, 16_384
 
@@ -265,32 +265,21 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, np.n
 
 
 def near_candidates(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate links (nodes, nodes) of different labels between tiles a and b (None: within a), and whether these are all.
-
-    All are given if they are MANY for each text at most. Else each text of a has its nearest and its first, which is linear in the texts.
-    """
+    """Candidate links (nodes, nodes) of different labels between tiles a and b (None: within a), and whether these are all: none are given if they are more than MANY for each text."""
     other = a if b is None else b
     most = MANY * (len(a) + len(other))
-    every, few, count = [], [], 0
-    for lo, i, j, both in close_pairs(a, b):
-        mine = a[lo:]
-        order = np.lexsort((j, both, i))
-        nearest = order[np.flatnonzero(np.append(True, np.diff(i[order]) != 0))]
-        lowest = np.flatnonzero(np.append(True, np.diff(i) != 0))  # i and j come in order
-        some = np.union1d(nearest, lowest)
-        few.append((mine["node"][i[some]], other["node"][j[some]]))
+    every, count = [], 0
+    for lo, i, j, _ in close_pairs(a, b):
         if b is None:
             up = i + lo < j
             i, j = i[up], j[up]
         count += len(i)
-        if count <= most:
-            every.append((mine["node"][i], other["node"][j]))
-        else:
-            every.clear()
-    found = every if count <= most else few
-    if not found:
+        if count > most:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
+        every.append((a["node"][lo + i], other["node"][j]))
+    if not every:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), True
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), count <= most
+    return np.concatenate([x for x, _ in every]), np.concatenate([y for _, y in every]), True
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -387,9 +376,9 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (src, dst) whose components are those of all candidates that reach NEAR_LEAST.
 
-    nodes: node (each once), fp, more, rep. Tiles that hold a large group of near copies hand on a few candidates
-    for each text; after these are checked, what they join is left out, and at the last such pairs of tiles get the shingles of their texts
-    and check all the rest where they lie: no more links leave a pair of tiles than it has texts.
+    nodes: node (each once), fp, more, rep. Pairs of tiles with few candidates hand them on to be checked. Then what these join has one label, and
+    the pairs of tiles that hold a large group of near copies get the shingles of their texts and
+    check all the rest where they lie: no more links leave a pair of tiles than it has texts.
     """
     spark = nodes.sparkSession
     by_count = {r["pc"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
@@ -408,24 +397,20 @@ def near_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = packed.withColumn("other", F.explode(F.sequence(lo, hi))).select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", *columns)
         return pairs if pending is None else pairs.join(F.broadcast(pending), ["a", "b"], "left_semi")
 
-    good, pending = spark.createDataFrame([], "src long, dst long"), None
-    for k in range(FEW_ROUNDS + 1):
-        labels = connected_components(good) if k else good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        tiled = nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), tile, "rep")
-        if k == FEW_ROUNDS:
-            some = tiled.join(F.broadcast(pending.select(F.explode(F.array("a", "b")).alias("tile")).distinct()), "tile", "left_semi")
-            texts = some.select("*", "rep.doc_id", "rep.th").join(docs, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "fp", "more", "label", "tile", "text")
-            packed = texts.groupBy("tile").applyInPandas(_pack_sets, "tile int, data binary, hashes binary, edges binary")
-            links = met(packed, "data", "hashes", "edges").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_forest_group, "src long, dst long")
-            return stored(good.unionByName(links), "near-links")
-        packed = tiled.drop("rep").groupBy("tile").applyInPandas(_pack_tile, "tile int, data binary")
-        found = stored(met(packed, "data").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_near_candidates_group, "src long, dst long, again boolean"), "near-candidates")
-        good = stored(good.unionByName(_checked(found.where("not again").select("src", "dst"), nodes, docs)), "near-links")
-        left = [(r["src"], r["dst"]) for r in found.where("again").collect()]  # pairs of tiles
-        if not left:
-            return good
-        pending = spark.createDataFrame(left, "a int, b int")
-    return good
+    pending = None
+    label = lambda labels: nodes.join(labels, "node", "left").select("node", "fp", "more", F.coalesce("root", "node").alias("label"), tile, "rep")
+    packed = label(spark.createDataFrame([], "node long, root long")).drop("rep").groupBy("tile").applyInPandas(_pack_tile, "tile int, data binary")
+    found = stored(met(packed, "data").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_near_candidates_group, "src long, dst long, again boolean"), "near-candidates")
+    good = stored(_checked(found.where("not again").select("src", "dst"), nodes, docs), "near-links")
+    left = [(r["src"], r["dst"]) for r in found.where("again").collect()]  # pairs of tiles
+    if not left:
+        return good
+    pending = spark.createDataFrame(left, "a int, b int")
+    some = label(connected_components(good)).join(F.broadcast(pending.select(F.explode(F.array("a", "b")).alias("tile")).distinct()), "tile", "left_semi")
+    texts = some.select("*", "rep.doc_id", "rep.th").join(docs, ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "fp", "more", "label", "tile", "text")
+    packed = texts.groupBy("tile").applyInPandas(_pack_sets, "tile int, data binary, hashes binary, edges binary")
+    links = met(packed, "data", "hashes", "edges").repartition(width, "a", "b").groupBy("a", "b").applyInPandas(_forest_group, "src long, dst long")
+    return stored(good.unionByName(links), "near-links")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
