@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +23,9 @@ NOVEL = 0.7
 ANCHOR_BUDGET, NOVELTY_ANCHORS = 20, 32
 #: Vectors that a clustering begins with, at most; stability under which one is rejected.
 SEEDED, STABLE = 20_000, 0.6
+#: Vectors of a block, which are compared with all centroids at once; seconds after which a clustering writes where it is.
+TOGETHER, WRITE_EVERY = 4096, 10
+CENTROIDS = "anchor_id int, centroid array<double>"
 
 
 def clusters(n: int) -> int:
@@ -57,39 +63,100 @@ def spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return sample[chosen]
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """(block): the vectors (vec) as blocks of their doubles, written once for the many passes that read them."""
+    spark = vectors.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, TOGETHER) for x in batches for i in range(0, len(x), TOGETHER)):
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()], pa.binary())], ["block"])
+
+    given = vectors.where("vec is not null").repartition(spark.sparkContext.defaultParallelism, "id").select("vec")
+    return stored(spark, given.mapInArrow(run, "block binary"), "vectors")
+
+
+def closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The first row of centroids with the greatest cosine (six decimals) to each row of x (unit vectors).
+
+    Single precision finds it, unless another one comes so near that it takes double precision and the rounding.
+    """
+    s = x.astype(np.float32) @ centroids.T.astype(np.float32)
+    first = s.argmax(axis=1)
+    margin = np.float32(2e-6 + 2.0**-22 * (x.shape[1] + 2))
+    near = np.count_nonzero(s >= (s[np.arange(len(s)), first] - margin)[:, None], axis=1)
+    if len(close := np.flatnonzero(near != 1)):
+        first[close] = np.argsort(-np.round(x[close] @ centroids.T, 6), axis=1, kind="stable")[:, 0]
+    return first
+
+
+def member_sums(blocks: DataFrame, centroids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sums, counts) of the vectors nearest to each of the centroids, for each clustering. One pass for all; a task hands on one row for each centroid."""
+    d, starts = centroids[0].shape[1], np.cumsum([0] + [len(c) for c in centroids])
+    shared = blocks.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((starts[-1], d)), np.zeros(starts[-1], dtype=np.int64)
+        for block in (v.as_buffer() for b in batches for v in b.column(0)):
+            x = np.frombuffer(block, dtype=np.float64).reshape(-1, d)
+            for start, own in zip(starts, shared.value):
+                label = closest(x, own)
+                order = np.argsort(label, kind="stable")
+                at = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+                some = start + label[order][at]
+                total[some] += np.add.reduceat(x[order], at, axis=0)
+                n[some] += np.diff(np.append(at, len(x)))
+        held = np.flatnonzero(n)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * d, pa.int32()), pa.array(total[held].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held]), flat], ["at", "n", "total"])
+
+    parts = blocks.mapInArrow(run, "at long, n long, total array<double>")
+    got = parts.groupBy("at").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total")).collect()  # a row for each centroid
+    shared.unpersist()
+    total, n = np.zeros((starts[-1], d)), np.zeros(starts[-1], dtype=np.int64)
+    for r in got:
+        total[r["at"]], n[r["at"]] = r["total"].toArray(), r["n"]
+    return [(total[i:j], n[i:j]) for i, j in zip(starts, starts[1:])]
+
+
+def clusterings(vectors: DataFrame, blocks: DataFrame, k: int, seeds: tuple[int, ...], rounds: int, tolerance: float, sample: int, paths: list[str | None]) -> list[np.ndarray]:
+    """Centroids of spherical_kmeans() for each seed. All seeds that aren't settled take their next step in the same pass over blocks, the packed() vectors."""
+    spark = vectors.sparkSession
+    now, drawn, done, settled = [], [], [], []
+    for seed, path in zip(seeds, paths):
+        rows = vectors.where("vec is not null").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vec").collect()
+        drawn.append(np.array([r["vec"] for r in rows], dtype=float))
+        made = whole_tables(spark, path, "round-") if path and rows else []
+        done.append(int(made[-1].rpartition("-")[2]) if made else 0)
+        state = spark.read.parquet(made[-1]).orderBy("anchor_id").collect() if made else []  # k rows
+        settled.append(not rows or bool(state and state[0]["settled"]))
+        now.append(np.array([r["centroid"] for r in state]) if state else spread_out(drawn[-1], k, seed) if rows else drawn[-1])
+    written = time.monotonic()
+    while some := [i for i in range(len(seeds)) if not settled[i] and done[i] < rounds]:
+        late = time.monotonic() - written > WRITE_EVERY
+        for i, (total, n) in zip(some, member_sums(blocks, [now[i] for i in some])):
+            new = drawn[i][np.random.default_rng([seeds[i], done[i]]).integers(len(drawn[i]), size=len(now[i]))]
+            mean = total / np.maximum(n, 1)[:, None]
+            size = np.linalg.norm(mean, axis=1)
+            new[size > 0] = mean[size > 0] / size[size > 0, None]
+            shift, now[i], done[i] = np.linalg.norm(new - now[i], axis=1).max(), new, done[i] + 1
+            settled[i] = bool(shift < tolerance)
+            if paths[i] and (late or settled[i] or done[i] == rounds):
+                state = spark.createDataFrame([(j, c, settled[i]) for j, c in enumerate(now[i].tolist())], CENTROIDS + ", settled boolean")
+                state.coalesce(1).write.mode("overwrite").parquet(f"{paths[i]}/round-{done[i]:06d}")
+                written = time.monotonic()
+    return now
+
+
 def spherical_kmeans(vectors: DataFrame, k: int, seed: int, rounds: int = 200, tolerance: float = 1e-4, sample: int = SEEDED, path: str | None = None) -> DataFrame:
     """(anchor_id, centroid) after Lloyd steps over all unit vectors (id, vec), until no centroid moves by `tolerance`.
 
     It begins with spread_out() of up to `sample` vectors, drawn by hash of seed and id; a centroid that no vector is nearest to is
     drawn anew from them. Centroids are k rows and pass the driver each round; vectors beyond the sample never do.
-    path: a folder of this clustering alone, where each round is written; a run that is started again goes on from the last whole one.
+    path: a folder of this clustering alone, where the last round is written and one every WRITE_EVERY seconds; a run that is started
+    again goes on from the last whole one.
     """
-    spark = vectors.sparkSession
-    drawn = np.array([r["vec"] for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vec").collect()], dtype=float)
-    schema = "anchor_id int, centroid array<double>"
-    if not len(drawn):
-        return spark.createDataFrame([], schema)
-    made = whole_tables(spark, path, "round-") if path else []
-    done, settled = len(made), False
-    if made:
-        rows = spark.read.parquet(made[-1]).orderBy("anchor_id").collect()  # k rows
-        now, settled = np.array([r["centroid"] for r in rows]), rows[0]["settled"]
-    else:
-        now = spread_out(drawn, k, seed)
-    while done < rounds and not settled:
-        centroids = spark.createDataFrame(list(enumerate(now.tolist())), schema)
-        near = nearest(vectors, centroids, keep=True)
-        step = near.groupBy("anchor_id").agg(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))).alias("m")).collect()  # k rows
-        new = drawn[np.random.default_rng([seed, done]).integers(len(drawn), size=len(now))]
-        for r in step:
-            if (size := np.linalg.norm(r["m"].toArray())) > 0:
-                new[r["anchor_id"]] = r["m"].toArray() / size
-        shift, now, done = np.linalg.norm(new - now, axis=1).max(), new, done + 1
-        settled = bool(shift < tolerance)
-        if path:
-            state = spark.createDataFrame([(i, c, settled) for i, c in enumerate(now.tolist())], schema + ", settled boolean")
-            state.coalesce(1).write.mode("overwrite").parquet(f"{path}/round-{done:06d}")
-    return spark.createDataFrame(list(enumerate(now.tolist())), schema)
+    now = clusterings(vectors, packed(vectors), k, (seed,), rounds, tolerance, sample, [path])[0]
+    return vectors.sparkSession.createDataFrame(list(enumerate(now.tolist())), CENTROIDS)
 
 
 def rand_index(pairs: DataFrame) -> DataFrame:
@@ -113,13 +180,21 @@ def stability(labels: DataFrame, columns: list[str], least: float = STABLE) -> D
 
 
 def stable_atlas(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (0, 1, 2), least: float = STABLE, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(centroids of the first seed, stability() of the clusterings of all seeds). Each clustering labels all vectors. path: as in spherical_kmeans()."""
-    made = [spherical_kmeans(vectors, k, seed, path=path and f"{path}/seed-{seed}") for seed in seeds]
-    labels = None
-    for n, c in enumerate(made):
-        one = nearest(vectors, c).select("id", F.col("anchor_id").alias(f"l{n}"))
-        labels = one if labels is None else labels.join(one, "id")
-    return made[0], stability(labels, [f"l{n}" for n in range(len(seeds))], least)
+    """(centroids of the first seed, stability() of the clusterings of all seeds). Each clustering labels all vectors. path: as in spherical_kmeans().
+
+    The clusterings go on side by side, so that a pass over the vectors serves all of them.
+    """
+    spark, blocks = vectors.sparkSession, packed(vectors)
+    made = clusterings(vectors, blocks, k, seeds, 200, 1e-4, SEEDED, [path and f"{path}/seed-{seed}" for seed in seeds])
+    shared, names = spark.sparkContext.broadcast(made), [f"l{n}" for n in range(len(seeds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (v.as_buffer() for b in batches for v in b.column(0)):
+            x = np.frombuffer(block, dtype=np.float64).reshape(-1, shared.value[0].shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(closest(x, c), pa.int32()) for c in shared.value], names)
+
+    labels = stored(spark, blocks.mapInArrow(run, ", ".join(f"{n} int" for n in names)), "labels")
+    return spark.createDataFrame(list(enumerate(made[0].tolist())), CENTROIDS), stability(labels, names, least)
 
 
 def matched(new: DataFrame, old: DataFrame, least: float = 0.5) -> DataFrame:

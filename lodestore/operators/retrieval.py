@@ -78,7 +78,10 @@ def top_by_row(rows: DataFrame, key: str, value: str, blocks: list[tuple[list, S
             cards, step = pa.array(docs, doc_type), max(1, 1_000_000 // max(1, len(docs)))
             for b in (x.slice(i, step) for x in batches for i in range(0, len(x), step)):
                 score = np.round(scorer(b.column(1)), 6)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                if most == 1 and not np.isnan(score).any():
+                    order = score.argmax(axis=1)[:, None]
+                else:
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :most]
                 best = np.take_along_axis(score, order, axis=1)
                 row, col = np.nonzero(best > 0 if positive else np.ones_like(best, dtype=bool))
                 at = pa.array(row)
