@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,8 @@ STRIDE, PASSAGE = 8, 4
 CLASSES = ((8, 2), (16, 3), (24, 4), (32, 5), (48, 7), (64, 9))
 #: Items go through in blocks of about so many; words of an item's part, from one part to the next; items under LEAST_ITEM words are matched as phrases.
 BLOCK, PART, PART_STEP, LEAST_ITEM = 4096, 64, 48, 5
-#: Corpus words beside the benchmark's: the most frequent ones of about so many documents (the index is fitted on these; statistics and search cover all).
-VOCABULARY, SAMPLE = 8192, 20_000
+#: Corpus words beside the benchmark's: the most frequent ones of all documents. Texts and words that go into a row of numbers, at most (a longer text is one by itself).
+VOCABULARY, TEXTS, READ_WORDS = 8192, 1000, 1 << 20
 #: Words in a larger share of the documents have no weight, unless over half of an item's words are such.
 COMMON = 0.2
 #: Least weight of the benchmark's words and largest of the others, as shares of the largest inverse document frequency. However many documents there are
@@ -104,50 +104,80 @@ class Items:
         self.names = [ids[np.isin(ids, words[: max(2, len(words) // 3)])] for ids, words in zip(self.parts, rarest)]
 
 
-def frequent_words(docs: DataFrame, n: int) -> list[str]:
-    """The VOCABULARY words that most of about SAMPLE documents hold, picked by the hash of their ids."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+READ = "words array<string>, df array<long>, doc_id array<long>, text_key array<long>, size array<int>, ids binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+
+def read_words(docs: DataFrame) -> DataFrame:
+    """READ, written: texts as numbers of words, TEXTS of them to a row, whose own `words` they point at; df: in how many of its texts each word is. The one pass that reads text."""
+    names = [x.split()[0] for x in READ.split(", ")]
+    kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+
+    def row(number: dict[str, int], of: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
+        df = np.zeros(len(number), dtype=np.int64)
+        for _, _, ids in of:
+            seen = np.zeros(len(number), dtype=bool) if len(ids) > 4096 else None
+            if seen is None:
+                df[np.unique(ids)] += 1
+            else:
+                seen[ids] = True
+                df += seen
+        flat = np.concatenate([ids for *_, ids in of]) if of else np.zeros(0, np.int32)
+        values = (list(number), df.tolist(), [d for d, _, _ in of], [k for _, k, _ in of], [len(ids) for *_, ids in of], flat.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        of, total = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(set(WORD.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["w", "n"])
+            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ids = np.fromiter(map(number.__getitem__, WORD.findall((text.as_py() or "").lower())), dtype=np.int32)
+                if len(ids):
+                    of.append((doc, key, ids))
+                    total += len(ids)
+                if len(of) >= TEXTS or total >= READ_WORDS:
+                    yield row(number, of)
+                    number, of, total = defaultdict(itertools.count().__next__), [], 0
+        if of:
+            yield row(number, of)
 
-    most = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    path = scratch_path(docs.sparkSession, "leak-read")
+    keyed.mapInArrow(run, READ).write.option("maxRecordsPerFile", 16).parquet(path)  # a reader holds many rows of a file
+    return docs.sparkSession.read.schema(READ).parquet(path)
+
+
+def frequent_words(docs: DataFrame, n: int | None = None) -> list[str]:
+    """The VOCABULARY words that most documents hold, counted over all of them (n is no longer asked for). docs: documents, or what read_words() made of them."""
+    read = docs if "words" in docs.columns else read_words(docs)
+    each = read.select(F.explode(F.arrays_zip("words", "df")).alias("x")).select(F.col("x.words").alias("w"), F.col("x.df").alias("n"))
+    most = each.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
     return [r["w"] for r in most.collect()]
 
 
 def numbered(docs: DataFrame, items: Items) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, text_key, ids) of each document that has words: their numbers, -1 for words outside the vocabulary; and in how many documents each word is.
 
-    Written once; each task adds one row with its document frequencies, which are summed by word.
+    docs: documents, or what read_words() made of them. Written once; each task adds one row with its document frequencies, which are summed by word.
     """
+    read = docs if "words" in docs.columns else read_words(docs)
     shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
     names = ["df", "doc_id", "text_key", "ids"]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, df = shared.value, np.zeros(len(shared.value), dtype=np.int64)
-        for b in (x.slice(i, 1000) for x in batches for i in range(0, len(x), 1000)):
-            keep, ids = [], []
-            for k, text in enumerate(b.column(2).to_pylist()):
-                own = np.fromiter(map(vocabulary.get, WORD.findall((text or "").lower()), itertools.repeat(-1)), dtype=np.int32)
-                if len(own):
-                    df[np.unique(own[own >= 0])] += 1
-                    keep.append(k)
-                    ids.append(own)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, ids))], pa.int32()), flat)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([False] * len(keep), pa.bool_()), b.column(0).take(at), b.column(1).take(at), lists], names)
+        for b in (x.slice(i, 1) for x in batches for i in range(len(x))):
+            words, held, doc, key, size = (b.column(i).flatten() for i in range(5))
+            to = np.fromiter(map(vocabulary.get, words.to_pylist(), itertools.repeat(-1)), dtype=np.int32)
+            df[to[to >= 0]] += held.to_numpy()[to >= 0]
+            flat = to[np.frombuffer(b.column(5)[0].as_buffer(), dtype=np.int32)]
+            edge = np.concatenate([[0], np.cumsum(size.to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(doc), pa.bool_()), doc, key, pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], names)
         if df.any():
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((True, None, None, df.tolist()), kinds)], names)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     path = scratch_path(docs.sparkSession, "leak-words")
-    keyed.mapInArrow(run, "df boolean, doc_id long, text_key long, ids array<int>").write.partitionBy("df").parquet(path)
+    read.mapInArrow(run, "df boolean, doc_id long, text_key long, ids array<int>").write.partitionBy("df").parquet(path)
     every = docs.sparkSession.read.schema("doc_id long, text_key long, ids array<int>, df boolean").parquet(path)
     out = np.zeros(len(items.vocabulary))
     for r in every.where("df").select(F.posexplode("ids").alias("w", "n")).groupBy("w").agg(F.sum("n").alias("n")).collect():  # a row for each word of the vocabulary
@@ -411,7 +441,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents without a leak have no row; so have null and empty texts, and an empty table on either side has
     none. Items under LEAST_ITEM words are found as phrases, word for word; items without words never. Null ids
-    are kept as they are. Repeated rows of a document give one row for each item. Frequencies and the decomposition
+    are kept as they are. Texts are read once, however many blocks there are. Repeated rows of a document give one row for each item. Frequencies and the decomposition
     are taken over all of docs. A benchmark of up to BLOCK items takes one scan of the texts; a larger one goes
     through in blocks of about that size, so that what is broadcast doesn't grow with it.
     """
@@ -419,15 +449,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, -(-benchmark.count() // BLOCK))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     n = docs.count()
-    every, frequent = spark.createDataFrame([], LEAKS), None
+    every, read = spark.createDataFrame([], LEAKS), None
     for k in range(blocks):
         rows = benchmark.where(number == k).select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()  # about BLOCK rows
         items = Items([(r[0], r[1]) for r in rows])
         if not n or not items.vocabulary:
             continue
-        frequent = frequent_words(docs, n) if frequent is None else frequent
+        if read is None:
+            read = read_words(docs)
+            frequent = frequent_words(read)
         items.extend(frequent)
-        words, df = numbered(docs, items)
+        words, df = numbered(read, items)
         items.weigh(df, n)
         total = words.agg(F.sum(F.size("ids"))).first()[0] or 0
         tasks = max(spark.sparkContext.defaultParallelism, -(-total // WORDS_PER_TASK))
