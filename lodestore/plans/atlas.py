@@ -53,7 +53,7 @@ def clustered(t: Tables) -> tuple[DataFrame, int]:
 
 @query("atl_02_converged")
 def converged(t: Tables) -> DataFrame:
-    """The cluster of every vector after Lloyd steps to the end, each round written to shared storage."""
+    """The cluster of every vector after Lloyd steps to the end; where they are is written to shared storage from time to time."""
     v, k = clustered(t)
     centroids = a.spherical_kmeans(v, k, 0, path=shared_path(t.spark, "kmeans"))
     return a.nearest(v, centroids).select("id", "anchor_id", F.round("similarity", 5).alias("similarity"))
