@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.functions import first_of, total
+from lodestore.operators.atlas import ordered
+from lodestore.sources.files import stored
 
 #: Readable extensions, skipped folders, conversation extensions.
 READABLE = (".txt", ".md", ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".html", ".css", ".java", ".go", ".rs", ".rb", ".sh", ".csv", ".sql", ".toml")
@@ -132,18 +134,24 @@ def tree_turns(nodes: DataFrame) -> DataFrame:
 def channel_turns(messages: DataFrame) -> DataFrame:
     """(file, n, role, text) of channel exports (file, n, user, text): a new speaker answers the last role; the first is the user.
 
-    A fold over each file's ordered messages; the state is the map of speakers to roles.
+    A speaker keeps the role, so it hangs on the one who spoke just before the first message alone: the chain of these, whose length is
+    odd or even, is followed by doubling steps over speakers. A channel of any size is dealt over many tasks.
     """
-    ordered = messages.where("text <> '' and user <> ''").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "user", "text"))).alias("m"))
-    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("who"), F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<n:int,role:string,text:string>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        role = F.coalesce(acc["who"][m["user"]], F.when(acc["last"] == "user", "assistant").otherwise("user"))
-        who = F.when(F.map_contains_key(acc["who"], m["user"]), acc["who"]).otherwise(F.map_concat(acc["who"], F.create_map(m["user"], role)))
-        return F.struct(who.alias("who"), role.alias("last"), F.concat(acc["out"], F.array(F.struct(m["n"].cast("int").alias("n"), role.alias("role"), m["text"].alias("text")))).alias("out"))
-
-    folded = ordered.select("file", F.aggregate("m", start, step, lambda a: a["out"]).alias("out"))
-    return folded.where(F.size("out") >= 2).select("file", F.inline("out"))
+    spark = messages.sparkSession
+    said = messages.where("text <> '' and user <> ''").withColumn("channel", F.struct("file"))
+    placed = stored(spark, ordered(said.select("channel", "n", "user"), ["channel"], [F.col("n"), F.col("user")], "place"), "channel-places")
+    first = placed.groupBy("channel", "user").agg(F.min("place").alias("place"))
+    before = placed.select("channel", (F.col("place") + 1).alias("place"), F.col("user").alias("up"))
+    speakers = first.join(before, ["channel", "place"], "left").select("channel", "user", "up", F.col("up").isNotNull().alias("odd"))
+    while True:
+        speakers = stored(spark, speakers, "channel-speakers")
+        if speakers.where("up is not null").isEmpty():
+            break
+        above = speakers.select("channel", F.col("user").alias("up"), F.col("up").alias("next"), F.col("odd").alias("more"))
+        speakers = speakers.join(above, ["channel", "up"], "left").select("channel", "user", F.col("next").alias("up"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"))
+    talks = placed.groupBy("channel").agg(F.max("place").alias("many")).where("many >= 2").select("channel")
+    role = F.when(F.col("odd"), "assistant").otherwise("user").alias("role")
+    return said.join(speakers.join(talks, "channel", "left_semi"), ["channel", "user"]).select("file", F.col("n").cast("int").alias("n"), role, "text")
 
 
 def transcripts(turns: DataFrame) -> DataFrame:

@@ -165,6 +165,19 @@ def test_channel_roles_alternate(spark):
     assert [r.role for r in ingest.channel_turns(m).orderBy("n").collect()] == ["user", "assistant", "user", "assistant", "assistant"]
 
 
+def test_channels_of_many_speakers_equal_a_fold_and_are_gathered_nowhere(spark):
+    rows = [(f, n, f"u{(n * n * 7 + (f or 0)) % (3 + n // 4)}", f"t{n}") for f in (1, 2, None) for n in range(120)] + [(3, 0, "u", "alone"), (1, 500, "", "nobody"), (2, 501, "u1", "")]
+    want = {}
+    for f in (1, 2, None):
+        who, last = {}, None
+        for _, n, user, _ in sorted((r for r in rows if r[0] == f and r[2] and r[3]), key=lambda r: r[1]):
+            last = who.setdefault(user, "assistant" if last == "user" else "user")
+            want[f, n] = last
+    out = ingest.channel_turns(spark.createDataFrame(rows, "file long, n long, user string, text string").repartition(3))
+    assert {(r.file, r.n): r.role for r in out.collect()} == want and out.count() == len(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_facets(spark):
     s = 'Alice said GraphQL is "really good", see src/app.py on 2026-03-15. We switched to it.\n> ok'
     r = spark.createDataFrame([(s,)], "t string").select(text.facet_entities(F.col("t")).alias("e"), text.mentioned_at(F.col("t")).alias("m"), text.speaker_role(F.col("t")).alias("s"), text.stance(F.col("t")).alias("st"), text.actors(F.col("t")).alias("a")).first()
