@@ -3,6 +3,8 @@
 import json
 import tempfile
 
+import pyarrow as pa
+
 from lodestore.functions import models
 from lodestore.operators import text
 
@@ -82,3 +84,25 @@ def test_a_judge_that_leaves_some_out(spark):
     got = {(r.key, r.number): (r.a, r.b, r.attempt) for r in models.judged(df, model, ("a", "b"), tempfile.mkdtemp()).collect()}
     assert got == {(1, 0): (1, 0.5, 1), (1, 1): (2, 0.5, 1), (1, 2): (3, 0.5, 2), (1, 3): (4, 0.5, 2), (1, 4): (0, 0, 0), (2, 3): (0, 0, 0), (2, 5): (0, 0, 0), (3, 0): (0, 0, 0)}
     assert models.numbers(None, ("a",), 3) == {} and models.numbers('{"sets": 3}', ("a",), 3) == {} and models.numbers('{"sets": [{"a": null}, {"a": "2"}]}', ("a",), 1) == {}
+
+
+def test_chunks_and_answers_are_made_a_few_texts_at_a_time(spark):
+    """What a task holds in Python is bounded by a few texts, whatever the batches that Spark gives it."""
+
+    class Run:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"Part {i}.\n\nMore of it." for i in range(n)])], ["doc_id", "text"])
+    made = list(text.hierarchy(Run())(iter([batch])))
+    assert sum(map(len, made)) == n * 6 and max(map(len, made)) <= text.TEXTS * 6
+    seen = []
+    asked = models.asked_once(Run(), lambda prompts: seen.append(len(prompts)) or [p[:6] for p in prompts], lambda a: None, 1)
+    got = [next(answers := asked(iter([batch])))]
+    assert seen == [models.TOGETHER]  # the rest is asked when it is wanted
+    got += answers
+    assert [r["key"] for b in got for r in b.to_pylist()] == list(range(n)) and max(map(len, got)) == models.TOGETHER
