@@ -449,3 +449,35 @@ def test_nearest_equals_a_product_of_all(spark):
             rooms = {i % 3} if i else {0, 2}
             want = sorted((round(1 - float(np.dot(v, d)), 6), n) for n, d, room in rows if not on or room in rooms)[:20]
             assert [n for n, _ in got[i]] == [n for _, n in want] and np.allclose([s for _, s in got[i]], [s for s, _ in want])
+
+
+def test_questions_of_one_vector_are_searched_once(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(60, 8)).tolist()
+    docs = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(x)], "doc_id long, vec array<double>, room int")
+    questions = [(q, x[q % 2], q % 3) for q in range(40)]
+    q = spark.createDataFrame(questions, "query_id long, qvec array<double>, room int")
+    sent, near_docs = [], evaluation._near_docs
+
+    def counting(docs, asked, *rest):
+        sent.append(sum(len(own) for own in asked.values()))
+        return near_docs(docs, asked, *rest)
+
+    monkeypatch.setattr(evaluation, "_near_docs", counting)
+    for on, distinct in ((None, 2), ("room", 6)):
+        sent.clear()
+        got = {(r.query_id, r.near): (r.doc_id, r.dist) for r in evaluation.nearest(q, docs, 5, on).collect()}
+        assert sent == [distinct]
+        want = {}
+        for k, v, room in questions:
+            best = sorted((round(1 - sum(a * b for a, b in zip(v, w)), 6), i) for i, w in enumerate(x) if not on or i % 3 == room)[:5]
+            want |= {(k, n + 1): (i, d) for n, (d, i) in enumerate(best)}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("name", ["evl_20"])
+def test_what_a_search_finds_is_read_again_not_searched_again(spark, sf_dir, name):
+    from lodestore import registry
+
+    assert "MapInArrow" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
