@@ -476,7 +476,7 @@ def test_questions_of_one_vector_are_searched_once(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
 
-@pytest.mark.parametrize("name", ["evl_20", "evl_24", "evl_19"])
+@pytest.mark.parametrize("name", ["evl_20", "evl_24", "evl_19", "evl_06"])
 def test_what_a_search_finds_is_read_again_not_searched_again(spark, sf_dir, name):
     from lodestore import registry
 
