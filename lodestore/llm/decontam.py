@@ -20,20 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import scratch_path, stored
 
-WORD = re.compile(r"\w+")
+WORD, WORD_OR_MARK = re.compile(r"\w+"), re.compile(r"\w+|\n")
 #: Words from one window to the next; windows of the passages that are decomposed, in strides.
 STRIDE, PASSAGE = 8, 4
 #: Windows for items of up to so many words, in strides: a stretch of that length lies whole in one of them.
 CLASSES = ((8, 2), (16, 3), (24, 4), (32, 5), (48, 7), (64, 9))
 #: Items go through in blocks of about so many; words of an item's part, from one part to the next; items under LEAST_ITEM words are matched as phrases.
 BLOCK, PART, PART_STEP, LEAST_ITEM = 4096, 64, 48, 5
-#: Corpus words beside the benchmark's: the most frequent ones of all documents. Texts and words that go into a row of numbers, at most (a longer text is one by itself).
-VOCABULARY, TEXTS, READ_WORDS = 8192, 1000, 1 << 20
+#: Corpus words beside the benchmark's: the most frequent ones of all documents. Texts and bytes of them that go into a row of numbers, at most (a longer text is one by itself).
+VOCABULARY, TEXTS, READ_BYTES = 8192, 4000, 1 << 24
 #: Words in a larger share of the documents have no weight, unless over half of an item's words are such.
 COMMON = 0.2
 #: Least weight of the benchmark's words and largest of the others, as shares of the largest inverse document frequency. However many documents there are
@@ -52,6 +53,8 @@ LATENT, NAMES = 0.75, 0.6
 RARE = 0.7
 #: Parts whose words are counted at a time.
 GROUP = 256
+#: Rows of numbers that are summed at a time; a word that stands more often than this in a task's stretch of words is frequent.
+NEAR_ROWS, OFTEN = 1024, 64
 #: More words than any window has.
 MANY = 256
 #: Words that a task works on at a time; words that a task of the decomposition has at least, since each hands on a matrix.
@@ -107,51 +110,75 @@ class Items:
 READ = "words array<string>, df array<long>, doc_id array<long>, text_key array<long>, size array<int>, ids binary"
 
 
+def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, how many words each text has, all words as numbers of distinct ones). Texts are split at white space by Arrow, and only distinct pieces are read as words."""
+    pieces = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    own = pieces.flatten().dictionary_encode()
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
+    number["\n"]  # no piece holds it: a mark after each
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own.dictionary)], pa.int32()), own.dictionary), "\n")[0].as_py() + "\n"
+    read = np.fromiter(map(number.__getitem__, WORD_OR_MARK.findall(lines.lower())), dtype=np.int32)
+    marks = np.flatnonzero(read == 0)
+    begin = np.append(0, marks[:-1] + 1)
+    many = marks - begin
+    at = own.indices.to_numpy(zero_copy_only=False)
+    count = many[at]
+    end = np.concatenate([[0], np.cumsum(count)])
+    ids = read[np.repeat(begin[at] - end[:-1], count) + np.arange(end[-1])] - 1
+    edge = np.concatenate([[0], np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))])
+    return list(number)[1:], np.diff(end[edge]), ids
+
+
 def read_words(docs: DataFrame) -> DataFrame:
     """READ, written: texts as numbers of words, TEXTS of them to a row, whose own `words` they point at; df: in how many of its texts each word is. The one pass that reads text."""
     names = [x.split()[0] for x in READ.split(", ")]
-    kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-
-    def row(number: dict[str, int], of: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
-        df = np.zeros(len(number), dtype=np.int64)
-        for _, _, ids in of:
-            seen = np.zeros(len(number), dtype=bool) if len(ids) > 4096 else None
-            if seen is None:
-                df[np.unique(ids)] += 1
-            else:
-                seen[ids] = True
-                df += seen
-        flat = np.concatenate([ids for *_, ids in of]) if of else np.zeros(0, np.int32)
-        values = (list(number), df.tolist(), [d for d, _, _ in of], [k for _, k, _ in of], [len(ids) for *_, ids in of], flat.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+    kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = defaultdict(itertools.count().__next__)
-        of, total = [], 0
         for b in batches:
-            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                ids = np.fromiter(map(number.__getitem__, WORD.findall((text.as_py() or "").lower())), dtype=np.int32)
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            lo = 0
+            while lo < len(b):
+                hi = max(lo + 1, min(lo + TEXTS, int(np.searchsorted(size, size[lo] + READ_BYTES, side="right")) - 1))
+                words, count, ids = cut(b.column(2).slice(lo, hi - lo))
+                df, last, k = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), 0
+                for n in count.tolist():
+                    own, place = ids[k : k + n], np.arange(n)
+                    last[own] = place
+                    df[own[last[own] == place]] += 1  # each word once
+                    k += n
+                some = pa.array(count > 0)
+                values = (words, df, b.column(0).slice(lo, hi - lo).filter(some), b.column(1).slice(lo, hi - lo).filter(some), count[count > 0])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, t.value_type)) for v, t in zip(values, kinds)]
                 if len(ids):
-                    of.append((doc, key, ids))
-                    total += len(ids)
-                if len(of) >= TEXTS or total >= READ_WORDS:
-                    yield row(number, of)
-                    number, of, total = defaultdict(itertools.count().__next__), [], 0
-        if of:
-            yield row(number, of)
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([ids.tobytes()], pa.binary())], names)
+                lo = hi
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     path = scratch_path(docs.sparkSession, "leak-read")
-    keyed.mapInArrow(run, READ).write.option("maxRecordsPerFile", 16).parquet(path)  # a reader holds many rows of a file
+    keyed.mapInArrow(run, READ).write.option("maxRecordsPerFile", 4).parquet(path)  # a reader holds many rows of a file
     return docs.sparkSession.read.schema(READ).parquet(path)
 
 
-def frequent_words(docs: DataFrame, n: int | None = None) -> list[str]:
-    """The VOCABULARY words that most documents hold, counted over all of them (n is no longer asked for). docs: documents, or what read_words() made of them."""
-    read = docs if "words" in docs.columns else read_words(docs)
+def word_counts(read: DataFrame) -> DataFrame:
+    """(w, n), written: in how many of the documents that read_words() read each word is."""
     each = read.select(F.explode(F.arrays_zip("words", "df")).alias("x")).select(F.col("x.words").alias("w"), F.col("x.df").alias("n"))
-    most = each.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    return [r["w"] for r in most.collect()]
+    return stored(each.groupBy("w").agg(F.sum("n").alias("n")), "leak-counts")
+
+
+def frequent_words(docs: DataFrame, n: int | None = None) -> list[str]:
+    """The VOCABULARY words that most documents hold, counted over all of them (n is no longer asked for). docs: documents, or what read_words() or word_counts() made of them."""
+    counts = docs if docs.columns == ["w", "n"] else word_counts(docs if "words" in docs.columns else read_words(docs))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
+
+
+def held_in(counts: DataFrame, items: Items) -> np.ndarray:
+    """In how many documents each word of the vocabulary is, by word_counts()."""
+    own = counts.sparkSession.createDataFrame(list(items.vocabulary.items()), "w string, k int")
+    out = np.zeros(len(items.vocabulary))
+    for r in counts.join(F.broadcast(own), "w").select("k", "n").collect():  # a row for each word of the vocabulary
+        out[r["k"]] = r["n"]
+    return out
 
 
 def numbered(docs: DataFrame, items: Items) -> tuple[DataFrame, np.ndarray]:
@@ -189,14 +216,26 @@ def chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np
     """(first row, words, rows' starts in them and their end) for stretches of a batch of about CHUNK words; a longer text is one by itself."""
     lists = b.column(column)
     edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return stretches(lists.flatten().to_numpy(zero_copy_only=False), edge)
+
+
+def stretches(flat: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """chunks() of texts whose words are flat and that begin and end at edge."""
     lo = 0
-    while lo < len(b):
+    while lo < len(edge) - 1:
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CHUNK, side="right")) - 1)
         yield lo, flat[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]
         lo = hi
 
 
+def renumbered(b: pa.RecordBatch, row: int, vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """chunks() of the texts of a row of READ, whose last columns are words, size and ids; -1 for words outside the vocabulary."""
+    words, size, ids = (b.column(b.num_columns - 3 + i).slice(row, 1) for i in range(3))
+    to = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    flat = to[np.frombuffer(ids[0].as_buffer(), dtype=np.int32)]
+    return stretches(flat, np.concatenate([[0], np.cumsum(size.flatten().to_numpy(zero_copy_only=False))]).astype(np.int64))
+
+
 def _firsts(x: np.ndarray) -> np.ndarray:
     """Where a new value begins in x, which is in order."""
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
@@ -210,13 +249,38 @@ def slots(ids: np.ndarray, place: np.ndarray, within: np.ndarray, rows: int, wid
 
 
 def added(table: np.ndarray, laid: np.ndarray) -> np.ndarray:
-    """The sum of table's rows for each row of laid."""
-    out = table[laid[:, 0]]
-    for j in range(1, laid.shape[1]):
-        out += table[laid[:, j]]
+    """The sum of table's rows for each row of laid, a few rows at a time, so that they stay in the processor's cache."""
+    out = np.empty((len(laid), table.shape[1]), dtype=table.dtype)
+    more = np.empty((min(NEAR_ROWS, len(laid)), table.shape[1]), dtype=table.dtype)
+    for lo in range(0, len(laid), NEAR_ROWS):
+        columns, own = np.ascontiguousarray(laid[lo : lo + NEAR_ROWS].T), out[lo : lo + NEAR_ROWS]
+        np.take(table, columns[0], axis=0, out=own, mode="clip")
+        for j in range(1, len(columns)):
+            np.take(table, columns[j], axis=0, out=more[: len(own)], mode="clip")
+            own += more[: len(own)]
     return out
 
 
+def sums_by_word(word: np.ndarray, number: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, for each the sum of y's rows `number`). size: more than any word. Words that come up OFTEN as a product of matrices, the others occurrence by occurrence."""
+    order = np.argsort(word.astype(np.uint16) if size <= 1 << 16 else word, kind="stable")  # short numbers are sorted by their digits
+    word, number = word[order], number[order]
+    begin = _firsts(word)
+    many = np.diff(np.append(begin, len(word)))
+    often, few = np.flatnonzero(many > OFTEN), np.flatnonzero(many <= OFTEN)
+    out = []
+    for some in (often[i : i + GROUP] for i in range(0, len(often), GROUP)):
+        place = np.repeat(begin[some], many[some]) + np.arange(many[some].sum()) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+        times = np.bincount(np.repeat(np.arange(len(some)), many[some]) * len(y) + number[place], minlength=len(some) * len(y))
+        out.append(times.reshape(len(some), -1).astype(y.dtype) @ y)
+    few = few[np.argsort(-many[few], kind="stable")]
+    total = y[number[begin[few]]]
+    for j in range(1, int(many[few].max(initial=0))):
+        n = np.count_nonzero(many[few] > j)
+        total[:n] += y[number[begin[few[:n]] + j]]
+    return word[begin[np.concatenate([often, few])]], np.concatenate([*out, total])
+
+
 def gram_part(ids: np.ndarray, edge: np.ndarray, weight: np.ndarray, weighted: np.ndarray, total: np.ndarray) -> int:
     """Adds A'A basis to total, A being the passages of some texts, each divided by the root of its words' squared weights; weighted is basis times the words' weights.
 
@@ -232,10 +296,9 @@ def gram_part(ids: np.ndarray, edge: np.ndarray, weight: np.ndarray, weighted: n
     y = added(weighted, laid) / np.maximum(square, 1e-12)[:, None]
     keep = (ids >= 0) & (weight[ids] > 0)
     word, number = ids[keep], place[keep]
-    order = np.argsort(word.astype(np.uint16) if none <= 1 << 16 else word, kind="stable")  # short numbers are sorted by their digits
-    begin = _firsts(word[order])
-    if len(begin):
-        total[word[order][begin]] += np.add.reduceat(y[number[order]], begin, axis=0) * weight[word[order][begin], None]
+    if len(word):
+        each, sums = sums_by_word(word, number, y, none)
+        total[each] += sums * weight[each, None]
     return int((square > 0).sum())
 
 
@@ -245,23 +308,29 @@ def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def gram_times(words: DataFrame, items: Items, basis: np.ndarray, tasks: int) -> tuple[np.ndarray, int]:
-    """A'A basis and the number of rows of A, A being all passages of words: in tasks, then summed by blocks of words in two steps."""
+    """A'A basis and the number of rows of A, A being all passages of words: in tasks, then summed by blocks of words in two steps.
+
+    words: what read_words() or numbered() made of documents.
+    """
+    raw = "words" in words.columns
+    known = words.sparkSession.sparkContext.broadcast(list(items.vocabulary))
     shared = words.sparkSession.sparkContext.broadcast((np.append(items.weight, np.float32(0)), np.vstack([basis * items.weight[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)))
     terms, dims = basis.shape
     edge = [terms * k // TERM_BLOCKS for k in range(TERM_BLOCKS + 1)]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, weighted = shared.value
+        vocabulary = pa.array(known.value, pa.string())
         total, n = np.zeros((terms, dims), dtype=np.float32), 0
         for b in batches:
-            for _, ids, at in chunks(b, 0):
+            for _, ids, at in itertools.chain.from_iterable(renumbered(b, k, vocabulary) for k in range(len(b))) if raw else chunks(b, 0):
                 n += gram_part(ids, at, weight, weighted, total)
         if n:
             data = [total[a:z].tobytes() for a, z in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(range(TERM_BLOCKS), pa.int32()), pa.array([n] + [0] * (TERM_BLOCKS - 1), pa.int64()), pa.array(data, pa.binary())], ["block", "n", "data"])
 
     kind = "block int, n long, data binary"
-    each = words.select("ids").coalesce(tasks).mapInArrow(part, kind).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(64)))
+    each = words.select(*(["words", "size"] if raw else []), "ids").coalesce(tasks).mapInArrow(part, kind).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = each.groupBy("block", "slot").applyInPandas(lambda pdf: _sum_blocks(pdf), kind)
     out, n = np.zeros((terms, dims)), 0
     for r in some.groupBy("block").applyInPandas(lambda pdf: _sum_blocks(pdf), kind).collect():  # TERM_BLOCKS rows, together the size of basis
@@ -336,6 +405,11 @@ class Search:
             self.need_names[k] = np.ceil(NAMES * len(self.names[k]) - 1e-6) if len(self.names[k]) > 1 else MANY - 1  # one name tells nothing
             self.holds[ids, k] = True
             self.need[k] = max(1, int(np.ceil(least * len(ids) - 1e-6)) - (len(ids) - int(times[keep].sum())))
+        # GROUP parts at a time of a class: (width in strides, parts, their columns of `rare`)
+        self.groups = []
+        for (longest, width), (before, _) in zip(CLASSES, ((0, 0), *CLASSES)):
+            mine = np.flatnonzero((self.size <= longest) & (self.size > before))
+            self.groups += [(width, mine[i : i + GROUP], np.ascontiguousarray(self.rare[:, mine[i : i + GROUP]])) for i in range(0, len(mine), GROUP)]
 
     def candidates(self, ids: np.ndarray, edge: np.ndarray, least: float = COSINE, counted: bool = True) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, part, start, end, cosine) of the windows and parts from latent cosine `least`, start and end as words of the row.
@@ -353,31 +427,27 @@ class Search:
         laid = slots(ids, block, (np.arange(len(ids)) - edge[own]) % STRIDE, blocks, STRIDE, len(self.weighted) - 1)
         row = np.repeat(np.arange(len(length)), per + pad)
         number = np.arange(blocks) - base[row]
-        for k, (longest, width) in enumerate(CLASSES):
-            mine = np.flatnonzero((self.size <= longest) & (self.size > (CLASSES[k - 1][0] if k else 0)))
+        for width, group, rare in self.groups:
             valid = number[: blocks - width + 1] < np.maximum(1, per[row[: blocks - width + 1]] - width + 1)
             valid &= per[row[: blocks - width + 1]] > 0
-            for group in (mine[i : i + GROUP] for i in range(0, len(mine), GROUP)):
-                need, need_names = self.need[group], self.need_names[group] * MANY
-                # sums go round at 2 ** 16, differences of a window's length don't
-                count = np.zeros((blocks + 1, len(group)), dtype=np.uint16)
-                np.cumsum(added(np.ascontiguousarray(self.rare[:, group]), laid), axis=0, dtype=np.uint16, out=count[1:])
-                for lo in range(0, len(valid), 1024):
-                    hi = min(lo + 1024, len(valid))
-                    held = count[lo + width : hi + width] - count[lo:hi]
-                    by_words = (held & (MANY - 1)) >= need if counted else np.ones(held.shape, dtype=bool)
-                    may = (by_words | (held >= need_names)) & valid[lo:hi, None]
-                    some = np.flatnonzero(may.any(axis=1)) + lo
-                    if not len(some):
-                        continue
-                    x = added(self.weighted, laid[some])
-                    for j in range(1, width):
-                        x += added(self.weighted, laid[some + j])
-                    cosine = x @ self.latent[group].T
-                    cosine /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    for w, m in zip(*np.nonzero((cosine >= np.where(by_words[some - lo], least, LATENT)) & may[some - lo])):
-                        r, a = int(row[some[w]]), int(number[some[w]]) * STRIDE
-                        yield r, int(group[m]), a, min(a + width * STRIDE, int(length[r])), float(cosine[w, m])
+            need, need_names = self.need[group], self.need_names[group] * MANY
+            # sums go round at 2 ** 16, differences of a window's length don't
+            count = np.zeros((blocks + 1, len(group)), dtype=np.uint16)
+            np.cumsum(added(rare, laid), axis=0, dtype=np.uint16, out=count[1:])
+            for lo in range(0, len(valid), 1024):
+                hi = min(lo + 1024, len(valid))
+                held = count[lo + width : hi + width] - count[lo:hi]
+                by_words = (held & (MANY - 1)) >= need if counted else np.ones(held.shape, dtype=bool)
+                may = (by_words | (held >= need_names)) & valid[lo:hi, None]
+                some = np.flatnonzero(may.any(axis=1)) + lo
+                if not len(some):
+                    continue
+                x = added(self.weighted, laid[some[:, None] + np.arange(width)].reshape(len(some), -1))
+                cosine = x @ self.latent[group].T
+                cosine /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for w, m in zip(*np.nonzero((cosine >= np.where(by_words[some - lo], least, LATENT)) & may[some - lo])):
+                    r, a = int(row[some[w]]), int(number[some[w]]) * STRIDE
+                    yield r, int(group[m]), a, min(a + width * STRIDE, int(length[r])), float(cosine[w, m])
 
     def leaks(self, ids: np.ndarray, edge: np.ndarray) -> list[tuple[int, int | None, float, float, int, int]]:
         """(row, item, cosine, LCS share, start, end) of the best window of each row and part that passes all checks, and of phrases."""
@@ -420,20 +490,22 @@ class Search:
         return out
 
 
-def search(words: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
-    """LEAKS of all documents of words."""
-    shared = words.sparkSession.sparkContext.broadcast(Search(items, basis))
+def search(read: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
+    """LEAKS of all documents that read_words() read."""
+    shared = read.sparkSession.sparkContext.broadcast((Search(items, basis), list(items.vocabulary)))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, ids, edge in chunks(b, 2):
-                if found := shared.value.leaks(ids, edge):
+        own, vocabulary = shared.value[0], pa.array(shared.value[1], pa.string())
+        for b, k in ((b, k) for b in batches for k in range(len(b))):
+            doc, key = b.column(0).slice(k, 1).flatten(), b.column(1).slice(k, 1).flatten()
+            for lo, ids, edge in renumbered(b, k, vocabulary):
+                if found := own.leaks(ids, edge):
                     at = pa.array([lo + f[0] for f in found], pa.int64())
                     rest = [pa.array(c, k) for c, k in zip(list(zip(*found))[1:], kinds[2:])]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *rest], [x.split()[0] for x in LEAKS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([doc.take(at), key.take(at), *rest], [x.split()[0] for x in LEAKS.split(", ")])
 
-    return words.select("doc_id", "text_key", "ids").mapInArrow(run, LEAKS)
+    return read.select("doc_id", "text_key", "words", "size", "ids").mapInArrow(run, LEAKS)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -457,14 +529,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         if read is None:
             read = read_words(docs)
-            frequent = frequent_words(read)
+            counts = word_counts(read)
+            frequent = frequent_words(counts)
+            total = read.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         items.extend(frequent)
-        words, df = numbered(read, items)
-        items.weigh(df, n)
-        total = words.agg(F.sum(F.size("ids"))).first()[0] or 0
+        items.weigh(held_in(counts, items), n)
         tasks = max(spark.sparkContext.defaultParallelism, -(-total // WORDS_PER_TASK))
-        basis = latent_basis(words, items, tasks) if items.parts else np.zeros((len(items.vocabulary), 1), dtype=np.float32)
-        every = every.unionByName(search(words, items, basis))
+        basis = latent_basis(read, items, tasks) if items.parts else np.zeros((len(items.vocabulary), 1), dtype=np.float32)
+        every = every.unionByName(search(read, items, basis))
     best = F.max(F.struct("lcs", "cosine", (-F.col("start_word")).alias("s"), F.col("end_word").alias("e"))).alias("b")
     return every.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", F.col("b.cosine").alias("cosine"), F.col("b.lcs").alias("lcs"), (-F.col("b.s")).alias("start_word"), F.col("b.e").alias("end_word"))
 

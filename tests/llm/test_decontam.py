@@ -241,3 +241,29 @@ def test_frequent_words_come_from_all_documents(spark, monkeypatch):
     words, df_of = decontam.numbered(read, items)
     assert df_of.tolist() == [60, 30, 1, 1, 0]
     assert {r.doc_id: r.ids for r in words.collect()}[3] == [0, 2, 2, -1, -1] and words.count() == 61
+
+
+def test_words_are_cut_as_by_the_pattern_and_summed_as_in_loops(spark, monkeypatch):
+    """Pieces between white space give the words of whole texts; sums by word don't depend on how often a word stands."""
+    texts = ["Ab ab-AB\tc_d 9x Ω", None, "", "--- ...", "ΣΑΣ ΑΣ, İx\x1cy z᠎q", "l\r\nm\nn\x0bo\x0cp", "áb ½ 東京 x" * 3]
+    words, count, ids = decontam.cut(pa.array(texts, pa.string()))
+    want = [decontam.WORD.findall((t or "").lower()) for t in texts]
+    assert len(set(words)) == len(words) and [words[i] for i in ids] == [w for t in want for w in t] and count.tolist() == [len(t) for t in want]
+    assert [len(x) for x in decontam.cut(pa.array([None, "!"], pa.string()))] == [0, 2, 0] and [len(x) for x in decontam.cut(pa.array([], pa.string()))] == [0, 0, 0]
+    monkeypatch.setattr(decontam, "OFTEN", 5)
+    rng = np.random.default_rng(2)
+    word, number, y = np.minimum(rng.geometric(0.2, 400), 30).astype(np.int32), rng.integers(0, 50, 400), rng.normal(size=(50, 3))
+    each, sums = decontam.sums_by_word(word, number, y, 31)
+    assert sorted(each.tolist()) == sorted(set(word.tolist()))
+    assert all(np.allclose(s, y[number[word == w]].sum(axis=0)) for w, s in zip(each, sums))
+
+
+def test_texts_are_read_as_words_and_not_written_again(spark, prose, monkeypatch):
+    """op1: what read_words() wrote goes to the decomposition and the search as it is."""
+    docs, items, planted = corpus(prose)
+
+    def written(*_):
+        raise AssertionError("numbers of words are written a second time")
+
+    monkeypatch.setattr(decontam, "numbered", written)
+    assert planted <= {(r.doc_id, r.item_id) for r in decontam.find_leaks(*frames(spark, docs, items)).collect()}
