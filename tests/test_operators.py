@@ -481,3 +481,36 @@ def test_what_a_search_finds_is_read_again_not_searched_again(spark, sf_dir, nam
     from lodestore import registry
 
     assert "MapInArrow" not in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_questions_of_one_vector_meet_their_hits_in_many_tasks(spark, tmp_path, monkeypatch):
+    """evl_11, evl_21 and the other searches of sessions: all questions have 4 vectors, so 200 sessions are all that is found; neither may be a key that a task serves whole."""
+    import numpy as np
+
+    from lodestore.plans import evaluation as plans
+    from lodestore.plans.base import Tables
+
+    n = 6400
+    x = np.random.default_rng(9).normal(size=(n, 4)).astype("float32")
+    ids = spark.range(n)
+    said = [(0, "user", "asks about thing"), (1, "assistant", "tells of thing")]
+    turns = [ids.select(F.col("id").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.concat(F.lit(f"{s} "), F.col("id").cast("string")).alias("text")) for k, r, s in said]
+    turns[0].union(turns[1]).write.parquet(f"{tmp_path}/conversations.parquet")
+    vectors = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(evaluation, "PART", 4, raising=False)
+    monkeypatch.setattr(evaluation, "TASK", 8, raising=False)
+    h = plans.hits(Tables(spark, str(tmp_path)), 5)
+    rows = h.select("query_id", "session_id", "near", "dist", "question", "user_text", "asst_text", F.spark_partition_id().alias("task")).collect()
+    want = {}
+    for q in range(0, n, plans.EVERY):
+        dist = 1 - x.astype(float) @ x[300 + q % 200].astype(float)
+        want |= {(q, k + 1): int(s) for k, s in enumerate(np.lexsort((np.arange(n), np.round(dist, 6)))[:5])}
+    assert len(rows) == len(want) and {(r.query_id, r.near): r.session_id for r in rows} == want
+    for r in rows:
+        assert r.question.startswith(f"asks about thing {r.query_id}") and (r.user_text, r.asst_text) == (f"asks about thing {r.session_id}", f"tells of thing {r.session_id}")
+    tasks = [r.task for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 3
+    # questions are made once and read again; vectors are scanned for the sessions alone
+    plan = h._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in line and "embedding" in line for line in plan) == 1
