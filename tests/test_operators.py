@@ -514,3 +514,44 @@ def test_questions_of_one_vector_meet_their_hits_in_many_tasks(spark, tmp_path,
     # questions are made once and read again; vectors are scanned for the sessions alone
     plan = h._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("Relation" in line and "embedding" in line for line in plan) == 1
+
+
+def test_terms_of_questions_that_share_their_hits(spark, monkeypatch):
+    """evl_07 and the other searches of all questions: shares() are those of share_within(), whatever the parts."""
+    monkeypatch.setattr(evaluation, "SHARED", 2)
+    asked = [(1, 7, 5, ["ab", "ab", "Zz", "é"], "a"), (2, 7, 5, [], "b"), (3, 7, 5, None, "c"), (4, 7, 5, ["ab", None, "none"], "d"), (5, 7, 5, ["b c"], "e"), (6, 9, 1, ["ab", "q"], "f"), (8, 10, 1, ["ab"], "g")]
+    told = [(7, 5, 70, "xab c", "É é", 0.5), (7, 5, 71, "", "zz", 0.25), (7, 5, 72, None, "ab", 1.0), (9, 1, 70, "xab c", "q", None)]
+    q = spark.createDataFrame(asked, "query_id long, lead long, led long, t array<string>, more string")
+    d = spark.createDataFrame(told, "lead long, led long, session_id long, low string, other string, dist double")
+    out = evaluation.shares(q, d, {"a": ("t", "low"), "b": ("t", "other")})
+    assert out.columns == ["query_id", "more", "session_id", "dist", "a", "b"]
+    s = evaluation.share_within
+    want = q.join(d, "lead").select("query_id", "more", "session_id", "dist", s(F.col("t"), F.col("low")).alias("a"), s(F.col("t"), F.col("other")).alias("b"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: (r[0], r[2]))
+    assert rows(out) == rows(want) and len(rows(out)) == 16
+
+
+@pytest.mark.parametrize("name", ["evl_07"])
+def test_no_question_is_left_out(spark, sf_dir, name):
+    from lodestore import registry
+    from lodestore.plans.base import Tables
+
+    asked = {r.query_id for r in Tables(spark, sf_dir).asked().select("query_id").collect()}
+    found = registry.queries()[name](spark, sf_dir)
+    if "query_id" in found.columns:
+        assert {r.query_id for r in found.select("query_id").collect()} == asked
+    else:  # by category
+        assert found.agg(F.sum("n")).first()[0] == len(asked)
+    assert len(asked) > 10
+
+
+def test_scores_round_as_sql_does(spark):
+    """evl_07: of all scores on sf0.1 one lies a hair under a half."""
+    import duckdb
+
+    from lodestore.plans import evaluation as plans
+
+    given = [(d / 1e6, k, n) for d in (804175, 500005, 123455, -804175, 0, 1234565) for n in (1, 3, 7, 9) for k in range(n + 1)]
+    got = [r.s for r in spark.createDataFrame([(d, k / n) for d, k, n in given], "dist double, ov double").select(plans.overlapped("ov").alias("s")).collect()]
+    want = [duckdb.execute("select round((?::double * (1 - 0.3 * (?::bigint / ?::bigint)))::double, 6)", g).fetchone()[0] for g in given]
+    assert got == want
