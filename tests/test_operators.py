@@ -519,7 +519,7 @@ def test_questions_of_one_vector_meet_their_hits_in_many_tasks(spark, tmp_path,
 def test_terms_of_questions_that_share_their_hits(spark, monkeypatch):
     """evl_07 and the other searches of all questions: shares() are those of share_within(), whatever the parts."""
     monkeypatch.setattr(evaluation, "SHARED", 2)
-    asked = [(1, 7, 5, ["ab", "ab", "Zz", "é"], "a"), (2, 7, 5, [], "b"), (3, 7, 5, None, "c"), (4, 7, 5, ["ab", None, "none"], "d"), (5, 7, 5, ["b c"], "e"), (6, 9, 1, ["ab", "q"], "f"), (8, 10, 1, ["ab"], "g")]
+    asked = [(1, 7, 5, ["ab", "ab", "Zz", "é"], "a"), (2, 7, 5, [], "b"), (3, 7, 5, None, "c"), (4, 7, 5, ["ab", None, "none"], "d"), (5, 7, 5, ["b c", "xab ", "x", "", "é é", "bc"], "e"), (6, 9, 1, ["ab", "q"], "f"), (8, 10, 1, ["ab"], "g")]
     told = [(7, 5, 70, "xab c", "É é", 0.5), (7, 5, 71, "", "zz", 0.25), (7, 5, 72, None, "ab", 1.0), (9, 1, 70, "xab c", "q", None)]
     q = spark.createDataFrame(asked, "query_id long, lead long, led long, t array<string>, more string")
     d = spark.createDataFrame(told, "lead long, led long, session_id long, low string, other string, dist double")
@@ -531,7 +531,7 @@ def test_terms_of_questions_that_share_their_hits(spark, monkeypatch):
     assert rows(out) == rows(want) and len(rows(out)) == 16
 
 
-@pytest.mark.parametrize("name", ["evl_07"])
+@pytest.mark.parametrize("name", ["evl_07", "evl_08"])
 def test_no_question_is_left_out(spark, sf_dir, name):
     from lodestore import registry
     from lodestore.plans.base import Tables
