@@ -531,7 +531,7 @@ def test_terms_of_questions_that_share_their_hits(spark, monkeypatch):
     assert rows(out) == rows(want) and len(rows(out)) == 16
 
 
-@pytest.mark.parametrize("name", ["evl_07", "evl_08", "evl_10", "evl_13"])
+@pytest.mark.parametrize("name", ["evl_07", "evl_08", "evl_10", "evl_13", "evl_21"])
 def test_no_question_is_left_out(spark, sf_dir, name):
     from lodestore import registry
     from lodestore.plans.base import Tables
