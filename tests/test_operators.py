@@ -531,7 +531,7 @@ def test_terms_of_questions_that_share_their_hits(spark, monkeypatch):
     assert rows(out) == rows(want) and len(rows(out)) == 16
 
 
-@pytest.mark.parametrize("name", ["evl_07", "evl_08", "evl_10", "evl_13", "evl_21"])
+@pytest.mark.parametrize("name", ["evl_07", "evl_08", "evl_10", "evl_13", "evl_21", "evl_24"])
 def test_no_question_is_left_out(spark, sf_dir, name):
     from lodestore import registry
     from lodestore.plans.base import Tables
@@ -555,3 +555,10 @@ def test_scores_round_as_sql_does(spark):
     got = [r.s for r in spark.createDataFrame([(d, k / n) for d, k, n in given], "dist double, ov double").select(plans.overlapped("ov").alias("s")).collect()]
     want = [duckdb.execute("select round((?::double * (1 - 0.3 * (?::bigint / ?::bigint)))::double, 6)", g).fetchone()[0] for g in given]
     assert got == want
+
+
+def test_limit_of_a_category(spark):
+    """evl_24 has none; its operator takes one."""
+    items = spark.createDataFrame([(i, i % 3) for i in range(20)], "query_id long, category long")
+    ids = lambda df: sorted(r.query_id for r in df.collect())
+    assert ids(evaluation.first_items(items, 2)) == [0, 1, 2, 3, 4, 5] and ids(evaluation.first_items(items)) == list(range(20))
